@@ -36,6 +36,24 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(rows))
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.media import stored_texts
+
+    return stored_texts(_read(spark, sf_dir, "documents"))
+
+
+def op7_sorted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.sstable import round_trip
+
+    return round_trip(_read(spark, sf_dir, "documents"))
+
+
+def op8_bucket_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.digest import edited_neighbours
+
+    return edited_neighbours(_read(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -54,7 +72,7 @@ FROM shown GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_mix_sources, op5_token_counts, op6_chat_format)}
+    return {f.__name__: f for f in (op2_media_columns, op4_mix_sources, op5_token_counts, op6_chat_format, op7_sorted_shards, op8_bucket_digest)}
 
 
 def oracle_sql() -> dict[str, str]:
