@@ -36,6 +36,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(rows))
 
 
+def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.media import stored_texts
 
@@ -72,7 +78,7 @@ FROM shown GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_media_columns, op4_mix_sources, op5_token_counts, op6_chat_format, op7_sorted_shards, op8_bucket_digest)}
+    return {f.__name__: f for f in (op1_pack_sequences, op2_media_columns, op4_mix_sources, op5_token_counts, op6_chat_format, op7_sorted_shards, op8_bucket_digest)}
 
 
 def oracle_sql() -> dict[str, str]:
