@@ -60,6 +60,12 @@ def op8_bucket_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(_read(spark, sf_dir, "documents"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.minhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -78,7 +84,7 @@ FROM shown GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack_sequences, op2_media_columns, op4_mix_sources, op5_token_counts, op6_chat_format, op7_sorted_shards, op8_bucket_digest)}
+    return {f.__name__: f for f in (op1_pack_sequences, op2_media_columns, op4_mix_sources, op5_token_counts, op6_chat_format, op7_sorted_shards, op8_bucket_digest, op9_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
