@@ -66,6 +66,12 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.toxicity import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 OP6_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -84,7 +90,7 @@ FROM shown GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack_sequences, op2_media_columns, op4_mix_sources, op5_token_counts, op6_chat_format, op7_sorted_shards, op8_bucket_digest, op9_minhash_dedup)}
+    return {f.__name__: f for f in (op1_pack_sequences, op2_media_columns, op4_mix_sources, op5_token_counts, op6_chat_format, op7_sorted_shards, op8_bucket_digest, op9_minhash_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
