@@ -72,6 +72,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.lm import interpolated_scores
+
+    return interpolated_scores(_read(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -90,7 +96,7 @@ FROM shown GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack_sequences, op2_media_columns, op4_mix_sources, op5_token_counts, op6_chat_format, op7_sorted_shards, op8_bucket_digest, op9_minhash_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pack_sequences, op2_media_columns, op3_deleted_interpolation, op4_mix_sources, op5_token_counts, op6_chat_format, op7_sorted_shards, op8_bucket_digest, op9_minhash_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

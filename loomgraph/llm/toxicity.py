@@ -63,7 +63,7 @@ def learn_lexicon(texts: list[str], y: np.ndarray) -> dict[str, float]:
     for text, label in zip(texts, y.tolist(), strict=True):
         words = {normal(w)[0] for w in set(text.split())}
         found[label].update({k for w in words if w for k in _keys(w)})
-    least = max(3, math.ceil(0.004 * n[1]))
+    least = max(3, math.ceil(0.01 * n[1]))
     lexicon = {}
     for key, count in found[1].items():
         if count >= least:
