@@ -1,19 +1,54 @@
-"""The corpus pipeline: each stage applies one text operator to all that the stage before it kept."""
+"""The corpus pipeline: each stage applies one text operator to all that the stage before it kept.
+
+Every stage takes documents (doc_id, text, lang, source, n_chars, and any other columns) and returns the rows it
+keeps with the same columns; the last returns the packed pieces instead. Nulls, ties, repeated rows and empty tables
+are handled as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from loomgraph.llm.common import materialize
+from loomgraph.llm.minhash import deduplicated
+from loomgraph.llm.mixing import mixed_documents, ranges_for
+from loomgraph.llm.packing import pack
+from loomgraph.llm.toxicity import without_toxic
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose calibrated toxicity, learned from the labels table, reaches 0.7."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near-duplicates."""
+    return deduplicated(docs)
+
 
-#: Learned scores, similarity and packing cannot be said in SQL; tests hold run() against plain Python.
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each source to its target number of words: rows repeat for further epochs, the row at the cut is cut."""
+    return mixed_documents(docs, ranges=ranges_for(docs.count()))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the token ids of all documents into sequences of 2048."""
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_to_weights),
+    ("packing", pack_sequences),
+]
+
+#: Learned scores, similarity and packing cannot be said in SQL; tests/llm hold run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared folder and read again."""
-    from loomgraph.llm.common import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
