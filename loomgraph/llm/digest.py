@@ -83,7 +83,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def to_text(rows: np.ndarray) -> list[str]:
     """Digests as hex: one byte of log length, one of ratios, then four buckets a byte."""
-    q = rows[:, HEADER:].reshape(len(rows), -1, 4)
+    q = rows[:, HEADER:].reshape(len(rows), BUCKETS // 4, 4)
     body = q[..., 0] << 6 | q[..., 1] << 4 | q[..., 2] << 2 | q[..., 3]
     packed = np.concatenate([rows[:, :1], rows[:, 1:2] << 4 | rows[:, 2:3], body], axis=1).astype(np.uint8)
     return [r.tobytes().hex() for r in packed]

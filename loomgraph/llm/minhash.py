@@ -325,8 +325,8 @@ def _labelled(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFram
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs of which near_duplicates() keeps the document, one for each repeated doc_id; all columns stay."""
     labels = materialize(near_duplicates(docs, **options), "labels")
-    gone = labels.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = labels.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = labels.where(~F.col("kept")).select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    again = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     once = kept.join(again, "doc_id", "left_anti")
     return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

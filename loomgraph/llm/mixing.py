@@ -73,25 +73,28 @@ def mix_sources(
     A row is taken whole as often as the target has full epochs of the source; in the last epoch rows are
     taken in order until the target is reached, and the row at the cut gives only the words still missing.
     Null sources are one source. Rows of no words are taken with 0. Repeated rows each count. An empty
-    table gives an empty result. Other columns pass through; none may be named like those added here.
+    table gives an empty result. Other columns pass through, whatever their names; a column of docs that is named like
+    one of the three added is replaced.
     """
     bits = ranges.bit_length() - 1
-    rows = docs.select("*", key.alias("_key"), _source_key(source).alias("_source"))
+    # the row's own columns travel in one struct, so that none can clash with those made here
+    rows = docs.select(F.struct("*").alias("_row"), F.col(size).alias("_size"), F.col(source).alias("_name"), key.alias("_key"), _source_key(source).alias("_source"))
     rows = rows.withColumn("_range", F.shiftrightunsigned("_key", 64 - bits).cast("int") if bits else F.lit(0))
-    totals = rows.groupBy("_source", "_range", F.col(source).alias("source")).agg(F.sum(size).alias("_sum"))
+    totals = rows.groupBy("_source", "_range", F.col("_name").alias("source")).agg(F.sum("_size").alias("_sum"))
     sizes = totals.groupBy("source").agg(F.sum("_sum").alias("source_size"))
     targets = source_targets(sizes, weights, share, most).select(_source_key("source").alias("_source"), "source_size", "target")
     along = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_source", "_range", F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_base")).join(targets, "_source")
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", size).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_source", "_range").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, -1)
     budget = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
     missing = budget - whole * F.col("source_size") - F.col("_base") - F.col("_before")
+    taken = whole * F.col("_size") + F.greatest(F.lit(0), F.least(missing, F.col("_size")))
+    added = ("source_size", "target", "taken")
     return (
-        rows.withColumn("_before", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+        rows.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
         .join(bases, ["_source", "_range"])
-        .withColumn("taken", (whole * F.col(size) + F.greatest(F.lit(0), F.least(missing, F.col(size)))).cast("long"))
-        .drop("_key", "_source", "_range", "_before", "_base")
+        .select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in added], "source_size", "target", taken.cast("long").alias("taken"))
     )
 
 
@@ -109,14 +112,14 @@ def mixed_documents(docs: DataFrame, ranges: int = 64, **options) -> DataFrame:
 
     Returns the columns of docs; n_chars follows the text where docs has it.
     """
-    size = "_size"
-    mixed = mix_sources(docs.withColumn(size, word_count("text")), order_key(["doc_id", "text"]), size=size, ranges=ranges, **options)
-    copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col(size)).cast("int")))
-    out = mixed.where("taken > 0").withColumn("_copy", copies)
-    left = (F.col("taken") - (F.col("_copy") - 1) * F.col(size)).cast("int")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source", word_count("text").alias("size"))
+    mixed = mix_sources(rows, order_key(["doc_id", "text"]), ranges=ranges, **options)
+    copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
+    out = mixed.where("taken > 0").withColumn("copy", copies)
+    left = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
     parts = F.split("text", f"(?<=[^{SPACES}])(?=[{SPACES}])", left + 1)
-    text = F.when(left < F.col(size), F.array_join(F.slice(parts, 1, left), "")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    out = out.withColumn("text", F.when(left < F.col("size"), F.array_join(F.slice(parts, 1, left), "")).otherwise(F.col("text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
