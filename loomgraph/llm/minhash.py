@@ -8,11 +8,12 @@ Documents are sets of distinct five-word shingles; two are linked where 100 * in
 3. Each bucket first proposes its members against its smallest one, never all pairs. A proposal is compared
    signature batch by signature batch; it is pruned as soon as the posterior probability of a similarity of 0.75 or
    more, with the uniform prior, falls below `miss`. What survives is verified on the full sets.
-4. Verified links are joined to components. A pair inside a component needs no look any more. Only
-   buckets that still hold several components are looked at again, in blocks: all pairs of different
-   components are compared by signature inside the block (nothing is emitted for a pruned pair), and the best
-   survivors of each document and foreign component are proposed. This repeats, with more survivors, until none
-   is left unverified. So no link between different components is lost to the star of step 3.
+4. Verified links are joined to components. A pair inside a component needs no look any more. The buckets that
+   still hold several components are put together by their most frequent component, so that a document comes
+   once and not with each band, and are looked at in blocks of bounded size. Inside a block the documents outside
+   that component meet all others: again signature batches first, then full sets. A block gives only the
+   links that join components, never its pairs, so nothing grows with the square of a group, and no link between
+   different components is lost to the star of step 3.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ WIDTH, THRESHOLD = 5, 0.75
 BANDS, ROWS = 32, 3
 HASHES = BANDS * ROWS
 STEPS = (16, 32, 64, HASHES)
-BLOCK = 2048
+#: A block holds at most so many documents and about so many shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
 _random = np.random.Generator(np.random.PCG64(97))
 _A = _random.integers(1, 2**64, HASHES, np.uint64, endpoint=False) | np.uint64(1)
 _B = _random.integers(0, 2**64, HASHES, np.uint64, endpoint=False)
@@ -194,73 +196,108 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame, signed: DataFrame, miss: float, best: int) -> DataFrame:
-    """Proposals a, b, more from buckets that hold several components.
+class Roots:
+    """Components inside a block: union-find over places."""
+
+    def __init__(self, roots: np.ndarray):
+        first: dict[int, int] = {}
+        self.parent = [first.setdefault(r, i) for i, r in enumerate(roots.tolist())]
+
+    def find(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.parent[j] = i
+        return i != j
+
+
+def _joins(group: pa.Table, least: list[int]) -> list[tuple[int, int]]:
+    """Links of a block that join components: rows of the first part (own = x) against the second, or after them if it is one."""
+    docs, own, n = (group.column(c).to_numpy() for c in ("doc", "own", "n_shingles"))
+    x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+    roots = Roots(group.column("root").to_numpy())
+    signs = _matrix(group.column("signature").combine_chunks())
+    raw, at = utf8(group.column("shingles"))
+    values, number = np.unique(raw.view(np.uint64), return_inverse=True)
+    at = at // 8
+    marked = np.zeros(len(values), bool)
+    out = []
+    places = np.arange(len(docs))
+    for i in np.flatnonzero(own == x):
+        to = places[i + 1 :] if x == y else np.flatnonzero(own == y)
+        to = to[4 * np.minimum(n[to], n[i]) >= 3 * np.maximum(n[to], n[i])]
+        to = np.array([j for j in to.tolist() if roots.find(j) != roots.find(i)], np.int64)
+        if not len(to):
+            continue
+        to = to[survivors(np.broadcast_to(signs[i], (len(to), HASHES)), signs[to], least)[0]]
+        marked[number[at[i] : at[i + 1]]] = True
+        for j in to.tolist():
+            if roots.find(j) != roots.find(i):
+                both = int(marked[number[at[j] : at[j + 1]]].sum())
+                if 100 * both >= 75 * (int(n[i]) + int(n[j]) - both) and roots.join(i, j):
+                    out.append((int(docs[i]), int(docs[j])))
+        marked[number[at[i] : at[i + 1]]] = False
+    return out
+
+
+def _groups(found: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows that lie together and agree in the columns named, a table for each group."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in found:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+        start = 0
+        for i, k in enumerate(keys):
+            if k != key:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, start, key = [], i, k
+        if len(keys) > start:
+            held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _open_links(members: DataFrame, roots: DataFrame, signed: DataFrame, sets: DataFrame, miss: float) -> DataFrame:
+    """Links a, b between components that share a bucket.
 
-    A bucket's rows are cut into blocks; those of its most frequent small root (the smallest) and the others have blocks
-    of their own, so that two blocks of the one component never meet. more: further survivors were left out.
+    key is the most frequent component of a bucket (the smallest of those); documents of key itself, which are linked
+    already, have blocks of their own, and two of these never meet.
     """
     least = least_matches(miss)
     known = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
-    mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    rows = known.join(mixed.select("bucket", "low", "n"), "bucket")
-    sizes = rows.groupBy("bucket").agg(F.count_if(F.col("root") == F.col("low")).alias("n_low"), F.count_if(F.col("root") != F.col("low")).alias("n_rest"))
-    rows = rows.join(sizes, "bucket")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
-    is_low = F.col("root") == F.col("low")
-    rows = rows.withColumn("n_low", blocks("n_low")).withColumn("n_rest", blocks("n_rest"))
+    held = known.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed = held.groupBy("bucket").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("key"), F.count("*").alias("roots")).where("roots > 1")
+    rows = known.join(mixed.select("bucket", "key"), "bucket").select("key", "doc", "root").distinct()
+    rows = materialize(rows.join(signed.select("doc", "n_shingles"), "doc"), "open")
+    is_key = F.col("root") == F.col("key")
+
+    def blocks(which: Column) -> Column:
+        count, size = F.count_if(which), F.coalesce(F.sum(F.when(which, F.col("n_shingles"))), F.lit(0))
+        return F.greatest(F.lit(1), F.ceil(count / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+
+    sizes = rows.groupBy("key").agg(blocks(is_key).alias("n_key"), blocks(~is_key).alias("n_rest"))
     lot = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
-    # blocks of the low component are numbered after the others, which meet all blocks
-    own = F.when(is_low, F.col("n_rest") + lot("n_low")).otherwise(lot("n_rest"))
-    rows = rows.withColumn("own", own)
-    meets = F.when(is_low, F.sequence(F.lit(0), F.col("n_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_rest") + F.col("n_low") - 1))
-    rows = rows.withColumn("other", F.explode(meets)).select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc", "root")
-    rows = rows.join(signed.select("doc", "signature", "n_shingles"), "doc")
-    dealt = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "doc")
-
-    def groups(found: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in found:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y")), strict=True))
-            start = 0
-            for i, k in enumerate(keys):
-                if k != key:
-                    if i > start:
-                        held.append(batch.slice(start, i - start))
-                    if held:
-                        yield pa.Table.from_batches(held)
-                    held, start, key = [], i, k
-            held.append(batch.slice(start))
-        if held:
-            yield pa.Table.from_batches(held)
+    rows = rows.join(sizes, "key").withColumn("own", F.when(is_key, F.col("n_rest") + lot("n_key")).otherwise(lot("n_rest")))
+    last = F.when(is_key, F.col("n_rest") - 1).otherwise(F.col("n_rest") + F.col("n_key") - 1)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc", "root")
+    rows = rows.join(signed, "doc").join(sets, "doc")
+    dealt = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "doc")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(found):
-            docs, roots_, own_, n = (group.column(c).to_numpy() for c in ("doc", "root", "own", "n_shingles"))
-            signs = _matrix(group.column("signature").combine_chunks())
-            x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
-            out: list[tuple[int, int, bool]] = []
-            for i in range(len(docs)):
-                # each pair once: inside a block those after i, between blocks from x to y
-                if own_[i] != x:
-                    continue
-                mask = (roots_ != roots_[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i]))
-                mask &= (np.arange(len(docs)) > i) if x == y else (own_ == y)
-                to = np.flatnonzero(mask)
-                if not len(to):
-                    continue
-                at, matches = survivors(np.broadcast_to(signs[i], (len(to), HASHES)), signs[to], least)
-                to = to[at]
-                for root in np.unique(roots_[to]):
-                    own = np.flatnonzero(roots_[to] == root)
-                    own = own[np.argsort(-matches[own], kind="stable")]
-                    out += [(int(docs[i]), int(docs[to[j]]), len(own) > best) for j in own[:best]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out])], ["a", "b", "more"])
-
-    proposed = dealt.mapInArrow(run, "a long, b long, more boolean")
-    return proposed.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))
+        for group in _groups(found, ("key", "x", "y")):
+            out = _joins(group, least)
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
@@ -296,18 +333,9 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     stars = members.where("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
     links = materialize(_verified(stars, signed, sets, miss), "links")
     roots = components(links)
-    best = 4
-    while True:
-        proposed = materialize(_open_pairs(members, roots, signed, miss, best), "proposed")
-        state = proposed.agg(F.count("*").alias("n"), F.max("more").alias("more")).first()
-        if not state["n"]:
-            break
-        found = materialize(_verified(proposed.select("a", "b"), signed, sets, miss), "links")
-        links = links.unionByName(found)
-        roots = components(links)
-        if not state["more"]:
-            break
-        best *= 8
+    more = materialize(_open_links(members, roots, signed, sets, miss), "links")
+    if more.take(1):
+        roots = components(links.unionByName(more))
     return _labelled(rows, classes, roots)
 
 

@@ -93,6 +93,7 @@ def test_chains_and_common_passages_lose_no_link(spark):
 
 def test_blocks_of_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
     texts = drifting(25) + [drifting(1, 40, seed=3)[0] + " " + drifting(1, n, seed=n)[0] for n in range(5, 40)]
     check_components(fx.docs(spark, texts))
 
