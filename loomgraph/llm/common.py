@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
@@ -115,10 +116,16 @@ def batches(rows: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Ite
         size += total
     if held:
         yield pa.Table.from_batches(held)
+    trim()
 
 
-def batch_of(schema: pa.Schema, columns: Sequence) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def trim() -> None:
+    """Gives memory that a worker no longer uses back to the system, as idle workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:

@@ -114,7 +114,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit digest and its signature."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(rows, "text", 8 << 20):
+        for table in batches(rows, "text", 4 << 20):
             values, offsets = _sets(table)
             n = np.diff(offsets)
             sums = np.zeros((2, len(n)), np.uint64)
@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     candidates = members.select("doc").distinct()
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(found, "text", 8 << 20):
+        for table in batches(found, "text", 4 << 20):
             values, offsets = _sets(table)
             stored = [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([table.column("doc").combine_chunks(), pa.array(stored, pa.binary())], ["doc", "shingles"])

@@ -4,8 +4,8 @@ Features of a text: densities of lexicon words, their nearness to the second per
 obfuscation. The lexicon holds a few common insults and what the training labels teach: words and word stems that
 toxic documents hold and others do not, whatever the language. Neither labels nor lang, source or doc_id is a
 feature. The lexicon, the trees and the calibration learn from a bounded sample of the labelled training rows
-(`most_each` of either label, the smallest by a hash of the id; weights restore the true shares): lexicon
-features of a training row come from the other half's lexicon, calibration from trees of the other half.
+(`most_each` of either label, the smallest by a hash of the id; weights restore the true shares). The lexicon
+features of a training row come from the lexicon of the other folds, the calibration from their trees.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Container
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm.boosting import Trees, fit_isotonic, fit_trees
-from loomgraph.llm.common import fold_of, text_of
+from loomgraph.llm.common import fold_of, text_of, trim
 
 # fixed values: common insults, and second-person words of English, German, French and Spanish
 INSULTS = "asshole bastard bitch clown disgusting dumb fool garbage idiot jerk liar loser moron pathetic scum shit stupid trash ugly worthless".split()
@@ -30,7 +31,9 @@ SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch eu
 #: Characters that stand for letters in obfuscated words (fixed values).
 DISGUISES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
 
-STEMS = range(3, 9)
+STEMS = range(3, 7)
+FOLDS = 5
+LEAST, LEAST_SHARE, LEAST_ODDS = 3, 0.01, 2.5
 NEAR = 5
 FEATURES = ["max_weight", "hit_density", "weight_density", "hits", "distinct_hits", "insult_density", "near_second_person", "hidden_hits", "obfuscated", "words", "capitals", "shouted", "marks", "mark_runs", "repeats"]
 
@@ -56,43 +59,86 @@ def _keys(word: str) -> list[str]:
     return ["=" + word, *(word[:n] for n in STEMS if n < len(word))]
 
 
-def learn_lexicon(texts: list[str], y: np.ndarray) -> dict[str, float]:
-    """Log-odds weights of whole words ("=word") and stems that toxic texts hold far more often than others."""
-    n = (max(int((y == 0).sum()), 1), max(int((y == 1).sum()), 1))
-    found = (Counter(), Counter())
-    for text, label in zip(texts, y.tolist(), strict=True):
-        words = {normal(w)[0] for w in set(text.split())}
-        found[label].update({k for w in words if w for k in _keys(w)})
-    least = max(3, math.ceil(0.01 * n[1]))
-    lexicon = {}
-    for key, count in found[1].items():
-        if count >= least:
-            odds = math.log((count + 0.5) / (n[1] + 1)) - math.log((found[0][key] + 0.5) / (n[0] + 1))
-            if odds >= 2.5:
-                lexicon[key] = odds
-    # a stem's extensions that say no more than the stem itself are not needed
-    return {k: v for k, v in lexicon.items() if k[0] == "=" or not any(lexicon.get(k[:m], -1) >= v for m in STEMS if m < len(k))}
+def count_keys(texts: list[str], wanted: Container[str] | None = None) -> Counter:
+    """In how many texts each word and stem stands; only those wanted, if given."""
+    out: Counter = Counter()
+    for text in texts:
+        words = {bare if (bare := w.lower().strip(".,!?;:\"()")).isalpha() else normal(w)[0] for w in set(text.split())}
+        keys = {k for w in words if w for k in _keys(w)}
+        out.update(keys if wanted is None else [k for k in keys if k in wanted])
+    return out
+
+
+class Lexicons:
+    """Counts of words and stems by fold and label, from which the lexicon of all folds, or of all but one, follows."""
+
+    def __init__(self, texts: list[str], y: np.ndarray, fold: np.ndarray):
+        self.sizes = np.array([[int(((y == label) & (fold == k)).sum()) for label in (0, 1)] for k in range(FOLDS)])
+        pick = lambda label, k: [t for t, v, f in zip(texts, y.tolist(), fold.tolist(), strict=True) if v == label and f == k]
+        self.toxic = [count_keys(pick(1, k)) for k in range(FOLDS)]
+        every: Counter = Counter()
+        for c in self.toxic:
+            every.update(c)
+        self.all = {k: n for k, n in every.items() if n >= LEAST}
+        self.clean = [count_keys(pick(0, k), self.all) for k in range(FOLDS)]
+
+    def without(self, fold: int | None = None) -> dict[str, float]:
+        """Log-odds weights of words ("=word") and stems that toxic texts hold far more often than others, from all folds but one."""
+        folds = [k for k in range(FOLDS) if k != fold]
+        n0, n1 = np.maximum(self.sizes[folds].sum(axis=0), 1).tolist()
+        least = max(LEAST, math.ceil(LEAST_SHARE * n1))
+        lexicon = {}
+        for key in self.all:
+            toxic = sum(self.toxic[k][key] for k in folds)
+            if toxic >= least:
+                odds = math.log((toxic + 0.5) / (n1 + 1)) - math.log((sum(self.clean[k][key] for k in folds) + 0.5) / (n0 + 1))
+                if odds >= LEAST_ODDS:
+                    lexicon[key] = odds
+        # a stem's extensions that say no more than the stem itself are not needed
+        return {k: v for k, v in lexicon.items() if k[0] == "=" or not any(lexicon.get(k[:m], -1) >= v for m in STEMS if m < len(k))}
 
 
 class Words(dict):
-    """What a word as it stands in a text means: (weight, insult, second person, disguised); bounded memory."""
+    """A code for each word as it stands in a text: its place in `kinds`, 0 for a word that means nothing here.
+
+    kinds: (weight, insult, second person, disguised, shouted, letters drawn out). Memory is bounded: codes of words are
+    forgotten when there are too many; the different kinds are few.
+    """
 
     def __init__(self, lexicon: dict[str, float], most: int = 300_000):
         super().__init__()
         self.lexicon, self.most = lexicon, most
         self.insults, self.second = set(INSULTS), set(SECOND_PERSON)
         self.masked = sorted(self.insults | {k[1:] for k in lexicon if k[0] == "="})
+        self.heads = {k[:3] for k in [*self.insults, *self.second, *(k.removeprefix("=") for k in lexicon)]}
+        self.kinds, self.codes = [(0.0, 0, 0, 0, 0, 0)], {(0.0, 0, 0, 0, 0, 0): 0}
 
-    def __missing__(self, word: str) -> tuple[float, int, int, int]:
+    def __missing__(self, word: str) -> int:
         if len(self) > self.most:
             self.clear()
+        kind = self.kind(word)
+        code = self.codes.get(kind)
+        if code is None:
+            code = self.codes[kind] = len(self.kinds)
+            self.kinds.append(kind)
+        self[word] = code
+        return code
+
+    def kind(self, word: str) -> tuple[float, int, int, int, int, int]:
+        shouted = int(len(word) > 2 and word.isupper())
+        drawn = int(bool(_REPEATS.search(word)))
+        bare = word.lower().strip(".,!?;:\"()")
+        if bare[:3] not in self.heads and bare.isalpha():  # most words: no lexicon entry starts like this
+            return (0.0, 0, 0, 0, shouted, drawn)
         bare, hidden = normal(word)
         if "*" in bare and len(bare) > 2:
             pattern = re.compile(re.escape(bare).replace(r"\*", "."))
             bare = next((w for w in self.masked if pattern.fullmatch(w)), bare)
         weight = max((self.lexicon.get(k, 0.0) for k in _keys(bare)), default=0.0) if bare else 0.0
-        out = self[word] = (weight, int(bare in self.insults), int(bare in self.second), int(hidden))
-        return out
+        return (weight, int(bare in self.insults), int(bare in self.second), int(hidden), shouted, drawn)
+
+
+_UPPER = bytes(range(ord("A"), ord("Z") + 1))
 
 
 def features(texts: list[str], words: Words) -> np.ndarray:
@@ -102,18 +148,22 @@ def features(texts: list[str], words: Words) -> np.ndarray:
         if not tokens:
             continue
         n = len(tokens)
-        seen = np.array([words[t] for t in tokens])
-        hit = np.flatnonzero((seen[:, 0] > 0) | (seen[:, 1] > 0))
-        if len(hit):
-            you = np.flatnonzero(seen[:, 2])
+        codes = np.fromiter(map(words.__getitem__, tokens), np.int64, n)
+        at = np.flatnonzero(codes)
+        seen = np.array([words.kinds[c] for c in codes[at]]).reshape(len(at), 6)
+        hits = (seen[:, 0] > 0) | (seen[:, 1] > 0)
+        if hits.any():
+            hit, you = at[hits], at[seen[:, 2] > 0]
             close = 0
             if len(you):
-                at = np.searchsorted(you, hit)
-                gap = np.minimum(np.abs(you[np.minimum(at, len(you) - 1)] - hit), np.abs(you[np.maximum(at - 1, 0)] - hit))
+                k = np.searchsorted(you, hit)
+                gap = np.minimum(np.abs(you[np.minimum(k, len(you) - 1)] - hit), np.abs(you[np.maximum(k - 1, 0)] - hit))
                 close = int((gap <= NEAR).sum())
-            row[:8] = (seen[:, 0].max(), len(hit) / n, seen[hit, 0].sum() / n, len(hit), len({tokens[i].lower() for i in hit}), seen[:, 1].sum() / n, close / n, seen[hit, 3].sum())
-        upper = sum(map(str.isupper, text)) if not text.islower() else 0
-        row[8:] = (seen[:, 3].sum() / n, math.log1p(n), upper / len(text), sum(1 for t in tokens if len(t) > 2 and t.isupper()) / n, (text.count("!") + text.count("?")) / n, len(_RUNS.findall(text)) / n, len(_REPEATS.findall(text)) / n)
+            row[:8] = (seen[:, 0].max(), len(hit) / n, seen[hits, 0].sum() / n, len(hit), len({tokens[i].lower() for i in hit}), seen[:, 1].sum() / n, close / n, seen[hits, 3].sum())
+        raw = text.encode()
+        upper = len(raw) - len(raw.translate(None, _UPPER))
+        runs = len(_RUNS.findall(text)) if "!!" in text or "??" in text or "!?" in text or "?!" in text or "...." in text else 0
+        row[8:] = (seen[:, 3].sum() / n, math.log1p(n), upper / len(raw), seen[:, 4].sum() / n, (text.count("!") + text.count("?")) / n, runs / n, seen[:, 5].sum() / n)
     return out
 
 
@@ -135,19 +185,20 @@ class Model:
 def fit(texts: list[str], y: np.ndarray, w: np.ndarray) -> Model:
     if not len(y) or y.min() == y.max():
         return Model()
-    half = np.zeros(len(y), int)
+    fold = np.zeros(len(y), int)
     for label in (0, 1):
         rows = np.flatnonzero(y == label)
-        half[rows] = np.arange(len(rows)) % 2
+        fold[rows] = np.arange(len(rows)) % FOLDS
+    lexicons = Lexicons(texts, y, fold)
     x = np.zeros((len(y), len(FEATURES)))
-    for k in (0, 1):
-        other, own = np.flatnonzero(half != k), np.flatnonzero(half == k)
-        x[own] = features([texts[i] for i in own], Words(learn_lexicon([texts[i] for i in other], y[other])))
+    for k in range(FOLDS):
+        own = np.flatnonzero(fold == k)
+        x[own] = features([texts[i] for i in own], Words(lexicons.without(k)))
     raw = np.zeros(len(y))
-    for k in (0, 1):
-        other, own = half != k, half == k
+    for k in range(FOLDS):
+        other, own = fold != k, fold == k
         raw[own] = fit_trees(x[other], y[other], w[other]).raw(x[own])
-    return Model(learn_lexicon(texts, y), fit_trees(x, y, w), fit_isotonic(raw, y.astype(float), w))
+    return Model(lexicons.without(), fit_trees(x, y, w), fit_isotonic(raw, y.astype(float), w))
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most_each: int = 3000) -> Model:
@@ -177,7 +228,9 @@ def score_column(model: Model, text: Column) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         if "words" not in held:
             held["words"] = Words(model.lexicon)
-        return pa.array(model.scores(texts.to_pylist(), held["words"]), pa.float64())
+        parts = [model.scores(texts.slice(i, 500).to_pylist(), held["words"]) for i in range(0, len(texts), 500)]
+        trim()
+        return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
     held: dict[str, Words] = {}
     return run(text_of(text))
