@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.frames import stacked
 from loomgraph.functions.text import clamp5, key_fact_recall, lexical_f1, safe_json
 
 
@@ -20,7 +21,7 @@ def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
 
 def set_counts(predicted: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
     """One row of tp, fp, fn of two sets of rows."""
-    rows = predicted.select(*keys).distinct().withColumn("p", F.lit(1)).unionByName(gold.select(*keys).distinct().withColumn("g", F.lit(1)), allowMissingColumns=True)
+    rows = stacked(predicted.select(*keys).distinct().withColumn("p", F.lit(1)), gold.select(*keys).distinct().withColumn("g", F.lit(1)), allow_missing=True)
     flags = rows.groupBy(*keys).agg(F.max("p").alias("p"), F.max("g").alias("g"))
     return flags.agg(F.count_if(F.col("p").isNotNull() & F.col("g").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
 

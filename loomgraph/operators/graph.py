@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.frames import stacked
 from loomgraph.functions.text import tokens
 
 
@@ -43,16 +44,16 @@ def expand(relations: DataFrame, seeds: DataFrame, hops: int) -> tuple[DataFrame
     """
     nodes = seeds.select("query_id", "node").distinct().withColumn("hop", F.lit(0))
     sides = relations.select("subject", "relation", "object", F.col("subject").alias("node"), F.col("object").alias("other"))
-    sides = sides.unionByName(relations.select("subject", "relation", "object", F.col("object").alias("node"), F.col("subject").alias("other")))
+    sides = stacked(sides, relations.select("subject", "relation", "object", F.col("object").alias("node"), F.col("subject").alias("other")))
     edges = None
     frontier = nodes
     for hop in range(1, max(0, hops) + 1):
         touched = frontier.select("query_id", "node").join(sides, "node")
         found = touched.select("query_id", "subject", "relation", "object")
-        edges = found if edges is None else edges.unionByName(found)
+        edges = found if edges is None else stacked(edges, found)
         fresh = touched.select("query_id", F.col("other").alias("node")).distinct().join(nodes, ["query_id", "node"], "left_anti")
         frontier = fresh.withColumn("hop", F.lit(hop))
-        nodes = nodes.unionByName(frontier)
+        nodes = stacked(nodes, frontier)
     if edges is None:
         edges = seeds.select("query_id").join(relations, F.lit(False))
     return edges.select("query_id", "subject", "relation", "object").distinct(), nodes
@@ -68,7 +69,7 @@ def stats(tables: dict[str, DataFrame]) -> DataFrame:
     parts.append(aliases.select(F.lit("aliases").alias("metric"), "value"))
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = stacked(out, p)
     return out
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.frames import stacked
 from loomgraph.functions.text import content_hash, normalize_text
 
 
@@ -45,7 +46,7 @@ def dedupe_status(incoming: DataFrame, existing: DataFrame, order: str) -> DataF
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """new rows, and those old rows whose key is not among them."""
-    return new.unionByName(old.join(new.select(*keys).distinct(), list(keys), "left_anti"), allowMissingColumns=True)
+    return stacked(new, old.join(new.select(*keys).distinct(), list(keys), "left_anti"), allow_missing=True)
 
 
 def delete_chunks(chunks: DataFrame, mentions: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,12 +70,12 @@ def mention_counts(calls: DataFrame) -> DataFrame:
 
 def authored_by(relations: DataFrame, authors: DataFrame) -> DataFrame:
     """relations and (document, AUTHORED_BY, person) of authors (document_id, person)."""
-    return relations.unionByName(authors.select(F.col("document_id").alias("subject"), F.lit("AUTHORED_BY").alias("relation"), F.col("person").alias("object"))).distinct()
+    return stacked(relations, authors.select(F.col("document_id").alias("subject"), F.lit("AUTHORED_BY").alias("relation"), F.col("person").alias("object"))).distinct()
 
 
 def resolved_links(links: DataFrame, documents: DataFrame) -> DataFrame:
     """document_id, dst_uri and target_id (the document whose uri or title the link names, the smallest id; null if none)."""
-    named = documents.select(F.col("uri").alias("dst_uri"), "id").unionByName(documents.select(F.col("title").alias("dst_uri"), "id"))
+    named = stacked(documents.select(F.col("uri").alias("dst_uri"), "id"), documents.select(F.col("title").alias("dst_uri"), "id"))
     targets = named.groupBy("dst_uri").agg(F.min("id").alias("target_id"))
     return links.distinct().join(targets, "dst_uri", "left").select("document_id", "dst_uri", "target_id")
 

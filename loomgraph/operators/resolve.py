@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.config import EngineConfig
+from loomgraph.frames import stacked
 from loomgraph.functions.text import normalize_name
 from loomgraph.functions.vectors import cosine, mean_vectors
 
@@ -87,7 +88,7 @@ def plan(entities: DataFrame, seeds: DataFrame, embeddings: DataFrame | None = N
     prefix = F.left(normalize_name("a_name"), F.lit(4)) == F.left(normalize_name("b_name"), F.lit(4))
     order = F.struct(F.when(prefix, 1).otherwise(2).alias("k"), F.col("a_ord").cast("long").alias("o"), F.col("b_ord").cast("long").alias("p"))
     fuzzy = pairs.select(F.when(keep == F.col("a_name"), F.col("b_name")).otherwise(F.col("a_name")).alias("duplicate"), keep.alias("canonical"), F.col("similarity").alias("string_score"), "embed_score", reason.alias("reason"), order.alias("ord"))
-    rows = alias.unionByName(fuzzy).where("duplicate <> canonical")
+    rows = stacked(alias, fuzzy).where("duplicate <> canonical")
     return rows.groupBy("duplicate").agg(F.min_by(F.struct("canonical", "string_score", "embed_score", "reason", "ord"), "ord").alias("d")).select("duplicate", "d.*")
 
 

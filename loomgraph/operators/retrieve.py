@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.frames import stacked
 from loomgraph.functions.text import cite, fuzzy_overlap, parse_order, terms, tokens
 
 MOST_QUERIES = 4096
@@ -29,7 +30,7 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, digits: int = 9) ->
     for part in range(parts):
         block = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
         own = _block_topk(block.collect(), rows, asked.schema["query_id"].dataType.simpleString(), k, digits)
-        found = own if found is None else found.unionByName(own)
+        found = own if found is None else stacked(found, own)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -106,7 +107,7 @@ def rrf_fuse(lists: dict[str, DataFrame], k: int, c: int = 60) -> DataFrame:
     union = None
     for name, ranked in lists.items():
         part = ranked.select("query_id", "id", "rank", F.col("score").alias("raw"), F.lit(name).alias("via"))
-        union = part if union is None else union.unionByName(part)
+        union = part if union is None else stacked(union, part)
     fused = union.groupBy("query_id", "id").agg(F.sum(1.0 / (c + F.col("rank"))).alias("score"), F.array_join(F.array_sort(F.collect_set("via")), "+").alias("via"), F.max("raw").alias("raw"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id"))
     return fused.withColumn("rank", rank).where(F.col("rank") <= k)

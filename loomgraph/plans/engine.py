@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.config import EngineConfig
+from loomgraph.frames import stacked
 from loomgraph.functions.vectors import hash_embedding
 from loomgraph.operators import answer, chunking, evaluate, extract, graph, ingest, resolve, retrieve
 from loomgraph.plans.store import Store, checkpointed
@@ -57,16 +58,16 @@ class Engine:
         named = ingest.upsert_entities(rows).withColumn("ord", F.struct("ord", "name"))
         counts = calls.groupBy(F.col("entity").alias("name")).agg(F.count("*").alias("mention_count"))
         numbered = self._numbered(named, base)
-        both = known.select("name", "label", "aliases", "summary", "ord").unionByName(numbered.select("name", "label", "aliases", "summary", "ord"))
+        both = stacked(known.select("name", "label", "aliases", "summary", "ord"), numbered.select("name", "label", "aliases", "summary", "ord"))
         merged = ingest.upsert_entities(both)
-        total = known.select("name", "mention_count").unionByName(counts).groupBy("name").agg(F.sum("mention_count").alias("mention_count"))
+        total = stacked(known.select("name", "mention_count"), counts).groupBy("name").agg(F.sum("mention_count").alias("mention_count"))
         links = last.select(F.col("id").alias("document_id"), F.explode("links").alias("dst_uri"))
         new = {
             "documents": ingest.upsert(old["documents"], last.select(*old["documents"].columns), ["id"]),
-            "chunks": kept_chunks.unionByName(chunks.select(*old["chunks"].columns)),
-            "mentions": kept_mentions.unionByName(calls).distinct(),
-            "relations": old["relations"].unionByName(relations).distinct(),
-            "doc_links": old["doc_links"].unionByName(links).distinct(),
+            "chunks": stacked(kept_chunks, chunks.select(*old["chunks"].columns)),
+            "mentions": stacked(kept_mentions, calls).distinct(),
+            "relations": stacked(old["relations"], relations).distinct(),
+            "doc_links": stacked(old["doc_links"], links).distinct(),
             "entities": merged.join(total, "name", "left").withColumn("mention_count", F.coalesce("mention_count", F.lit(0))),
         }
         for name, table in new.items():
@@ -92,7 +93,7 @@ class Engine:
         embeddings = None
         if use_embeddings:
             pairs = resolve.candidates(t["entities"], self.config.res_similarity_threshold, self.config.res_word_distance)
-            names = pairs.select(F.col("a_name").alias("name")).unionByName(pairs.select(F.col("b_name").alias("name")))
+            names = stacked(pairs.select(F.col("a_name").alias("name")), pairs.select(F.col("b_name").alias("name")))
             embeddings = resolve.context_embeddings(t["mentions"], t["chunks"], names)
         decisions = checkpointed(resolve.plan(t["entities"], self.seeds, embeddings, self.config, same))
         if not decisions.take(1):
@@ -101,7 +102,7 @@ class Engine:
         entities, mentions, relations = ingest.merge_entities(t["entities"], t["mentions"], t["relations"], roots)
         base = t["merge_history"].agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first()["m"]
         history = self._numbered(decisions.select("duplicate", "canonical", "ord"), base).select(F.col("ord").alias("seq"), "duplicate", "canonical")
-        for name, table in (("entities", entities), ("mentions", mentions), ("relations", relations), ("merge_history", t["merge_history"].unionByName(history))):
+        for name, table in (("entities", entities), ("mentions", mentions), ("relations", relations), ("merge_history", stacked(t["merge_history"], history))):
             self.store.write(name, table)
         return decisions
 
@@ -172,7 +173,7 @@ class Engine:
         keys = ["case_id", "subject", "relation", "object"]
         got = rows.select("case_id", F.explode("x.relations").alias("r")).select("case_id", "r.subject", F.upper("r.relation").alias("relation"), "r.object")
         gold = rows.select("case_id", F.explode("triples").alias("t")).select("case_id", F.col("t")[0].alias("subject"), F.upper(F.col("t")[1]).alias("relation"), F.col("t")[2].alias("object"))
-        return ents.withColumn("kind", F.lit("entities")).unionByName(evaluate.set_prf(got, gold, keys).withColumn("kind", F.lit("triples")))
+        return stacked(ents.withColumn("kind", F.lit("entities")), evaluate.set_prf(got, gold, keys).withColumn("kind", F.lit("triples")))
 
     def eval_resolution(self, cases: DataFrame) -> DataFrame:
         """Micro scores over cases (case_id, entities, should_merge, should_not_merge), all cases in one run, by strings alone."""
@@ -186,10 +187,10 @@ class Engine:
             parts.append(resolve.clusters(entities, resolve.merge_roots(decisions)).withColumn("case_id", F.lit(case)))
         found = parts[0]
         for p in parts[1:]:
-            found = found.unionByName(p)
+            found = stacked(found, p)
         tag = lambda c: F.concat_ws("|", F.col("case_id").cast("string"), c)
         pairs = lambda c, flag: cases.select("case_id", F.explode(c).alias("p")).select(tag(F.col("p")[0]).alias("a"), tag(F.col("p")[1]).alias("b"), F.lit(flag).alias("should_merge"))
-        return evaluate.pairwise_prf(found.select(tag(F.col("name")).alias("name"), tag(F.col("cluster")).alias("cluster")), pairs("should_merge", True).unionByName(pairs("should_not_merge", False)))
+        return evaluate.pairwise_prf(found.select(tag(F.col("name")).alias("name"), tag(F.col("cluster")).alias("cluster")), stacked(pairs("should_merge", True), pairs("should_not_merge", False)))
 
     def eval_answers(self, questions: DataFrame, judge: Callable[[str], str] | None = None, k: int | None = None) -> DataFrame:
         """Graded answers to questions (query_id, text, expected, key_facts)."""
@@ -220,5 +221,5 @@ class Engine:
             boosts = retrieve.graph_factor(hits, t["mentions"], nodes, 1.0, self.config.neighbour_weight)
             rows = rows.join(boosts, ["query_id", "id"], "left").select("query_id", F.col("title").alias("item"), F.col("score").alias("base"), F.coalesce("boost", F.lit(0.0)).alias("g"), retrieve.title_factor(F.col("text"), F.col("title"), F.col("span.label"), 1.0).alias("t"), "rank")
             part = evaluate.sweep(rows, cases.select("query_id", F.explode("relevant").alias("item")), grid.where(F.col("top_k") == top), k)
-            out = part if out is None else out.unionByName(part)
+            out = part if out is None else stacked(out, part)
         return out

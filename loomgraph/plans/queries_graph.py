@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.config import ENTITY_LABELS, RELATION_TYPES, VALID_TRIPLES
+from loomgraph.frames import stacked
 from loomgraph.functions import text as tx
 from loomgraph.functions import vectors as vx
 from loomgraph.operators import answer, evaluate, extract, graph, ingest, resolve, retrieve
@@ -131,7 +132,7 @@ def compare_runs(spark, sf_dir):
         score = F.round(1.0 / (60 + F.col("rank")) * (1 + g * (F.col("id") % 3)), 12)
         ranked = base.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "rank"))).select("query_id", F.col("id").alias("item"), F.col("r").alias("rank"))
         own = evaluate.retrieval_metrics(ranked, relevant, 6).withColumn("run", F.lit(str(g)))
-        parts = own if parts is None else parts.unionByName(own)
+        parts = own if parts is None else stacked(parts, own)
     return evaluate.compare(parts, "run", "0.0").select("run", "n", F.round("ap", 6).alias("ap"), (F.round("delta_ap", 6) + 0.0).alias("delta_ap"))
 
 
@@ -253,7 +254,7 @@ def _geo(spark, sf_dir):
     rel = lambda df, s, r, o: df.select(s.alias("subject"), F.lit(r).alias("relation"), o.alias("object"))
     edges = rel(table(spark, sf_dir, "nation"), key("N", "n_nationkey"), "PART_OF", key("R", "n_regionkey"))
     supplier = table(spark, sf_dir, "supplier")
-    edges = edges.unionByName(rel(supplier, key("S", "s_suppkey"), "RELATES_TO", key("N", "s_nationkey"))).unionByName(rel(table(spark, sf_dir, "customer"), key("C", "c_custkey"), "RELATES_TO", key("N", "c_nationkey")))
+    edges = stacked(stacked(edges, rel(supplier, key("S", "s_suppkey"), "RELATES_TO", key("N", "s_nationkey"))), rel(table(spark, sf_dir, "customer"), key("C", "c_custkey"), "RELATES_TO", key("N", "c_nationkey")))
     return edges.distinct(), supplier.select(F.col("s_suppkey").alias("query_id"), key("S", "s_suppkey").alias("node"))
 
 
@@ -385,8 +386,8 @@ def merge_rewire(spark, sf_dir):
     roots = resolve.merge_roots(resolve.plan(entities, _seeds(spark)))
     merged, m, r = ingest.merge_entities(entities, mentions, relations, roots)
     out = m.select(F.lit("mention").alias("kind"), F.col("chunk_id").alias("a"), F.col("entity").alias("b"), F.lit(0).cast("decimal(38,0)").alias("n"))
-    out = out.unionByName(r.select(F.lit("relation").alias("kind"), F.col("subject").alias("a"), F.col("object").alias("b"), F.lit(0).cast("decimal(38,0)").alias("n")))
-    out = out.unionByName(merged.select(F.lit("entity").alias("kind"), F.col("name").alias("a"), F.array_join("aliases", ",").alias("b"), F.col("mention_count").cast("decimal(38,0)").alias("n")))
+    out = stacked(out, r.select(F.lit("relation").alias("kind"), F.col("subject").alias("a"), F.col("object").alias("b"), F.lit(0).cast("decimal(38,0)").alias("n")))
+    out = stacked(out, merged.select(F.lit("entity").alias("kind"), F.col("name").alias("a"), F.array_join("aliases", ",").alias("b"), F.col("mention_count").cast("decimal(38,0)").alias("n")))
     return out.withColumn("n", F.col("n").cast("long"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.frames import stacked
 from loomgraph.functions import text as tx
 from loomgraph.functions import vectors as vx
 from loomgraph.operators import chunking, evaluate, extract, ingest, retrieve
@@ -415,7 +416,7 @@ def delete_chunks(spark, sf_dir):
     mentions = extract.graph_rows(extracted(spark, sf_dir))[1].distinct()
     left, kept = ingest.delete_chunks(chunks, mentions, docs.where("lang = 'fr'").select(F.col("doc_id").alias("id")))
     count = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
-    return count(left, "chunks").unionByName(count(kept, "mentions"))
+    return stacked(count(left, "chunks"), count(kept, "mentions"))
 
 
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

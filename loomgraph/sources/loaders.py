@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.config import ALIAS_SEEDS
+from loomgraph.frames import stacked
 from loomgraph.functions.text import col, markdown_links, markdown_title, strip
 from loomgraph.schemas import GOLD, QUESTION
 
@@ -205,8 +206,8 @@ def load_folder(spark: SparkSession, path: str, pdf_parser: PdfParser | None = N
     files = read_files(spark, path)
     of = lambda kind: files.where(F.col("source_type") == kind)
     html = of("web").select(F.col("path").alias("url"), F.decode("content", "UTF-8").alias("html"))
-    out = load_markdown(of("markdown")).unionByName(load_transcript(of("transcript"))).unionByName(load_web(html))
-    return out.unionByName(load_pdf(of("pdf"), pdf_parser))
+    out = stacked(stacked(load_markdown(of("markdown")), load_transcript(of("transcript"))), load_web(html))
+    return stacked(out, load_pdf(of("pdf"), pdf_parser))
 
 
 def load_gold(spark: SparkSession, path: str) -> DataFrame:
@@ -228,4 +229,4 @@ def alias_seeds(spark: SparkSession, path: str | None = None) -> DataFrame:
     if path is None:
         return rows
     own = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("surface", "canonical"))
-    return rows.join(own, "surface", "left_anti").unionByName(own)
+    return stacked(rows.join(own, "surface", "left_anti"), own)

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.frames import stacked
 from loomgraph.functions.text import content_hash, normalize_text
 
 
@@ -59,7 +60,7 @@ def run_event_windows(spark: SparkSession, path: str) -> DataFrame:
 def merge_first_seen(known: DataFrame | None, batch: DataFrame) -> DataFrame:
     """content_hash and the smallest doc_id seen so far."""
     rows = batch.select(content_hash(normalize_text(F.coalesce("text", F.lit("")))).alias("content_hash"), "doc_id")
-    rows = rows if known is None else known.unionByName(rows)
+    rows = rows if known is None else stacked(known, rows)
     return rows.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
 
 
