@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.frames import stacked
 from loomgraph.llm.common import batches, materialize, text_of, utf8
 from loomgraph.llm.words import mix, shingles, word_hashes
 
@@ -183,12 +184,12 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = edges.agg(mark).first()["mark"]
     while seen["n"]:
-        sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        sides = stacked(edges, edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        edges = materialize(stacked(small, low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         now = edges.agg(mark).first()["mark"]
         if now == seen:
             break
@@ -335,7 +336,7 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     roots = components(links)
     more = materialize(_open_links(members, roots, signed, sets, miss), "links")
     if more.take(1):
-        roots = components(links.unionByName(more))
+        roots = components(stacked(links, more))
     return _labelled(rows, classes, roots)
 
 
@@ -357,4 +358,4 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     kept = docs.join(gone, "doc_id", "left_anti")
     again = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     once = kept.join(again, "doc_id", "left_anti")
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return stacked(once, kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

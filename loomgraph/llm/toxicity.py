@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.frames import stacked
 from loomgraph.llm.boosting import Trees, fit_isotonic, fit_trees
 from loomgraph.llm.common import fold_of, text_of, trim
 
@@ -210,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold_of("doc_id", folds) != held_out)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
-    picked = known.where("toxic = 1").orderBy(order).limit(most_each).unionByName(known.where("toxic = 0").orderBy(order).limit(most_each))
+    picked = stacked(known.where("toxic = 1").orderBy(order).limit(most_each), known.where("toxic = 0").orderBy(order).limit(most_each))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     # at most 2 * most_each ids
     rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").limit(4 * most_each).collect()
