@@ -4,10 +4,11 @@ Every source gets a target number of words. Its documents are put in a hash-rand
 sums of their sizes are made over even ranges of that order, and the source is cut exactly at its
 target; a target above the source's size is met by further epochs over the same order.
 
-No group is ever gathered whole: a source's order is divided by the leading bits of the random key
-into ranges of about `range_rows` rows, each range is summed by itself, and only the ranges' totals
-(a few numbers for each 20,000 documents) are added up along the source. So a source that holds a
-third of all rows is spread like the others.
+No group is ever gathered whole, and no row moves: a source's order is divided by the leading bits of the random
+key into ranges of about `range_rows` rows; the ranges' totals (a few numbers for each 20,000 documents) are
+added up along the source; only the one range that holds the source's cut is summed row by row. That gives each source
+the key at its cut, and every row is then judged where it lies. So a source that holds a third of all rows
+costs what the others do.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SPACES, text_of
+from loomgraph.frames import stacked
+from loomgraph.llm.common import SPACES, materialize, text_of
 
 
 def word_count(text: Column | str) -> Column:
@@ -55,6 +57,36 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     )
 
 
+def source_cuts(slim: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, ranges: int = 64) -> DataFrame:
+    """Where each source is cut; slim: source, size, key, and nothing else.
+
+    _source, source_size, target, _whole (full epochs), and for the last epoch _range and _cut (the key at the cut,
+    null if the epoch is empty), _left (words still missing when the order gets there) and _ties (rows with that key).
+    """
+    rows = slim.select(_source_key("source").alias("_source"), "source", "size", "key", _range_of(F.col("key"), ranges).alias("_range"))
+    totals = rows.groupBy("_source", "_range", "source").agg(F.sum("size").alias("_sum"))
+    sizes = totals.groupBy("source").agg(F.sum("_sum").alias("source_size"))
+    budget = F.round("target").cast("long")
+    whole = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
+    targets = source_targets(sizes, weights, share, most).select(_source_key("source").alias("_source"), "source_size", "target", whole.alias("_whole"), (budget - whole * F.col("source_size")).alias("_rest"))
+    along = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("_source", "_range", "_sum", F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_base")).join(targets.select("_source", "_rest"), "_source")
+    held = bases.where("_rest > 0 AND _base < _rest AND _rest <= _base + _sum").select("_source", "_range", (F.col("_rest") - F.col("_base")).alias("_need"))
+    keys = rows.join(held, ["_source", "_range"]).groupBy("_source", "_range", "_need", "key").agg(F.sum("size").alias("_sum"), F.count("*").alias("_ties"))
+    inside = Window.partitionBy("_source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    keys = keys.withColumn("_before", F.coalesce(F.sum("_sum").over(inside), F.lit(0)))
+    cut = keys.where("_before < _need AND _need <= _before + _sum").select("_source", "_range", F.col("key").alias("_cut"), (F.col("_need") - F.col("_before")).alias("_left"), "_ties")
+    return targets.drop("_rest").join(cut, "_source", "left")
+
+
+def _range_of(key: Column, ranges: int) -> Column:
+    bits = ranges.bit_length() - 1
+    return F.shiftrightunsigned(key, 64 - bits).cast("int") if bits else F.lit(0)
+
+
+MOST_SOURCES = 1_000_000
+
+
 def mix_sources(
     docs: DataFrame,
     key: Column,
@@ -64,11 +96,13 @@ def mix_sources(
     share: float = 1.5,
     most: float = 2.0,
     ranges: int = 64,
+    slim: DataFrame | None = None,
 ) -> DataFrame:
     """All rows of docs with `source_size`, `target` (both of the row's source) and `taken` (words the mix takes).
 
     key: a 64-bit hash that orders the rows at random; equal rows may share one, being alike then.
-    ranges: parts of each source's order, a power of two; see mix_documents for how it follows the input.
+    ranges: parts of each source's order, a power of two (see ranges_for).
+    slim: source, size and key of the same rows, if they are at hand already.
 
     A row is taken whole as often as the target has full epochs of the source; in the last epoch rows are
     taken in order until the target is reached, and the row at the cut gives only the words still missing.
@@ -76,26 +110,28 @@ def mix_sources(
     table gives an empty result. Other columns pass through, whatever their names; a column of docs that is named like
     one of the three added is replaced.
     """
-    bits = ranges.bit_length() - 1
     # the row's own columns travel in one struct, so that none can clash with those made here
-    rows = docs.select(F.struct("*").alias("_row"), F.col(size).alias("_size"), F.col(source).alias("_name"), key.alias("_key"), _source_key(source).alias("_source"))
-    rows = rows.withColumn("_range", F.shiftrightunsigned("_key", 64 - bits).cast("int") if bits else F.lit(0))
-    totals = rows.groupBy("_source", "_range", F.col("_name").alias("source")).agg(F.sum("_size").alias("_sum"))
-    sizes = totals.groupBy("source").agg(F.sum("_sum").alias("source_size"))
-    targets = source_targets(sizes, weights, share, most).select(_source_key("source").alias("_source"), "source_size", "target")
-    along = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_source", "_range", F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_base")).join(targets, "_source")
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    budget = F.round("target").cast("long")
-    whole = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
-    missing = budget - whole * F.col("source_size") - F.col("_base") - F.col("_before")
-    taken = whole * F.col("_size") + F.greatest(F.lit(0), F.least(missing, F.col("_size")))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(size).alias("_size"), key.alias("_key"), _source_key(source).alias("_source"))
+    if slim is None:
+        slim = docs.select(F.col(source).alias("source"), F.col(size).alias("size"), key.alias("key"))
+    cuts = materialize(source_cuts(slim, weights, share, most, ranges).withColumnRenamed("_range", "_cut_range"), "cuts")
+    state = cuts.agg(F.count("*").alias("n"), F.coalesce(F.max("_ties"), F.lit(0)).alias("ties")).first()
+    rows = rows.join(F.broadcast(cuts) if state["n"] <= MOST_SOURCES else cuts, "_source")
+    place = _range_of(F.col("_key"), ranges)
+    at_cut = F.coalesce((place == F.col("_cut_range")) & (F.col("_key") == F.col("_cut")), F.lit(False))
+    ahead = F.coalesce((place < F.col("_cut_range")) | ((place == F.col("_cut_range")) & (F.col("_key") < F.col("_cut"))), F.lit(False))
+    last = F.when(ahead, F.col("_size")).when(at_cut, F.least("_left", "_size")).otherwise(0)
     added = ("source_size", "target", "taken")
-    return (
-        rows.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-        .join(bases, ["_source", "_range"])
-        .select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in added], "source_size", "target", taken.cast("long").alias("taken"))
-    )
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in added]
+    out = lambda part, last: part.select(*own, "source_size", "target", (F.col("_whole") * F.col("_size") + last).cast("long").alias("taken"))
+    if state["ties"] <= 1:
+        return out(rows, last)
+    # repeated rows share the key at a cut: they are alike, so any order among them gives the same rows
+    tied = at_cut & (F.col("_ties") > 1)
+    nth = F.row_number().over(Window.partitionBy("_source").orderBy("_size")) - 1
+    some = rows.where(tied).withColumn("_nth", nth)
+    left = F.greatest(F.lit(0), F.least(F.col("_left") - F.col("_nth") * F.col("_size"), F.col("_size")))
+    return stacked(out(rows.where(~tied), last), out(some, left))
 
 
 def order_key(columns: Sequence[str], seed: int = 17) -> Column:
@@ -107,13 +143,15 @@ def ranges_for(rows: int, range_rows: int = 20_000) -> int:
     return 1 << max(6, (max(rows, 1) // range_rows).bit_length())
 
 
-def mixed_documents(docs: DataFrame, ranges: int = 64, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, ranges: int | None = None, **options) -> DataFrame:
     """The documents as the mix takes them: each row as often as it is taken, the last time cut to the words still taken.
 
     Returns the columns of docs; n_chars follows the text where docs has it.
     """
+    key = order_key(["doc_id", "text"])
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source", word_count("text").alias("size"))
-    mixed = mix_sources(rows, order_key(["doc_id", "text"]), ranges=ranges, **options)
+    slim = materialize(docs.select("source", word_count("text").alias("size"), key.alias("key")), "sizes")
+    mixed = mix_sources(rows, key, ranges=ranges or ranges_for(slim.count()), slim=slim, **options)
     copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
     out = mixed.where("taken > 0").withColumn("copy", copies)
     left = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")

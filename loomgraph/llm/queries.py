@@ -17,9 +17,8 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.mixing import mix_sources, order_key, ranges_for, word_count
 
     docs = _read(spark, sf_dir, "documents")
-    slim = docs.select("doc_id", "source", word_count("text").alias("size"), order_key(["doc_id", "text"]).alias("order_key"))
-    slim = materialize(slim, "sizes")
-    mixed = mix_sources(slim, F.col("order_key"), ranges=ranges_for(slim.count()))
+    rows = materialize(docs.select("doc_id", "source", word_count("text").alias("size"), order_key(["doc_id", "text"]).alias("order_key")), "sizes")
+    mixed = mix_sources(rows, F.col("order_key"), ranges=ranges_for(rows.count()))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
