@@ -161,3 +161,33 @@ def partitions_for(df: DataFrame, mb: float = 32.0) -> int:
         size = 0
     wanted = min(size, 1 << 60) / (mb * 2**20)
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(wanted) + 1, 100_000))
+
+
+#: Bits of a sieve: 16 MB, whatever the input.
+SIEVE_BITS = 1 << 27
+
+
+class Sieve:
+    """A bitmap of fixed size over ids, made by a distributed aggregate: it lets every id put in pass, and few others.
+
+    It only spares work: what passes is judged exactly afterwards, so a full sieve costs time and never changes a result.
+    """
+
+    def __init__(self, ids: DataFrame, column: str):
+        place = F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS))
+        words = ids.where(F.col(column).isNotNull()).select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, int(pmod(xxhash64({column}), {SIEVE_BITS}) & 63))").alias("bit"))
+        # at most SIEVE_BITS / 64 rows
+        found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        self.words = np.zeros(SIEVE_BITS // 64, np.int64)
+        self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+        self.shared = ids.sparkSession.sparkContext.broadcast(self.words)
+
+    def passes(self, column: str) -> Column:
+        shared = self.shared
+
+        @F.arrow_udf(T.BooleanType())
+        def run(places: pa.Array) -> pa.Array:
+            at = places.fill_null(0).to_numpy(zero_copy_only=False)
+            return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+        return F.col(column).isNotNull() & run(F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS)))

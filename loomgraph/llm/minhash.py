@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.frames import stacked
-from loomgraph.llm.common import batches, materialize, text_of, utf8
+from loomgraph.llm.common import Sieve, batches, materialize, text_of, utf8
 from loomgraph.llm.words import mix, shingles, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.75
@@ -320,7 +320,8 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     banded = _banded(signed)
     shared = banded.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("last")).where("centre <> last").select("bucket", "centre")
     members = materialize(banded.join(shared, "bucket"), "members")
-    candidates = members.select("doc").distinct()
+    candidates = materialize(members.select("doc").distinct(), "candidates")
+    sieve = Sieve(candidates, "doc")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches(found, "text", 4 << 20):
@@ -328,8 +329,10 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
             stored = [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([table.column("doc").combine_chunks(), pa.array(stored, pa.binary())], ["doc", "shingles"])
 
-    wanted = texts.withColumnRenamed("doc_id", "doc").join(candidates, "doc", "left_semi")
-    sets = materialize(wanted.mapInArrow(run, "doc long, shingles binary").dropDuplicates(["doc"]), "sets")
+    # the sieve spares a shuffle of all texts; what it lets through is joined exactly
+    wanted = texts.withColumnRenamed("doc_id", "doc").where(sieve.passes("doc"))
+    sets = wanted.mapInArrow(run, "doc long, shingles binary").join(candidates, "doc", "left_semi")
+    sets = materialize(sets.dropDuplicates(["doc"]), "sets")
 
     stars = members.where("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
     links = materialize(_verified(stars, signed, sets, miss), "links")
@@ -355,7 +358,12 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs of which near_duplicates() keeps the document, one for each repeated doc_id; all columns stay."""
     labels = materialize(near_duplicates(docs, **options), "labels")
     gone = labels.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
     again = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = kept.join(again, "doc_id", "left_anti")
-    return stacked(once, kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    odd = materialize(stacked(gone.withColumn("gone", F.lit(True)), again.withColumn("gone", F.lit(False))).groupBy("doc_id").agg(F.max("gone").alias("gone")), "odd")
+    # rows that the sieve does not know stay where they are; the others are joined exactly
+    known = Sieve(odd, "doc_id").passes("doc_id")
+    row = F.struct("*").alias("row")
+    doubtful = docs.where(known).select("doc_id", row).join(odd, "doc_id", "left").where(~F.coalesce("gone", F.lit(False)))
+    alone = doubtful.where("gone IS NULL").select("row.*")
+    repeated = doubtful.where("gone IS NOT NULL").groupBy("doc_id").agg(F.first("row").alias("row")).select("row.*")
+    return stacked(docs.where(~known), alone, repeated)
