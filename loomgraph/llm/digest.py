@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import batches, partitions_for, range_bounds, text_of, utf8
+from loomgraph.llm.common import batches, in_small_batches, partitions_for, range_bounds, text_of, utf8
 
 BUCKETS = 256
 #: Places of a triplet's bytes in the window that starts at its first byte.
@@ -117,7 +117,7 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     The rows are dealt once into ranges of doc_id. The row that starts a range goes to the range before it
     as well, so every next document lies in its neighbour's partition and rows stream through in order.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     parts = partitions_for(docs, 24)
     bounds = range_bounds(rows, "doc_id", parts)
     known = rows.agg(F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()

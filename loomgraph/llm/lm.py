@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import batches, fold_of, materialize, partitions_for, text_of, utf8
+from loomgraph.llm.common import batches, fold_of, in_small_batches, materialize, partitions_for, text_of, utf8
 from loomgraph.llm.words import hash_of, mix, word_hashes
 
 #: The symbol at the end of a text, which no word equals; it is also the context of a first word.
@@ -267,7 +267,7 @@ def interpolated_scores(docs: DataFrame, folds: int = 5, held_out: int = 1) -> D
     spark = docs.sparkSession
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     fold = F.when(fold_of("doc_id", folds) == held_out, OUTSIDE).when(F.floor(crc / folds) % 10 == 0, DELETED).otherwise(RETAINED)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), fold.alias("fold"))
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), fold.alias("fold"))
     stored = materialize(texts.mapInArrow(_encode, _BATCH), "batches")
     bits = max(1, (partitions_for(docs, 16) - 1).bit_length())
     asked = stored.select("batch", "sizes", "folds", "words", "rank", "stream").mapInArrow(_requests(bits), "route int, batch long, uk binary, ua binary, ub binary, bk binary, ba binary, bb binary")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import text_of, utf8
+from loomgraph.llm.common import in_small_batches, text_of, utf8
 
 UNIT = 192  # bytes of an access unit: 192 samples of 8 bits
 RATE = 48_000
@@ -282,5 +282,5 @@ def stored_texts(docs: DataFrame) -> DataFrame:
 
     Null text is empty (one unit of padding); null ids stay; repeated rows each give a row; no rows, no result rows.
     """
-    rows = docs.select("doc_id", F.octet_length(text_of("text")).cast("long").alias("n_bytes"), media_column(F.col("text")).alias("media"))
+    rows = in_small_batches(docs).select("doc_id", F.octet_length(text_of("text")).cast("long").alias("n_bytes"), media_column(F.col("text")).alias("media"))
     return rows.select("doc_id", "n_bytes", media_digest(F.col("media")).alias("d")).select("doc_id", "n_bytes", "d.*")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.frames import stacked
-from loomgraph.llm.common import Sieve, batches, materialize, text_of, utf8
+from loomgraph.llm.common import Sieve, batches, in_small_batches, materialize, text_of, utf8
 from loomgraph.llm.words import mix, shingles, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.75
@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     columns are not read; an empty table gives an empty result. miss: the posterior probability below which a
     candidate is pruned.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     rows = materialize(_signed(texts), "signed")
     usable = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(usable.groupBy("high", "low").agg(F.min("doc_id").alias("doc")), "classes")

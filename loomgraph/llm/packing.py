@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize, text_of
+from loomgraph.llm.common import in_small_batches, materialize, slices, text_of
 from loomgraph.llm.tokens import encoder
 
 SHRINK, SLOTS = 8, 1024
@@ -93,7 +93,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, length: int, end_id: int, keep_i
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = encoder(vocabulary), np.array([end_id], np.uint32)
-        for batch in rows:
+        for batch in slices(rows):
             columns: list[list] = [[] for _ in range(5 + keep_ids)]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.concatenate([own.ids(text), end])
@@ -108,7 +108,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, length: int, end_id: int, keep_i
             n = len(columns)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds[:n], strict=True)], names[:n])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(run, schema)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int = 2048, end_id: int = 0, keep_ids: bool = False, most_steps: int = 500_000) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import fresh_path, materialize, partitions_for, range_bounds, range_index, text_of
+from loomgraph.llm.common import fresh_path, in_small_batches, materialize, partitions_for, range_bounds, range_index, slices, text_of
 from loomgraph.llm.tokens import encoder
 
 BLOCK, MARK = 32 << 10, b"LOOMSST1"
@@ -177,7 +177,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
     no shards. path is any URI that pyarrow.fs writes from executors. A task writes under a name of its own and then
     renames, so a repeated or doubled attempt leaves the same file.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     bounds = range_bounds(rows, "doc_id", partitions_for(docs, 24))
     dealt = rows.withColumn("shard", range_index(bounds, F.col("doc_id"))).repartitionById(len(bounds) + 1, F.col("shard"))
     dealt = dealt.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
@@ -187,7 +187,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
 
         own, store, writer = encoder(vocabulary), None, None
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in slices(batches):
             shards = batch.column("shard").to_pylist()
             for shard, doc_id, text in zip(shards, batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if writer is None:

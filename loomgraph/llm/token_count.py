@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import text_of
+from loomgraph.llm.common import in_small_batches, slices, text_of
 from loomgraph.llm.tokens import byte_letters, encoder, vocabulary_path
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
@@ -93,9 +93,9 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(vocabulary)
-        for batch in rows:
+        for batch in slices(rows):
             counts = [own.count(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    slim = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     return slim.mapInArrow(run, SCHEMA).withColumn("over_limit", F.col("n_tokens") > limit)

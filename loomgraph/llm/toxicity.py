@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from loomgraph.frames import stacked
 from loomgraph.llm.boosting import Trees, fit_isotonic, fit_trees
-from loomgraph.llm.common import fold_of, text_of, trim
+from loomgraph.llm.common import fold_of, in_small_batches, text_of, trim
 
 # fixed values: common insults, and second-person words of English, German, French and Spanish
 INSULTS = "asshole bastard bitch clown disgusting dumb fool garbage idiot jerk liar loser moron pathetic scum shit stupid trash ugly worthless".split()
@@ -208,6 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     labels: doc_id, toxic; null ids or labels are left out, of several labels of an id the largest counts. Without
     both labels in the sample the model is the plain insult density.
     """
+    in_small_batches(docs)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold_of("doc_id", folds) != held_out)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
