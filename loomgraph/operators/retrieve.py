@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, DoubleType, StructType
 
 from loomgraph.frames import stacked
 from loomgraph.functions.text import cite, fuzzy_overlap, parse_order, terms, tokens
@@ -29,13 +31,13 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, digits: int = 9) ->
     found = None
     for part in range(parts):
         block = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        own = _block_topk(block.collect(), rows, asked.schema["query_id"].dataType.simpleString(), k, digits)
+        own = _block_topk(block.collect(), rows, asked.schema["query_id"].dataType, k, digits)
         found = own if found is None else stacked(found, own)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _block_topk(block: list, rows: DataFrame, id_type: str, k: int, digits: int) -> DataFrame:
+def _block_topk(block: list, rows: DataFrame, id_type: DataType, k: int, digits: int) -> DataFrame:
     names = [r["query_id"] for r in block]
     dims = max((len(r["vector"]) for r in block), default=0)
     matrix = np.zeros((len(block), dims))
@@ -43,7 +45,8 @@ def _block_topk(block: list, rows: DataFrame, id_type: str, k: int, digits: int)
         matrix[i, : len(r["vector"])] = r["vector"]
     lengths = np.sqrt((matrix * matrix).sum(axis=1))
     lengths[lengths == 0] = 1.0
-    kind = rows.schema["id"].dataType.simpleString()
+    kind = rows.schema["id"].dataType
+    kinds = [to_arrow_type(id_type), to_arrow_type(kind), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,9 +68,11 @@ def _block_topk(block: list, rows: DataFrame, id_type: str, k: int, digits: int)
             order = np.argsort(ids, kind="stable")
             best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
             at = np.repeat(np.arange(len(names)), best.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at]), pa.array(ids[best.ravel()].tolist()), pa.array(score[at, best.ravel()])], ["query_id", "id", "score"])
+            columns = ([names[i] for i in at], ids[best.ravel()].tolist(), score[at, best.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "id", "score"])
 
-    return rows.where("embedding IS NOT NULL").select("id", "embedding").mapInArrow(run, f"query_id {id_type}, id {kind}, score double")
+    schema = StructType().add("query_id", id_type).add("id", kind).add("score", DoubleType())
+    return rows.where("embedding IS NOT NULL").select("id", "embedding").mapInArrow(run, schema)
 
 
 def token_table(rows: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
