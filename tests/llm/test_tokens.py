@@ -112,7 +112,26 @@ def test_plan_places_every_piece_once(most_steps):
             at += size
         assert at <= length
     if most_steps == 10**6:
-        assert plan.count <= -(-int(sizes.sum()) // length) + 1
+        assert plan.count <= best_fit(sizes, length)
+    assert plan.count <= 1.03 * best_fit(sizes, length) + 8
+
+
+def best_fit(sizes, length):
+    """Sequences that best-fit decreasing needs, piece by piece."""
+    gaps = []
+    for size in sorted(sizes.tolist(), reverse=True):
+        fits = [g for g in gaps if g >= size]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else length) - size)
+    return len(gaps)
+
+
+def test_plan_fills_sequences_that_can_be_filled():
+    rng = np.random.default_rng(6)
+    cuts = [np.diff([0, *sorted(rng.choice(np.arange(1, 2048), 4, replace=False)), 2048]) for _ in range(400)]
+    plan = plan_packing(np.bincount(np.concatenate(cuts), minlength=2049), 2048)
+    assert plan.count <= 402
 
 
 @pytest.mark.parametrize("most_steps", [500_000, 4])
