@@ -175,14 +175,14 @@ def range_index(bounds: Sequence[int], key: Column) -> Column:
 
 
 def partitions_for(df: DataFrame, mb: float = 32.0) -> int:
-    """A partition count by the size of df's files, at least one for each core that may run."""
+    """A partition count by the size of df's files, at least the session's number of shuffle partitions, at most 100,000.
+
+    Plans without files have no known size (Spark then says 8 EB) and get the session's number.
+    """
     spark = df.sparkSession
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # statistics of a plan without files
-        size = 0
-    wanted = min(size, 1 << 60) / (mb * 2**20)
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(wanted) + 1, 100_000))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = int(size / (mb * 2**20)) + 1 if size < 1 << 50 else 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(wanted, 100_000))
 
 
 #: Bits of a sieve: 16 MB, whatever the input.
