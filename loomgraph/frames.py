@@ -1,4 +1,4 @@
-"""Putting DataFrames together."""
+"""Putting DataFrames together and spreading them."""
 
 from __future__ import annotations
 
@@ -16,3 +16,13 @@ def stacked(first: DataFrame, *others: DataFrame, allow_missing: bool = False) -
     for other in others:
         first = first.unionByName(other, allowMissingColumns=allow_missing)
     return first
+
+
+def spread(df: DataFrame, task_mb: int = 8) -> DataFrame:
+    """df over all cores where its files are so few or small that a scan would keep to some of them.
+
+    A file of one row group is read by one task, whatever its splits. Inputs of more than task_mb for each core are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * (task_mb << 20) else df

@@ -94,12 +94,14 @@ def fulltext_topk(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
 
 def bm25_topk(queries: DataFrame, rows: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """An extra keyword scorer: Okapi BM25 over rows (id, text)."""
-    counted = rows.select("id", F.explode(tokens("text")).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
-    lengths = counted.groupBy("id").agg(F.sum("tf").alias("len"))
+    lengths = rows.select("id", F.size(tokens("text")).cast("long").alias("len")).where("len > 0")
     overall = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
     n, mean = overall["n"] or 0, overall["mean"] or 1.0
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("token"))
-    df = counted.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    # only the queries' tokens are counted
+    own = rows.select("id", F.explode(tokens("text")).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    counted = own.groupBy("id", "token").agg(F.count("*").alias("tf"))
+    df = counted.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
     hits = asked.join(df, "token").join(counted, "token").join(lengths, "id").groupBy("query_id", "id").agg(F.sum(part).alias("score"))

@@ -124,7 +124,7 @@ class Engine:
         vectors = asked.select("query_id", self.embed(F.col("search_text")).alias("vector"))
         by_vector = retrieve.vector_topk(vectors, t["chunks"].select("id", "embedding"), k)
         by_text = retrieve.fulltext_topk(asked.select("query_id", F.col("search_text").alias("text")), retrieve.token_table(t["chunks"]), k)
-        fused = retrieve.rrf_fuse({"vector": by_vector, "fulltext": by_text}, k, c.rrf_c)
+        fused = checkpointed(retrieve.rrf_fuse({"vector": by_vector, "fulltext": by_text}, k, c.rrf_c))  # at most k rows for each query
         rows = retrieve.with_documents(fused, t["chunks"], t["documents"]).join(queries.select("query_id", "text"), "query_id").withColumn("label", F.col("span.label"))
         boosts = None
         if c.graph_boost > 0:

@@ -10,6 +10,7 @@ from loomgraph.frames import stacked
 from loomgraph.functions import text as tx
 from loomgraph.functions import vectors as vx
 from loomgraph.operators import answer, evaluate, extract, graph, ingest, resolve, retrieve
+from loomgraph.plans.store import checkpointed
 from loomgraph.plans.queries_text import HYBRID_SQL, INDEX_SQL, NAMES_SQL, TERMS, TOKENS, _docs, _questions, _rows, extracted, hybrid, table
 
 QUERIES: dict = {}
@@ -196,7 +197,8 @@ GRAPH_SQL = f"{NAMES_SQL}, ent AS (SELECT name, min(doc_id * 10 + pos) AS ord, c
 
 
 def kg(spark, sf_dir):
-    rows, calls, relations = extract.graph_rows(extracted(spark, sf_dir))
+    # the extraction is a few names for each document; it is computed once and read by the three tables
+    rows, calls, relations = extract.graph_rows(checkpointed(extracted(spark, sf_dir)))
     ord_ = (F.col("ord")["_o"] * 10 + F.col("ord")["_p"] + 1).alias("ord")
     entities = ingest.upsert_entities(rows).select("name", "label", "aliases", "summary", ord_)
     counts = calls.groupBy(F.col("entity").alias("name")).agg(F.count("*").alias("mention_count"))
@@ -298,7 +300,7 @@ fin AS (SELECT item_id, doc_id, score * (1 + g + t) AS score, via || CASE WHEN g
 def _rescored(spark, sf_dir):
     entities, mentions, relations = kg(spark, sf_dir)
     questions = _questions(spark, sf_dir)
-    fused = hybrid(spark, sf_dir)
+    fused = checkpointed(hybrid(spark, sf_dir))
     seeds = graph.match_entities(questions, entities, 6).select("query_id", F.col("name").alias("node"))
     _, nodes = graph.expand(relations, seeds, 2)
     boosts = retrieve.graph_factor(fused, mentions, nodes, 0.5)
@@ -427,6 +429,7 @@ def _bundles(spark, sf_dir):
     chunks = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), "text", span.alias("span"))
     documents = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("uri"))
     hits = retrieve.fulltext_topk(questions, retrieve.token_table(chunks), 4).withColumn("via", F.lit("fulltext"))
+    hits = checkpointed(hits)
     rows = retrieve.with_documents(hits, chunks, documents)
     _, mentions, relations = kg(spark, sf_dir)
     seeds = hits.select("query_id", F.col("id").alias("chunk_id")).join(mentions, "chunk_id").select("query_id", F.col("entity").alias("node")).distinct()

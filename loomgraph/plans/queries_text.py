@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.frames import stacked
+from loomgraph.frames import spread, stacked
 from loomgraph.functions import text as tx
 from loomgraph.functions import vectors as vx
 from loomgraph.operators import chunking, evaluate, extract, ingest, retrieve
@@ -37,7 +37,7 @@ TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9\-]+')"
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return spread(table(spark, sf_dir, "documents")).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 @query(f"SELECT doc_id, {NORM} AS normal FROM documents")
@@ -297,7 +297,7 @@ def doc_links(spark, sf_dir):
 
 @query()
 def web_docs(spark, sf_dir):
-    rows = loaders.load_web(table(spark, sf_dir, "pages"))
+    rows = loaders.load_web(spread(table(spark, sf_dir, "pages")))
     return rows.select("uri", "title", F.length("raw_text").alias("n_chars"), F.md5(F.col("raw_text").cast("binary")).alias("digest"), F.size("links").alias("n_links"))
 
 
