@@ -276,7 +276,8 @@ def _open_links(members: DataFrame, roots: DataFrame, signed: DataFrame, sets: D
     known = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
     held = known.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = held.groupBy("bucket").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("key"), F.count("*").alias("roots")).where("roots > 1")
-    rows = known.join(mixed.select("bucket", "key"), "bucket").select("key", "doc", "root").distinct()
+    mixed = materialize(mixed.select("bucket", "key"), "mixed")
+    rows = known.join(mixed, "bucket").select("key", "doc", "root").distinct()
     rows = materialize(rows.join(signed.select("doc", "n_shingles"), "doc"), "open")
     is_key = F.col("root") == F.col("key")
 
@@ -318,7 +319,9 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     signed = usable.withColumnRenamed("doc_id", "doc").join(classes, ["high", "low", "doc"]).select("doc", "n_shingles", "signature")
     signed = materialize(signed.dropDuplicates(["doc"]), "representatives")
     banded = _banded(signed)
+    # written tables on the bucket's side of both joins let adaptive execution split a bucket that holds very many
     shared = banded.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("last")).where("centre <> last").select("bucket", "centre")
+    shared = materialize(shared, "shared")
     members = materialize(banded.join(shared, "bucket"), "members")
     candidates = materialize(members.select("doc").distinct(), "candidates")
     sieve = Sieve(candidates, "doc")
