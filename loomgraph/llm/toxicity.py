@@ -35,6 +35,8 @@ DISGUISES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a
 STEMS = range(3, 7)
 FOLDS = 5
 LEAST, LEAST_SHARE, LEAST_ODDS = 3, 0.01, 2.5
+#: Log odds of a common insult that the training texts hold too seldom to say otherwise.
+PRIOR = 4.0
 NEAR = 5
 FEATURES = ["max_weight", "hit_density", "weight_density", "hits", "distinct_hits", "insult_density", "near_second_person", "hidden_hits", "obfuscated", "words", "capitals", "shouted", "marks", "mark_runs", "repeats"]
 
@@ -80,7 +82,7 @@ class Lexicons:
         every: Counter = Counter()
         for c in self.toxic:
             every.update(c)
-        self.all = {k: n for k, n in every.items() if n >= LEAST}
+        self.all = {k: n for k, n in every.items() if n >= LEAST} | {"=" + w: every["=" + w] for w in INSULTS}
         self.clean = [count_keys(pick(0, k), self.all) for k in range(FOLDS)]
 
     def without(self, fold: int | None = None) -> dict[str, float]:
@@ -90,9 +92,12 @@ class Lexicons:
         least = max(LEAST, math.ceil(LEAST_SHARE * n1))
         lexicon = {}
         for key in self.all:
-            toxic = sum(self.toxic[k][key] for k in folds)
-            if toxic >= least:
-                odds = math.log((toxic + 0.5) / (n1 + 1)) - math.log((sum(self.clean[k][key] for k in folds) + 0.5) / (n0 + 1))
+            toxic, clean = (sum(part[k][key] for k in folds) for part in (self.toxic, self.clean))
+            insult = key[1:] in INSULTS
+            if insult and toxic + clean < LEAST:
+                lexicon[key] = PRIOR
+            elif toxic >= least or insult:
+                odds = math.log((toxic + 0.5) / (n1 + 1)) - math.log((clean + 0.5) / (n0 + 1))
                 if odds >= LEAST_ODDS:
                     lexicon[key] = odds
         # a stem's extensions that say no more than the stem itself are not needed
