@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from loomgraph.config import LABEL_ALIASES, STOP_WORDS
 
+#: Fixed value: what a token is.
 TOKEN = "[a-z0-9][a-z0-9\\-]+"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import col
 
-HEAD = "Based on the retrieved notes and the connecting relationships in the graph, the relevant facts link together as described in the sources "
+HEAD = "The passages found and the relations between them bear on the question; see "
 
 
 def bundles(queries: DataFrame, hits: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -28,13 +28,13 @@ def bundles(queries: DataFrame, hits: DataFrame, edges: DataFrame, nodes: DataFr
 def answer_prompt(question: Column | str, chunks: Column | str, edges: Column | str, limit: int = 40) -> Column:
     question, chunks, edges = col(question), col(chunks), col(edges)
     block = lambda c: F.concat(F.lit("["), c["rank"].cast("string"), F.lit("] "), c["title"], F.lit(" ("), c["citation"], F.lit("):\n"), c["text"])
-    sources = F.when(F.size(chunks) > 0, F.array_join(F.transform(chunks, block), "\n\n")).otherwise("(no sources retrieved)")
+    sources = F.when(F.size(chunks) > 0, F.array_join(F.transform(chunks, block), "\n\n")).otherwise("(no passages)")
     line = lambda e: F.concat(e["subject"], F.lit(" -["), e["relation"], F.lit("]-> "), e["object"])
-    graph = F.when(F.size(edges) > 0, F.array_join(F.transform(F.slice(edges, 1, limit), line), "\n")).otherwise("(no relevant relationships found)")
+    graph = F.when(F.size(edges) > 0, F.array_join(F.transform(F.slice(edges, 1, limit), line), "\n")).otherwise("(no relations)")
     return F.concat(
-        F.lit("ANSWER THE QUESTION using only the SOURCES and RELATIONSHIPS below.\n\nQUESTION: "), question, F.lit("\n\nSOURCES:\n"), sources,
-        F.lit("\n\nRELATIONSHIPS (knowledge graph):\n"), graph,
-        F.lit("\n\nWrite a concise answer. Cite sources inline as [n]. Explain connections using the relationships where relevant."),
+        F.lit("Answer from the passages and relations given here and from nothing else.\n\nQuestion: "), question, F.lit("\n\nPassages:\n"), sources,
+        F.lit("\n\nRelations:\n"), graph,
+        F.lit("\n\nBe brief. Put the number of each passage used in brackets, and say how the relations connect them."),
     )
 
 

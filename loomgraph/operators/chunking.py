@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import col, strip
 
+# What opens a section, and where a sentence ends.
 HEADING = r"#{1,6}[^\S\n]"
 SENTENCE = r"(?U)(?<=[.!?])\s+"
 _SEGMENT = "array<struct<label:string,start:int,text:string>>"

@@ -139,7 +139,7 @@ def grade_answers(answers: DataFrame, judgement: str | None = None, threshold: f
     rows = rows.withColumn("grounded", ~F.col("uncited") & (F.col("n_citations") > 0))
     correct = F.round(5.0 * F.col("lexical_f1"), 2)
     complete = F.round(5.0 * (0.5 * F.col("lexical_f1") + 0.5 * F.col("key_fact_recall")), 2)
-    reason = F.lit("lexical fallback (no LLM judgment)")
+    reason = F.lit("scored by shared words; no judge spoke")
     told = F.lit(False)
     if judgement:
         data = safe_json(judgement)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.config import ENTITY_LABELS, RELATION_TYPES, VALID_TRIPLES
 from loomgraph.functions.text import col, normalize_label, safe_json, strip
 
+#: Fixed value: capitalised terms of one or two words.
 CAPITALS = r"\b([A-Z][A-Za-z0-9]+(?:\s[A-Z][A-Za-z0-9]+)?)\b"
 EXTRACTION = "struct<entities:array<struct<name:string,label:string,aliases:array<string>,summary:string>>,relations:array<struct<subject:string,relation:string,object:string>>>"
 
@@ -87,7 +88,7 @@ def validated(raw: Column | str) -> Column:
 def extraction_prompt(text: Column | str) -> Column:
     labels, relations = ", ".join(ENTITY_LABELS), ", ".join(RELATION_TYPES)
     triples = "\n".join(f"({s})-[{r}]->({o})" for s, r, o in VALID_TRIPLES)
-    intro = f"Extract a knowledge graph as JSON with the keys entities and relations.\nEntity labels: {labels}\nRelations: {relations}\nAllowed:\n{triples}\n\nTEXT:\n"
+    intro = f"Name the entities of the text and how they relate, as one JSON object with the lists entities and relations.\nLabels: {labels}\nRelations: {relations}\nPossible:\n{triples}\n\nText:\n"
     return F.concat(F.lit(intro), col(text))
 
 

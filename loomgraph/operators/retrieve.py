@@ -168,7 +168,7 @@ def rerank_prompts(hits: DataFrame, candidates: int, snippet: int = 400) -> Data
     """query_id and prompt: the query and its numbered first passages (hits: query_id, query, text, rank)."""
     shown = hits.where(F.col("rank") <= candidates).select("query_id", "query", "rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.left("text", F.lit(snippet))).alias("line"))
     rows = shown.groupBy("query_id", "query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("lines"))
-    prompt = F.concat(F.lit("QUERY: "), F.col("query"), F.lit("\n\nPASSAGES:\n"), F.col("lines"), F.lit("\n\nReturn the passage numbers ordered best-first as a JSON list."))
+    prompt = F.concat(F.lit("Question: "), F.col("query"), F.lit("\n\nPassages:\n"), F.col("lines"), F.lit("\n\nSort the passage numbers by how well they answer, best one in front, and give just that list as JSON."))
     return rows.select("query_id", prompt.alias("prompt"))
 
 
@@ -211,7 +211,7 @@ def lsh_topk(queries: DataFrame, rows: DataFrame, k: int, planes: int = 8, table
 
 
 def expansion_prompts(queries: DataFrame, most: int) -> DataFrame:
-    line = F.concat(F.lit(f"Give {most} alternative keywords or short phrasings a document might use to answer this query. Comma-separated, no numbering, no explanation.\n\nQUERY: "), F.col("text"))
+    line = F.concat(F.lit(f"Which {most} other words or short phrases would stand in a text that answers this? List them with commas and nothing else.\n\nQuestion: "), F.col("text"))
     return queries.withColumn("prompt", line)
 
 

@@ -198,7 +198,8 @@ class Engine:
         rows = answers.join(questions, "query_id")
         if judge is None:
             return evaluate.grade_answers(rows, threshold=self.config.key_fact_threshold)
-        prompt = F.concat(F.lit("QUESTION:\n"), F.col("text"), F.lit("\n\nREFERENCE ANSWER:\n"), F.col("expected"), F.lit("\n\nCANDIDATE ANSWER:\n"), F.col("generated"), F.lit('\n\nScore the CANDIDATE against the REFERENCE. Return JSON with "correct" (0-5), "complete" (0-5), "grounded" (true or false) and "reason".'))
+        ask = "\n\nHow well does the given answer agree with the model answer? Reply with a JSON object of correct and complete (whole numbers from 0 to 5), grounded (true or false) and reason (one sentence)."
+        prompt = F.concat(F.lit("Question:\n"), F.col("text"), F.lit("\n\nModel answer:\n"), F.col("expected"), F.lit("\n\nGiven answer:\n"), F.col("generated"), F.lit(ask))
         judged = extract.with_answers(rows.withColumn("prompt", prompt), "prompt", judge, "judgement")
         return evaluate.grade_answers(judged, "judgement", self.config.key_fact_threshold)
 

@@ -458,8 +458,8 @@ def retrieve_bundle(spark, sf_dir):
 
 @query(f"""WITH {BUNDLE_SQL}, s AS (SELECT item_id, string_agg('[' || rank || '] ' || title || ' (' || CASE WHEN lines = 1 THEN one ELSE citation END || '):' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS s FROM h GROUP BY 1),
 eg AS (SELECT item_id, string_agg(line, chr(10) ORDER BY n) AS e FROM (SELECT item_id, subject || ' -[' || relation || ']-> ' || object AS line, row_number() OVER (PARTITION BY item_id ORDER BY subject, relation, object) AS n FROM ed) WHERE n <= 40 GROUP BY 1)
-SELECT item_id AS query_id, md5('ANSWER THE QUESTION using only the SOURCES and RELATIONSHIPS below.' || chr(10) || chr(10) || 'QUESTION: ' || text || chr(10) || chr(10) || 'SOURCES:' || chr(10) || coalesce(s, '(no sources retrieved)') || chr(10) || chr(10) || 'RELATIONSHIPS (knowledge graph):' || chr(10) || coalesce(e, '(no relevant relationships found)') || chr(10) || chr(10)
-|| 'Write a concise answer. Cite sources inline as [n]. Explain connections using the relationships where relevant.') AS prompt FROM benchmark LEFT JOIN s USING (item_id) LEFT JOIN eg USING (item_id)""")
+SELECT item_id AS query_id, md5('Answer from the passages and relations given here and from nothing else.' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Passages:' || chr(10) || coalesce(s, '(no passages)') || chr(10) || chr(10) || 'Relations:' || chr(10) || coalesce(e, '(no relations)') || chr(10) || chr(10)
+|| 'Be brief. Put the number of each passage used in brackets, and say how the relations connect them.') AS prompt FROM benchmark LEFT JOIN s USING (item_id) LEFT JOIN eg USING (item_id)""")
 def answer_prompt(spark, sf_dir):
     return _bundles(spark, sf_dir).select("query_id", F.md5(answer.answer_prompt("text", "chunks", "edges").cast("binary")).alias("prompt"))
 

@@ -20,7 +20,7 @@ from loomgraph.frames import stacked
 from loomgraph.functions.text import col, markdown_links, markdown_title, strip
 from loomgraph.schemas import GOLD, QUESTION
 
-SUFFIXES = [".md", ".markdown", ".txt", ".pdf"]
+# The line that opens a turn of a transcript.
 TURN = r"^(?:\[([^\]]+)\]\s*)?([A-Za-z0-9 _.-]{1,40}):\s*(.*)$"
 
 
