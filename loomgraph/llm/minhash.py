@@ -287,7 +287,7 @@ def _open_links(members: DataFrame, roots: DataFrame, signed: DataFrame, sets: D
 
     sizes = rows.groupBy("key").agg(blocks(is_key).alias("n_key"), blocks(~is_key).alias("n_rest"))
     lot = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
-    rows = rows.join(sizes, "key").withColumn("own", F.when(is_key, F.col("n_rest") + lot("n_key")).otherwise(lot("n_rest")))
+    rows = rows.join(materialize(sizes, "sizes"), "key").withColumn("own", F.when(is_key, F.col("n_rest") + lot("n_key")).otherwise(lot("n_rest")))
     last = F.when(is_key, F.col("n_rest") - 1).otherwise(F.col("n_rest") + F.col("n_key") - 1)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc", "root")
