@@ -58,7 +58,7 @@ def bigrams(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of documents as their distinct words (hashes, ascending) and the texts as numbers of these."""
     names = np.random.default_rng()
-    for table in batches(rows, "text", 10 << 20):
+    for table in batches(rows, "text", 6 << 20):
         words, at = word_hashes(*utf8(table.column("text")))
         sizes = np.diff(at) + 1
         tokens = np.full(int(sizes.sum()), END, np.uint64)
