@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.frames import stacked
-from loomgraph.llm.common import Sieve, batches, in_small_batches, materialize, text_of, utf8
+from loomgraph.llm.common import Sieve, batches, in_small_batches, materialize, text_of, trim, utf8
 from loomgraph.llm.words import mix, shingles, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.75
@@ -276,8 +276,7 @@ def _open_links(members: DataFrame, roots: DataFrame, signed: DataFrame, sets: D
     known = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
     held = known.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = held.groupBy("bucket").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("key"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = materialize(mixed.select("bucket", "key"), "mixed")
-    rows = known.join(mixed, "bucket").select("key", "doc", "root").distinct()
+    rows = known.join(mixed.select("bucket", "key"), "bucket").select("key", "doc", "root").distinct()
     rows = materialize(rows.join(signed.select("doc", "n_shingles"), "doc"), "open")
     is_key = F.col("root") == F.col("key")
 
@@ -287,7 +286,7 @@ def _open_links(members: DataFrame, roots: DataFrame, signed: DataFrame, sets: D
 
     sizes = rows.groupBy("key").agg(blocks(is_key).alias("n_key"), blocks(~is_key).alias("n_rest"))
     lot = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
-    rows = rows.join(materialize(sizes, "sizes"), "key").withColumn("own", F.when(is_key, F.col("n_rest") + lot("n_key")).otherwise(lot("n_rest")))
+    rows = rows.join(sizes, "key").withColumn("own", F.when(is_key, F.col("n_rest") + lot("n_key")).otherwise(lot("n_rest")))
     last = F.when(is_key, F.col("n_rest") - 1).otherwise(F.col("n_rest") + F.col("n_key") - 1)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc", "root")
@@ -298,6 +297,7 @@ def _open_links(members: DataFrame, roots: DataFrame, signed: DataFrame, sets: D
         for group in _groups(found, ("key", "x", "y")):
             out = _joins(group, least)
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
+        trim()
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -319,9 +319,7 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     signed = usable.withColumnRenamed("doc_id", "doc").join(classes, ["high", "low", "doc"]).select("doc", "n_shingles", "signature")
     signed = materialize(signed.dropDuplicates(["doc"]), "representatives")
     banded = _banded(signed)
-    # written tables on the bucket's side of both joins let adaptive execution split a bucket that holds very many
     shared = banded.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("last")).where("centre <> last").select("bucket", "centre")
-    shared = materialize(shared, "shared")
     members = materialize(banded.join(shared, "bucket"), "members")
     candidates = materialize(members.select("doc").distinct(), "candidates")
     sieve = Sieve(candidates, "doc")
