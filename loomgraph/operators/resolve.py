@@ -45,11 +45,11 @@ def candidates(entities: DataFrame, threshold: float = 0.86, distance: int = 2)
     return both.select("label", *[pick(c, yes).alias(f"{s}_{c}") for s, yes in (("a", True), ("b", False)) for c in ("name", "ord", "count")], "similarity", "distance")
 
 
-def canonical(a_name: Column, b_name: Column, a_count: Column, b_count: Column, seeded: list[str] | None = None) -> Column:
-    """The name that stays: a seed's canonical, else the one mentioned more, else the shorter, a first."""
+def canonical(a_name: Column, b_name: Column, a_count: Column, b_count: Column, a_seeded: Column | None = None, b_seeded: Column | None = None) -> Column:
+    """The name that stays: a seed's canonical (by the flags, a first), else the one mentioned more, else the shorter, a first."""
     picked = F.when(a_count > b_count, a_name).when(b_count > a_count, b_name).when(F.length(a_name) <= F.length(b_name), a_name).otherwise(b_name)
-    if seeded:
-        picked = F.when(a_name.isin(seeded), a_name).when(b_name.isin(seeded), b_name).otherwise(picked)
+    if a_seeded is not None and b_seeded is not None:
+        picked = F.when(a_seeded, a_name).when(b_seeded, b_name).otherwise(picked)
     return picked
 
 
@@ -69,7 +69,6 @@ def plan(entities: DataFrame, seeds: DataFrame, embeddings: DataFrame | None = N
     ambiguous band of the embedding score; without it they pass.
     """
     c = config or EngineConfig()
-    canonicals = [r["canonical"] for r in seeds.select("canonical").distinct().limit(10_000).collect()]
     alias = alias_decisions(entities, seeds).select("duplicate", "canonical", F.lit(1.0).alias("string_score"), F.lit(None).cast("double").alias("embed_score"), F.lit("alias_seed").alias("reason"), F.struct(F.lit(0).alias("k"), F.col("ord").cast("long").alias("o"), F.lit(0).cast("long").alias("p")).alias("ord"))
     pairs = candidates(entities, c.res_similarity_threshold, c.res_word_distance)
     if embeddings is None:
@@ -84,7 +83,10 @@ def plan(entities: DataFrame, seeds: DataFrame, embeddings: DataFrame | None = N
         band = es.isNotNull() & (F.abs(es - c.res_embed_cutoff) <= c.res_llm_margin)
         pairs = pairs.where(~band | same)
         reason = F.when(band, "llm").otherwise(reason)
-    keep = canonical(F.col("a_name"), F.col("b_name"), F.col("a_count"), F.col("b_count"), canonicals)
+    canonicals = seeds.select("canonical").distinct()
+    for p in "ab":
+        pairs = pairs.join(canonicals.select(F.col("canonical").alias(f"{p}_name"), F.lit(True).alias(f"{p}_seeded")), f"{p}_name", "left")
+    keep = canonical(F.col("a_name"), F.col("b_name"), F.col("a_count"), F.col("b_count"), F.col("a_seeded"), F.col("b_seeded"))
     prefix = F.left(normalize_name("a_name"), F.lit(4)) == F.left(normalize_name("b_name"), F.lit(4))
     order = F.struct(F.when(prefix, 1).otherwise(2).alias("k"), F.col("a_ord").cast("long").alias("o"), F.col("b_ord").cast("long").alias("p"))
     fuzzy = pairs.select(F.when(keep == F.col("a_name"), F.col("b_name")).otherwise(F.col("a_name")).alias("duplicate"), keep.alias("canonical"), F.col("similarity").alias("string_score"), "embed_score", reason.alias("reason"), order.alias("ord"))
