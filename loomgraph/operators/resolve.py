@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,38 +13,41 @@ from loomgraph.functions.text import normalize_name
 from loomgraph.functions.vectors import cosine, mean_vectors
 
 
-def alias_decisions(entities: DataFrame, seeds: DataFrame) -> DataFrame:
-    """duplicate and canonical of entities (name) whose name, or normalised name, is a seed's surface (surface, canonical)."""
+def alias_decisions(entities: DataFrame, seeds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """duplicate and canonical of entities (name) whose name, or normalised name, is a seed's surface (surface, canonical); by: columns that stay."""
     exact = seeds.select(F.col("surface").alias("name"), F.col("canonical").alias("_exact"))
     loose = seeds.select(F.col("surface").alias("_norm"), F.col("canonical").alias("_loose"))
     rows = entities.withColumn("_norm", normalize_name("name")).join(exact, "name", "left").join(loose, "_norm", "left")
     found = rows.withColumn("canonical", F.coalesce("_exact", "_loose"))
-    return found.where(F.col("canonical").isNotNull() & (F.col("canonical") != F.col("name"))).select(F.col("name").alias("duplicate"), "canonical", "ord")
+    return found.where(F.col("canonical").isNotNull() & (F.col("canonical") != F.col("name"))).select(*by, F.col("name").alias("duplicate"), "canonical", "ord")
 
 
-def candidates(entities: DataFrame, threshold: float = 0.86, distance: int = 2) -> DataFrame:
+def candidates(entities: DataFrame, threshold: float = 0.86, distance: int = 2, by: Sequence[str] = ()) -> DataFrame:
     """Pairs of one label that pass the string gate: a_name, b_name (a before b by ord), similarity, distance.
 
     entities: name, label, ord, mention_count. Names are compared once for each pair of normalised forms. A similarity
     of threshold allows at most (1 - threshold) * length edits, so lengths that differ by more than that and by more
-    than distance are never compared.
+    than distance are never compared. by: columns that keep sets of entities apart; only rows that agree in them meet.
     """
-    forms = entities.select("label", normalize_name("name").alias("form")).distinct()
+    forms = entities.select(*by, "label", normalize_name("name").alias("form")).distinct()
     x, y = forms.alias("x"), forms.alias("y")
     gap = F.abs(F.length("x.form") - F.length("y.form"))
     longer = F.greatest(F.length("x.form"), F.length("y.form"), F.lit(1))
     near = (gap <= distance) | (gap <= (1 - threshold) * longer + 1e-9)
-    pairs = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.form") <= F.col("y.form")) & near)
+    together = F.col("x.label") == F.col("y.label")
+    for c in by:
+        together &= F.col(f"x.{c}") == F.col(f"y.{c}")
+    pairs = x.join(y, together & (F.col("x.form") <= F.col("y.form")) & near)
     similarity = F.when(F.col("x.form") == F.col("y.form"), F.lit(1.0)).otherwise(1.0 - F.levenshtein("x.form", "y.form") / longer)
-    gated = pairs.select(F.col("x.label").alias("label"), F.col("x.form").alias("fx"), F.col("y.form").alias("fy"), similarity.alias("similarity"), F.levenshtein("x.form", "y.form").alias("distance"))
+    gated = pairs.select(*[F.col(f"x.{c}").alias(c) for c in by], F.col("x.label").alias("label"), F.col("x.form").alias("fx"), F.col("y.form").alias("fy"), similarity.alias("similarity"), F.levenshtein("x.form", "y.form").alias("distance"))
     gated = gated.where((F.col("similarity") >= threshold) | (F.col("distance") <= distance))
     named = entities.withColumn("form", normalize_name("name"))
-    side = lambda p, f: named.select(F.col("label"), F.col("form").alias(f), F.col("name").alias(f"{p}_name"), F.col("ord").alias(f"{p}_ord"), F.col("mention_count").alias(f"{p}_count"))
-    both = gated.join(side("p", "fx"), ["label", "fx"]).join(side("q", "fy"), ["label", "fy"])
+    side = lambda p, f: named.select(*by, F.col("label"), F.col("form").alias(f), F.col("name").alias(f"{p}_name"), F.col("ord").alias(f"{p}_ord"), F.col("mention_count").alias(f"{p}_count"))
+    both = gated.join(side("p", "fx"), [*by, "label", "fx"]).join(side("q", "fy"), [*by, "label", "fy"])
     both = both.where(F.col("p_name") != F.col("q_name")).where((F.col("fx") != F.col("fy")) | (F.col("p_ord") < F.col("q_ord")))
     first = F.col("p_ord") < F.col("q_ord")
     pick = lambda c, yes: F.when(first if yes else ~first, F.col(f"p_{c}")).otherwise(F.col(f"q_{c}"))
-    return both.select("label", *[pick(c, yes).alias(f"{s}_{c}") for s, yes in (("a", True), ("b", False)) for c in ("name", "ord", "count")], "similarity", "distance")
+    return both.select(*by, "label", *[pick(c, yes).alias(f"{s}_{c}") for s, yes in (("a", True), ("b", False)) for c in ("name", "ord", "count")], "similarity", "distance")
 
 
 def canonical(a_name: Column, b_name: Column, a_count: Column, b_count: Column, a_seeded: Column | None = None, b_seeded: Column | None = None) -> Column:
@@ -61,16 +66,17 @@ def context_embeddings(mentions: DataFrame, chunks: DataFrame, names: DataFrame
     return mean_vectors(rows.join(chunks.where("embedding IS NOT NULL").select("id", "embedding"), "id"), "name", "embedding")
 
 
-def plan(entities: DataFrame, seeds: DataFrame, embeddings: DataFrame | None = None, config: EngineConfig | None = None, same: Column | None = None) -> DataFrame:
+def plan(entities: DataFrame, seeds: DataFrame, embeddings: DataFrame | None = None, config: EngineConfig | None = None, same: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Merge decisions: duplicate, canonical, string_score, embed_score, reason, ord; each duplicate once.
 
     Alias seeds come first, then pairs by place (prefix blocks before label blocks). embeddings: name, embedding; pairs
     without both pass on strings alone. same: a condition over a_name and b_name that settles pairs in the
-    ambiguous band of the embedding score; without it they pass.
+    ambiguous band of the embedding score; without it they pass. by: columns that keep sets of entities apart; each set
+    is planned as if alone, and its decisions carry them.
     """
     c = config or EngineConfig()
-    alias = alias_decisions(entities, seeds).select("duplicate", "canonical", F.lit(1.0).alias("string_score"), F.lit(None).cast("double").alias("embed_score"), F.lit("alias_seed").alias("reason"), F.struct(F.lit(0).alias("k"), F.col("ord").cast("long").alias("o"), F.lit(0).cast("long").alias("p")).alias("ord"))
-    pairs = candidates(entities, c.res_similarity_threshold, c.res_word_distance)
+    alias = alias_decisions(entities, seeds, by).select(*by, "duplicate", "canonical", F.lit(1.0).alias("string_score"), F.lit(None).cast("double").alias("embed_score"), F.lit("alias_seed").alias("reason"), F.struct(F.lit(0).alias("k"), F.col("ord").cast("long").alias("o"), F.lit(0).cast("long").alias("p")).alias("ord"))
+    pairs = candidates(entities, c.res_similarity_threshold, c.res_word_distance, by)
     if embeddings is None:
         pairs = pairs.withColumn("embed_score", F.lit(None).cast("double"))
     else:
@@ -89,9 +95,9 @@ def plan(entities: DataFrame, seeds: DataFrame, embeddings: DataFrame | None = N
     keep = canonical(F.col("a_name"), F.col("b_name"), F.col("a_count"), F.col("b_count"), F.col("a_seeded"), F.col("b_seeded"))
     prefix = F.left(normalize_name("a_name"), F.lit(4)) == F.left(normalize_name("b_name"), F.lit(4))
     order = F.struct(F.when(prefix, 1).otherwise(2).alias("k"), F.col("a_ord").cast("long").alias("o"), F.col("b_ord").cast("long").alias("p"))
-    fuzzy = pairs.select(F.when(keep == F.col("a_name"), F.col("b_name")).otherwise(F.col("a_name")).alias("duplicate"), keep.alias("canonical"), F.col("similarity").alias("string_score"), "embed_score", reason.alias("reason"), order.alias("ord"))
+    fuzzy = pairs.select(*by, F.when(keep == F.col("a_name"), F.col("b_name")).otherwise(F.col("a_name")).alias("duplicate"), keep.alias("canonical"), F.col("similarity").alias("string_score"), "embed_score", reason.alias("reason"), order.alias("ord"))
     rows = stacked(alias, fuzzy).where("duplicate <> canonical")
-    return rows.groupBy("duplicate").agg(F.min_by(F.struct("canonical", "string_score", "embed_score", "reason", "ord"), "ord").alias("d")).select("duplicate", "d.*")
+    return rows.groupBy(*by, "duplicate").agg(F.min_by(F.struct("canonical", "string_score", "embed_score", "reason", "ord"), "ord").alias("d")).select(*by, "duplicate", "d.*")
 
 
 def merge_roots(decisions: DataFrame) -> DataFrame:

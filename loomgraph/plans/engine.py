@@ -178,19 +178,14 @@ class Engine:
     def eval_resolution(self, cases: DataFrame) -> DataFrame:
         """Micro scores over cases (case_id, entities, should_merge, should_not_merge), all cases in one run, by strings alone."""
         rows = cases.select("case_id", F.posexplode("entities").alias("ord", "e")).select("case_id", "ord", F.col("e")[0].alias("name"), F.col("e")[1].alias("label"))
-        # a case's key in front of the label keeps cases apart; names get it back after the plan
         own = rows.groupBy("case_id", "name").agg(F.min_by("label", "ord").alias("label"), F.min("ord").alias("ord"), F.count("*").alias("mention_count"))
-        parts = []
-        for case in [r["case_id"] for r in own.select("case_id").distinct().orderBy("case_id").limit(1000).collect()]:
-            entities = own.where(F.col("case_id") == case)
-            decisions = resolve.plan(entities, self.seeds, None, self.config)
-            parts.append(resolve.clusters(entities, resolve.merge_roots(decisions)).withColumn("case_id", F.lit(case)))
-        found = parts[0]
-        for p in parts[1:]:
-            found = stacked(found, p)
+        # names are compared and seeded as they are, inside their case; the case's key goes in front of them for the merge roots
         tag = lambda c: F.concat_ws("|", F.col("case_id").cast("string"), c)
         pairs = lambda c, flag: cases.select("case_id", F.explode(c).alias("p")).select(tag(F.col("p")[0]).alias("a"), tag(F.col("p")[1]).alias("b"), F.lit(flag).alias("should_merge"))
-        return evaluate.pairwise_prf(found.select(tag(F.col("name")).alias("name"), tag(F.col("cluster")).alias("cluster")), stacked(pairs("should_merge", True), pairs("should_not_merge", False)))
+        decisions = checkpointed(resolve.plan(own, self.seeds, None, self.config, by=["case_id"]))
+        tagged = decisions.select(tag(F.col("duplicate")).alias("duplicate"), tag(F.col("canonical")).alias("canonical"), "ord")
+        found = resolve.clusters(own.select(tag(F.col("name")).alias("name")), resolve.merge_roots(tagged))
+        return evaluate.pairwise_prf(found, stacked(pairs("should_merge", True), pairs("should_not_merge", False)))
 
     def eval_answers(self, questions: DataFrame, judge: Callable[[str], str] | None = None, k: int | None = None) -> DataFrame:
         """Graded answers to questions (query_id, text, expected, key_facts)."""
