@@ -2,7 +2,8 @@
 
 Documents are sets of distinct five-word shingles; two are linked where 100 * intersection >= 75 * union.
 
-1. Equal sets are one class at once, by a 128-bit digest of the set; only one document of each class goes on.
+1. Equal sets are one class at once, by a 128-bit digest of the set; only one document of each class goes on. A class
+   has a number of its own (node), in the order of its smallest doc_id, so a doc_id may stand on several texts.
 2. Signatures of 96 minima are cut into 32 bands of 3; documents that agree in a band share a bucket. A pair
    at similarity 0.75 shares no bucket with probability (1 - 0.75**3)**32 = 2.4e-8.
 3. Each bucket first proposes its members against its smallest one, never all pairs. A proposal is compared
@@ -107,6 +108,26 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
+def _digests(values: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    """high and low: the 128-bit digest of each set, zeros for empty ones."""
+    sums = np.zeros((2, len(offsets) - 1), np.uint64)
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        for row, salt in zip(sums, (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47), strict=True):
+            row[full] = np.add.reduceat(mix(values ^ np.uint64(salt)), offsets[full])
+    return [pa.array(row.view(np.int64)) for row in sums]
+
+
+def _digest(text: Column) -> Column:
+    """A struct of the digest high and low of the text's set."""
+
+    @F.arrow_udf("high long, low long")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(_digests(*_sets(pa.table({"text": texts}))), ["high", "low"])
+
+    return run(text)
+
+
 def _sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return shingles(*word_hashes(*utf8(table.column("text"))), WIDTH)
 
@@ -118,14 +139,10 @@ def _signed(docs: DataFrame) -> DataFrame:
         for table in batches(rows, "text", 4 << 20):
             values, offsets = _sets(table)
             n = np.diff(offsets)
-            sums = np.zeros((2, len(n)), np.uint64)
-            full = np.flatnonzero(n)
-            if len(full):
-                for row, salt in zip(sums, (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47), strict=True):
-                    row[full] = np.add.reduceat(mix(values ^ np.uint64(salt)), offsets[full])
+            digests = _digests(values, offsets)
             signed = signatures(values, offsets)
             stored = [signed[i].tobytes() if n[i] else None for i in range(len(n))]
-            columns = [table.column("doc_id").combine_chunks(), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(stored, pa.binary())]
+            columns = [table.column("doc_id").combine_chunks(), pa.array(n, pa.int64()), *digests, pa.array(stored, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "high", "low", "signature"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, high long, low long, signature binary")
@@ -308,31 +325,45 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     Null and empty texts and texts of white space have no shingles and are linked with nothing; with fewer than five
     words the whole sequence is the one shingle. component_id is the smallest doc_id reachable over links, the
     row's own included; kept says that they are equal. Repeated rows are one class; rows that repeat a doc_id with another
-    text are compared under that id. A null doc_id is not compared: component_id is null, kept true. Other
+    text are each compared, and the links of all of them hold for that id. A null doc_id is not compared: component_id is null, kept true. Other
     columns are not read; an empty table gives an empty result. miss: the posterior probability below which a
     candidate is pruned.
     """
+    return _labels(docs, miss).select("doc_id", "n_shingles", "component_id", F.equal_null("doc_id", "component_id").alias("kept"))
+
+
+def _labels(docs: DataFrame, miss: float) -> DataFrame:
+    """doc_id, n_shingles, the digest high and low, root, owner and component_id of every row of docs.
+
+    root numbers the component of the row's own text, and owner is that component's smallest doc_id; both are null
+    without shingles or doc_id. component_id is the smallest doc_id where the rows of one doc_id count as linked.
+    """
     texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     rows = materialize(_signed(texts), "signed")
     usable = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(usable.groupBy("high", "low").agg(F.min("doc_id").alias("doc")), "classes")
-    signed = usable.withColumnRenamed("doc_id", "doc").join(classes, ["high", "low", "doc"]).select("doc", "n_shingles", "signature")
+    least = usable.groupBy("high", "low").agg(F.min("doc_id").alias("first"))
+    # numbers rise over the ranges: the smallest node of a component has its smallest doc_id
+    least = least.repartitionByRange("first", "high", "low").sortWithinPartitions("first", "high", "low")
+    classes = materialize(least.withColumn("node", F.monotonically_increasing_id()), "classes")
+    signed = usable.withColumnRenamed("doc_id", "first").join(classes, ["high", "low", "first"]).select(F.col("node").alias("doc"), "n_shingles", "signature")
     signed = materialize(signed.dropDuplicates(["doc"]), "representatives")
     banded = _banded(signed)
     shared = banded.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("last")).where("centre <> last").select("bucket", "centre")
     members = materialize(banded.join(shared, "bucket"), "members")
-    candidates = materialize(members.select("doc").distinct(), "candidates")
-    sieve = Sieve(candidates, "doc")
+    candidates = materialize(members.select(F.col("doc").alias("node")).distinct().join(classes, "node"), "candidates")
+    sieve = Sieve(candidates, "first")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches(found, "text", 4 << 20):
             values, offsets = _sets(table)
+            digests = _digests(values, offsets)
             stored = [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([table.column("doc").combine_chunks(), pa.array(stored, pa.binary())], ["doc", "shingles"])
+            columns = [table.column("doc_id").combine_chunks(), *digests, pa.array(stored, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["first", "high", "low", "shingles"])
 
     # the sieve spares a shuffle of all texts; what it lets through is joined exactly
-    wanted = texts.withColumnRenamed("doc_id", "doc").where(sieve.passes("doc"))
-    sets = wanted.mapInArrow(run, "doc long, shingles binary").join(candidates, "doc", "left_semi")
+    wanted = texts.where(sieve.passes("doc_id")).mapInArrow(run, "first long, high long, low long, shingles binary")
+    sets = wanted.join(candidates, ["first", "high", "low"]).select(F.col("node").alias("doc"), "shingles")
     sets = materialize(sets.dropDuplicates(["doc"]), "sets")
 
     stars = members.where("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
@@ -345,26 +376,37 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
 
 
 def _labelled(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    owner: Column = F.coalesce("root", "doc", "doc_id")
-    return (
-        rows.select("doc_id", "n_shingles", "high", "low")
-        .join(classes, ["high", "low"], "left")
-        .join(roots.withColumnRenamed("node", "doc"), "doc", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), owner).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("kept", F.equal_null("doc_id", "component_id"))
-    )
-
-
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs of which near_duplicates() keeps the document, one for each repeated doc_id; all columns stay."""
-    labels = materialize(near_duplicates(docs, **options), "labels")
-    gone = labels.where(~F.col("kept")).select("doc_id").distinct()
-    again = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    odd = materialize(stacked(gone.withColumn("gone", F.lit(True)), again.withColumn("gone", F.lit(False))).groupBy("doc_id").agg(F.max("gone").alias("gone")), "odd")
+    owners = roots.join(classes.select(F.col("node").alias("root"), F.col("first").alias("owner")), "root").select("node", "root", "owner")
+    named = rows.select("doc_id", "n_shingles", "high", "low").join(classes, ["high", "low"], "left").join(owners, "node", "left")
+    usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    root, owner = (F.when(usable, F.coalesce(a, b)) for a, b in (("root", "node"), ("owner", "first")))
+    named = named.select("doc_id", "n_shingles", "high", "low", root.alias("root"), owner.alias("owner"), F.coalesce(owner, "doc_id").alias("component_id"))
+    digests = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("high", "low")])
+    several = materialize(digests.where("min_high <> max_high OR min_low <> max_low").select("doc_id"), "several")
+    if not several.take(1):
+        return named
+    # all components with one owner hold that doc_id, so owners stand for them
+    ties = named.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    tied = components(ties).select(F.col("node").alias("component_id"), F.col("root").alias("tie"))
+    return named.join(tied, "component_id", "left").withColumn("component_id", F.coalesce("tie", "component_id")).drop("tie")
+
+
+def deduplicated(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
+    """One row of docs of each group of equal or linked texts, under the group's smallest doc_id; all columns stay.
+
+    Rows of one doc_id whose texts are neither equal nor linked all stay, and so do rows with a null doc_id. A doc_id's
+    rows without shingles count as equal.
+    """
+    labels = materialize(_labels(docs, miss), "labels").where("doc_id IS NOT NULL")
+    counted = labels.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("owner") != F.col("doc_id")).alias("gone"))
+    odd = materialize(counted.where("n > 1 OR gone").select("doc_id", (F.col("n") > 1).alias("again")), "odd")
     # rows that the sieve does not know stay where they are; the others are joined exactly
     known = Sieve(odd, "doc_id").passes("doc_id")
     row = F.struct("*").alias("row")
-    doubtful = docs.where(known).select("doc_id", row).join(odd, "doc_id", "left").where(~F.coalesce("gone", F.lit(False)))
-    alone = doubtful.where("gone IS NULL").select("row.*")
-    repeated = doubtful.where("gone IS NOT NULL").groupBy("doc_id").agg(F.first("row").alias("row")).select("row.*")
+    doubtful = docs.where(known).select("doc_id", row).join(odd, "doc_id", "left")
+    alone = doubtful.where("again IS NULL").select("row.*")
+    # of a doc_id on several rows each text is judged by itself
+    kept = labels.where("owner IS NULL OR owner = doc_id").join(odd.where("again"), "doc_id", "left_semi").groupBy("doc_id", "root").agg(F.min(F.struct("high", "low")).alias("d")).select("doc_id", "d.*")
+    repeated = doubtful.where("again").withColumn("d", _digest(text_of(F.col("row")["text"]))).select("doc_id", "d.high", "d.low", "row")
+    repeated = repeated.join(kept, ["doc_id", "high", "low"]).groupBy("doc_id", "high", "low").agg(F.first("row").alias("row")).select("row.*")
     return stacked(docs.where(~known), alone, repeated)

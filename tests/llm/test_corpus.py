@@ -112,6 +112,20 @@ def test_deduplicated_keeps_columns(spark):
     assert ids == [-1, -1, 0, 1, 2, 3, 5, *([7] if brute_components([(r["doc_id"], r["text"]) for r in table.collect()])[0][7] == 7 else []), 9, 11, 12, 13]
 
 
+def test_texts_that_share_an_id(spark):
+    a, b, c, d, e, f = (drifting(1, 60, seed=n)[0] for n in range(20, 26))
+    near = lambda t: t + " more words"
+    rows = [(9, a), (9, b), (4, near(a)), (6, near(b)), (6, c), (7, c), (7, ""), (1, d), (1, near(d)), (1, d), (1, e), (2, ""), (2, None), (2, f), (3, near(f)), (None, a)]
+    table = fx.docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    expected, _ = brute_components(rows)
+    got = minhash.near_duplicates(table).collect()
+    assert len(got) == len(rows) and {i: expected[i] for i in (4, 6, 7, 9, 3)} == {4: 4, 6: 4, 7: 4, 9: 4, 3: 2}
+    assert all(r["component_id"] == expected.get(r["doc_id"]) and r["kept"] == (r["component_id"] == r["doc_id"]) for r in got)
+    left = Counter((r["doc_id"], r["text"] or "") for r in minhash.deduplicated(table).collect())
+    first = (1, d) if (1, d) in left else (1, near(d))
+    assert left == Counter([(4, near(a)), (6, near(b)), (6, c), (7, ""), first, (1, e), (2, ""), (2, f), (None, a)])
+
+
 def test_pruning_bounds():
     least = minhash.least_matches(1e-6)
     assert least == sorted(least) and 0 <= least[0] and least[-1] < minhash.HASHES * minhash.THRESHOLD
