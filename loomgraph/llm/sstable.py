@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.frames import stacked
 from loomgraph.llm.common import fresh_path, in_small_batches, materialize, partitions_for, range_bounds, range_index, slices, text_of
 from loomgraph.llm.tokens import encoder
 
@@ -210,8 +211,40 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
     return written.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def _numbers(file) -> tuple[int, int, int]:
+    """shard, entries and ids from the end of an open shard."""
+    file.seek(max(0, file.size() - _FOOTER.size))
+    *_, entries, ids, shard, mark = _FOOTER.unpack(file.read())
+    if mark != MARK:
+        raise ValueError("not a shard")
+    return shard, entries, ids
+
+
+def footers(spark, path: str) -> DataFrame:
+    """shard, n_docs and n_ids of every shard in path, from the ends of the files alone."""
+
+    def run(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        for batch in files:
+            found = []
+            for name in batch.column("name").to_pylist():
+                with store.open_input_file(f"{root}/{name}") as file:
+                    found.append(_numbers(file))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], ["shard", "n_docs", "n_ids"])
+
+    # without content in the plan the scan lists the files and reads none of them
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    return files.mapInArrow(run, "shard long, n_docs long, n_ids long")
+
+
 def read_shards(spark, path: str, shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every entry, from the files alone; start counts over all shards."""
+    """doc_id, start, n_tokens and ids_crc32 of every entry, from the files alone; start counts over all shards.
+
+    ValueError if the numbers in the footers are not those of shards, the table of write_shards(), so a lost or foreign
+    file cannot pass; a file whose entries are not as many as its footer says fails when it is read.
+    """
 
     def run(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in files:
@@ -224,12 +257,23 @@ def read_shards(spark, path: str, shards: DataFrame) -> DataFrame:
                     sizes.append(len(values))
                     sums.append(zlib.crc32(values.astype("<u4").tobytes()))
                     at += len(values)
+                if (len(ids), at) != (reader.entries, reader.ids):
+                    raise ValueError(f"shard {reader.shard} has {len(ids)} entries of {at} ids, its footer says {reader.entries} of {reader.ids}")
                 columns = [[reader.shard] * len(ids), ids, starts, sizes, sums]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
+    found = materialize(footers(spark, path), "footers")
+    numbers = ["shard", "n_docs", "n_ids"]
+    differ = stacked(found.select(*numbers, F.lit(1).alias("side")), shards.select(*numbers, F.lit(-1).alias("side"))).groupBy(*numbers).agg(F.sum("side").alias("side")).where("side <> 0")
+    wrong = sorted({r["shard"] for r in differ.select("shard").take(10)})
+    if wrong:
+        raise ValueError(f"files and table of shards differ, among others in shards {wrong}")
+    # one row for each shard, at most 100,000 (partitions_for)
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    bases = found.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path).select("content")
     rows = files.mapInArrow(run, "shard long, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(shards.select("shard", "start")), "shard").select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def look_up(spark, path: str, wanted: DataFrame) -> DataFrame:

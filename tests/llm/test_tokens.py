@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomgraph.llm import common, words
@@ -175,6 +176,20 @@ def test_shard_round_trip_and_look_up(spark, library, tmp_path):
     assert sum(r["doc_id"] == 9 for r in found) == 2 and not any(r["doc_id"] == 77 for r in found)
 
 
+def test_shards_are_counted_from_their_files(spark, tmp_path):
+    path = f"file://{tmp_path}/shards"
+    shards = write_shards(fx.awkward(spark), path)
+    rows = sorted(map(tuple, read_shards(spark, path, shards).collect()), key=repr)
+    assert sorted(map(tuple, read_shards(spark, path, shards.withColumn("start", F.lit(-7))).collect()), key=repr) == rows
+    with pytest.raises(ValueError, match="differ"):
+        read_shards(spark, path, shards.withColumn("n_ids", F.col("n_ids") + 1))
+    files = sorted((tmp_path / "shards").glob("*.sst"))
+    assert len(files) > 1
+    files[0].unlink()
+    with pytest.raises(ValueError, match="differ"):
+        read_shards(spark, path, shards)
+
+
 def test_shard_format():
     import io
 
