@@ -106,10 +106,11 @@ def pairwise_prf(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
 def sweep(hits: DataFrame, relevant: DataFrame, grid: DataFrame, k: int) -> DataFrame:
     """Means of the metrics for every setting of grid (graph_boost, title_boost, top_k), from one retrieval.
 
-    hits: query_id, item, base (fused score), g and t (boosts at weight 1), rank. All settings are evaluated in one job; grid
-    is a small table of settings.
+    hits: query_id, item, base (fused score), g and t (boosts at weight 1), rank. All settings of grid are evaluated in one
+    job; a grid of up to 10,000 is broadcast, a larger one is joined without.
     """
-    rows = hits.join(F.broadcast(grid.limit(10_000)), F.col("rank") <= F.col("top_k"))
+    few = grid.limit(10_001).count() <= 10_000
+    rows = hits.join(F.broadcast(grid) if few else grid, F.col("rank") <= F.col("top_k"))
     setting = ["graph_boost", "title_boost", "top_k"]
     score = F.round(F.col("base") * (1 + F.col("graph_boost") * F.col("g") + F.col("title_boost") * F.col("t")), 12)
     case = F.concat_ws("|", *setting, "query_id")
