@@ -130,8 +130,24 @@ def _table(data: memoryview, start: int, end: int, width: int, kind: str = ">u4"
     return np.frombuffer(data, kind, n * width, start + 8 + skip).astype(np.int64).reshape(n, width)
 
 
+def _compact(data: memoryview, start: int, end: int) -> np.ndarray:
+    """The sizes of a stz2 table: 4, 8 or 16 bits each, of 4 bits the upper ones first."""
+    bits, n = data[start + 7], struct.unpack_from(">I", data, start + 8)[0]
+    if bits not in (4, 8, 16):
+        raise MediaError(f"compact sizes of {bits} bits")
+    if start + 12 + (n * bits + 7) // 8 > end:
+        raise MediaError("a table is cut off")
+    if bits == 16:
+        return np.frombuffer(data, ">u2", n, start + 12).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8, (n * bits + 7) // 8, start + 12)
+    return (raw if bits == 8 else np.stack((raw >> 4, raw & 15), axis=1).ravel()[:n]).astype(np.int64)
+
+
 def probe(media: bytes) -> list[Track]:
-    """The tracks of a container, from its boxes and tables alone; MediaError if they contradict themselves."""
+    """The tracks of a container, from its boxes and tables alone; MediaError if they contradict themselves.
+
+    Units of fragments (moof) are not decoded: such a file is a MediaError, too.
+    """
     data, tracks = memoryview(media), []
 
     def walk(start: int, end: int, track: Track | None, found: dict) -> None:
@@ -141,6 +157,8 @@ def probe(media: bytes) -> list[Track]:
                 walk(a, b, own, tables)
                 _place(own, tables)
                 tracks.append(own)
+            elif kind == b"moof":
+                raise MediaError("units in fragments (moof) are not decoded")
             elif kind in CONTAINERS:
                 walk(a, b, track, found)
             elif track is None:
@@ -160,6 +178,9 @@ def probe(media: bytes) -> list[Track]:
             elif kind == b"stsz":
                 one, n = struct.unpack_from(">II", data, a + 4)
                 found["stsz"] = (one, n) if one else (_table(data, a, b, 1, skip=4)[:, 0], n)
+            elif kind == b"stz2":
+                sizes = _compact(data, a, b)
+                found["stsz"] = (sizes, len(sizes))
             elif kind in (b"stco", b"co64"):
                 found["stco"] = _table(data, a, b, 1, ">u4" if kind == b"stco" else ">u8")[:, 0]
 
@@ -223,11 +244,11 @@ def media_column(text: Column) -> Column:
     return run(text_of(text))
 
 
-INFO = "codec string, timescale long, duration long, units long, keyframes array<struct<offset:long,length:long>>, error string"
+INFO = "codec string, timescale long, duration long, units long, keyframes array<struct<offset:long,length:long>>, error string, tracks array<struct<codec:string,timescale:long,duration:long,units:long,keyframes:array<struct<offset:long,length:long>>>>"
 
 
 def media_info(df: DataFrame, column: str = "media") -> DataFrame:
-    """Adds a struct `info` of INFO: the first track's codec, duration (in timescale) and keyframe byte ranges.
+    """Adds a struct `info` of INFO: the first track's codec, duration (in timescale) and keyframe byte ranges, and tracks with these of each.
 
     Only boxes and tables are read. Null or damaged bytes give a struct with the error and null in the rest;
     repeated rows each count; other columns stay.
@@ -242,12 +263,13 @@ def media_info(df: DataFrame, column: str = "media") -> DataFrame:
                 out.append({"error": "null"})
                 continue
             try:
-                t = probe(x.as_buffer())[0]
-                out.append({"codec": t.codec, "timescale": t.timescale, "duration": t.duration, "units": t.units, "keyframes": [{"offset": a, "length": b} for a, b in t.keyframes()]})
+                tracks = [{"codec": t.codec, "timescale": t.timescale, "duration": t.duration, "units": t.units, "keyframes": [{"offset": a, "length": b} for a, b in t.keyframes()]} for t in probe(x.as_buffer())]
+                out.append({**tracks[0], "tracks": tracks})
             except MediaError as e:
                 out.append({"error": str(e)})
         ranges = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
-        return pa.array(out, pa.struct([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("units", pa.int64()), ("keyframes", ranges), ("error", pa.string())]))
+        fields = [("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("units", pa.int64()), ("keyframes", ranges)]
+        return pa.array(out, pa.struct([*fields, ("error", pa.string()), ("tracks", pa.list_(pa.struct(fields)))]))
 
     return df.withColumn("info", run(F.col(column)))
 

@@ -73,6 +73,26 @@ def test_media_info_reports_damage(spark):
     assert all(got[k]["error"] and got[k]["codec"] is None for k in (2, 3, 4, 5))
 
 
+def test_media_info_of_all_tracks_and_compact_sizes(spark):
+    import struct
+
+    box, full = media._box, media._full
+
+    def trak(codec, sizes, start):
+        table = box(b"stbl", full(b"stsd", 0, 0, struct.pack(">I", 1), box(codec, bytes(78))), full(b"stsc", 0, 0, struct.pack(">I3I", 1, 1, 3, 1)), full(b"stz2", 0, 0, sizes), full(b"stco", 0, 0, struct.pack(">2I", 1, start)))
+        return box(b"trak", box(b"mdia", full(b"mdhd", 0, 0, struct.pack(">IIII", 0, 0, 600, 30)), box(b"minf", table)))
+
+    head = lambda bits: struct.pack(">II", bits, 3)
+    kinds = {4: b"\x42\x60", 8: bytes([4, 2, 6]), 16: struct.pack(">3H", 4, 2, 6)}
+    stored = box(b"moov", *[trak(b"avc%d" % bits, head(bits) + raw, 1000 * bits) for bits, raw in kinds.items()])
+    plain = media.mux(b"x" * 192)
+    rows = spark.createDataFrame([(1, bytearray(stored)), (2, bytearray(plain + box(b"moof", box(b"traf"))))], "k int, media binary")
+    got = {r["k"]: r["info"] for r in media.media_info(rows).collect()}
+    assert [(t["codec"], t["units"], [tuple(k) for k in t["keyframes"]]) for t in got[1]["tracks"]] == [(f"avc{b}"[:4], 3, [(1000 * b, 4), (1000 * b + 4, 2), (1000 * b + 6, 6)]) for b in kinds]
+    assert got[1]["codec"] == "avc4" and got[1]["error"] is None
+    assert "moof" in got[2]["error"] and got[2]["units"] is None and got[2]["tracks"] is None
+
+
 def test_targets_are_water_filling(spark):
     rng = np.random.default_rng(8)
     for sizes in ([100, 5, 50], [10, 10, 10, 10], [1000, 1], [7], [0, 0], [0, 9], rng.integers(0, 500, 23).tolist()):
