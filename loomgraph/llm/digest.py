@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import batches, in_small_batches, partitions_for, range_bounds, text_of, utf8
+from loomgraph.llm.common import batches, in_small_batches, partitions_for, range_bounds, range_index, spot_of, text_of, utf8
 
 BUCKETS = 256
 #: Places of a triplet's bytes in the window that starts at its first byte.
@@ -110,35 +110,38 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint against that of its edited text and of the next document.
 
     The edited text is the text with its last floor(n / 2) characters replaced by the first as many (or
-    all) of the next document; next is by ascending doc_id (null first, equal ids by text), after the
-    last comes the first. Null text is empty; a single row is its own next; repeated rows each count; other
-    columns are not read; no rows give no rows.
+    all) of the next document; next is by ascending doc_id (null first, equal ids by a hash of the text, then by text), after the
+    last comes the first. Null text is empty; a very long text is held whole, with its neighbour; a single row is its own next;
+    repeated rows each count; other columns are not read; no rows give no rows.
 
-    The rows are dealt once into ranges of doc_id. The row that starts a range goes to the range before it
-    as well, so every next document lies in its neighbour's partition and rows stream through in order.
+    The rows are dealt once into ranges of doc_id; an id that fills several ranges is dealt out over these. The row that
+    starts a range goes to the range before it as well, so every next document lies in its neighbour's partition and
+    rows stream through in order.
     """
     rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
-    parts = partitions_for(docs, 24)
-    bounds = range_bounds(rows, "doc_id", parts)
-    known = rows.agg(F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    held = np.asarray(bounds, np.int64)
+    bounds = range_bounds(rows, "doc_id", partitions_for(docs, 24))
+    rows = rows.withColumn("spot", spot_of(F.col("text")))
+    at = rows.withColumn("part", range_index(bounds, "doc_id", "spot"))
+    # one row for each range: its first document
+    firsts = at.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0)).alias("id"), "spot")).alias("first")).select("part", "first.*").collect()
+    if not firsts:
+        return docs.sparkSession.createDataFrame([], EDITED)
+    firsts.sort()
+    starts = {r["part"]: (r["named"], r["id"], r["spot"], before["part"]) for before, r in zip([firsts[-1], *firsts[:-1]], firsts, strict=True)}
+    held = np.array([starts.get(p, (False, 0, -1, -1)) for p in range(len(bounds) + 1)], np.int64)
 
     @F.arrow_udf(T.IntegerType())
-    def place(keys: pa.Array) -> pa.Array:
-        """Twice the range's number, and one more where the row starts it."""
-        values = keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-        own = np.searchsorted(held, values, "right")
-        starts = (own > 0) & (held[np.maximum(own - 1, 0)] == values) if len(held) else np.zeros(len(values), bool)
-        return pa.array((2 * own + starts).astype(np.int32))
-
-    at = rows.withColumn("at", place("doc_id"))
-    own = F.struct(F.shiftright("at", 1).alias("part"), F.lit(0).alias("ahead"))
-    before = F.struct((F.shiftright("at", 1) - 1).alias("part"), F.lit(1).alias("ahead"))
-    first = F.struct(F.lit(len(bounds)).alias("part"), F.lit(2).alias("ahead"))
-    is_first = F.col("doc_id").isNull() if known["nulls"] else F.col("doc_id").eqNullSafe(F.lit(known["low"]))
-    places = F.concat(F.array(own), F.when(F.col("at") % 2 == 1, F.array(before)).otherwise(F.array().cast("array<struct<part:int,ahead:int>>")), F.when(is_first, F.array(first)).otherwise(F.array().cast("array<struct<part:int,ahead:int>>")))
-    dealt = at.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.part", "p.ahead")
-    dealt = dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "text")
+    def before(part: pa.Array, ids: pa.Array, spot: pa.Array) -> pa.Array:
+        """The range before a row's, if the row starts its range."""
+        own = held[part.to_numpy(zero_copy_only=False)]
+        named = ids.is_valid().to_numpy(zero_copy_only=False)
+        starts = (own[:, 0] == named) & (own[:, 1] == ids.fill_null(0).to_numpy(zero_copy_only=False)) & (own[:, 2] == spot.to_numpy(zero_copy_only=False))
+        return pa.array(own[:, 3].astype(np.int32), mask=~starts)
+
+    place = lambda part, ahead: F.struct(part.alias("part"), F.lit(ahead).alias("ahead"))
+    places = F.array_compact(F.array(place(F.col("part"), 0), F.when(F.col("before").isNotNull(), place(F.col("before"), 1))))
+    dealt = at.withColumn("before", before("part", "doc_id", "spot")).select("doc_id", "text", "spot", F.explode(places).alias("p")).select("doc_id", "text", "spot", "p.part", "p.ahead")
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "spot", "text")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None

@@ -27,10 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.frames import stacked
-from loomgraph.llm.common import fresh_path, in_small_batches, materialize, partitions_for, range_bounds, range_index, slices, text_of
+from loomgraph.llm.common import fresh_path, in_small_batches, materialize, partitions_for, range_bounds, range_index, slices, spot_of, text_of
 from loomgraph.llm.tokens import encoder
 
 BLOCK, MARK = 32 << 10, b"LOOMSST1"
+#: A task begins a new file beyond so many bytes, so that no file grows with the input.
+FILE_BYTES = 128 << 20
+_FILES_BITS = 24
 _FOOTER = struct.Struct("<QQQQQQQ8s")
 _BITS, _PROBES = 10, 7
 
@@ -169,46 +172,60 @@ class Reader:
         return [ids for k in range(first, last) for found, ids in self.block(k) if found == key]
 
 
-def write_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encodes every whole text, appends end_id, and writes shards in ascending doc_id order to path.
 
     Returns one row per shard: shard, file, n_docs, n_ids, and start (ids in all shards before it). Null
-    text is empty (only the end id is written), null doc_id comes first, equal ids stand in the order of
-    their texts; repeated rows are entries of their own; other columns are not read; an empty table gives
-    no shards. path is any URI that pyarrow.fs writes from executors. A task writes under a name of its own and then
-    renames, so a repeated or doubled attempt leaves the same file.
+    text is empty (only the end id is written), null doc_id comes first, equal ids stand in the order of a hash of
+    their texts, then of the texts; repeated rows are entries of their own; other columns are not read; an empty table gives
+    no shards. A task writes file after file of about file_bytes (a longer text has one of its own), and the rows of one id
+    that fills several ranges are dealt out over these. path is any URI that pyarrow.fs writes from executors. A task writes
+    under a name of its own and then renames, so a repeated or doubled attempt leaves the same files.
     """
     rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     bounds = range_bounds(rows, "doc_id", partitions_for(docs, 24))
-    dealt = rows.withColumn("shard", range_index(bounds, F.col("doc_id"))).repartitionById(len(bounds) + 1, F.col("shard"))
-    dealt = dealt.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.withColumn("spot", spot_of(F.col("text")))
+    dealt = rows.withColumn("range", range_index(bounds, "doc_id", "spot")).repartitionById(len(bounds) + 1, F.col("range"))
+    dealt = dealt.sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "spot", "text").drop("spot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        own, store, writer = encoder(vocabulary), None, None
+        own, store, writer, done = encoder(vocabulary), None, None, 0
         end = np.array([end_id], np.uint32)
+
+        def close() -> pa.RecordBatch:
+            writer.finish()
+            out.close()
+            store.move(part, name)
+            columns = [[writer.shard], [name.rpartition("/")[2]], [writer.entries], [writer.ids]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "file", "n_docs", "n_ids"])
+
         for batch in slices(batches):
-            shards = batch.column("shard").to_pylist()
-            for shard, doc_id, text in zip(shards, batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            ranges = batch.column("range").to_pylist()
+            for number, doc_id, text in zip(ranges, batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if writer is not None and writer.at + len(writer.block) >= file_bytes:
+                    yield close()
+                    writer, done = None, done + 1
                 if writer is None:
                     store, root = fs.FileSystem.from_uri(path)
                     store.create_dir(root, recursive=True)
-                    name, part = f"{root}/shard-{shard:06d}.sst", f"{root}/_part-{uuid.uuid4().hex}"
+                    name, part = f"{root}/shard-{number:06d}-{done:06d}.sst", f"{root}/_part-{uuid.uuid4().hex}"
                     out = store.open_output_stream(part)
-                    writer = Writer(out, shard)
+                    writer = Writer(out, (number << _FILES_BITS) + done)
                 writer.add(doc_id, np.concatenate([own.ids(text), end]))
         if writer is not None:
-            writer.finish()
-            out.close()
-            store.move(part, name)
-            columns = [[writer.shard], [name.rpartition("/")[2]], [writer.entries], [writer.ids]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "file", "n_docs", "n_ids"])
+            yield close()
+
+    # one narrow row for each file, brought together in a few
+    written = materialize(dealt.mapInArrow(run, "shard long, file string, n_docs long, n_ids long").repartition(4), "shards")
+    return _started(written)
+
 
-    written = materialize(dealt.mapInArrow(run, "shard long, file string, n_docs long, n_ids long"), "shards")
-    # one row for each shard, at most 100,000 (partitions_for)
+def _started(shards: DataFrame) -> DataFrame:
+    """shards (shard, n_ids) with start; there is one narrow row for each file."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return written.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
 def _numbers(file) -> tuple[int, int, int]:
@@ -236,14 +253,15 @@ def footers(spark, path: str) -> DataFrame:
 
     # without content in the plan the scan lists the files and reads none of them
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"))
-    return files.mapInArrow(run, "shard long, n_docs long, n_ids long")
+    return files.mapInArrow(run, "shard long, n_docs long, n_ids long").repartition(4)
 
 
 def read_shards(spark, path: str, shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every entry, from the files alone; start counts over all shards.
 
     ValueError if the numbers in the footers are not those of shards, the table of write_shards(), so a lost or foreign
-    file cannot pass; a file whose entries are not as many as its footer says fails when it is read.
+    file cannot pass; a file whose entries are not as many as its footer says fails when it is read. Null ids, repeated rows
+    and very long texts come back as they were written; shards without rows give no rows.
     """
 
     def run(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,16 +286,18 @@ def read_shards(spark, path: str, shards: DataFrame) -> DataFrame:
     wrong = sorted({r["shard"] for r in differ.select("shard").take(10)})
     if wrong:
         raise ValueError(f"files and table of shards differ, among others in shards {wrong}")
-    # one row for each shard, at most 100,000 (partitions_for)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = found.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
+    bases = _started(found).select("shard", "start")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path).select("content")
     rows = files.mapInArrow(run, "shard long, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def look_up(spark, path: str, wanted: DataFrame) -> DataFrame:
-    """doc_id and ids of those entries whose doc_id stands in wanted (a bounded list of ids goes to every file's reader)."""
+    """doc_id and ids of those entries whose doc_id stands in wanted (a bounded list of ids goes to every file's reader).
+
+    A null doc_id finds the entries without one; an id on several rows gives each of them, an id that is not there none; repeated
+    ids in wanted count once, other columns of it are not read; no ids or no files give no rows; ids of a very long text are one value.
+    """
     ids = [r["doc_id"] for r in wanted.select("doc_id").distinct().limit(100_001).collect()]
     if len(ids) > 100_000:
         raise ValueError("ask for at most 100,000 ids at once, or join read_shards()")
@@ -294,7 +314,7 @@ def look_up(spark, path: str, wanted: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, **options) -> DataFrame:
-    """Writes docs as shards into the shared folder and returns what read_shards() finds there."""
+    """Writes docs as shards into the shared folder and returns what read_shards() finds there; see write_shards() for nulls, ties and the like."""
     spark = docs.sparkSession
     path = fresh_path(spark, "sst")
     shards = write_shards(docs, path, **options)
