@@ -78,10 +78,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(hashes), out
 
 
-def hash_of(word: str) -> int:
-    """The hash of one word alone, for symbols that stand beside the words of a text."""
-    raw = np.frombuffer(word.encode(), np.uint8)
-    return int(word_hashes(raw, np.array([0, len(raw)]))[0][0])
+def hash_of(symbol: str) -> int:
+    """The hash of a symbol that stands beside the words of a text; it may hold spaces, which no word does."""
+    raw = np.frombuffer(symbol.encode(), np.uint8)
+    return int(mix(np.array([np.sum(_VALUES[raw] * _power_table(len(raw))[0][: len(raw)])]))[0])
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
