@@ -13,8 +13,9 @@ Documents are sets of distinct five-word shingles; two are linked where 100 * in
    still hold several components are put together by their most frequent component, so that a document comes
    once and not with each band, and are looked at in blocks of bounded size. Inside a block the documents outside
    that component meet all others: again signature batches first, then full sets. A block gives only the
-   links that join components, never its pairs, so nothing grows with the square of a group, and no link between
-   different components is lost to the star of step 3.
+   links that join components, never its pairs, and no link between different components is lost to the star of step 3.
+   What a block compares are pairs, so this step takes time (not space) by the square of the documents of open buckets that
+   lie outside the frequent component: of groups that share a bucket and are yet not linked, as texts around a common passage.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.frames import stacked
-from loomgraph.llm.common import Sieve, batches, in_small_batches, materialize, text_of, trim, utf8
+from loomgraph.llm.common import Sieve, batches, files_for, grouped, in_small_batches, looked_up, materialize, release, text_of, trim, utf8
 from loomgraph.llm.words import mix, shingles, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.75
@@ -36,7 +37,7 @@ BANDS, ROWS = 32, 3
 HASHES = BANDS * ROWS
 STEPS = (16, 32, 64, HASHES)
 #: A block holds at most so many documents and about so many shingles.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
+BLOCK, BLOCK_SHINGLES = 512, 1 << 22
 _random = np.random.Generator(np.random.PCG64(97))
 _A = _random.integers(1, 2**64, HASHES, np.uint64, endpoint=False) | np.uint64(1)
 _B = _random.integers(0, 2**64, HASHES, np.uint64, endpoint=False)
@@ -191,14 +192,14 @@ def _verified(pairs: DataFrame, signed: DataFrame, sets: DataFrame, miss: float)
     return both(pruned, sets, "shingles", ("va", "vb")).mapInArrow(confirm, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """node and root (the smallest node reachable) of every node of the links (a, b), by large and small stars.
 
     Each round hangs every node's larger neighbours on its smallest neighbour, then its smaller ones; rounds go on
     until nothing changes (about the logarithm of the longest chain). Each round is a written table.
     """
     mark = F.struct(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("h")).alias("mark")
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", files)
     seen = edges.agg(mark).first()["mark"]
     while seen["n"]:
         sides = stacked(edges, edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -206,8 +207,9 @@ def components(links: DataFrame) -> DataFrame:
         large = sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialize(stacked(small, low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        old, edges = edges, materialize(stacked(small, low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges", files)
         now = edges.agg(mark).first()["mark"]
+        release(old)
         if now == seen:
             break
         seen = now
@@ -263,27 +265,7 @@ def _joins(group: pa.Table, least: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _groups(found: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Rows that lie together and agree in the columns named, a table for each group."""
-    held: list[pa.RecordBatch] = []
-    key = None
-    for batch in found:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
-        start = 0
-        for i, k in enumerate(keys):
-            if k != key:
-                if i > start:
-                    held.append(batch.slice(start, i - start))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, start, key = [], i, k
-        if len(keys) > start:
-            held.append(batch.slice(start))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _open_links(members: DataFrame, roots: DataFrame, signed: DataFrame, sets: DataFrame, miss: float) -> DataFrame:
+def _open_links(members: DataFrame, roots: DataFrame, signed: DataFrame, sets: DataFrame, miss: float, files: int) -> DataFrame:
     """Links a, b between components that share a bucket.
 
     key is the most frequent component of a bucket (the smallest of those); documents of key itself, which are linked
@@ -293,17 +275,18 @@ def _open_links(members: DataFrame, roots: DataFrame, signed: DataFrame, sets: D
     known = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
     held = known.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = held.groupBy("bucket").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("key"), F.count("*").alias("roots")).where("roots > 1")
-    rows = known.join(mixed.select("bucket", "key"), "bucket").select("key", "doc", "root").distinct()
-    rows = materialize(rows.join(signed.select("doc", "n_shingles"), "doc"), "open")
+    mixed = materialize(mixed.select("bucket", "key"), "mixed", files)
+    rows = looked_up(known, mixed, "bucket").select("key", "doc", "root").distinct()
+    rows = materialize(rows.join(signed.select("doc", "n_shingles"), "doc"), "open", files)
     is_key = F.col("root") == F.col("key")
 
     def blocks(which: Column) -> Column:
         count, size = F.count_if(which), F.coalesce(F.sum(F.when(which, F.col("n_shingles"))), F.lit(0))
         return F.greatest(F.lit(1), F.ceil(count / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
 
-    sizes = rows.groupBy("key").agg(blocks(is_key).alias("n_key"), blocks(~is_key).alias("n_rest"))
+    sizes = materialize(rows.groupBy("key").agg(blocks(is_key).alias("n_key"), blocks(~is_key).alias("n_rest")), "sizes", files)
     lot = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
-    rows = rows.join(sizes, "key").withColumn("own", F.when(is_key, F.col("n_rest") + lot("n_key")).otherwise(lot("n_rest")))
+    rows = looked_up(rows, sizes, "key").withColumn("own", F.when(is_key, F.col("n_rest") + lot("n_key")).otherwise(lot("n_rest")))
     last = F.when(is_key, F.col("n_rest") - 1).otherwise(F.col("n_rest") + F.col("n_key") - 1)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc", "root")
@@ -311,7 +294,7 @@ def _open_links(members: DataFrame, roots: DataFrame, signed: DataFrame, sets: D
     dealt = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "doc")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(found, ("key", "x", "y")):
+        for group in grouped(found, ("key", "x", "y")):
             out = _joins(group, least)
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
         trim()
@@ -339,55 +322,59 @@ def _labels(docs: DataFrame, miss: float) -> DataFrame:
     without shingles or doc_id. component_id is the smallest doc_id where the rows of one doc_id count as linked.
     """
     texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
-    rows = materialize(_signed(texts), "signed")
+    files = files_for(docs)
+    rows = materialize(_signed(texts), "signed", files)
     usable = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     least = usable.groupBy("high", "low").agg(F.min("doc_id").alias("first"))
     # numbers rise over the ranges: the smallest node of a component has its smallest doc_id
     least = least.repartitionByRange("first", "high", "low").sortWithinPartitions("first", "high", "low")
-    classes = materialize(least.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = materialize(least.withColumn("node", F.monotonically_increasing_id()), "classes", files)
     signed = usable.withColumnRenamed("doc_id", "first").join(classes, ["high", "low", "first"]).select(F.col("node").alias("doc"), "n_shingles", "signature")
-    signed = materialize(signed.dropDuplicates(["doc"]), "representatives")
+    signed = materialize(signed.dropDuplicates(["doc"]), "representatives", files)
     banded = _banded(signed)
     shared = banded.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("last")).where("centre <> last").select("bucket", "centre")
-    members = materialize(banded.join(shared, "bucket"), "members")
-    candidates = materialize(members.select(F.col("doc").alias("node")).distinct().join(classes, "node"), "candidates")
-    sieve = Sieve(candidates, "first")
+    shared = materialize(shared, "shared", files)
+    members = materialize(looked_up(banded, shared, "bucket"), "members", files)
+    release(shared)
+    candidates = materialize(members.select(F.col("doc").alias("node")).distinct().join(classes, "node"), "candidates", files)
+    passes = Sieve(candidates, "first").test()
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(found, "text", 4 << 20):
+        for table in batches((b.filter(passes(b.column("place"))) for b in found), "text", 4 << 20):
             values, offsets = _sets(table)
             digests = _digests(values, offsets)
             stored = [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             columns = [table.column("doc_id").combine_chunks(), *digests, pa.array(stored, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["first", "high", "low", "shingles"])
 
-    # the sieve spares a shuffle of all texts; what it lets through is joined exactly
-    wanted = texts.where(sieve.passes("doc_id")).mapInArrow(run, "first long, high long, low long, shingles binary")
+    # the sieve spares a shuffle of all texts; what it lets through is joined exactly. One Python worker does both
+    wanted = texts.where("doc_id IS NOT NULL").withColumn("place", Sieve.place("doc_id")).mapInArrow(run, "first long, high long, low long, shingles binary")
     sets = wanted.join(candidates, ["first", "high", "low"]).select(F.col("node").alias("doc"), "shingles")
-    sets = materialize(sets.dropDuplicates(["doc"]), "sets")
+    sets = materialize(sets.dropDuplicates(["doc"]), "sets", files)
 
     stars = members.where("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
-    links = materialize(_verified(stars, signed, sets, miss), "links")
-    roots = components(links)
-    more = materialize(_open_links(members, roots, signed, sets, miss), "links")
+    links = materialize(_verified(stars, signed, sets, miss), "links", files)
+    roots = components(links, files)
+    more = materialize(_open_links(members, roots, signed, sets, miss, files), "links", files)
     if more.take(1):
-        roots = components(stacked(links, more))
-    return _labelled(rows, classes, roots)
+        roots = components(stacked(links, more), files)
+    release(members, candidates, signed, sets, links, more)
+    return _labelled(rows, classes, roots, files)
 
 
-def _labelled(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, classes: DataFrame, roots: DataFrame, files: int) -> DataFrame:
     owners = roots.join(classes.select(F.col("node").alias("root"), F.col("first").alias("owner")), "root").select("node", "root", "owner")
     named = rows.select("doc_id", "n_shingles", "high", "low").join(classes, ["high", "low"], "left").join(owners, "node", "left")
     usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     root, owner = (F.when(usable, F.coalesce(a, b)) for a, b in (("root", "node"), ("owner", "first")))
     named = named.select("doc_id", "n_shingles", "high", "low", root.alias("root"), owner.alias("owner"), F.coalesce(owner, "doc_id").alias("component_id"))
     digests = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("high", "low")])
-    several = materialize(digests.where("min_high <> max_high OR min_low <> max_low").select("doc_id"), "several")
+    several = materialize(digests.where("min_high <> max_high OR min_low <> max_low").select("doc_id"), "several", files)
     if not several.take(1):
         return named
     # all components with one owner hold that doc_id, so owners stand for them
     ties = named.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    tied = components(ties).select(F.col("node").alias("component_id"), F.col("root").alias("tie"))
+    tied = components(ties, files).select(F.col("node").alias("component_id"), F.col("root").alias("tie"))
     return named.join(tied, "component_id", "left").withColumn("component_id", F.coalesce("tie", "component_id")).drop("tie")
 
 
@@ -397,9 +384,10 @@ def deduplicated(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     Rows of one doc_id whose texts are neither equal nor linked all stay, and so do rows with a null doc_id. A doc_id's
     rows without shingles count as equal.
     """
-    labels = materialize(_labels(docs, miss), "labels").where("doc_id IS NOT NULL")
+    files = files_for(docs)
+    labels = materialize(_labels(docs, miss), "labels", files).where("doc_id IS NOT NULL")
     counted = labels.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("owner") != F.col("doc_id")).alias("gone"))
-    odd = materialize(counted.where("n > 1 OR gone").select("doc_id", (F.col("n") > 1).alias("again")), "odd")
+    odd = materialize(counted.where("n > 1 OR gone").select("doc_id", (F.col("n") > 1).alias("again")), "odd", files)
     # rows that the sieve does not know stay where they are; the others are joined exactly
     known = Sieve(odd, "doc_id").passes("doc_id")
     row = F.struct("*").alias("row")
