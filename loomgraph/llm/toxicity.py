@@ -1,10 +1,11 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 Features of a text: densities of lexicon words, their nearness to the second person, capitals, punctuation and
-obfuscation. The lexicon holds a few common insults and what the training labels teach: words and word stems that
-toxic documents hold and others do not, whatever the language. Neither labels nor lang, source or doc_id is a
+obfuscation. The lexicon is what the training labels teach: words and word stems that toxic documents hold and
+others do not, whatever the language; a caller may add words of their own. Neither labels nor lang, source or doc_id is a
 feature. The lexicon, the trees and the calibration learn from a bounded sample of the labelled training rows
-(`most_each` of either label, the smallest by a hash of the id; weights restore the true shares). The lexicon
+(`most_each` of either label, the smallest by a hash of the id; weights restore the true shares). Words are counted and
+features computed on the executors; the driver gets the words that the lexicons hold and the sample's numbers. The lexicon
 features of a training row come from the lexicon of the other folds, the calibration from their trees.
 """
 
@@ -13,21 +14,20 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Container
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.frames import stacked
 from loomgraph.llm.boosting import Trees, fit_isotonic, fit_trees
-from loomgraph.llm.common import fold_of, in_small_batches, text_of, trim
+from loomgraph.llm.common import fold_of, in_small_batches, materialize, release, slices, text_of, trim
 
-# fixed values: common insults, and second-person words of English, German, French and Spanish
-INSULTS = "asshole bastard bitch clown disgusting dumb fool garbage idiot jerk liar loser moron pathetic scum shit stupid trash ugly worthless".split()
+# fixed values: second-person words of English, German, French and Spanish
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch euer sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros vuestro tus".split()
 #: Characters that stand for letters in obfuscated words (fixed values).
 DISGUISES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
@@ -35,10 +35,10 @@ DISGUISES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a
 STEMS = range(3, 7)
 FOLDS = 5
 LEAST, LEAST_SHARE, LEAST_ODDS = 3, 0.01, 2.5
-#: Log odds of a common insult that the training texts hold too seldom to say otherwise.
-PRIOR = 4.0
+#: Log odds from which a word is a strong one; a caller's word that the training texts hold too seldom to say otherwise has these.
+STRONG = 4.0
 NEAR = 5
-FEATURES = ["max_weight", "hit_density", "weight_density", "hits", "distinct_hits", "insult_density", "near_second_person", "hidden_hits", "obfuscated", "words", "capitals", "shouted", "marks", "mark_runs", "repeats"]
+FEATURES = ["max_weight", "hit_density", "weight_density", "hits", "distinct_hits", "strong_density", "near_second_person", "hidden_hits", "obfuscated", "words", "capitals", "shouted", "marks", "mark_runs", "repeats"]
 
 _EDGES = re.compile(r"^[^\w@$€*]+|[^\w@$€*]+$")
 _DISGUISED = str.maketrans(DISGUISES)
@@ -62,41 +62,66 @@ def _keys(word: str) -> list[str]:
     return ["=" + word, *(word[:n] for n in STEMS if n < len(word))]
 
 
-def count_keys(texts: list[str], wanted: Container[str] | None = None) -> Counter:
-    """In how many texts each word and stem stands; only those wanted, if given."""
+def count_keys(texts: list[str]) -> Counter:
+    """In how many texts each word and stem stands."""
     out: Counter = Counter()
     for text in texts:
         words = {bare if (bare := w.lower().strip(".,!?;:\"()")).isalpha() else normal(w)[0] for w in set(text.split())}
-        keys = {k for w in words if w for k in _keys(w)}
-        out.update(keys if wanted is None else [k for k in keys if k in wanted])
+        out.update({k for w in words if w for k in _keys(w)})
     return out
 
 
+def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, toxic, fold and n: how many texts of a batch hold each key."""
+    for batch in slices(rows):
+        cells = list(zip(batch.column("toxic").to_pylist(), batch.column("fold").to_pylist(), strict=True))
+        texts = batch.column("text").to_pylist()
+        for cell in sorted(set(cells)):
+            found = count_keys([t for t, c in zip(texts, cells, strict=True) if c == cell])
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([cell[0]] * n, pa.int32()), pa.array([cell[1]] * n, pa.int32()), pa.array(list(found.values()), pa.int64())], ["key", "toxic", "fold", "n"])
+
+
 class Lexicons:
-    """Counts of words and stems by fold and label, from which the lexicon of all folds, or of all but one, follows."""
-
-    def __init__(self, texts: list[str], y: np.ndarray, fold: np.ndarray):
-        self.sizes = np.array([[int(((y == label) & (fold == k)).sum()) for label in (0, 1)] for k in range(FOLDS)])
-        pick = lambda label, k: [t for t, v, f in zip(texts, y.tolist(), fold.tolist(), strict=True) if v == label and f == k]
-        self.toxic = [count_keys(pick(1, k)) for k in range(FOLDS)]
-        every: Counter = Counter()
-        for c in self.toxic:
-            every.update(c)
-        self.all = {k: n for k, n in every.items() if n >= LEAST} | {"=" + w: every["=" + w] for w in INSULTS}
-        self.clean = [count_keys(pick(0, k), self.all) for k in range(FOLDS)]
+    """Counts of words and stems by fold and label, from which the lexicon of all folds, or of all but one, follows.
+
+    sample: text, toxic and fold. Only keys that stand in some lexicon, or are asked for by words, come to the driver.
+    """
+
+    def __init__(self, sample: DataFrame, words: Sequence[str] = ()):
+        self.words = {"=" + w.lower() for w in words}
+        self.sizes = np.zeros((FOLDS, 2), np.int64)
+        for r in sample.groupBy("fold", "toxic").count().collect():  # at most FOLDS * 2 rows
+            self.sizes[r["fold"], r["toxic"]] = r["count"]
+        cells = [(label, k) for label in (0, 1) for k in range(FOLDS)]
+        counted = sample.select("text", "toxic", "fold").mapInArrow(_counted, "key string, toxic int, fold int, n long").groupBy("key")
+        counted = counted.agg(*[F.coalesce(F.sum(F.when((F.col("toxic") == label) & (F.col("fold") == k), F.col("n"))), F.lit(0)).alias(f"n{label}_{k}") for label, k in cells])
+        wanted = F.col("key").isin(sorted(self.words)) if self.words else F.lit(False)
+        for out in (None, *range(FOLDS)):
+            clean, toxic = (sum(F.col(f"n{label}_{k}") for k in range(FOLDS) if k != out) for label in (0, 1))
+            n0, n1, least = self.bounds(out)
+            wanted |= (toxic >= least) & (F.log((toxic + 0.5) / (n1 + 1)) - F.log((clean + 0.5) / (n0 + 1)) >= LEAST_ODDS - 1e-9)
+        # a text has five keys for each distinct word, and a key of a lexicon stands in a hundredth of the toxic texts
+        rows = counted.where(wanted).collect()
+        self.counts = {r["key"]: np.array([[r[f"n{label}_{k}"] for label in (0, 1)] for k in range(FOLDS)]) for r in sorted(rows)}
+        self.counts |= {k: np.zeros((FOLDS, 2), np.int64) for k in sorted(self.words) if k not in self.counts}
+
+    def bounds(self, fold: int | None) -> tuple[int, int, int]:
+        """Clean and toxic texts outside the fold, and in how many toxic ones a key must stand."""
+        n0, n1 = np.maximum(self.sizes[[k for k in range(FOLDS) if k != fold]].sum(axis=0), 1).tolist()
+        return n0, n1, max(LEAST, math.ceil(LEAST_SHARE * n1))
 
     def without(self, fold: int | None = None) -> dict[str, float]:
         """Log-odds weights of words ("=word") and stems that toxic texts hold far more often than others, from all folds but one."""
         folds = [k for k in range(FOLDS) if k != fold]
-        n0, n1 = np.maximum(self.sizes[folds].sum(axis=0), 1).tolist()
-        least = max(LEAST, math.ceil(LEAST_SHARE * n1))
+        n0, n1, least = self.bounds(fold)
         lexicon = {}
-        for key in self.all:
-            toxic, clean = (sum(part[k][key] for k in folds) for part in (self.toxic, self.clean))
-            insult = key[1:] in INSULTS
-            if insult and toxic + clean < LEAST:
-                lexicon[key] = PRIOR
-            elif toxic >= least or insult:
+        for key, counts in self.counts.items():
+            clean, toxic = counts[folds].sum(axis=0).tolist()
+            own = key in self.words
+            if own and toxic + clean < LEAST:
+                lexicon[key] = STRONG
+            elif toxic >= least or own:
                 odds = math.log((toxic + 0.5) / (n1 + 1)) - math.log((clean + 0.5) / (n0 + 1))
                 if odds >= LEAST_ODDS:
                     lexicon[key] = odds
@@ -107,16 +132,15 @@ class Lexicons:
 class Words(dict):
     """A code for each word as it stands in a text: its place in `kinds`, 0 for a word that means nothing here.
 
-    kinds: (weight, insult, second person, disguised, shouted, letters drawn out). Memory is bounded: codes of words are
+    kinds: (weight, strong, second person, disguised, shouted, letters drawn out). Memory is bounded: codes of words are
     forgotten when there are too many; the different kinds are few.
     """
 
     def __init__(self, lexicon: dict[str, float], most: int = 300_000):
         super().__init__()
-        self.lexicon, self.most = lexicon, most
-        self.insults, self.second = set(INSULTS), set(SECOND_PERSON)
-        self.masked = sorted(self.insults | {k[1:] for k in lexicon if k[0] == "="})
-        self.heads = {k[:3] for k in [*self.insults, *self.second, *(k.removeprefix("=") for k in lexicon)]}
+        self.lexicon, self.most, self.second = lexicon, most, set(SECOND_PERSON)
+        self.masked = sorted({k[1:] for k in lexicon if k[0] == "="})
+        self.heads = {k[:3] for k in [*self.second, *(k.removeprefix("=") for k in lexicon)]}
         self.kinds, self.codes = [(0.0, 0, 0, 0, 0, 0)], {(0.0, 0, 0, 0, 0, 0): 0}
 
     def __missing__(self, word: str) -> int:
@@ -141,7 +165,7 @@ class Words(dict):
             pattern = re.compile(re.escape(bare).replace(r"\*", "."))
             bare = next((w for w in self.masked if pattern.fullmatch(w)), bare)
         weight = max((self.lexicon.get(k, 0.0) for k in _keys(bare)), default=0.0) if bare else 0.0
-        return (weight, int(bare in self.insults), int(bare in self.second), int(hidden), shouted, drawn)
+        return (weight, int(weight >= STRONG), int(bare in self.second), int(hidden), shouted, drawn)
 
 
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -157,7 +181,7 @@ def features(texts: list[str], words: Words) -> np.ndarray:
         codes = np.fromiter(map(words.__getitem__, tokens), np.int64, n)
         at = np.flatnonzero(codes)
         seen = np.array([words.kinds[c] for c in codes[at]]).reshape(len(at), 6)
-        hits = (seen[:, 0] > 0) | (seen[:, 1] > 0)
+        hits = seen[:, 0] > 0
         if hits.any():
             hit, you = at[hits], at[seen[:, 2] > 0]
             close = 0
@@ -181,51 +205,64 @@ class Model:
 
     def scores(self, texts: list[str], words: Words) -> np.ndarray:
         x = features(texts, words)
-        if self.knots is None:  # nothing to learn from: insults alone speak
-            return 1 / (1 + np.exp(3.0 - 150.0 * x[:, FEATURES.index("insult_density")]))
+        if self.knots is None:  # nothing to learn from: a caller's words alone speak
+            return 1 / (1 + np.exp(3.0 - 150.0 * x[:, FEATURES.index("strong_density")]))
         raw = self.trees.raw(x)
         # a thousandth of the uncalibrated score keeps the order inside the steps of the calibration
         return np.clip(0.999 * np.interp(raw, *self.knots) + 0.001 / (1 + np.exp(-raw)), 0.0, 1.0)
 
 
-def fit(texts: list[str], y: np.ndarray, w: np.ndarray) -> Model:
-    if not len(y) or y.min() == y.max():
-        return Model()
-    fold = np.zeros(len(y), int)
-    for label in (0, 1):
-        rows = np.flatnonzero(y == label)
-        fold[rows] = np.arange(len(rows)) % FOLDS
-    lexicons = Lexicons(texts, y, fold)
-    x = np.zeros((len(y), len(FEATURES)))
-    for k in range(FOLDS):
-        own = np.flatnonzero(fold == k)
-        x[own] = features([texts[i] for i in own], Words(lexicons.without(k)))
-    raw = np.zeros(len(y))
-    for k in range(FOLDS):
-        other, own = fold != k, fold == k
-        raw[own] = fit_trees(x[other], y[other], w[other]).raw(x[own])
-    return Model(lexicons.without(), fit_trees(x, y, w), fit_isotonic(raw, y.astype(float), w))
+def sampled(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, most_each: int) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, text, toxic and fold of the training sample, one row for each id, and the number of all training ids by label."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold_of("doc_id", folds) != held_out)
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    order = F.xxhash64("doc_id")
+    picked = stacked(known.where("toxic = 1").orderBy(order).limit(most_each), known.where("toxic = 0").orderBy(order).limit(most_each))
+    totals = {r["toxic"]: r["count"] for r in known.where("toxic IN (0, 1)").groupBy("toxic").count().collect()}
+    # at most 2 * most_each ids
+    rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return materialize(rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(FOLDS)).cast("int")), "sample", files=8), totals
+
 
+def features_of(sample: DataFrame, lexicons: list[dict[str, float]]) -> list[Row]:
+    """doc_id, toxic, fold and features of every row of the sample, by the lexicon of its fold; as many rows as the sample."""
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most_each: int = 3000) -> Model:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [Words(x) for x in lexicons]
+        for batch in slices(rows):
+            texts, fold = batch.column("text").to_pylist(), batch.column("fold").to_numpy()
+            x = np.zeros((len(texts), len(FEATURES)))
+            for k in np.unique(fold).tolist():
+                own = np.flatnonzero(fold == k)
+                x[own] = features([texts[i] for i in own], words[k])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "toxic", "fold")], pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "toxic", "fold", "x"])
+
+    return sorted(sample.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, toxic int, fold int, x array<double>").collect())
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most_each: int = 3000, words: Sequence[str] = ()) -> Model:
     """Learns from labelled rows whose crc32(doc_id as text) mod folds is not held_out, at most most_each of either label.
 
-    labels: doc_id, toxic; null ids or labels are left out, of several labels of an id the largest counts. Without
-    both labels in the sample the model is the plain insult density.
+    labels: doc_id, toxic (0 or 1); null ids or labels are left out, of several labels of an id the largest counts, of several
+    texts of an id the one with the smallest hash. Without both labels in the sample the model is the density of strong words,
+    of which there are none then but the caller's. words: a lexicon to start with, none by default.
     """
     in_small_batches(docs)
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold_of("doc_id", folds) != held_out)
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    order = F.xxhash64("doc_id")
-    picked = stacked(known.where("toxic = 1").orderBy(order).limit(most_each), known.where("toxic = 0").orderBy(order).limit(most_each))
-    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    # at most 2 * most_each ids
-    rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").limit(4 * most_each).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    y = np.array([r["toxic"] for r in rows], int)
-    sampled = np.bincount(y, minlength=2)
-    w = np.array([totals.get(k, 0) / max(sampled[k], 1) for k in (0, 1)])[y] if len(y) else np.zeros(0)
-    return fit([r["text"] for r in rows], y, w)
+    sample, totals = sampled(docs, labels, folds, held_out, most_each)
+    lexicons = Lexicons(sample, words)
+    if not lexicons.sizes.sum(axis=0).all():
+        release(sample)
+        return Model({k: STRONG for k in sorted(lexicons.words)})
+    rows = features_of(sample, [lexicons.without(k) for k in range(FOLDS)])
+    release(sample)
+    y, fold, x = (np.array([r[c] for r in rows]) for c in ("toxic", "fold", "x"))
+    w = np.array([totals.get(k, 0) / max(n, 1) for k, n in enumerate(np.bincount(y, minlength=2))])[y]
+    raw = np.zeros(len(y))
+    for k in np.unique(fold).tolist():
+        other, own = fold != k, fold == k
+        raw[own] = fit_trees(x[other], y[other], w[other]).raw(x[own])
+    return Model(lexicons.without(), fit_trees(x, y, w), fit_isotonic(raw, y.astype(float), w))
 
 
 def score_column(model: Model, text: Column) -> Column:
@@ -243,18 +280,22 @@ def score_column(model: Model, text: Column) -> Column:
     return run(text_of(text))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from the threshold on) of every row of docs, whole texts.
 
-    Null and empty texts get the score of a text without words; null ids are scored and count as the empty text for
-    held_out; repeated rows each give a row; other columns are not read; no rows, no result rows.
+    Null and empty texts get the score of a text without words; very long texts are read whole; null ids are scored and count as
+    the empty text for held_out; repeated rows each give a row, equal texts get equal scores; other columns are not read; no
+    rows, no result rows. options: those of train().
     """
-    model = train(docs, labels)
+    model = train(docs, labels, **options)
     rows = docs.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), score_column(model, F.col("text")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs whose score is below the threshold; all columns stay."""
-    model = train(docs, labels)
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
+    """The rows of docs whose score is below the threshold; all columns stay, whatever their names.
+
+    Nulls, empty and very long texts, repeated rows and empty tables are scored as score_documents() says; equal texts stay or go together.
+    """
+    model = train(docs, labels, **options)
     return docs.where(score_column(model, F.col("text")) < threshold)
