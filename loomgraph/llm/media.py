@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import in_small_batches, text_of, utf8
+from loomgraph.llm.common import in_small_batches, materialize, text_of, utf8
 
 UNIT = 192  # bytes of an access unit: 192 samples of 8 bits
 RATE = 48_000
@@ -233,7 +233,10 @@ def padded(text: bytes) -> bytes:
 
 
 def media_column(text: Column) -> Column:
-    """The text, UTF-8 and padded, stored in a container; null counts as empty, equal texts give equal bytes."""
+    """The text, UTF-8 and padded, stored in a container; null and empty texts are one unit of padding, equal texts give equal bytes.
+
+    A payload of 2 GB or more gets 64-bit sizes and offsets; a value of a table holds 2 GB at most, so such a text fails in Spark before.
+    """
 
     @F.arrow_udf(T.BinaryType())
     def run(texts: pa.Array) -> pa.Array:
@@ -274,25 +277,33 @@ def media_info(df: DataFrame, column: str = "media") -> DataFrame:
     return df.withColumn("info", run(F.col(column)))
 
 
-DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+KEYFRAMES = "array<struct<offset:long,length:long>>"
+DIGEST = f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, timescale long, duration long, keyframes {KEYFRAMES}"
 
 
 def media_digest(media: Column) -> Column:
-    """A struct of DIGEST from the stored bytes: the payload is read back by the sample tables."""
+    """A struct of DIGEST from the stored bytes: the payload is read back by the sample tables.
+
+    Null bytes give null in every field; bytes that are no container of mux() or probe() are a MediaError.
+    """
 
     @F.arrow_udf(T.StructType.fromDDL(DIGEST))
     def run(stored: pa.Array) -> pa.Array:
-        columns: list[list] = [[] for _ in range(6)]
+        columns: list[list] = [[] for _ in range(10)]
         for x in stored:
             own = x.as_buffer()
+            if own is None:
+                for c in columns:
+                    c.append(None)
+                continue
             t = probe(own)[0]
             back = payload(own, t)
             keys = t.keyframes()
             ranges = zlib.crc32(np.array(keys, np.int64).tobytes())
             feature = f"codec={t.codec.strip()} kind={t.kind} timescale={t.timescale} duration={t.duration} units={t.units} keyframes={len(keys)} first={keys[0][0]}+{keys[0][1]} last={keys[-1][0]}+{keys[-1][1]} ranges={ranges:08x}"
-            for c, v in zip(columns, (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), own.size, hashlib.sha256(own).hexdigest(), feature), strict=True):
+            for c, v in zip(columns, (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), own.size, hashlib.sha256(own).hexdigest(), feature, t.codec, t.timescale, t.duration, [{"offset": a, "length": b} for a, b in keys]), strict=True):
                 c.append(v)
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))]
         names = [f.split()[0] for f in DIGEST.split(", ")]
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -302,7 +313,10 @@ def media_digest(media: Column) -> Column:
 def stored_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes (UTF-8, unpadded) and the columns of DIGEST of every whole text, read back from its stored form.
 
-    Null text is empty (one unit of padding); null ids stay; repeated rows each give a row; no rows, no result rows.
+    The containers are written to the shared folder as a table and read from there. Null text is empty (one unit of padding); a
+    very long text is one container, as media_column() says; null ids stay; repeated rows each give a row; other columns are
+    not read; no rows, no result rows.
     """
     rows = in_small_batches(docs).select("doc_id", F.octet_length(text_of("text")).cast("long").alias("n_bytes"), media_column(F.col("text")).alias("media"))
-    return rows.select("doc_id", "n_bytes", media_digest(F.col("media")).alias("d")).select("doc_id", "n_bytes", "d.*")
+    stored = materialize(rows, "media", compression="zstd")
+    return stored.select("doc_id", "n_bytes", media_digest(F.col("media")).alias("d")).select("doc_id", "n_bytes", "d.*")

@@ -13,13 +13,14 @@ costs what the others do.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.frames import stacked
-from loomgraph.llm.common import SPACES, materialize, text_of
+from loomgraph.llm.common import SPACES, files_for, materialize, text_of
 
 
 def word_count(text: Column | str) -> Column:
@@ -106,7 +107,8 @@ def mix_sources(
 
     A row is taken whole as often as the target has full epochs of the source; in the last epoch rows are
     taken in order until the target is reached, and the row at the cut gives only the words still missing.
-    Null sources are one source. Rows of no words are taken with 0. Repeated rows each count. An empty
+    Null sources are one source. Rows of no words are taken with 0, a very long row as any other: only its size counts. Repeated
+    rows each count; if rows share the key at a cut, they are taken in the order in which one write put them down. An empty
     table gives an empty result. Other columns pass through, whatever their names; a column of docs that is named like
     one of the three added is replaced.
     """
@@ -114,7 +116,7 @@ def mix_sources(
     rows = docs.select(F.struct("*").alias("_row"), F.col(size).alias("_size"), key.alias("_key"), _source_key(source).alias("_source"))
     if slim is None:
         slim = docs.select(F.col(source).alias("source"), F.col(size).alias("size"), key.alias("key"))
-    cuts = materialize(source_cuts(slim, weights, share, most, ranges).withColumnRenamed("_range", "_cut_range"), "cuts")
+    cuts = materialize(source_cuts(slim, weights, share, most, ranges).withColumnRenamed("_range", "_cut_range"), "cuts", files=files_for(docs))
     state = cuts.agg(F.count("*").alias("n"), F.coalesce(F.max("_ties"), F.lit(0)).alias("ties")).first()
     rows = rows.join(F.broadcast(cuts) if state["n"] <= MOST_SOURCES else cuts, "_source")
     place = _range_of(F.col("_key"), ranges)
@@ -126,11 +128,15 @@ def mix_sources(
     out = lambda part, last: part.select(*own, "source_size", "target", (F.col("_whole") * F.col("_size") + last).cast("long").alias("taken"))
     if state["ties"] <= 1:
         return out(rows, last)
-    # repeated rows share the key at a cut: they are alike, so any order among them gives the same rows
+    # rows that share the key at a cut may be any part of all rows, so they are summed up file by file, never in one task
     tied = at_cut & (F.col("_ties") > 1)
-    nth = F.row_number().over(Window.partitionBy("_source").orderBy("_size")) - 1
-    some = rows.where(tied).withColumn("_nth", nth)
-    left = F.greatest(F.lit(0), F.least(F.col("_left") - F.col("_nth") * F.col("_size"), F.col("_size")))
+    some = materialize(rows.where(tied), "ties").select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    files = some.groupBy("_source", "_file").agg(F.sum("_size").alias("_sum"))
+    earlier = Window.partitionBy("_source").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_source", "_file", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_source", "_file").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    some = some.withColumn("_ahead", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(files, ["_source", "_file"])
+    left = F.greatest(F.lit(0), F.least(F.col("_left") - F.col("_base") - F.col("_ahead"), F.col("_size")))
     return stacked(out(rows.where(~tied), last), out(some, left))
 
 
@@ -146,12 +152,15 @@ def ranges_for(rows: int, range_rows: int = 20_000) -> int:
 def mixed_documents(docs: DataFrame, ranges: int | None = None, **options) -> DataFrame:
     """The documents as the mix takes them: each row as often as it is taken, the last time cut to the words still taken.
 
-    Returns the columns of docs; n_chars follows the text where docs has it.
+    Returns the columns of docs; n_chars follows the text where docs has it. Rows go in the order of a hash of all their
+    columns (but maps and variants, which have no hash), so rows that tie there are alike, and reruns give the same rows. Rows
+    with a null or empty text are never taken; null ids and sources, repeated rows, ties and very long texts are handled as
+    mix_sources() says; an empty table gives an empty result; other columns stay, whatever their names.
     """
-    key = order_key(["doc_id", "text"])
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source", word_count("text").alias("size"))
+    key = order_key([f.name for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())])
+    rows = docs.select(F.struct("*").alias("row"), "text", "source", word_count("text").alias("size"), key.alias("key"))
     slim = materialize(docs.select("source", word_count("text").alias("size"), key.alias("key")), "sizes")
-    mixed = mix_sources(rows, key, ranges=ranges or ranges_for(slim.count()), slim=slim, **options)
+    mixed = mix_sources(rows, F.col("key"), ranges=ranges or ranges_for(slim.count()), slim=slim, **options)
     copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
     out = mixed.where("taken > 0").withColumn("copy", copies)
     left = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
