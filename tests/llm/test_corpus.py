@@ -170,6 +170,30 @@ def test_scores_by_brute_force(spark):
     assert np.allclose(weights.sum(axis=1), 1)
 
 
+def test_levels_of_messages_give_the_same(spark):
+    texts = [*fx.TEXTS, "end\x1fof\x1ftext", *drifting(40), *drifting(30, seed=4)]
+    table = fx.docs(spark, texts)
+    one, many = (sorted(lm.interpolated_scores(table, **o).collect(), key=lambda r: r["doc_id"]) for o in ({}, {"batch_bytes": 400, "fan_bits": 2}))
+    assert lm.Levels(30, 2).groups == [30, 8, 2, 1]
+    for a, b in zip(one, many, strict=True):
+        assert a[:5] == b[:5] and a["base_score"] == pytest.approx(b["base_score"]) and a["score"] == pytest.approx(b["score"])
+
+
+def test_the_end_is_no_word(spark):
+    i = next(i for i in range(100) if fx.fold(i, 5) == 1)
+    rows = {r["doc_id"]: r for r in lm.interpolated_scores(fx.docs(spark, ["end\x1fof\x1ftext", "a b"], [i, next(i for i in range(100) if fx.fold(i, 5) == 0)])).collect()}
+    assert (rows[i]["n_tokens"], rows[i]["n_known"], rows[i]["train_tokens"]) == (2, 1, 3)
+
+
+def test_packed_keys():
+    rng = np.random.default_rng(0)
+    for bits, prefix in ((8, 3), (16, 65535), (24, 1)):
+        keys = np.unique((rng.integers(0, 2**63, 500, dtype=np.uint64) >> np.uint64(bits)) | np.uint64(prefix << (64 - bits)))
+        assert (lm.unpack_keys(lm.pack_keys(keys, bits, 64), prefix, bits, 64) == keys).all()
+        cut = np.uint64(64 - bits - min(40, 64 - bits))
+        assert (lm.unpack_keys(lm.pack_keys(keys, bits, 40), prefix, bits, 40) >> cut == keys >> cut).all()
+
+
 def test_no_training_rows(spark):
     only = next(i for i in range(100) if fx.fold(i, 5) == 1)
     row = lm.interpolated_scores(fx.docs(spark, ["a b"], [only])).first()
@@ -177,7 +201,7 @@ def test_no_training_rows(spark):
 
 
 def test_pack_numbers():
-    for values in ([], [0, 0], [255], [256, 1], [2**32 - 1, 5], list(range(1000))):
+    for values in ([], [0, 0], [255], [256, 1], [2**32 - 1, 5], [2**40, 7], list(range(1000))):
         assert lm.unpack(lm.pack(np.array(values, np.int64))).tolist() == values
 
 
@@ -222,28 +246,76 @@ def test_toxicity_on_planted_texts(spark):
     assert len(plain) == fx.awkward(spark).count() and not any(r["predicted"] for r in plain)
 
 
+def test_a_callers_words_speak_without_labels(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    table = fx.docs(spark, ["you grumblefoo", "nothing of note in this text", None])
+    assert [r["predicted"] for r in toxicity.score_documents(table, none, words=["Grumblefoo"]).orderBy("doc_id").collect()] == [1, 0, 0]
+    assert not toxicity.score_documents(table, none).where("predicted = 1").count()
+
+
+def plain_features(text, lexicon):
+    """The features of one text, word by word."""
+    words = text.split()
+    if not words:
+        return [0.0] * len(toxicity.FEATURES)
+    n, hits, strong, second, hidden, shouted, drawn = len(words), [], 0, [], 0, 0, 0
+    for i, w in enumerate(words):
+        bare, disguised = toxicity.normal(w)
+        if "*" in bare and len(bare) > 2:
+            fits = [k[1:] for k in sorted(lexicon) if k[0] == "=" and len(k) == len(bare) + 1 and all(a in ("*", b) for a, b in zip(bare, k[1:], strict=True))]
+            bare = fits[0] if fits else bare
+        keys = ["=" + bare, *(bare[:k] for k in (3, 4, 5, 6) if k < len(bare))] if bare else []
+        weight = max((lexicon.get(k, 0.0) for k in keys), default=0.0)
+        if weight > 0:
+            hits.append((i, weight, disguised, w.lower()))
+        strong += weight >= 4
+        hidden += disguised
+        if bare in toxicity.SECOND_PERSON:
+            second.append(i)
+        shouted += len(w) > 2 and w.isupper()
+        drawn += any(w[k].isalpha() and w[k : k + 4] == w[k] * 4 for k in range(len(w) - 3))
+    close = sum(any(abs(i - j) <= 5 for j in second) for i, *_ in hits)
+    lexical = [max((h[1] for h in hits), default=0.0), len(hits) / n, sum(h[1] for h in hits) / n, len(hits), len({h[3] for h in hits}), strong / n, close / n, sum(h[2] for h in hits)]
+    lexical = lexical if hits else [0.0] * 8
+    runs = len(toxicity.re.findall(r"[!?]{2,}|\.{4,}", text))
+    upper = sum("A" <= c <= "Z" for c in text)
+    return [*lexical, hidden / n, math.log1p(n), upper / len(text.encode()), shouted / n, (text.count("!") + text.count("?")) / n, runs / n, drawn / n]
+
+
+def test_features_and_scores_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = [*(f"w{'abcdefgh'[k % 8]}{'xyz'[k % 3]}rd" for k in range(60)), "you", "DICH", "Sooooo", "grumblefoo", "gr*mblefoo", "Grumblef00!!", "moppel", "Moppelig", "wh4t?", "!!", "...."]
+    texts = [" ".join(rng.choice(vocabulary[: 63 if i % 3 else None], 40).tolist() + ["grumblefoo moppel"] * (i % 3 == 0)) for i in range(240)]
+    table = fx.docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+    sample, totals = toxicity.sampled(table, labels, 3, 1, 3000)
+    rows = sample.collect()
+    lexicons = toxicity.Lexicons(sample)
+    assert totals == Counter(int(i % 3 == 0) for i in range(240) if fx.fold(i, 3) != 1)
+    assert {"=grumblefoo", "=moppel"} <= lexicons.counts.keys()
+    for key, counts in lexicons.counts.items():
+        held = Counter((r["fold"], r["toxic"]) for r in rows if key in toxicity.count_keys([r["text"]]))
+        assert counts.tolist() == [[held[k, label] for label in (0, 1)] for k in range(toxicity.FOLDS)]
+    own = [lexicons.without(k) for k in range(toxicity.FOLDS)]
+    for r in toxicity.features_of(sample, own):
+        assert list(r["x"]) == pytest.approx(plain_features(texts[r["doc_id"]], own[r["fold"]]))
+    model = toxicity.train(table, labels)
+    got = toxicity.score_documents(table, labels).collect()
+    x = np.array([plain_features(texts[r["doc_id"]], model.lexicon) for r in got])
+    raw = np.full(len(x), model.trees.base)
+    for feature, threshold, left, value in model.trees.trees:
+        for i, v in enumerate(x):
+            node = 0
+            while feature[node] >= 0:
+                node = left[node] + (v[feature[node]] > threshold[node])
+            raw[i] += value[node]
+    expected = 0.999 * np.interp(raw, *model.knots) + 0.001 / (1 + np.exp(-raw))
+    assert [r["score"] for r in got] == pytest.approx(np.clip(expected, 0, 1).tolist())
+
+
 def test_labels_of_held_out_rows_are_not_learned(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     turned = labels.withColumn("toxic", F.when(toxicity.fold_of("doc_id", 3) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (sorted(toxicity.score_documents(table, x).collect()) for x in (labels, turned))
     assert a == b
-
-
-def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, before = docs.columns, docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = corpus_pipeline.materialize(stage(spark, before, SF), name)
-        assert after.columns == columns
-        if name == "toxicity":
-            labels = spark.read.parquet(f"{SF}/labels.parquet")
-            model = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(docs, labels).collect()}
-            assert sorted(r["doc_id"] for r in after.collect()) == sorted(i for i, p in model.items() if not p)
-        if name == "near_duplicates":
-            expected, _ = brute_components([(r["doc_id"], r["text"]) for r in before.collect()])
-            assert sorted(r["doc_id"] for r in after.collect()) == sorted(i for i, c in expected.items() if i == c)
-        before = after
-    packed = corpus_pipeline.run(spark, SF)
-    assert packed.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
-    assert packed.where("piece = 0").count() == before.count()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import digest, media
 from loomgraph.llm.chat import format_conversations, parse, read_back
+from loomgraph.llm.common import spot_of, text_of
 from loomgraph.llm.mixing import mix_sources, mixed_documents, order_key, source_targets, word_count
 from tests.llm import fixtures as fx
 
@@ -22,7 +23,10 @@ def test_stored_texts(spark):
         raw = (texts[r["doc_id"]] or "").encode()
         stored = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-16:]))
+        assert (r["codec"], r["timescale"], r["duration"], len(r["keyframes"])) == ("raw ", media.RATE, len(stored), -(-len(stored) // (192 * 64)))
     assert media.stored_texts(fx.empty(spark)).count() == 0
+    nothing = spark.createDataFrame([(None,)], "media binary").select(media.media_digest(F.col("media")).alias("d")).select("d.*").first()
+    assert all(v is None for v in nothing)
 
 
 @pytest.mark.parametrize("units", [1, 63, 64, 65, 128, 1000])
@@ -133,6 +137,32 @@ def test_mix(spark):
     assert mix_sources(fx.empty(spark).withColumn("size", F.lit(1).cast("long")), order_key(["doc_id"])).count() == 0
 
 
+@pytest.mark.parametrize("ranges", [1, 64])
+def test_mix_by_a_plain_cut(spark, ranges):
+    """taken of every row against order, running sum and cut in plain Python; many rows share the keys at the cuts."""
+    rng = np.random.default_rng(3)
+    rows = [(i, f"s{i % 4}" if i % 4 else None, int(rng.integers(0, 50)), int(rng.integers(-2**63, 2**63, dtype=np.int64))) for i in range(300)]
+    rows += [(1000 + i, "hot", 7, 5) for i in range(200)] + [(2000 + i, "odd", i % 5, -9 + i % 2) for i in range(100)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, size long, key long").repartition(7)
+    got = {r["doc_id"]: r for r in mix_sources(table, F.col("key"), ranges=ranges).collect()}
+    bits = ranges.bit_length() - 1
+    by = {}
+    for i, source, size, key in rows:
+        by.setdefault(source, []).append(((key % 2**64) >> (64 - bits) if bits else 0, key, size, i))
+    for source, own in by.items():
+        total = sum(x[2] for x in own)
+        target = next(r["target"] for r in got.values() if r["source"] == source)
+        whole, left = divmod(round(target), total)
+        keys = sorted({x[:2] for x in own})
+        for key in keys:
+            same = [x for x in own if x[:2] == key]
+            words = sum(x[2] for x in same)
+            taken = [got[x[3]]["taken"] - whole * x[2] for x in same]
+            assert sum(taken) == min(left, words) and all(0 <= t <= x[2] for t, x in zip(taken, same, strict=True))
+            assert sum(0 < t < x[2] for t, x in zip(taken, same, strict=True)) <= 1
+            left -= sum(taken)
+
+
 def test_mix_is_native(spark):
     plan = mix_sources(fx.docs(spark).withColumn("size", word_count("text")), order_key(["doc_id"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
@@ -143,6 +173,7 @@ def test_mixed_documents(spark):
     out = mixed_documents(table)
     assert out.columns == table.columns
     taken = mix_sources(table.withColumn("size", word_count("text")), order_key(["doc_id", "text"])).agg(F.sum("taken")).first()[0]
+    assert sorted(map(tuple, mixed_documents(table.repartition(6)).collect()), key=repr) == sorted(map(tuple, out.collect()), key=repr)
     assert out.agg(F.sum(word_count("text"))).first()[0] == taken
     whole = {(r["doc_id"], r["text"]) for r in table.collect()}
     for r in out.collect():
@@ -175,16 +206,24 @@ def test_chat_round_trip(spark):
     for c, r in raw.items():
         assert [(t["role"], t["text"]) for t in r["turns"]] == by[c]
         assert r["formatted"].count("<|") == 2 * len(by[c])
-    assert raw[4]["escaped"] == 0 and raw[1]["escaped"] == 2
+    assert raw[4]["escaped"] == 0 and raw[1]["escaped"] == 2 and all(r["error"] is None for r in raw.values())
     assert read_back(format_conversations(rows.where("conv_id = 99"))).count() == 0
     plan = read_back(formatted)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_digests(spark):
-    table = fx.awkward(spark)
+def hot(spark):
+    """A third of the rows has one id, a third none."""
+    texts = [f"text {i} " * (i % 7) for i in range(300)]
+    return fx.docs(spark, texts, [7 if i % 3 == 0 else None if i % 3 == 1 else i for i in range(300)])
+
+
+@pytest.mark.parametrize("make", [fx.awkward, hot])
+def test_digests(spark, make):
+    table = make(spark)
     got = digest.edited_neighbours(table).collect()
-    rows = sorted(((r["doc_id"], r["text"] or "") for r in table.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    rows = table.select("doc_id", text_of("text").alias("text"), spot_of(text_of("text")).alias("spot")).collect()
+    rows = [(r["doc_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["spot"], r["text"]))]
     expected = []
     for k, (i, t) in enumerate(rows):
         n, after = len(t), rows[(k + 1) % len(rows)][1]
@@ -192,6 +231,9 @@ def test_digests(spark):
         a, b, c = digest.digest_texts([t, edited, after])
         expected.append((i, n, hashlib.sha256(edited.encode()).hexdigest(), digest.to_text(a[None])[0], digest.to_text(b[None])[0], float(digest.likeness(a[None], b[None])[0]), float(digest.likeness(a[None], c[None])[0])))
     assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
+
+
+def test_digests_of_few_rows(spark):
     assert digest.edited_neighbours(fx.empty(spark)).count() == 0
     one = digest.edited_neighbours(fx.docs(spark, [fx.BASE])).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
