@@ -130,6 +130,28 @@ def cite(span: Column | str) -> Column:
     return F.concat(span["kind"], F.lit(" "), span["start"].cast("string"), end, label)
 
 
+def span_to_json(span: Column | str) -> Column:
+    """A span as JSON text with all its fields."""
+    return F.to_json(col(span), {"ignoreNullFields": "false"})
+
+
+def span_from_json(raw: Column | str) -> Column:
+    """The span of a JSON text; missing fields, and a missing or broken text, give line 0 to 0 without label."""
+    got = F.from_json(col(raw), "kind string, start int, end int, label string")
+    part = lambda f, otherwise: F.coalesce(got[f], F.lit(otherwise)).alias(f)
+    return F.struct(part("kind", "line"), part("start", 0), part("end", 0), got["label"].alias("label"))
+
+
+#: Fixed value: the characters that have a meaning in the query language of Lucene.
+LUCENE = r"""[+\-&|!(){}\[\]^"~*?:\\/]"""
+
+
+def escape_query(text: Column | str) -> Column:
+    """A text as a literal Lucene query, for full-text services beside this engine; an empty one asks for anything."""
+    escaped = F.regexp_replace(col(text), f"({LUCENE})", r"\\$1")
+    return F.when(escaped == "", "*").otherwise(escaped)
+
+
 def markdown_title(text: Column | str, otherwise: Column | str) -> Column:
     """The first line that starts with `# `, else the other."""
     found = F.regexp_extract(col(text), "(?m)^# (.*)$", 1)

@@ -1,15 +1,19 @@
-"""Vectors as arrays of doubles, with higher-order functions only."""
+"""Vectors as arrays of doubles."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import col, tokens
-
+from loomgraph.functions.text import TOKEN, col
 
-def doubles(v: Column | str) -> Column:
-    return F.transform(col(v), lambda x: x.cast("double"))
+_TOKEN = re.compile(TOKEN)
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -29,53 +33,56 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return dot(a, b) / (lengths(a) * lengths(b))
 
 
-def hash_slot(token: Column, dim: int) -> Column:
-    """MD5 of the token, as a number, modulo dim, from its hex digits eight at a time."""
-    digest = F.md5(token.cast("binary"))
-    if dim & (dim - 1) == 0 and dim <= 1 << 32:
-        return F.conv(F.right(digest, F.lit(8)), 16, 10).cast("long") % dim
-    rest = F.lit(0).cast("long")
-    for k in range(4):
-        rest = (rest * (2**32 % dim) + F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long")) % dim
-    return rest
+class Slots(dict):
+    """Slot and sign of each token for a size: MD5 as a number modulo the size, and its bit 8. Memory is bounded."""
+
+    def __init__(self, dim: int, most: int = 200_000):
+        super().__init__()
+        self.dim, self.most = dim, most
+
+    def __missing__(self, token: str) -> tuple[int, float]:
+        if len(self) >= self.most:
+            self.clear()
+        h = int.from_bytes(hashlib.md5(token.encode(), usedforsecurity=False).digest())
+        found = self[token] = (h % self.dim, 1.0 if h >> 8 & 1 else -1.0)
+        return found
+
 
+@lru_cache(maxsize=4)
+def _slots(dim: int) -> Slots:
+    """One for each Python worker and size."""
+    return Slots(dim)
 
-def hash_sign(token: Column) -> Column:
-    """1 or -1 by bit 8 of the digest."""
-    low = F.conv(F.right(F.md5(token.cast("binary")), F.lit(4)), 16, 10).cast("int")
-    return F.when(F.shiftright(low, 8).bitwiseAND(1) == 1, 1.0).otherwise(-1.0)
+
+def hash_vector(lowered: str, dim: int) -> np.ndarray:
+    """Signed token counts by slot, scaled to length 1; all zero without tokens."""
+    out, slots = np.zeros(dim), _slots(dim)
+    for token in _TOKEN.findall(lowered):
+        i, sign = slots[token]
+        out[i] += sign
+    return out / (np.sqrt(out @ out) or 1.0)
 
 
 def hash_embedding(text: Column | str, dim: int) -> Column:
-    """Signed token counts by hash slot, scaled to length 1 (all zero without tokens); dim 0 means 256."""
+    """Signed token counts by hash slot, scaled to length 1 (all zero without tokens); dim 0 means 256, null stays null.
+
+    One Arrow function of the row, so nothing is shuffled.
+    """
     dim = dim if dim and dim > 0 else 256
-    slots = F.transform(tokens(text), lambda t: F.struct(hash_slot(t, dim).cast("int").alias("i"), hash_sign(t).alias("s")))
-    # a map of sums by slot keeps the fold linear in the tokens, the vector is laid out once
-    zero = F.array_repeat(F.lit(0.0), dim)
-    ordered = F.array_sort(slots)
-    runs = F.aggregate(
-        ordered,
-        F.struct(F.array().cast("array<struct<i:int,s:double>>").alias("done"), F.lit(-1).alias("i"), F.lit(0.0).alias("s")),
-        lambda acc, x: F.when(acc["i"] == x["i"], F.struct(acc["done"].alias("done"), acc["i"].alias("i"), (acc["s"] + x["s"]).alias("s"))).otherwise(
-            F.struct(F.concat(acc["done"], F.array(F.struct(acc["i"].alias("i"), acc["s"].alias("s")))).alias("done"), x["i"].alias("i"), x["s"].alias("s"))
-        ),
-        lambda acc: F.concat(acc["done"], F.array(F.struct(acc["i"].alias("i"), acc["s"].alias("s")))),
-    )
-    sums = F.map_from_entries(F.filter(runs, lambda r: r["i"] >= 0))
-    raw = F.transform(zero, lambda z, i: F.coalesce(F.try_element_at(sums, i), z))
-    length = F.coalesce(F.nullif(norm(raw), F.lit(0.0)), F.lit(1.0))
-    return F.transform(raw, lambda x: x / length)
+
+    @F.arrow_udf("array<double>")
+    def run(lowered: pa.Array) -> pa.Array:
+        rows = [None if t is None else hash_vector(t, dim) for t in lowered.to_pylist()]
+        flat = np.concatenate([r for r in rows if r is not None] or [np.zeros(0)])
+        ends = np.cumsum([0, *(dim * (r is not None) for r in rows)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([r is None for r in rows], pa.bool_()))
+
+    return run(F.lower(col(text)))
 
 
 def hash_embed(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:
-    """key and embedding of each row, by one aggregation of its distinct tokens (for long texts and large tables)."""
-    dim = dim if dim and dim > 0 else 256
-    parts = rows.select(key, F.explode(tokens(text)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    slots = parts.groupBy(key, hash_slot(F.col("token"), dim).cast("int").alias("i")).agg(F.sum(F.col("n") * hash_sign(F.col("token"))).alias("v"))
-    sums = slots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("l"))
-    length = F.coalesce(F.nullif(F.col("l"), F.lit(0.0)), F.lit(1.0))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.coalesce(length, F.lit(1.0)))
-    return rows.select(key).distinct().join(sums, key, "left").select(key, filled.alias("embedding"))
+    """key and embedding of each row; null text counts as empty."""
+    return rows.select(key, hash_embedding(F.coalesce(text, F.lit("")), dim).alias("embedding"))
 
 
 def mean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:

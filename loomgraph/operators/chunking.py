@@ -9,30 +9,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.folds import folded
 from loomgraph.functions.text import col, strip
 
 # What opens a section, and where a sentence ends.
 HEADING = r"#{1,6}[^\S\n]"
 SENTENCE = r"(?U)(?<=[.!?])\s+"
-_SEGMENT = "array<struct<label:string,start:int,text:string>>"
+_SEGMENT = "struct<label:string,start:int,text:string>"
+_WINDOW = "struct<text:string,low:int,high:int>"
 
 
 def _newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+def line_of(text: Column | str, offset: Column | int, start: Column | int = 1) -> Column:
+    """The line on which the character after offset stands, in a text whose first line is start."""
+    first = start if isinstance(start, Column) else F.lit(start)
+    return (first + _newlines(F.left(col(text), offset if isinstance(offset, Column) else F.lit(offset)))).cast("int")
+
+
 def sections(text: Column | str) -> Column:
     """Markdown sections as (label, start line, text): each heading opens one."""
     parts = F.split(col(text), rf"\n(?={HEADING})")
-    start = F.struct(F.array().cast(_SEGMENT).alias("out"), F.lit(1).alias("line"))
 
-    def step(acc: Column, part: Column) -> Column:
+    def step(acc: Column, part: Column) -> tuple[Column, dict[str, Column]]:
         head = F.substring_index(part, "\n", 1)
         label = F.when(head.rlike(f"^{HEADING}"), strip(F.regexp_replace(head, f"^{HEADING}", "")))
         own = F.struct(label.alias("label"), acc["line"].alias("start"), part.alias("text"))
-        return F.struct(F.concat(acc["out"], F.array(own)).alias("out"), (acc["line"] + _newlines(part) + 1).cast("int").alias("line"))
+        return F.array(own), {"line": (acc["line"] + _newlines(part) + 1).cast("int")}
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return folded(parts, _SEGMENT, {"line": F.lit(1)}, step)["out"]
 
 
 def _marked(text: Column, kind: str) -> tuple[Column, Column]:
@@ -71,30 +78,23 @@ def windows(text: Column | str, size: int, overlap: int) -> Column:
     gaps = F.concat(F.regexp_extract_all(stripped, F.lit(f"({SENTENCE})"), F.lit(1)), F.array(F.lit("")))
     pairs = F.arrays_zip(sentences.alias("s"), gaps.alias("g"))
     lead = F.length(F.regexp_extract(text, r"(?U)^\s+", 0))
-    out = "array<struct<text:string,low:int,high:int>>"
-    start = F.struct(F.array().cast(out).alias("out"), F.lit("").alias("buf"), lead.alias("low"), lead.alias("high"), lead.alias("at"))
+    window = lambda acc: F.array(F.struct(acc["buf"].alias("text"), acc["low"].alias("low"), acc["high"].alias("high")))
+    none = F.array().cast(f"array<{_WINDOW}>")
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[Column, dict[str, Column]]:
         sentence = x["s"]
         end = (acc["at"] + F.length(sentence)).cast("int")
         after = (end + F.length(F.coalesce(x["g"], F.lit("")))).cast("int")
         tail = F.right(acc["buf"], F.lit(overlap)) if overlap else F.lit("")
         flush = (acc["buf"] != "") & (F.length(acc["buf"]) + F.length(sentence) + 1 > size)
-        closed = F.array(F.struct(acc["buf"].alias("text"), acc["low"].alias("low"), acc["high"].alias("high")))
-        return F.struct(
-            F.when(flush, F.concat(acc["out"], closed)).otherwise(acc["out"]).alias("out"),
-            F.when(flush, strip(F.concat(tail, F.lit(" "), sentence))).when(acc["buf"] == "", sentence).otherwise(strip(F.concat(acc["buf"], F.lit(" "), sentence))).alias("buf"),
-            F.when(flush, F.greatest(F.lit(0), acc["at"] - F.length(tail))).otherwise(acc["low"]).cast("int").alias("low"),
-            end.alias("high"),
-            after.alias("at"),
-        )
-
-    def finish(acc: Column) -> Column:
-        last = F.array(F.struct(acc["buf"].alias("text"), acc["low"].alias("low"), acc["high"].alias("high")))
-        return F.when(acc["buf"] != "", F.concat(acc["out"], last)).otherwise(acc["out"])
+        buf = F.when(flush, strip(F.concat(tail, F.lit(" "), sentence))).when(acc["buf"] == "", sentence).otherwise(strip(F.concat(acc["buf"], F.lit(" "), sentence)))
+        low = F.when(flush, F.greatest(F.lit(0), acc["at"] - F.length(tail))).otherwise(acc["low"]).cast("int")
+        return F.when(flush, window(acc)).otherwise(none), {"buf": buf, "low": low, "high": end, "at": after}
 
+    start = {"buf": F.lit(""), "low": lead, "high": lead, "at": lead}
+    finished = F.transform(F.array(folded(pairs, _WINDOW, start, step)), lambda acc: F.when(acc["buf"] != "", F.concat(acc["out"], window(acc))).otherwise(acc["out"]))
     whole = F.array(F.struct(stripped.alias("text"), F.lit(0).alias("low"), F.length(text).alias("high")))
-    return F.when(F.length(stripped) <= size, whole).otherwise(F.aggregate(pairs, start, step, finish))
+    return F.when(F.length(stripped) <= size, whole).otherwise(F.get(finished, 0))
 
 
 def chunk_array(source_type: Column, text: Column, size: int, overlap: int) -> Column:
@@ -106,7 +106,7 @@ def chunk_array(source_type: Column, text: Column, size: int, overlap: int) -> C
 
     def of_segment(seg: Column) -> Column:
         def of_window(w: Column) -> Column:
-            line = lambda at: (seg["start"] + _newlines(F.left(seg["text"], at))).cast("int")
+            line = lambda at: line_of(seg["text"], at, seg["start"])
             low = F.when(paged | turned, seg["start"]).otherwise(line(w["low"]))
             high = F.when(paged | turned, seg["start"]).otherwise(line(w["high"]))
             span = F.struct(kind.alias("kind"), low.alias("start"), high.alias("end"), seg["label"].alias("label"))

@@ -24,23 +24,35 @@ def match_entities(queries: DataFrame, entities: DataFrame, limit: int = 10, lea
     """query_id, name, score and rank of the entities that share tokens with a query, by substring either way.
 
     queries: query_id, text; entities: name, aliases, ord. The score counts query tokens, repeats included. The fuzzy
-    comparison runs once over the two dictionaries of distinct tokens; rows meet by equality.
+    comparison runs once over the two dictionaries of distinct tokens: the pieces of a token that have the length of some
+    token of the other side meet that one by equality.
     """
     asked = queries.select("query_id", F.explode(tokens("text")).alias("q")).where(F.length("q") >= least)
     asked = asked.groupBy("query_id", "q").agg(F.count("*").alias("n"))
     held = entities.select("name", "ord", F.explode(F.array_distinct(F.flatten(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), tokens)))).alias("t"))
-    similar = asked.select("q").distinct().join(held.select("t").distinct(), F.contains("q", "t") | F.contains("t", "q"))
+    words, names = asked.select("q").distinct(), held.select("t").distinct()
+    similar = stacked(_containing(words, names, "q", "t"), _containing(names, words, "t", "q").select("q", "t")).distinct()
     hits = asked.join(similar, "q").join(held, "t").select("query_id", "name", "ord", "q", "n").distinct()
     scored = hits.groupBy("query_id", "name", "ord").agg(F.sum("n").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord", "name"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "name", "score", "rank")
 
 
+def _containing(outer: DataFrame, inner: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs (a, b) of distinct tokens where a contains b."""
+    # as many lengths as the tokens have
+    lengths = sorted(r[0] for r in inner.select(F.length(b)).distinct().collect())
+    here = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(a))
+    pieces = F.flatten(F.transform(here, lambda n: F.transform(F.sequence(F.lit(1), F.length(a) - n + 1), lambda at: F.substring(F.col(a), at, n))))
+    return outer.select(a, F.explode(F.array_distinct(pieces)).alias(b)).join(inner, b).select(a, b)
+
+
 def expand(relations: DataFrame, seeds: DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
     """Edges (query_id, subject, relation, object) within hops of the seeds, and nodes (query_id, node, hop).
 
     seeds: query_id, node. Relations are followed both ways; seeds count as nodes even if no relation holds them. The plan is
-    unrolled, one equality join for each hop.
+    unrolled, one equality join for each hop; both sides of it are plain shuffles, of which adaptive execution splits the
+    partition of a hub.
     """
     nodes = seeds.select("query_id", "node").distinct().withColumn("hop", F.lit(0))
     sides = relations.select("subject", "relation", "object", F.col("subject").alias("node"), F.col("object").alias("other"))

@@ -25,22 +25,24 @@ def dedupe_status(incoming: DataFrame, existing: DataFrame, order: str) -> DataF
     """Adds `status` (duplicate, updated or new); updated rows get the id and the next version of the stored document.
 
     incoming: id, uri, content_hash and order; existing: id, uri, content_hash, version. A hash stored anywhere makes a
-    duplicate, before the uri is looked at. Within the batch the first row by order wins, first by hash, then by uri:
-    later rows of a hash are duplicates, later rows of a uri further versions.
+    duplicate, before the uri is looked at. Within the batch the first row by order (a column without ties) wins, first by hash,
+    then by uri: later rows of a hash are duplicates, later rows of a uri further versions.
     """
     known = existing.select("content_hash").distinct().withColumn("_known", F.lit(True))
     stored = existing.groupBy("uri").agg(F.min_by(F.struct("id", "version"), "id").alias("_old"))
-    by_hash = Window.partitionBy("content_hash").orderBy(order)
-    by_uri = Window.partitionBy("uri", "_dup").orderBy(order)
-    rows = incoming.join(known, "content_hash", "left").withColumn("_nth", F.row_number().over(by_hash))
-    rows = rows.withColumn("_dup", F.col("_known").isNotNull() | (F.col("_nth") > 1)).join(stored, "uri", "left")
-    rows = rows.withColumn("_step", F.row_number().over(by_uri)).withColumn("_first", F.first("id").over(by_uri))
+    # of the hashes that stand on several rows only the first row is looked at further; these hashes are few beside the rows
+    again = incoming.groupBy("content_hash").agg(F.min(order).alias("_head"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    rows = incoming.join(known, "content_hash", "left").join(again, "content_hash", "left")
+    rows = rows.withColumn("_dup", F.col("_known").isNotNull() | F.coalesce(F.col("_head") != F.col(order), F.lit(False))).drop("_head")
+    by_uri = Window.partitionBy("uri").orderBy(order)
+    fresh = rows.where(~F.col("_dup")).withColumn("_step", F.row_number().over(by_uri)).withColumn("_first", F.first("id").over(by_uri))
+    rows = stacked(fresh, rows.where("_dup"), allow_missing=True).join(stored, "uri", "left").withColumn("_step", F.coalesce("_step", F.lit(1)))
     base = F.coalesce("_old.version", F.lit(0))
     return (
         rows.withColumn("status", F.when(F.col("_dup"), "duplicate").when(F.col("_old").isNotNull() | (F.col("_step") > 1), "updated").otherwise("new"))
         .withColumn("id", F.when(F.col("status") == "updated", F.coalesce("_old.id", "_first")).otherwise(F.col("id")))
         .withColumn("version", F.when(F.col("status") == "duplicate", F.lit(1)).otherwise(base + F.col("_step")).cast("int"))
-        .drop("_known", "_nth", "_dup", "_old", "_step", "_first")
+        .drop("_known", "_dup", "_old", "_step", "_first")
     )
 
 
@@ -56,11 +58,23 @@ def delete_chunks(chunks: DataFrame, mentions: DataFrame, documents: DataFrame)
     return kept, mentions.join(gone, "chunk_id", "left_anti")
 
 
+def _aliases(rows: DataFrame, key: str) -> DataFrame:
+    """key and its distinct aliases in the order in which they first stand; rows: key, place, aliases."""
+    each = rows.select(key, "place", F.posexplode("aliases").alias("p", "alias"))
+    firsts = each.groupBy(key, "alias").agg(F.min(F.struct("place", "p")).alias("o"))
+    return firsts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "alias"))).alias("a")).select(key, F.transform("a", lambda x: x["alias"]).alias("aliases"))
+
+
 def upsert_entities(rows: DataFrame) -> DataFrame:
-    """One row per name from rows in order (name, label, aliases, summary, ord): the first label, all aliases in order, the first summary that is not empty."""
-    listed = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("ord", "label", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("summary", F.lit("")).alias("summary")))).alias("r"))
-    summaries = F.filter(F.transform("r", lambda x: x["summary"]), lambda s: s != "")
-    return listed.select("name", F.get("r", F.lit(0))["label"].alias("label"), F.array_distinct(F.flatten(F.transform("r", lambda x: x["aliases"]))).alias("aliases"), F.coalesce(F.get(summaries, F.lit(0)), F.lit("")).alias("summary"), F.get("r", F.lit(0))["ord"].alias("ord"))
+    """One row per name from rows in order (name, label, aliases, summary, ord): the first label, all aliases in order, the first summary that is not empty.
+
+    Rows are aggregated where they lie; only the distinct aliases of a name, which are its result, come together.
+    """
+    none = F.array().cast("array<string>")
+    told = F.coalesce("summary", F.lit("")) != ""
+    heads = rows.groupBy("name").agg(F.min_by("label", "ord").alias("label"), F.coalesce(F.min_by("summary", F.when(told, F.col("ord"))), F.lit("")).alias("summary"), F.min("ord").alias("ord"))
+    aliases = _aliases(rows.select("name", F.col("ord").alias("place"), "aliases"), "name")
+    return heads.join(aliases, "name", "left").select("name", "label", F.coalesce("aliases", none).alias("aliases"), "summary", "ord")
 
 
 def mention_counts(calls: DataFrame) -> DataFrame:
@@ -95,14 +109,16 @@ def merge_entities(entities: DataFrame, mentions: DataFrame, relations: DataFram
     to = mapping.select(F.col("duplicate").alias("name"), "root")
     rows = entities.join(to, "name", "left").withColumn("owner", F.coalesce("root", "name"))
     own = F.col("name") == F.col("owner")
-    listed = rows.groupBy("owner").agg(
-        F.array_sort(F.collect_list(F.struct((~own).cast("int").alias("k"), "ord", "label", F.when(own, F.col("aliases")).otherwise(F.concat(F.array("name"), "aliases")).alias("aliases"), F.coalesce("summary", F.lit("")).alias("summary")))).alias("r"),
+    rows = rows.withColumn("place", F.struct((~own).cast("int").alias("k"), "ord"))
+    # a root that is an entity comes first among its rows and keeps its summary
+    heads = rows.groupBy("owner").agg(
+        F.min_by(F.struct("label", F.when(own, F.coalesce("summary", F.lit(""))).otherwise("").alias("summary"), "ord"), "place").alias("head"),
         F.sum("mention_count").alias("mention_count"),
     )
-    head = F.get("r", F.lit(0))
-    aliases = F.array_distinct(F.flatten(F.transform("r", lambda x: x["aliases"])))
-    summary = F.when(head["k"] == 0, head["summary"]).otherwise("")
-    merged = listed.select(F.col("owner").alias("name"), head["label"].alias("label"), F.filter(aliases, lambda a: a != F.col("owner")).alias("aliases"), "mention_count", summary.alias("summary"), head["ord"].alias("ord"))
+    listed = rows.select("owner", "place", F.when(own, F.col("aliases")).otherwise(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("aliases"))
+    joined = heads.join(_aliases(listed, "owner"), "owner", "left")
+    others = F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a != F.col("owner"))
+    merged = joined.select(F.col("owner").alias("name"), F.col("head.label").alias("label"), others.alias("aliases"), "mention_count", F.col("head.summary").alias("summary"), F.col("head.ord").alias("ord"))
 
     def rewired(df: DataFrame, column: str) -> DataFrame:
         names = to.select(F.col("name").alias(column), F.col("root").alias("_root"))

@@ -22,25 +22,52 @@ def alias_decisions(entities: DataFrame, seeds: DataFrame, by: Sequence[str] = (
     return found.where(F.col("canonical").isNotNull() & (F.col("canonical") != F.col("name"))).select(*by, F.col("name").alias("duplicate"), "canonical", "ord")
 
 
+def _pieces(form: Column, threshold: float, distance: int) -> tuple[Column, Column]:
+    """Keys by which two forms meet if they are within the gate: those of a form as the shorter one, and as the longer one.
+
+    The longer form allows d edits: distance, or (1 - threshold) of its length. Cut into d + 1 parts, the shorter one then keeps
+    one part unchanged in the longer one, at a place that differs by no more than the edits leave. A key is d, the shorter length, the part's
+    number and the part itself.
+    """
+    length = F.length(form)
+    edits = lambda n: F.greatest(F.lit(distance), F.floor((1 - threshold) * n + 1e-9)).cast("int")
+    cut = lambda n, i, d: F.floor(i * n / (d + 1)).cast("int")
+    key = lambda d, n, i, at, size: F.struct(d.alias("d"), n.alias("n"), i.alias("i"), F.substring(form, at + 1, size).alias("s"))
+    longest = F.greatest(length + distance, F.floor(length / threshold + 1e-9)).cast("int")
+    allowed = F.array_distinct(F.transform(F.sequence(length, longest), edits))
+    shorter = F.transform(allowed, lambda d: F.transform(F.sequence(F.lit(0), d), lambda i: key(d, length, i, cut(length, i, d), cut(length, i + 1, d) - cut(length, i, d))))
+
+    def of_length(n: Column) -> Column:
+        d, gap = edits(length), length - n
+
+        def of_part(i: Column) -> Column:
+            at, size = cut(n, i, d), cut(n, i + 1, d) - cut(n, i, d)
+            low = F.greatest(F.lit(0), at - F.floor((d - gap) / 2)).cast("int")
+            high = F.least(length - size, at + F.floor((d + gap) / 2)).cast("int")
+            return F.transform(F.sequence(low, high), lambda a: key(d, n, i, a, size))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), d), of_part))
+
+    longer = F.transform(F.sequence(F.greatest(F.lit(0), length - edits(length)), length), of_length)
+    return F.flatten(shorter), F.flatten(longer)
+
+
 def candidates(entities: DataFrame, threshold: float = 0.86, distance: int = 2, by: Sequence[str] = ()) -> DataFrame:
     """Pairs of one label that pass the string gate: a_name, b_name (a before b by ord), similarity, distance.
 
-    entities: name, label, ord, mention_count. Names are compared once for each pair of normalised forms. A similarity
-    of threshold allows at most (1 - threshold) * length edits, so lengths that differ by more than that and by more
-    than distance are never compared. by: columns that keep sets of entities apart; only rows that agree in them meet.
+    entities: name, label, ord, mention_count. Names are compared once for each pair of normalised forms, and only where the
+    forms share a part that any pair within the gate must share (see _pieces), so no label is compared with itself as a whole.
+    by: columns that keep sets of entities apart; only rows that agree in them meet.
     """
     forms = entities.select(*by, "label", normalize_name("name").alias("form")).distinct()
-    x, y = forms.alias("x"), forms.alias("y")
-    gap = F.abs(F.length("x.form") - F.length("y.form"))
-    longer = F.greatest(F.length("x.form"), F.length("y.form"), F.lit(1))
-    near = (gap <= distance) | (gap <= (1 - threshold) * longer + 1e-9)
-    together = F.col("x.label") == F.col("y.label")
-    for c in by:
-        together &= F.col(f"x.{c}") == F.col(f"y.{c}")
-    pairs = x.join(y, together & (F.col("x.form") <= F.col("y.form")) & near)
-    similarity = F.when(F.col("x.form") == F.col("y.form"), F.lit(1.0)).otherwise(1.0 - F.levenshtein("x.form", "y.form") / longer)
-    gated = pairs.select(*[F.col(f"x.{c}").alias(c) for c in by], F.col("x.label").alias("label"), F.col("x.form").alias("fx"), F.col("y.form").alias("fy"), similarity.alias("similarity"), F.levenshtein("x.form", "y.form").alias("distance"))
-    gated = gated.where((F.col("similarity") >= threshold) | (F.col("distance") <= distance))
+    shorter, longer = _pieces(F.col("form"), threshold, distance)
+    x = forms.select(*by, "label", F.col("form").alias("fx"), F.explode(shorter).alias("key")).distinct()
+    y = forms.select(*by, "label", F.col("form").alias("fy"), F.explode(longer).alias("key")).distinct()
+    met = x.join(y, [*by, "label", "key"]).where((F.length("fx") < F.length("fy")) | (F.col("fx") < F.col("fy"))).select(*by, "label", "fx", "fy").distinct()
+    pairs = stacked(met, forms.select(*by, "label", F.col("form").alias("fx"), F.col("form").alias("fy")))
+    apart = F.levenshtein("fx", "fy")
+    similarity = F.when(F.col("fx") == F.col("fy"), F.lit(1.0)).otherwise(1.0 - apart / F.greatest(F.length("fx"), F.length("fy"), F.lit(1)))
+    gated = pairs.withColumn("similarity", similarity).withColumn("distance", apart).where((F.col("similarity") >= threshold) | (F.col("distance") <= distance))
     named = entities.withColumn("form", normalize_name("name"))
     side = lambda p, f: named.select(*by, F.col("label"), F.col("form").alias(f), F.col("name").alias(f"{p}_name"), F.col("ord").alias(f"{p}_ord"), F.col("mention_count").alias(f"{p}_count"))
     both = gated.join(side("p", "fx"), [*by, "label", "fx"]).join(side("q", "fy"), [*by, "label", "fy"])

@@ -93,18 +93,25 @@ def fulltext_topk(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
 
 
 def bm25_topk(queries: DataFrame, rows: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """An extra keyword scorer: Okapi BM25 over rows (id, text)."""
-    lengths = rows.select("id", F.size(tokens("text")).cast("long").alias("len")).where("len > 0")
-    overall = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
-    n, mean = overall["n"] or 0, overall["mean"] or 1.0
+    """An extra keyword scorer: Okapi BM25 over rows (id, text).
+
+    Texts are read and cut into tokens once: the queries' tokens are counted, and an empty token on every row carries its length.
+    """
+    from loomgraph.plans.store import checkpointed
+
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("token"))
-    # only the queries' tokens are counted
-    own = rows.select("id", F.explode(tokens("text")).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    counted = own.groupBy("id", "token").agg(F.count("*").alias("tf"))
+    wanted = stacked(asked.select("token").distinct(), queries.sparkSession.createDataFrame([("",)], "token string"))
+    cut = rows.select("id", tokens("text").alias("t")).where(F.size("t") > 0)
+    own = cut.select("id", F.size("t").cast("long").alias("len"), F.explode(F.array_append("t", F.lit(""))).alias("token")).join(wanted, "token", "left_semi")
+    # one row for each row of rows, and one for each of its tokens that is asked for
+    found = checkpointed(own.groupBy("id", "len", "token").agg(F.count("*").alias("tf")))
+    overall = found.where("token = ''").agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
+    n, mean = overall["n"] or 0, overall["mean"] or 1.0
+    counted = found.where("token <> ''")
     df = counted.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    hits = asked.join(df, "token").join(counted, "token").join(lengths, "id").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    hits = asked.join(df, "token").join(counted, "token").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 

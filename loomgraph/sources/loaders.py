@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from loomgraph.config import ALIAS_SEEDS
 from loomgraph.frames import stacked
+from loomgraph.functions.folds import folded
 from loomgraph.functions.text import col, markdown_links, markdown_title, strip
 from loomgraph.schemas import GOLD, QUESTION
 
@@ -65,21 +66,21 @@ def transcript(text: Column | str) -> tuple[Column, Column]:
     A line `speaker: text` (after an optional [timestamp]) opens a turn; other lines continue it.
     """
     text = col(text)
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("out"), F.lit(None).cast("string").alias("speaker"), F.lit("").alias("buf"))
-    head = lambda acc: F.concat(F.lit("[[TURN "), (F.size(acc["out"]) + 1).cast("string"), F.lit("]] "), acc["speaker"], F.lit(": "), strip(acc["buf"]))
-    flushed = lambda acc: F.when(acc["speaker"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(head(acc))))
+    state = {"n": F.lit(0), "speaker": F.lit(None).cast("string"), "buf": F.lit("")}
+    turn = lambda acc: F.array(F.concat(F.lit("[[TURN "), acc["n"].cast("string"), F.lit("]] "), acc["speaker"], F.lit(": "), strip(acc["buf"])))
+    none = F.array().cast("array<string>")
 
-    def step(acc: Column, raw: Column) -> Column:
+    def step(acc: Column, raw: Column) -> tuple[Column, dict[str, Column]]:
         line = strip(raw)
         opens = line.rlike(TURN)
-        return F.struct(
-            F.when(opens, flushed(acc)).otherwise(acc["out"]).alias("out"),
-            F.when(opens, strip(F.regexp_extract(line, TURN, 2))).otherwise(acc["speaker"]).alias("speaker"),
-            F.when(opens, strip(F.regexp_extract(line, TURN, 3))).when(line == "", acc["buf"]).otherwise(F.concat(acc["buf"], F.lit(" "), line)).alias("buf"),
-        )
-
-    turns = F.aggregate(F.split(text, "\r\n|\r|\n"), start, step, flushed)
+        return F.when(opens & acc["speaker"].isNotNull(), turn(acc)).otherwise(none), {
+            "n": F.when(opens, acc["n"] + 1).otherwise(acc["n"]),
+            "speaker": F.when(opens, strip(F.regexp_extract(line, TURN, 2))).otherwise(acc["speaker"]),
+            "buf": F.when(opens, strip(F.regexp_extract(line, TURN, 3))).when(line == "", acc["buf"]).otherwise(F.concat(acc["buf"], F.lit(" "), line)),
+        }
+
+    last = folded(F.split(text, "\r\n|\r|\n"), "string", state, step)
+    turns = F.get(F.transform(F.array(last), lambda acc: F.when(acc["speaker"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], turn(acc)))), 0)
     return F.when(F.size(turns) > 0, F.array_join(turns, "\n")).otherwise(text), F.size(turns)
 
 

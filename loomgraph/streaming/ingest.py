@@ -12,7 +12,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.frames import stacked
 from loomgraph.functions.text import content_hash, normalize_text
 
 
@@ -57,27 +56,28 @@ def run_event_windows(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("event_type", "hour").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
-def merge_first_seen(known: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """content_hash and the smallest doc_id seen so far."""
+def first_seen(batch: DataFrame) -> DataFrame:
+    """content_hash and its smallest doc_id in the batch."""
     rows = batch.select(content_hash(normalize_text(F.coalesce("text", F.lit("")))).alias("content_hash"), "doc_id")
-    rows = rows if known is None else stacked(known, rows)
     return rows.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
 
 
 def run_first_seen(spark: SparkSession, path: str) -> DataFrame:
-    """The first document of each text of a table read as a stream, merged batch by batch into versions."""
+    """The first document of each text of a table read as a stream: each micro-batch adds its own firsts, and the smallest counts.
+
+    A batch costs what it holds, whatever came before; a repeated batch overwrites its own part.
+    """
     out = _folder(spark, "first")
 
     def save(batch: DataFrame, number: int) -> None:
-        known = spark.read.parquet(f"{out}/v={number - 1:08d}") if number else None
-        merge_first_seen(known, batch).write.mode("overwrite").parquet(f"{out}/v={number:08d}")
-        save.last = number
+        first_seen(batch).write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
+        save.any = True
 
-    save.last = -1
+    save.any = False
     stream_of(spark, path).writeStream.foreachBatch(save).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
-    if save.last < 0:
+    if not save.any:
         return spark.createDataFrame([], "content_hash string, doc_id long")
-    return spark.read.parquet(f"{out}/v={save.last:08d}")
+    return spark.read.option("basePath", out).parquet(out).groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
 
 
 def ingest_stream(engine, docs: DataFrame, state: str):
