@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import col
 
+TASK = "Answer from the passages and relations given here and from nothing else."
 HEAD = "The passages found and the relations between them bear on the question; see "
 
 
@@ -32,7 +33,7 @@ def answer_prompt(question: Column | str, chunks: Column | str, edges: Column |
     line = lambda e: F.concat(e["subject"], F.lit(" -["), e["relation"], F.lit("]-> "), e["object"])
     graph = F.when(F.size(edges) > 0, F.array_join(F.transform(F.slice(edges, 1, limit), line), "\n")).otherwise("(no relations)")
     return F.concat(
-        F.lit("Answer from the passages and relations given here and from nothing else.\n\nQuestion: "), question, F.lit("\n\nPassages:\n"), sources,
+        F.lit(TASK + "\n\nQuestion: "), question, F.lit("\n\nPassages:\n"), sources,
         F.lit("\n\nRelations:\n"), graph,
         F.lit("\n\nBe brief. Put the number of each passage used in brackets, and say how the relations connect them."),
     )

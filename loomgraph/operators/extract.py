@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,29 +91,16 @@ def extraction_prompt(text: Column | str) -> Column:
     return F.concat(F.lit(intro), col(text))
 
 
-def with_answers(rows: DataFrame, prompt: str, complete: Callable[[str], str], out: str = "answer") -> DataFrame:
+def with_answers(rows: DataFrame, prompt: str, complete: Callable[[str], str], out: str = "answer", calls: int = 4, error: str = "error") -> DataFrame:
     """Adds a model's answer and `error` (data, not an exception) to every row; the order of rows stays.
 
-    complete runs on the executors; calls of a batch overlap in a small pool of threads.
+    complete runs on the executors; up to `calls` of a task overlap.
     """
-    from concurrent.futures import ThreadPoolExecutor
+    from pyspark.sql.types import StringType
 
-    def one(text: str) -> tuple[str | None, str | None]:
-        try:
-            return complete(text), None
-        except Exception as e:  # a failed call is an answer of its own
-            return None, f"{type(e).__name__}: {e}"
+    from loomgraph.providers import with_calls
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(4) as pool:
-            for batch in batches:
-                answers = list(pool.map(one, batch[prompt]))
-                yield batch.assign(**{out: [a for a, _ in answers], "error": [e for _, e in answers]})
-
-    from pyspark.sql.types import StringType, StructType
-
-    schema = StructType([f for f in rows.schema.fields if f.name not in (out, "error")]).add(out, StringType()).add("error", StringType())
-    return rows.mapInPandas(run, schema)
+    return with_calls(rows, prompt, complete, out, StringType(), calls, error)
 
 
 def graph_rows(chunks: DataFrame, extraction: str = "extraction", order: str = "ord") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -101,19 +101,19 @@ def plan(entities: DataFrame, seeds: DataFrame, embeddings: DataFrame | None = N
     ambiguous band of the embedding score; without it they pass. by: columns that keep sets of entities apart; each set
     is planned as if alone, and its decisions carry them.
     """
-    c = config or EngineConfig()
+    c = (config or EngineConfig()).matching
     alias = alias_decisions(entities, seeds, by).select(*by, "duplicate", "canonical", F.lit(1.0).alias("string_score"), F.lit(None).cast("double").alias("embed_score"), F.lit("alias_seed").alias("reason"), F.struct(F.lit(0).alias("k"), F.col("ord").cast("long").alias("o"), F.lit(0).cast("long").alias("p")).alias("ord"))
-    pairs = candidates(entities, c.res_similarity_threshold, c.res_word_distance, by)
+    pairs = candidates(entities, c.similarity, c.edits, by)
     if embeddings is None:
         pairs = pairs.withColumn("embed_score", F.lit(None).cast("double"))
     else:
         side = lambda p: embeddings.select(F.col("name").alias(f"{p}_name"), F.col("embedding").alias(f"{p}_v"))
         pairs = pairs.join(side("a"), "a_name", "left").join(side("b"), "b_name", "left").withColumn("embed_score", F.when(F.col("a_v").isNotNull() & F.col("b_v").isNotNull(), cosine("a_v", "b_v")))
     es = F.col("embed_score")
-    pairs = pairs.where(es.isNull() | (es >= c.res_embed_cutoff - c.res_llm_margin))
+    pairs = pairs.where(es.isNull() | (es >= c.cosine - c.band))
     reason = F.when(es.isNull(), "string").otherwise("string+embed")
     if same is not None:
-        band = es.isNotNull() & (F.abs(es - c.res_embed_cutoff) <= c.res_llm_margin)
+        band = es.isNotNull() & (F.abs(es - c.cosine) <= c.band)
         pairs = pairs.where(~band | same)
         reason = F.when(band, "llm").otherwise(reason)
     canonicals = seeds.select("canonical").distinct()

@@ -25,7 +25,9 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, digits: int = 9) ->
     exchange carries k rows for each query and batch, never the product. Scores are rounded before they are compared, so that equal
     vectors tie whatever order their products are summed in.
     """
-    asked = queries.select("query_id", "vector").where("vector IS NOT NULL")
+    from loomgraph.plans.store import checkpointed
+
+    asked = checkpointed(queries.select("query_id", "vector")).where("vector IS NOT NULL")
     n = asked.count()
     parts = -(-n // MOST_QUERIES) if n else 1
     found = None

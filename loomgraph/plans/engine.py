@@ -7,52 +7,100 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph import providers
 from loomgraph.config import EngineConfig
 from loomgraph.frames import stacked
 from loomgraph.functions.vectors import hash_embedding
 from loomgraph.operators import answer, chunking, evaluate, extract, graph, ingest, resolve, retrieve
-from loomgraph.plans.store import Store, checkpointed
+from loomgraph.plans.store import checkpointed, open_store
 from loomgraph.sources import loaders
 
-Embed = Callable[[Column], Column]
-Extract = Callable[[Column], Column]
+Progress = Callable[[str, int, int], None]
+ERRORS = "document_id string, position int, phase string, error string"
 
 
 class Engine:
     """A knowledge graph with vector and keyword search, kept in a Store.
 
-    embed and extractor are expressions over text: the offline ones by default, or pandas/Arrow UDFs around a model.
-    extractor gives an extract.EXTRACTION; wrap raw model output in extract.validated.
+    embed is an expression over text or an embedder (embed_one), extractor an expression that gives an extract.EXTRACTION or a language
+    model (complete_json). By default both are those of the settings: expressions offline, calls of a server otherwise.
     """
 
-    def __init__(self, spark: SparkSession, path: str, config: EngineConfig | None = None, embed: Embed | None = None, extractor: Extract | None = None, seeds: str | None = None):
-        self.spark, self.config, self.store = spark, config or EngineConfig(), Store(spark, path)
-        self.embed = embed or (lambda text: hash_embedding(text, self.config.embed_dim))
-        self.extractor = extractor or extract.heuristic_extraction
-        self.seeds = loaders.alias_seeds(spark, seeds)
+    def __init__(self, spark: SparkSession, path: str, config: EngineConfig | None = None, embed=None, extractor=None, seeds: str | None = None):
+        self.spark, self.config, self.store = spark, config or EngineConfig(), open_store(spark, path)
+        offline = self.config.models.provider == "offline"
+        self.embedder = embed or ((lambda text: hash_embedding(text, self.config.models.dimensions)) if offline else providers.embedder(self.config))
+        self.extractor = extractor or (extract.heuristic_extraction if offline else providers.language_model(self.config, "extraction"))
+        self.model = None if offline else providers.language_model(self.config, "ranking")
+        self.seeds = loaders.alias_seeds(spark, seeds or self.config.matching.seeds or None)
+        self.errors = spark.createDataFrame([], ERRORS)
+
+    def embedded(self, rows: DataFrame, text: str, out: str) -> DataFrame:
+        """rows with the vector of a text column and `embed_error`."""
+        if hasattr(self.embedder, "embed_one"):
+            return providers.with_vectors(rows, text, self.embedder, self.config.models.calls, out, "embed_error")
+        return rows.withColumn(out, self.embedder(F.col(text))).withColumn("embed_error", F.lit(None).cast("string"))
+
+    def extracted(self, rows: DataFrame, text: str = "text") -> DataFrame:
+        """rows with the EXTRACTION of a text column and `extract_error`."""
+        if hasattr(self.extractor, "complete_json"):
+            told = extract.with_answers(rows.withColumn("_prompt", extract.extraction_prompt(text)), "_prompt", self.extractor.complete_json, "_answer", self.config.models.calls, "extract_error")
+            return told.withColumn("extraction", extract.validated("_answer")).drop("_prompt", "_answer")
+        return rows.withColumn("extraction", self.extractor(F.col(text))).withColumn("extract_error", F.lit(None).cast("string"))
 
     # writing
 
-    def ingest_folder(self, path: str, resolve_after: bool = True, pdf_parser=None) -> DataFrame:
-        return self.ingest(loaders.load_folder(self.spark, path, pdf_parser), resolve_after)
+    def ingest_folder(self, path: str, resolve_after: bool = True, pdf_parser=None, **options) -> DataFrame:
+        return self.ingest(loaders.load_path(self.spark, path, pdf_parser), resolve_after, **options)
+
+    def ingest_pages(self, pages: DataFrame, resolve_after: bool = True, **options) -> DataFrame:
+        return self.ingest(loaders.load_web(pages), resolve_after, **options)
+
+    def ingest_urls(self, urls: DataFrame, resolve_after: bool = True, fetch: Callable[[str], str] = loaders.fetched, **options) -> DataFrame:
+        """Fetches the pages of urls (url) and stores those that came; the others are in errors."""
+        pages = checkpointed(loaders.fetch_pages(urls, fetch, self.config.models.calls))
+        report = self.ingest_pages(pages.where("error IS NULL"), resolve_after, **options)
+        failed = pages.where("error IS NOT NULL").select(F.col("url").alias("document_id"), F.lit(None).cast("int").alias("position"), F.lit("load").alias("phase"), "error")
+        self.errors = stacked(self.errors, failed)
+        return report.withColumn("documents_failed", F.col("documents_failed") + F.lit(failed.count()))
 
-    def ingest_pages(self, pages: DataFrame, resolve_after: bool = True) -> DataFrame:
-        return self.ingest(loaders.load_web(pages), resolve_after)
+    def ingest(self, docs: DataFrame, resolve_after: bool = True, raise_errors: bool = False, progress: Progress | None = None) -> DataFrame:
+        """Stores new and changed documents with their chunks, entities and relations, all in one commit; returns one row of counts.
 
-    def ingest(self, docs: DataFrame, resolve_after: bool = True) -> DataFrame:
-        """Stores new and changed documents with their chunks, entities and relations; returns the report of counts."""
-        c, store = self.config, self.store
-        clean = ingest.normalized(docs).withColumn("ord", F.struct("uri", "id"))
+        A document whose meta has an error is left out, a chunk that cannot be embedded too; one that cannot be extracted is kept
+        without entities. These are in `errors` (document_id, position, phase, error) until the next run; raise_errors
+        makes the first of them an exception, before anything is written. progress gets (phase, done, total) as phases start and end.
+        """
+        c, store = self.config.chunking, self.store
+        tick = progress or (lambda *_: None)
+        bad = F.col("meta").isNotNull() & F.map_contains_key(F.col("meta"), "error")
+        unread = docs.where(bad).select(F.col("uri").alias("document_id"), F.lit(None).cast("int").alias("position"), F.lit("load").alias("phase"), F.col("meta")["error"].alias("error"))
+        clean = checkpointed(ingest.normalized(docs.where(~F.coalesce(bad, F.lit(False))))).withColumn("ord", F.struct("uri", "id"))
         status = checkpointed(ingest.dedupe_status(clean, store.table("documents"), "ord"))
         fresh = status.where("status <> 'duplicate'")
         last = fresh.groupBy("id").agg(F.max_by(F.struct(*[x for x in fresh.columns if x != "id"]), "version").alias("r")).select("id", "r.*")
         last = checkpointed(last)
         old = store.tables()
-        chunks = chunking.chunk_documents(last, c.chunk_size, c.chunk_overlap)
-        chunks = chunks.withColumn("embedding", self.embed(F.col("text"))).withColumn("embed_model", F.lit("engine")).withColumn("embed_dim", F.size("embedding"))
-        chunks = checkpointed(chunks.withColumn("extraction", self.extractor(F.col("text"))))
-        rows, calls, relations = extract.graph_rows(chunks.withColumn("ord", F.struct("document_id", "position")))
+        chunks = checkpointed(chunking.chunk_documents(last, c.characters, c.overlap))
+        total = chunks.count()
+        tick("embed", 0, total)
+        model = getattr(self.embedder, "model", "engine")
+        chunks = self.embedded(chunks, "text", "embedding").withColumn("embed_model", F.lit(model)).withColumn("embed_dim", F.size("embedding"))
+        chunks = checkpointed(chunks)
+        tick("embed", total, total)
+        written = chunks.where("embed_error IS NULL")
+        kept = written.count()
+        tick("extract", 0, kept)
+        written = checkpointed(self.extracted(written))
+        tick("extract", kept, kept)
+        place = lambda phase, e: (F.col("document_id"), F.col("position"), F.lit(phase).alias("phase"), F.col(e).alias("error"))
+        errors = stacked(unread, chunks.where("embed_error IS NOT NULL").select(*place("embed", "embed_error")), written.where("extract_error IS NOT NULL").select(*place("extract", "extract_error")))
+        self.errors = checkpointed(errors)
+        if raise_errors and (first := self.errors.orderBy("document_id", "position").first()):
+            raise RuntimeError(f"{first['phase']} of {first['document_id']}, chunk {first['position']}: {first['error']}")
+        rows, calls, relations = extract.graph_rows(written.withColumn("ord", F.struct("document_id", "position")))
         kept_chunks, kept_mentions = ingest.delete_chunks(old["chunks"], old["mentions"], last)
+        kept_tokens = old["chunk_tokens"].join(kept_chunks.select("id"), "id", "left_semi")
         known = old["entities"]
         base = known.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("m")).first()["m"]
         named = ingest.upsert_entities(rows).withColumn("ord", F.struct("ord", "name"))
@@ -60,21 +108,43 @@ class Engine:
         numbered = self._numbered(named, base)
         both = stacked(known.select("name", "label", "aliases", "summary", "ord"), numbered.select("name", "label", "aliases", "summary", "ord"))
         merged = ingest.upsert_entities(both)
-        total = stacked(known.select("name", "mention_count"), counts).groupBy("name").agg(F.sum("mention_count").alias("mention_count"))
+        mentioned = stacked(known.select("name", "mention_count"), counts).groupBy("name").agg(F.sum("mention_count").alias("mention_count"))
         links = last.select(F.col("id").alias("document_id"), F.explode("links").alias("dst_uri"))
         new = {
             "documents": ingest.upsert(old["documents"], last.select(*old["documents"].columns), ["id"]),
-            "chunks": stacked(kept_chunks, chunks.select(*old["chunks"].columns)),
+            "chunks": stacked(kept_chunks, written.select(*old["chunks"].columns)),
+            "chunk_tokens": stacked(kept_tokens, retrieve.token_table(written)),
             "mentions": stacked(kept_mentions, calls).distinct(),
             "relations": stacked(old["relations"], relations).distinct(),
             "doc_links": stacked(old["doc_links"], links).distinct(),
-            "entities": merged.join(total, "name", "left").withColumn("mention_count", F.coalesce("mention_count", F.lit(0))),
+            "entities": merged.join(mentioned, "name", "left").withColumn("mention_count", F.coalesce("mention_count", F.lit(0))),
         }
-        for name, table in new.items():
-            store.write(name, table)
-        if resolve_after:
-            self.resolve()
-        return ingest.ingest_report(status)
+        store.commit(new)
+        tick("write", kept, kept)
+        merges = self.resolve().count() if resolve_after else 0
+        failed = {r["phase"]: r["n"] for r in self.errors.groupBy("phase").agg(F.count("*").alias("n")).collect()}
+        sizes = written.agg(F.coalesce(F.sum(F.size("extraction.entities")), F.lit(0)).alias("e"), F.coalesce(F.sum(F.size("extraction.relations")), F.lit(0)).alias("r")).first()
+        own = {"documents_failed": failed.get("load", 0), "chunks_written": kept, "chunks_failed": failed.get("embed", 0), "extractions_failed": failed.get("extract", 0), "entities_extracted": sizes["e"], "relations_extracted": sizes["r"], "merges": merges}
+        return ingest.ingest_report(status).withColumns({k: F.lit(v).cast("long") for k, v in own.items()})
+
+    def reindex(self, recreate: bool = False) -> dict[str, int]:
+        """Rebuilds the token index from the chunks; recreate also embeds every chunk anew with the present settings. Counts of both."""
+        chunks = self.store.table("chunks")
+        new = {"chunk_tokens": retrieve.token_table(chunks)}
+        if recreate:
+            fresh = checkpointed(self.embedded(chunks.drop("embedding", "embed_model", "embed_dim"), "text", "embedding"))
+            new["chunks"] = fresh.withColumn("embed_model", F.lit(getattr(self.embedder, "model", "engine"))).withColumn("embed_dim", F.size("embedding"))
+        self.store.commit(new)
+        return {name: self.store.table(name).count() for name in new}
+
+    def backfill(self, path: str, dry_run: bool = False, pdf_parser=None) -> DataFrame:
+        """Chunks the sources at path anew and corrects the spans of stored chunks whose document has not changed; counts by outcome."""
+        t, c = self.store.tables(), self.config.chunking
+        chunks, counts = ingest.backfill_spans(t["documents"], t["chunks"], loaders.load_path(self.spark, path, pdf_parser), c.characters, c.overlap)
+        counts = checkpointed(counts)
+        if not dry_run:
+            self.store.commit({"chunks": chunks})
+        return counts
 
     def _numbered(self, rows: DataFrame, base: int) -> DataFrame:
         """ord as a number after base, by one range sort: the place in the partition after the sizes of those before it."""
@@ -92,7 +162,7 @@ class Engine:
         t = self.store.tables()
         embeddings = None
         if use_embeddings:
-            pairs = resolve.candidates(t["entities"], self.config.res_similarity_threshold, self.config.res_word_distance)
+            pairs = resolve.candidates(t["entities"], self.config.matching.similarity, self.config.matching.edits)
             names = stacked(pairs.select(F.col("a_name").alias("name")), pairs.select(F.col("b_name").alias("name")))
             embeddings = resolve.context_embeddings(t["mentions"], t["chunks"], names)
         decisions = checkpointed(resolve.plan(t["entities"], self.seeds, embeddings, self.config, same))
@@ -102,8 +172,7 @@ class Engine:
         entities, mentions, relations = ingest.merge_entities(t["entities"], t["mentions"], t["relations"], roots)
         base = t["merge_history"].agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first()["m"]
         history = self._numbered(decisions.select("duplicate", "canonical", "ord"), base).select(F.col("ord").alias("seq"), "duplicate", "canonical")
-        for name, table in (("entities", entities), ("mentions", mentions), ("relations", relations), ("merge_history", stacked(t["merge_history"], history))):
-            self.store.write(name, table)
+        self.store.commit({"entities": entities, "mentions": mentions, "relations": relations, "merge_history": stacked(t["merge_history"], history)})
         return decisions
 
     # reading
@@ -113,32 +182,33 @@ class Engine:
 
         complete: a model for query expansion and reranking, where the settings turn these on.
         """
-        c = self.config
-        k, hops = top_k or c.retrieve_top_k, c.retrieve_hops if hops is None else hops
+        c = self.config.retrieval
+        k, hops = top_k or c.hits, c.hops if hops is None else hops
+        complete = complete or (self.model.complete if self.model else None)
         t = self.store.tables()
         asked = queries.select("query_id", "text")
-        if c.query_expansion and complete:
-            asked = retrieve.expanded(asked, complete, c.query_expansion_terms)
+        if c.expand and complete:
+            asked = retrieve.expanded(asked, complete, c.extra_terms)
         else:
             asked = asked.withColumn("search_text", F.col("text"))
-        vectors = asked.select("query_id", self.embed(F.col("search_text")).alias("vector"))
+        vectors = self.embedded(asked.select("query_id", "search_text"), "search_text", "vector").select("query_id", "vector")
         by_vector = retrieve.vector_topk(vectors, t["chunks"].select("id", "embedding"), k)
-        by_text = retrieve.fulltext_topk(asked.select("query_id", F.col("search_text").alias("text")), retrieve.token_table(t["chunks"]), k)
-        fused = checkpointed(retrieve.rrf_fuse({"vector": by_vector, "fulltext": by_text}, k, c.rrf_c))  # at most k rows for each query
+        by_text = retrieve.fulltext_topk(asked.select("query_id", F.col("search_text").alias("text")), t["chunk_tokens"], k)
+        fused = checkpointed(retrieve.rrf_fuse({"vector": by_vector, "fulltext": by_text}, k, c.fusion))  # at most k rows for each query
         rows = retrieve.with_documents(fused, t["chunks"], t["documents"]).join(queries.select("query_id", "text"), "query_id").withColumn("label", F.col("span.label"))
         boosts = None
-        if c.graph_boost > 0:
-            seeds = graph.match_entities(queries, t["entities"], c.retrieve_top_k).select("query_id", F.col("name").alias("node"))
+        if c.graph_weight > 0:
+            seeds = graph.match_entities(queries, t["entities"], c.hits).select("query_id", F.col("name").alias("node"))
             _, nodes = graph.expand(t["relations"], seeds, hops)
-            boosts = retrieve.graph_factor(fused, t["mentions"], nodes, c.graph_boost, c.neighbour_weight)
-        out = retrieve.rescore(rows, boosts, c.graph_boost, c.title_boost)
-        if c.rerank and complete:
-            out = retrieve.rerank(out.withColumn("query", F.col("text")).withColumn("text", F.col("chunk_text")), complete, c.rerank_candidates, c.snippet_chars)
+            boosts = retrieve.graph_factor(fused, t["mentions"], nodes, c.graph_weight, c.neighbour_share)
+        out = retrieve.rescore(rows, boosts, c.graph_weight, c.title_weight)
+        if c.rank and complete:
+            out = retrieve.rerank(out.withColumn("query", F.col("text")).withColumn("text", F.col("chunk_text")), complete, c.passages, c.snippet)
         return out.select("query_id", "rank", "id", "score", "via", "document_id", "title", "uri", "span", "citation", "chunk_text")
 
     def retrieve(self, queries: DataFrame, top_k: int | None = None, hops: int | None = None, complete: Callable[[str], str] | None = None) -> DataFrame:
         """Context bundles: chunks, edges and entities for each query."""
-        hops = self.config.retrieve_hops if hops is None else hops
+        hops = self.config.retrieval.hops if hops is None else hops
         hits = checkpointed(self.search(queries, top_k, hops, complete))
         t = self.store.tables()
         seeds = hits.select("query_id", F.col("id").alias("chunk_id")).join(t["mentions"], "chunk_id").select("query_id", F.col("entity").alias("node")).distinct()
@@ -146,8 +216,13 @@ class Engine:
         return answer.bundles(queries, hits, edges, nodes)
 
     def ask(self, queries: DataFrame, top_k: int | None = None, hops: int | None = None, answerer: Column | None = None) -> DataFrame:
-        """Bundles with prompt, answer, citations and uncited; answerer: an expression over `prompt`."""
-        return answer.synthesize(self.retrieve(queries, top_k, hops), answerer, self.config.prompt_edges)
+        """Bundles with prompt, answer, citations and uncited; answerer: an expression over `prompt`, by default the settings' model."""
+        limit, found = self.config.retrieval.prompt_relations, self.retrieve(queries, top_k, hops)
+        if answerer is None and self.model is not None:
+            prompts = found.withColumn("prompt", answer.answer_prompt("text", "chunks", "edges", limit))
+            told = extract.with_answers(prompts, "prompt", providers.language_model(self.config).complete, "told", self.config.models.calls)
+            return answer.synthesize(told, F.coalesce("told", "error"), limit).drop("told", "error")
+        return answer.synthesize(found, answerer, limit)
 
     def stats(self) -> DataFrame:
         return self.store.stats()
@@ -155,7 +230,7 @@ class Engine:
     def doctor(self) -> dict[str, object]:
         """Whether the tables can be read, keys that stand twice, and embeddings of another size than the settings say."""
         dims = [r["embed_dim"] for r in self.store.table("chunks").where("embed_dim IS NOT NULL").select("embed_dim").distinct().limit(10).collect()]
-        return {"violations": self.store.violations(), "embed_dims": sorted(dims), "dim_mismatch": any(d != (self.config.embed_dim or 256) for d in dims)}
+        return {"violations": self.store.violations(), "embed_dims": sorted(dims), "dim_mismatch": any(d != (self.config.models.dimensions or 256) for d in dims), "indexed": self.store.current().get("chunk_tokens") is not None}
 
     # evaluation
 
@@ -168,7 +243,7 @@ class Engine:
 
     def eval_extraction(self, cases: DataFrame) -> DataFrame:
         """Micro scores of entities and of triples over cases (case_id, text, entities, triples): two rows."""
-        rows = checkpointed(cases.withColumn("x", self.extractor(F.col("text"))))
+        rows = checkpointed(self.extracted(cases).withColumnRenamed("extraction", "x"))
         ents = evaluate.set_prf(rows.select("case_id", F.explode("x.entities").alias("e")).select("case_id", "e.name", "e.label"), rows.select("case_id", F.explode("entities").alias("e")).select("case_id", F.col("e")[0].alias("name"), F.col("e")[1].alias("label")), ["case_id", "name", "label"])
         keys = ["case_id", "subject", "relation", "object"]
         got = rows.select("case_id", F.explode("x.relations").alias("r")).select("case_id", "r.subject", F.upper("r.relation").alias("relation"), "r.object")
@@ -192,29 +267,29 @@ class Engine:
         answers = self.ask(questions.select("query_id", "text"), k).select("query_id", F.col("answer").alias("generated"), F.size("citations").alias("n_citations"), "uncited")
         rows = answers.join(questions, "query_id")
         if judge is None:
-            return evaluate.grade_answers(rows, threshold=self.config.key_fact_threshold)
+            return evaluate.grade_answers(rows, threshold=self.config.fact_share)
         ask = "\n\nHow well does the given answer agree with the model answer? Reply with a JSON object of correct and complete (whole numbers from 0 to 5), grounded (true or false) and reason (one sentence)."
         prompt = F.concat(F.lit("Question:\n"), F.col("text"), F.lit("\n\nModel answer:\n"), F.col("expected"), F.lit("\n\nGiven answer:\n"), F.col("generated"), F.lit(ask))
         judged = extract.with_answers(rows.withColumn("prompt", prompt), "prompt", judge, "judgement")
-        return evaluate.grade_answers(judged, "judgement", self.config.key_fact_threshold)
+        return evaluate.grade_answers(judged, "judgement", self.config.fact_share)
 
     def eval_sweep(self, cases: DataFrame, graph_boosts: Sequence[float], title_boosts: Sequence[float], top_ks: Sequence[int], k: int) -> DataFrame:
         """Metric means for every combination of settings from one retrieval."""
         t = self.store.tables()
         asked = cases.select("query_id", "text")
-        vectors = asked.select("query_id", self.embed(F.col("text")).alias("vector"))
+        vectors = self.embedded(asked, "text", "vector").select("query_id", "vector")
         fused = []
         for top in sorted(set(top_ks)):
             by_vector = retrieve.vector_topk(vectors, t["chunks"].select("id", "embedding"), top)
-            by_text = retrieve.fulltext_topk(asked, retrieve.token_table(t["chunks"]), top)
-            fused.append(retrieve.rrf_fuse({"vector": by_vector, "fulltext": by_text}, top, self.config.rrf_c).withColumn("top", F.lit(top)))
+            by_text = retrieve.fulltext_topk(asked, t["chunk_tokens"], top)
+            fused.append(retrieve.rrf_fuse({"vector": by_vector, "fulltext": by_text}, top, self.config.retrieval.fusion).withColumn("top", F.lit(top)))
         grid = self.spark.createDataFrame([(float(g), float(b), int(n)) for g in graph_boosts for b in title_boosts for n in top_ks], "graph_boost double, title_boost double, top_k int")
-        seeds = graph.match_entities(asked, t["entities"], self.config.retrieve_top_k).select("query_id", F.col("name").alias("node"))
-        _, nodes = graph.expand(t["relations"], seeds, self.config.retrieve_hops)
+        seeds = graph.match_entities(asked, t["entities"], self.config.retrieval.hits).select("query_id", F.col("name").alias("node"))
+        _, nodes = graph.expand(t["relations"], seeds, self.config.retrieval.hops)
         out = None
         for top, hits in zip(sorted(set(top_ks)), fused, strict=True):
             rows = retrieve.with_documents(hits, t["chunks"], t["documents"]).join(asked, "query_id")
-            boosts = retrieve.graph_factor(hits, t["mentions"], nodes, 1.0, self.config.neighbour_weight)
+            boosts = retrieve.graph_factor(hits, t["mentions"], nodes, 1.0, self.config.retrieval.neighbour_share)
             rows = rows.join(boosts, ["query_id", "id"], "left").select("query_id", F.col("title").alias("item"), F.col("score").alias("base"), F.coalesce("boost", F.lit(0.0)).alias("g"), retrieve.title_factor(F.col("text"), F.col("title"), F.col("span.label"), 1.0).alias("t"), "rank")
             part = evaluate.sweep(rows, cases.select("query_id", F.explode("relevant").alias("item")), grid.where(F.col("top_k") == top), k)
             out = part if out is None else stacked(out, part)

@@ -165,14 +165,25 @@ def valid_triples(spark, sf_dir):
     return rows.withColumn("valid", extract.is_valid_triple("subject", "relation", "object"))
 
 
-@query("""SELECT n_nationkey, e.name, CASE WHEN e.k = 1 THEN 'Tool' WHEN e.k = 2 THEN 'Concept' END AS label, CASE WHEN n_nationkey % 2 = 0 THEN 'uses' END AS note FROM nation, (VALUES (1), (2)) x(k), LATERAL (SELECT CASE k WHEN 1 THEN n_name ELSE 'R' || n_regionkey END AS name, k) e WHERE n_nationkey % 5 <> 4""")
+# the answers as text, read by JSON functions
+PAYLOAD_SQL = """
+b AS (SELECT n_nationkey, '{"entities": ["stray", {"name": " ' || n_name || ' ", "label": "software", "aliases": [" a ", ""]}, {"name": "", "label": "Tool"}, {"name": "R' || n_regionkey || '", "label": "Idea"}, 7], "relations": [{"subject": "' || n_name || '", "relation": "relates_to", "object": "R' || n_regionkey || '"}, {"subject": "R' || n_regionkey || '", "relation": "RELATES_TO", "object": "' || n_name || '"}, {"subject": "' || n_name || '", "relation": "AUTHORED_BY", "object": "R' || n_regionkey || '"}, {"subject": "' || n_name || '", "relation": "USES", "object": "Nobody"}, "x", {"subject": "' || n_name || '", "relation": "RELATES_TO", "object": "' || n_name || '"}]}' AS body FROM nation),
+r AS (SELECT n_nationkey, CASE n_nationkey % 5 WHEN 4 THEN 'no json here' WHEN 3 THEN 'Sure! ```json' || chr(10) || body || chr(10) || '```' ELSE body END AS raw FROM b),
+j AS (SELECT n_nationkey, regexp_extract(raw, '\\{.*\\}', 0, 's')::JSON AS j FROM r WHERE regexp_matches(raw, '\\{')),
+e AS (SELECT n_nationkey, k, trim(x ->> 'name') AS name, x ->> 'label' AS raw_label FROM (SELECT n_nationkey, unnest(json_extract(j, '$.entities[*]')) AS x, generate_subscripts(json_extract(j, '$.entities[*]'), 1) AS k FROM j) WHERE json_type(x) = 'OBJECT' AND trim(x ->> 'name') <> ''),
+l AS (SELECT *, CASE raw_label WHEN 'software' THEN 'Tool' WHEN 'Idea' THEN 'Concept' ELSE raw_label END AS label FROM e),
+t AS (SELECT n_nationkey, trim(x ->> 'subject') AS subject, upper(x ->> 'relation') AS relation, trim(x ->> 'object') AS object FROM (SELECT n_nationkey, unnest(json_extract(j, '$.relations[*]')) AS x FROM j) WHERE json_type(x) = 'OBJECT'),
+a AS (SELECT * FROM (VALUES """ + ", ".join(repr(t) for t in VALID_TRIPLES) + """) v(x, y, z))
+"""
+
+
+@query(f"WITH {PAYLOAD_SQL} SELECT n_nationkey, name, label, CASE WHEN n_nationkey % 2 = 0 THEN 'uses' END AS note FROM l")
 def payload_entities(spark, sf_dir):
     rows = _payloads(spark, sf_dir).select("n_nationkey", F.explode("x.entities").alias("e"))
     return rows.select("n_nationkey", F.col("e.name").alias("name"), F.col("e.label").alias("label"), F.when(F.col("n_nationkey") % 2 == 0, "uses").alias("note"))
 
 
-@query("""SELECT n_nationkey, n_name AS subject, 'RELATES_TO' AS relation, 'R' || n_regionkey AS object FROM nation WHERE n_nationkey % 5 <> 4
-UNION ALL SELECT n_nationkey, 'R' || n_regionkey, 'RELATES_TO', n_name FROM nation WHERE n_nationkey % 5 <> 4""")
+@query(f"WITH {PAYLOAD_SQL} SELECT t.n_nationkey, t.subject, t.relation, t.object FROM t JOIN l s ON s.n_nationkey = t.n_nationkey AND s.name = t.subject JOIN l o ON o.n_nationkey = t.n_nationkey AND o.name = t.object WHERE t.subject <> t.object AND EXISTS (SELECT 1 FROM a WHERE y = t.relation AND x IN (s.label, 'Entity') AND z IN (o.label, 'Entity'))")
 def relation_validation(spark, sf_dir):
     return _payloads(spark, sf_dir).select("n_nationkey", F.explode("x.relations").alias("r")).select("n_nationkey", "r.*")
 
@@ -284,19 +295,23 @@ def authored_by(spark, sf_dir):
     return ingest.authored_by(kg(spark, sf_dir)[2], authors)
 
 
-RESCORE_SQL = f"""{INDEX_SQL}, {HYBRID_SQL}, {MATCH_SQL},
+_RESCORE = f"""{INDEX_SQL}, {HYBRID_SQL}, {MATCH_SQL},
 seeds AS (SELECT item_id, name AS node FROM ms WHERE rank <= 6),
 rs AS (SELECT subject AS node, object AS other FROM rels UNION ALL SELECT object, subject FROM rels),
 x1 AS (SELECT DISTINCT item_id, other AS node FROM seeds JOIN rs USING (node) EXCEPT SELECT * FROM seeds),
 x2 AS (SELECT DISTINCT item_id, other AS node FROM x1 JOIN rs USING (node) EXCEPT (SELECT * FROM seeds UNION SELECT * FROM x1)),
 nd AS (SELECT *, 1.0 AS w FROM seeds UNION ALL SELECT *, 0.25 FROM x1 UNION ALL SELECT *, 0.25 FROM x2),
 bo AS (SELECT hy.item_id, hy.doc_id, 0.5 * sum(w) AS boost FROM hy JOIN (SELECT DISTINCT doc_id, name AS node FROM names) m ON m.doc_id = hy.doc_id JOIN nd ON nd.item_id = hy.item_id AND nd.node = m.node WHERE hy.rank <= 6 GROUP BY 1, 2),
-tt AS (SELECT hy.*, coalesce(boost, 0) AS g, {TERMS.format("b.text")} AS q, {TERMS.format("d.source || ' ' || left(d.text, 60)")} AS w FROM hy LEFT JOIN bo USING (item_id, doc_id) JOIN benchmark b USING (item_id) JOIN documents d ON d.doc_id = hy.doc_id WHERE hy.rank <= 6),
+tt AS (SELECT hy.*, coalesce(boost, 0) AS g, {TERMS.format("b.text")} AS q, {TERMS.format("TITLE")} AS w FROM hy LEFT JOIN bo USING (item_id, doc_id) JOIN benchmark b USING (item_id) JOIN documents d ON d.doc_id = hy.doc_id WHERE hy.rank <= 6),
 tb AS (SELECT *, CASE WHEN len(q) = 0 THEN 0 ELSE 0.4 * len(list_filter(q, lambda x: len(list_filter(w, lambda y: contains(y, x) OR contains(x, y))) > 0)) / len(q) END AS t FROM tt),
 fin AS (SELECT item_id, doc_id, score * (1 + g + t) AS score, via || CASE WHEN g > 0 THEN '+graph' ELSE '' END || CASE WHEN t > 0 THEN '+title' ELSE '' END AS via, rank AS old FROM tb)
 """
 
 
+def RESCORE_SQL(title: str) -> str:
+    return _RESCORE.replace("TITLE", title)
+
+
 def _rescored(spark, sf_dir):
     entities, mentions, relations = kg(spark, sf_dir)
     questions = _questions(spark, sf_dir)
@@ -304,11 +319,11 @@ def _rescored(spark, sf_dir):
     seeds = graph.match_entities(questions, entities, 6).select("query_id", F.col("name").alias("node"))
     _, nodes = graph.expand(relations, seeds, 2)
     boosts = retrieve.graph_factor(fused, mentions, nodes, 0.5)
-    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat("source", F.lit(" "), F.left("text", F.lit(60))).alias("title"), F.lit("").alias("label"))
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat("source", F.lit(" "), F.substring_index("text", "\n", 1)).alias("title"), F.lit("").alias("label"))
     return retrieve.rescore(fused.join(questions, "query_id").join(docs, "id"), boosts, 0.5, 0.4)
 
 
-@query(f"WITH {RESCORE_SQL} SELECT item_id AS query_id, doc_id AS id, round(score, 6) AS score, via, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, old)::INTEGER AS rank FROM fin")
+@query(f"WITH {RESCORE_SQL("d.source || ' ' || split_part(d.text, chr(10), 1)")} SELECT item_id AS query_id, doc_id AS id, round(score, 6) AS score, via, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, old)::INTEGER AS rank FROM fin")
 def rescore(spark, sf_dir):
     return _rescored(spark, sf_dir).select("query_id", "id", F.round("score", 6).alias("score"), "via", "rank")
 
@@ -338,11 +353,15 @@ def _seeds(spark):
     return alias_seeds(spark)
 
 
-@query(f"WITH RECURSIVE {PARTS_SQL} SELECT e.name AS a, f.name AS b, levenshtein(e.form, f.form)::INTEGER AS distance, round(CASE WHEN e.form = f.form THEN 1.0 ELSE 1.0 - levenshtein(e.form, f.form) / greatest(length(e.form), length(f.form), 1) END, 6)::DOUBLE AS similarity FROM ent e JOIN ent f ON f.ord > e.ord")
+FORM = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT a.p_name AS a, b.p_name AS b, {FORM.format("a.p_name")} AS x, {FORM.format("b.p_name")} AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)
+SELECT a, b, levenshtein(x, y)::INTEGER AS distance, round(CASE WHEN x = y THEN 1.0 ELSE 1.0 - levenshtein(x, y) / greatest(length(x), length(y), 1) END, 6)::DOUBLE AS similarity FROM p""")
 def string_similarity(spark, sf_dir):
-    parts = _parts(spark, sf_dir).select("name", "label", "ord")
-    b = parts.select(F.col("name").alias("b"), "label", F.col("ord").alias("bo"))
-    rows = parts.withColumnRenamed("name", "a").join(b, "label").where("ord < bo")
+    part = table(spark, sf_dir, "part")
+    following = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b"))
+    rows = part.join(following, "p_partkey").select(F.col("p_name").alias("a"), "b").distinct()
     return rows.select("a", "b", tx.name_distance("a", "b").alias("distance"), F.round(tx.string_similarity("a", "b"), 6).alias("similarity"))
 
 
@@ -397,14 +416,13 @@ SQL["merge_rewire"] = SQL["merge_rewire"].replace("0 AS n FROM m", "0::BIGINT AS
 
 
 @query(f"""WITH RECURSIVE {PARTS_SQL}, c AS (SELECT name, coalesce(root, name) AS cluster FROM ent LEFT JOIN roots ON duplicate = name),
-g AS (SELECT a_name AS a, b_name AS b, d <= 1 AS should FROM pairs), j AS (SELECT should, x.cluster = y.cluster AS merged FROM g JOIN c x ON x.name = a JOIN c y ON y.name = b),
+g AS (SELECT a_name AS a, b_name AS b, d <= 1 AS should FROM cand), j AS (SELECT should, x.cluster = y.cluster AS merged FROM g JOIN c x ON x.name = a JOIN c y ON y.name = b),
 t AS (SELECT count(*) FILTER (should AND merged) AS tp, count(*) FILTER (NOT should AND merged) AS fp, count(*) FILTER (should AND NOT merged) AS fn FROM j)
 SELECT tp, fp, fn, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall, round(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM t""")
 def er_pairwise_prf(spark, sf_dir):
     entities = _parts(spark, sf_dir)
     groups = resolve.clusters(entities, resolve.merge_roots(resolve.plan(entities, _seeds(spark))))
-    b = entities.select(F.col("name").alias("b"), "label", F.col("ord").alias("bo"))
-    pairs = entities.select(F.col("name").alias("a"), "label", "ord").join(b, "label").where("ord < bo").select("a", "b", (tx.name_distance("a", "b") <= 1).alias("should_merge"))
+    pairs = resolve.candidates(entities).select(F.col("a_name").alias("a"), F.col("b_name").alias("b"), (F.col("distance") <= 1).alias("should_merge"))
     return evaluate.pairwise_prf(groups, pairs).select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -456,14 +474,19 @@ def retrieve_bundle(spark, sf_dir):
     return _bundles(spark, sf_dir).select("query_id", F.size("chunks").cast("long").alias("n_chunks"), edges.alias("edges"), F.array_join("entities", "|").alias("entities"))
 
 
-@query(f"""WITH {BUNDLE_SQL}, s AS (SELECT item_id, string_agg('[' || rank || '] ' || title || ' (' || CASE WHEN lines = 1 THEN one ELSE citation END || '):' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS s FROM h GROUP BY 1),
+PROMPT_SQL = f"""WITH {BUNDLE_SQL}, s AS (SELECT item_id, string_agg('[' || rank || '] ' || title || ' (' || CASE WHEN lines = 1 THEN one ELSE citation END || '):' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS s FROM h GROUP BY 1),
 eg AS (SELECT item_id, string_agg(line, chr(10) ORDER BY n) AS e FROM (SELECT item_id, subject || ' -[' || relation || ']-> ' || object AS line, row_number() OVER (PARTITION BY item_id ORDER BY subject, relation, object) AS n FROM ed) WHERE n <= 40 GROUP BY 1)
-SELECT item_id AS query_id, md5('Answer from the passages and relations given here and from nothing else.' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Passages:' || chr(10) || coalesce(s, '(no passages)') || chr(10) || chr(10) || 'Relations:' || chr(10) || coalesce(e, '(no relations)') || chr(10) || chr(10)
-|| 'Be brief. Put the number of each passage used in brackets, and say how the relations connect them.') AS prompt FROM benchmark LEFT JOIN s USING (item_id) LEFT JOIN eg USING (item_id)""")
+SELECT item_id AS query_id, 'Answer from the passages and relations given here and from nothing else.' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Passages:' || chr(10) || coalesce(s, '(no passages)') || chr(10) || chr(10) || 'Relations:' || chr(10) || coalesce(e, '(no relations)') || chr(10) || chr(10)
+|| 'Be brief. Put the number of each passage used in brackets, and say how the relations connect them.' AS prompt FROM benchmark LEFT JOIN s USING (item_id) LEFT JOIN eg USING (item_id)"""
+
+
+@query(f"SELECT query_id, md5(prompt) AS prompt FROM ({PROMPT_SQL})")
 def answer_prompt(spark, sf_dir):
     return _bundles(spark, sf_dir).select("query_id", F.md5(answer.answer_prompt("text", "chunks", "edges").cast("binary")).alias("prompt"))
 
 
-@query()
+@query(f"""WITH p AS ({PROMPT_SQL}), m AS (SELECT query_id, list_slice(list_sort(list_distinct(list_transform(regexp_extract_all(prompt, '\\[(\\d+)\\]', 1), lambda x: x::HUGEINT))), 1, 3) AS m FROM p),
+n AS (SELECT query_id, m, (SELECT count(*) FROM (WITH {HITS_SQL} SELECT item_id, rank FROM h) c WHERE c.item_id = query_id) AS n, (SELECT count(*) FROM (WITH {HITS_SQL} SELECT item_id, rank FROM h) c WHERE c.item_id = query_id AND list_contains(CASE WHEN len(m) = 0 THEN [1] ELSE m END, c.rank)) AS k FROM m)
+SELECT query_id, '{answer.HEAD}' || CASE WHEN len(m) = 0 THEN '[1]' ELSE list_aggregate(list_transform(m, lambda x: '[' || x || ']'), 'string_agg', ' ') END || '.' AS answer, (CASE WHEN k > 0 THEN k ELSE n END)::INTEGER AS n_citations, false AS uncited FROM n""")
 def answers(spark, sf_dir):
     return answer.synthesize(_bundles(spark, sf_dir)).select("query_id", "answer", F.size("citations").alias("n_citations"), "uncited")

@@ -354,17 +354,16 @@ def normalize_label(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"), tx.normalize_label(raw).alias("label"))
 
 
-@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS g, lead(coalesce(text, '')) OVER (ORDER BY doc_id) AS e FROM documents),
-t AS (SELECT doc_id, {0} AS x, {1} AS y FROM d WHERE e IS NOT NULL), c AS (SELECT doc_id, len(x) AS nx, len(y) AS ny, len(list_intersect(x, y)) AS b FROM t)
-SELECT doc_id, round(CASE WHEN nx = 0 AND ny = 0 THEN 1.0 WHEN b = 0 THEN 0.0 ELSE 2.0 * b / (nx + ny) END, 6)::DOUBLE AS f1 FROM c""".format(*[TERMS.format(c).replace("length(x) >= 3", "length(x) >= 3 AND x NOT IN (" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")") for c in "ge"]))
-def lexical_f1(spark, sf_dir):
-    # the next document by id, without one window over all rows: ids meet by an equality join on the following id
-    docs = _docs(spark, sf_dir).select("doc_id", "text")
-    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("expected"))
-    return docs.join(following, "doc_id").select("doc_id", F.round(tx.lexical_f1("text", "expected"), 6).alias("f1"))
+CONTENT = TERMS.replace("length(x) >= 3", "length(x) >= 3 AND x NOT IN (" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")")
 
 
-CONTENT = TERMS.replace("length(x) >= 3", "length(x) >= 3 AND x NOT IN (" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")")
+@query(f"""WITH {INDEX_SQL}, t AS (SELECT item_id, fr.doc_id, {CONTENT.format("d.text")} AS x, {CONTENT.format("b.text")} AS y FROM fr JOIN documents d ON d.doc_id = fr.doc_id JOIN benchmark b USING (item_id) WHERE rank <= 3),
+c AS (SELECT item_id, doc_id, len(x) AS nx, len(y) AS ny, len(list_intersect(x, y)) AS b FROM t)
+SELECT item_id AS query_id, doc_id AS id, round(CASE WHEN nx = 0 AND ny = 0 THEN 1.0 WHEN b = 0 THEN 0.0 ELSE 2.0 * b / (nx + ny) END, 6)::DOUBLE AS f1 FROM c""")
+def lexical_f1(spark, sf_dir):
+    hits = retrieve.fulltext_topk(_questions(spark, sf_dir), retrieve.token_table(_rows(spark, sf_dir)), 3)
+    rows = hits.join(_questions(spark, sf_dir).withColumnRenamed("text", "query"), "query_id").join(_rows(spark, sf_dir), "id")
+    return rows.select("query_id", "id", F.round(tx.lexical_f1("text", "query"), 6).alias("f1"))
 
 
 @query(f"""WITH {INDEX_SQL}, h AS (SELECT item_id, doc_id FROM fr WHERE rank <= 3), s AS (SELECT item_id, doc_id, lower(coalesce(d.text, '')) AS a, string_split(coalesce(b.text, ''), '. ') AS facts FROM h JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
@@ -386,18 +385,28 @@ def answer_eval(spark, sf_dir):
     return evaluate.grade_answers(rows).select("query_id", F.round("lexical_f1", 6).alias("lexical_f1"), "key_fact_recall", "judge_complete", "grounded")
 
 
-@query(r"""WITH r AS (SELECT item_id, ['[3, 1, "2", "x", 9]', 'best is 2 then 3 then 1 then 4', 'none', '[2,', '  [ -1, 4 ] ok'][(item_id % 5) + 1] AS raw FROM benchmark)
-SELECT item_id AS query_id, ['3,1,2,9', '2,3,1', '', '2', '-1,4'][(item_id % 5) + 1] AS parsed FROM r""")
+# answers of a model as text: a list, prose with numbers, nothing, a broken list, a list with a sign
+RAW_ORDER = """CASE item_id % 5 WHEN 0 THEN '[' || (item_id % 7) || ', 1, "2", "x", ' || item_id || ']' WHEN 1 THEN 'best is ' || item_id || ' then 3, 1 and 4' WHEN 2 THEN text WHEN 3 THEN '[' || item_id || ',' ELSE '  [ -1, ' || (item_id % 9) || ' ] ok' END"""
+
+
+@query(f"""WITH r AS (SELECT item_id, trim({RAW_ORDER}) AS raw FROM benchmark), l AS (SELECT *, regexp_extract(raw, '\\[.*\\]', 0, 's') AS listed FROM r),
+p AS (SELECT item_id, CASE WHEN json_valid(listed) AND listed <> '' THEN list_filter(list_transform(from_json(listed, '["VARCHAR"]'), lambda x: trim(x)), lambda x: regexp_full_match(x, '-*\\d+')) ELSE list_slice(regexp_extract_all(raw, '\\d+'), 1, 3) END AS n FROM l)
+SELECT item_id AS query_id, coalesce(array_to_string(list_transform(n, lambda x: x::INTEGER), ','), '') AS parsed FROM p""")
 def rerank_parse(spark, sf_dir):
-    raw = F.get(F.array(*[F.lit(x) for x in ['[3, 1, "2", "x", 9]', "best is 2 then 3 then 1 then 4", "none", "[2,", "  [ -1, 4 ] ok"]]), (F.col("query_id") % 5).cast("int"))
-    return _questions(spark, sf_dir).select("query_id", F.array_join(tx.parse_order(raw, 3), ",").alias("parsed"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(tx.parse_order(F.expr(RAW_ORDER), 3), ",").alias("parsed"))
+
+
+RAW_TERMS = "'- en word,' || chr(10) || '* Graph; graph, ' || left(text, 5) || ',  ' || 'Q' || left(text, 4) || ', extra ' || (item_id % 3) || ';' || chr(10) || 'EXTRA ' || (item_id % 3)"
 
 
-@query("""WITH t AS (SELECT item_id, text, [lang || ' word', 'Graph', 'graph', left(text, 5)] AS a FROM benchmark CROSS JOIN (SELECT 'en' AS lang))
-SELECT item_id AS query_id, 'en word' || CASE WHEN contains(lower(text), 'graph') THEN '' ELSE ' Graph' END AS added FROM t""")
+@query(f"""WITH a AS (SELECT item_id, text, unnest(regexp_split_to_array({RAW_TERMS}, '[,;\n]+')) AS x, generate_subscripts(regexp_split_to_array({RAW_TERMS}, '[,;\n]+'), 1) AS p FROM benchmark),
+t AS (SELECT item_id, text, p, trim(regexp_replace(trim(x), '^[-•*"'']+|[-•*"'']+$', '', 'g')) AS x FROM a),
+f AS (SELECT item_id, arg_min(x, p) AS x, min(p) AS p FROM t WHERE x <> '' AND NOT contains(lower(text), lower(x)) GROUP BY item_id, lower(x)),
+k AS (SELECT item_id, x, row_number() OVER (PARTITION BY item_id ORDER BY p) AS n FROM f)
+SELECT b.item_id AS query_id, coalesce(string_agg(x, ' ' ORDER BY n) FILTER (n <= 6), '') AS added FROM benchmark b LEFT JOIN k USING (item_id) GROUP BY 1""")
 def expansion_terms(spark, sf_dir):
-    answer = F.concat(F.lit("- en word,\n* Graph; graph, "), F.left("text", F.lit(5)))
-    return _questions(spark, sf_dir).select("query_id", F.array_join(tx.expansion_terms("text", answer, 6), " ").alias("added"))
+    answer = F.expr(RAW_TERMS.replace("chr(10)", "'\\n'"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(tx.expansion_terms("text", answer, 6), " ").alias("added"))
 
 
 @query("""WITH c AS (SELECT doc_id, doc_id % 5 AS m FROM documents), n AS (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2'))

@@ -10,7 +10,10 @@ TABLES = {
     "relations": "subject string, relation string, object string",
     "doc_links": "document_id string, dst_uri string",
     "merge_history": "seq bigint, duplicate string, canonical string",
+    "chunk_tokens": "id string, token string",
 }
+#: Tables that are sorted by a column, so that a look-up reads few files of them.
+SORTED = {"chunk_tokens": "token"}
 KEYS = {
     "documents": ["id"],
     "chunks": ["id"],
@@ -19,6 +22,7 @@ KEYS = {
     "relations": ["subject", "relation", "object"],
     "doc_links": ["document_id", "dst_uri"],
     "merge_history": ["seq"],
+    "chunk_tokens": ["id", "token"],
 }
 GOLD = "corpus string, retrieval array<struct<query:string,relevant:array<string>>>, extraction array<struct<text:string,entities:array<array<string>>,triples:array<array<string>>>>, resolution array<struct<entities:array<array<string>>,should_merge:array<array<string>>,should_not_merge:array<array<string>>>>"
 QUESTION = "struct<query:string,expected:string,key_facts:array<string>,top_k:int>"

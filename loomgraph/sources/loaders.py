@@ -6,6 +6,7 @@ second run gives the same ids. Files are listed and read by Spark, so any store
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -40,7 +41,7 @@ def stem(path: Column | str) -> Column:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, content and source_type of the files of a folder with a listed suffix (or of one file), with ord by path."""
+    """path, content and source_type of the files of a folder with a listed suffix (or of one file); their order is that of the path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     listed = files.where(F.lower("path").rlike(r"\.(md|markdown|txt|pdf|vtt|srt|html?)$"))
     return listed.withColumn("source_type", source_type("path"))
@@ -180,7 +181,11 @@ PdfParser = Callable[[bytes], tuple[str, list[str]]]
 
 
 def load_pdf(files: DataFrame, parser: PdfParser | None = None) -> DataFrame:
-    """Each page's text after its [[PAGE n]] mark. parser: bytes to (title, texts of pages); PyMuPDF where installed."""
+    """Each page's text after its [[PAGE n]] mark. parser: bytes to (title, texts of pages); PyMuPDF where installed.
+
+    A file that cannot be parsed has an empty text and the error in meta.
+    """
+    from loomgraph.providers import mapped
 
     def parse(content: bytes) -> tuple[str, list[str]]:
         if parser is not None:
@@ -192,13 +197,14 @@ def load_pdf(files: DataFrame, parser: PdfParser | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parsed = [parse(bytes(c)) for c in batch["content"]]
+            told = mapped(parse, [bytes(c) for c in batch["content"]], 1)
+            parsed = [t or ("", []) for t, _ in told]
             text = ["\n".join(f"[[PAGE {i}]]\n{t}" for i, t in enumerate(pages, 1)) for _, pages in parsed]
-            yield pd.DataFrame({"path": batch["path"], "source_type": batch["source_type"], "found": [t for t, _ in parsed], "raw_text": text, "n": [len(p) for _, p in parsed]})
+            yield pd.DataFrame({"path": batch["path"], "source_type": batch["source_type"], "found": [t for t, _ in parsed], "raw_text": text, "n": [len(p) for _, p in parsed], "error": [e for _, e in told]})
 
-    rows = files.select("path", "content", "source_type").mapInPandas(run, "path string, source_type string, found string, raw_text string, n int")
+    rows = files.select("path", "content", "source_type").mapInPandas(run, "path string, source_type string, found string, raw_text string, n int, error string")
     title = F.when(strip("found") != "", strip("found")).otherwise(stem("path"))
-    meta = F.create_map(F.lit("path"), F.col("path"), F.lit("pages"), F.col("n").cast("string"))
+    meta = F.map_filter(F.create_map(F.lit("path"), F.col("path"), F.lit("pages"), F.col("n").cast("string"), F.lit("error"), F.col("error")), lambda _, v: v.isNotNull())
     return _documents(rows.select(F.col("path").alias("uri"), "source_type", title.alias("title"), "raw_text", F.array().cast("array<string>").alias("links"), meta.alias("meta")))
 
 
@@ -211,8 +217,38 @@ def load_folder(spark: SparkSession, path: str, pdf_parser: PdfParser | None = N
     return stacked(out, load_pdf(of("pdf"), pdf_parser))
 
 
+def load_path(spark: SparkSession, path: str, pdf_parser: PdfParser | None = None) -> DataFrame:
+    """One file by its kind, or a folder; ValueError for a file of a kind that cannot be loaded."""
+    suffix = path.rsplit("/", 1)[-1].lower().rpartition(".")
+    if suffix[0] and suffix[2] not in ("md", "markdown", "txt", "pdf", "vtt", "srt", "htm", "html"):
+        raise ValueError(f"files like {path} cannot be loaded")
+    return load_folder(spark, path, pdf_parser)
+
+
+def fetched(url: str, seconds: float = 30.0) -> str:
+    """The page at url; redirects are followed."""
+    from urllib.request import urlopen
+
+    with urlopen(url, timeout=seconds) as page:
+        return page.read().decode(page.headers.get_content_charset() or "utf-8", "replace")
+
+
+def fetch_pages(urls: DataFrame, fetch: Callable[[str], str] = fetched, calls: int = 4) -> DataFrame:
+    """url, html and error of urls (url); pages are fetched on the executors, and one that fails has an error instead of html."""
+    from loomgraph.providers import with_calls
+
+    return with_calls(urls.select("url"), "url", fetch, "html", T.StringType(), calls)
+
+
 def load_gold(spark: SparkSession, path: str) -> DataFrame:
-    """One row: corpus and arrays of retrieval, extraction and resolution cases."""
+    """One row for each file: corpus and arrays of retrieval, extraction and resolution cases; JSON, or YAML where a reader is installed."""
+    if path.lower().endswith((".yml", ".yaml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("no YAML reader is installed; write the gold set as JSON") from e
+        raw = json.dumps(yaml.safe_load(spark.read.text(path, wholetext=True).first()[0]))
+        return spark.createDataFrame([(raw,)], "raw string").select(F.from_json("raw", GOLD).alias("g")).select("g.*")
     return spark.read.schema(GOLD).json(path, multiLine=True)
 
 

@@ -6,23 +6,11 @@ run and is merged into a table version, so a repeated batch changes nothing.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import content_hash, normalize_text
-
-
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder for state and results, in the shared folder where the cluster names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from loomgraph.scratch import scratch_path
 
 
 def stream_of(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
@@ -44,14 +32,14 @@ def event_windows(events: DataFrame, width: str = "1 hour", late: str = "1 day")
 
 def run_event_windows(spark: SparkSession, path: str) -> DataFrame:
     """All windows of a finished table read as a stream: each micro-batch's partial sums are kept, and added up when read."""
-    out = _folder(spark, "windows")
+    out = scratch_path(spark, "windows")
     stream = stream_of(spark, path)
 
     def save(batch: DataFrame, number: int) -> None:
         own = batch.groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
         own.write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
 
-    stream.writeStream.foreachBatch(save).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(save).option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.option("basePath", out).parquet(out)
     return rows.groupBy("event_type", "hour").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
@@ -67,14 +55,14 @@ def run_first_seen(spark: SparkSession, path: str) -> DataFrame:
 
     A batch costs what it holds, whatever came before; a repeated batch overwrites its own part.
     """
-    out = _folder(spark, "first")
+    out = scratch_path(spark, "first")
 
     def save(batch: DataFrame, number: int) -> None:
         first_seen(batch).write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
         save.any = True
 
     save.any = False
-    stream_of(spark, path).writeStream.foreachBatch(save).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
+    stream_of(spark, path).writeStream.foreachBatch(save).option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
     if not save.any:
         return spark.createDataFrame([], "content_hash string, doc_id long")
     return spark.read.option("basePath", out).parquet(out).groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
