@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def stacked(first: DataFrame, *others: DataFrame, allow_missing: bool = False) -> DataFrame:
@@ -26,3 +27,8 @@ def spread(df: DataFrame, task_mb: int = 8) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < cores * (task_mb << 20) else df
+
+
+def near(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, marked for a broadcast if it has at most so many (narrow) rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

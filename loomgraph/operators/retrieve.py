@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, DoubleType, StructType
 
-from loomgraph.frames import stacked
+from loomgraph.frames import near, stacked
 from loomgraph.functions.text import cite, fuzzy_overlap, parse_order, terms, tokens
 
 MOST_QUERIES = 4096
@@ -89,7 +89,7 @@ def fulltext_topk(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """
     asked = queries.select("query_id", F.array_distinct(tokens("text")).alias("_t"))
     asked = asked.select("query_id", F.size("_t").alias("_n"), F.explode("_t").alias("token"))
-    hits = index.join(asked, "token").groupBy("query_id", "id").agg((F.count("*") / F.max("_n")).alias("score"))
+    hits = index.join(near(asked), "token").groupBy("query_id", "id").agg((F.count("*") / F.max("_n")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -104,7 +104,7 @@ def bm25_topk(queries: DataFrame, rows: DataFrame, k: int, k1: float = 1.2, b: f
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("token"))
     wanted = stacked(asked.select("token").distinct(), queries.sparkSession.createDataFrame([("",)], "token string"))
     cut = rows.select("id", tokens("text").alias("t")).where(F.size("t") > 0)
-    own = cut.select("id", F.size("t").cast("long").alias("len"), F.explode(F.array_append("t", F.lit(""))).alias("token")).join(wanted, "token", "left_semi")
+    own = cut.select("id", F.size("t").cast("long").alias("len"), F.explode(F.array_append("t", F.lit(""))).alias("token")).join(near(wanted.distinct()), "token", "left_semi")
     # one row for each row of rows, and one for each of its tokens that is asked for
     found = checkpointed(own.groupBy("id", "len", "token").agg(F.count("*").alias("tf")))
     overall = found.where("token = ''").agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
@@ -114,7 +114,8 @@ def bm25_topk(queries: DataFrame, rows: DataFrame, k: int, k1: float = 1.2, b: f
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
     hits = asked.join(df, "token").join(counted, "token").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    # rounded, so that equal rows tie whatever order their parts are summed in
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

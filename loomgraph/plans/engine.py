@@ -188,7 +188,7 @@ class Engine:
         t = self.store.tables()
         asked = queries.select("query_id", "text")
         if c.expand and complete:
-            asked = retrieve.expanded(asked, complete, c.extra_terms)
+            asked = checkpointed(retrieve.expanded(asked, complete, c.extra_terms))  # the model is asked once
         else:
             asked = asked.withColumn("search_text", F.col("text"))
         vectors = self.embedded(asked.select("query_id", "search_text"), "search_text", "vector").select("query_id", "vector")

@@ -319,11 +319,15 @@ def _rescored(spark, sf_dir):
     seeds = graph.match_entities(questions, entities, 6).select("query_id", F.col("name").alias("node"))
     _, nodes = graph.expand(relations, seeds, 2)
     boosts = retrieve.graph_factor(fused, mentions, nodes, 0.5)
-    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat("source", F.lit(" "), F.substring_index("text", "\n", 1)).alias("title"), F.lit("").alias("label"))
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat("source", F.lit(" "), F.array_join(extract.capitalised_names("text"), " ")).alias("title"), F.lit("").alias("label"))
     return retrieve.rescore(fused.join(questions, "query_id").join(docs, "id"), boosts, 0.5, 0.4)
 
 
-@query(f"WITH {RESCORE_SQL("d.source || ' ' || split_part(d.text, chr(10), 1)")} SELECT item_id AS query_id, doc_id AS id, round(score, 6) AS score, via, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, old)::INTEGER AS rank FROM fin")
+# a document's title: its source and the names in it
+NAMED = "d.source || ' ' || coalesce((SELECT string_agg(name, ' ' ORDER BY pos) FROM names WHERE names.doc_id = d.doc_id), '')"
+
+
+@query(f"WITH {RESCORE_SQL(NAMED)} SELECT item_id AS query_id, doc_id AS id, round(score, 6) AS score, via, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, old)::INTEGER AS rank FROM fin")
 def rescore(spark, sf_dir):
     return _rescored(spark, sf_dir).select("query_id", "id", F.round("score", 6).alias("score"), "via", "rank")
 
