@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -15,66 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.scratch import drop_path, scratch_path, written_paths
+
 #: White space of every word definition here: a word is [^\x20\x09-\x0D]+.
 SPACES = "\\x20\\x09-\\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it.
-
-    Only where that is unset (tests in local mode) a fresh local folder is taken and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _written(sc) -> list[str]:
-    """The paths made under this context that are still there; they go when it stops, or else when the driver ends."""
-    paths = getattr(sc, "_loom_paths", None)
-    if paths is None:
-        paths = sc._loom_paths = []
-        stop = sc.stop
-
-        def cleaned_stop() -> None:
-            _remove(sc, paths)
-            stop()
-
-        sc.stop = cleaned_stop
-        atexit.register(_remove, sc, paths)
-    return paths
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is removed when the session stops."""
-    path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
-    _written(spark.sparkContext).append(path)
-    return path
-
-
-def _remove(sc, paths: list[str]) -> None:
-    if getattr(sc, "_jsc", None) is None:
-        return
-    while paths:
-        drop_path(sc, paths.pop())
-
-
-def drop_path(sc, path: str) -> None:
-    target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def materialize(df: DataFrame, name: str, files: int | None = None, **options: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: the lineage ends there and survives lost executors.
 
     files: at most so many, for tables that are small beside the input (see files_for).
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = scratch_path(spark, name)
     (df.coalesce(files) if files else df).write.parquet(path, **options)
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
@@ -85,7 +35,7 @@ def release(*tables: DataFrame) -> None:
     """Removes tables of materialize() that no plan reads any more."""
     for df in tables:
         sc = df.sparkSession.sparkContext
-        paths = _written(sc)
+        paths = written_paths(sc)
         if df._loom_path in paths:
             paths.remove(df._loom_path)
             drop_path(sc, df._loom_path)
@@ -93,7 +43,7 @@ def release(*tables: DataFrame) -> None:
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """materialize() of what make() gives; the tables that were written on the way are removed."""
-    paths = _written(spark.sparkContext)
+    paths = written_paths(spark.sparkContext)
     before = set(paths)
     out = materialize(make(), name)
     for path in [p for p in paths if p not in before and p != out._loom_path]:

@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.frames import stacked
-from loomgraph.llm.common import fresh_path, in_small_batches, materialize, partitions_for, range_bounds, range_index, slices, spot_of, text_of
+from loomgraph.llm.common import in_small_batches, materialize, partitions_for, range_bounds, range_index, slices, spot_of, text_of
 from loomgraph.llm.tokens import encoder
+from loomgraph.scratch import scratch_path
 
 BLOCK, MARK = 32 << 10, b"LOOMSST1"
 #: A task begins a new file beyond so many bytes, so that no file grows with the input.
@@ -316,7 +317,7 @@ def look_up(spark, path: str, wanted: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, **options) -> DataFrame:
     """Writes docs as shards into the shared folder and returns what read_shards() finds there; see write_shards() for nulls, ties and the like."""
     spark = docs.sparkSession
-    path = fresh_path(spark, "sst")
+    path = scratch_path(spark, "sst")
     shards = write_shards(docs, path, **options)
     if not shards.take(1):
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
