@@ -15,11 +15,14 @@ A look-up asks the filter, then searches the index, then reads one block (or the
 
 from __future__ import annotations
 
+import io
 import struct
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ FILE_BYTES = 128 << 20
 _FILES_BITS = 24
 _FOOTER = struct.Struct("<QQQQQQQ8s")
 _BITS, _PROBES = 10, 7
+#: Entries read back in one batch.
+_ROWS = 8192
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -122,28 +127,42 @@ class Writer:
         self._put(_FOOTER.pack(*index, *bloom, self.entries, self.ids, self.shard, MARK))
 
 
+def _footer(file) -> tuple[int, ...]:
+    """Places and sizes of index and filter, entries, ids and shard from the end of an open shard."""
+    file.seek(0, 2)
+    file.seek(max(0, file.tell() - _FOOTER.size))
+    data = file.read(_FOOTER.size)
+    if len(data) != _FOOTER.size or data[-len(MARK) :] != MARK:
+        raise ValueError("not a shard")
+    return _FOOTER.unpack(data)[:-1]
+
+
 class Reader:
-    """Reads one shard from its bytes."""
-
-    def __init__(self, data: bytes):
-        self.data = memoryview(data)
-        at, n, bloom, bloom_n, self.entries, self.ids, self.shard, mark = _FOOTER.unpack(self.data[-_FOOTER.size :])
-        if mark != MARK:
-            raise ValueError("not a shard")
-        self.keys, self.places, end = [], [], at + n
-        while at < end:
-            size, at = _read_varint(self.data, at)
-            self.keys.append(bytes(self.data[at : at + size]))
-            place, at = _read_varint(self.data, at + size)
-            size, at = _read_varint(self.data, at)
+    """Reads one shard from an open file, or from its bytes: footer and index at once, filter and blocks where they are used."""
+
+    def __init__(self, file):
+        self.file = io.BytesIO(file) if isinstance(file, bytes) else file
+        index, n, self.bloom, self.bloom_n, self.entries, self.ids, self.shard = _footer(self.file)
+        data = self._bytes(index, n)
+        self.keys, self.places, at = [], [], 0
+        while at < n:
+            size, at = _read_varint(data, at)
+            self.keys.append(data[at : at + size])
+            place, at = _read_varint(data, at + size)
+            size, at = _read_varint(data, at)
             self.places.append((place, size))
-        self.bits = struct.unpack_from("<Q", self.data, bloom)[0]
-        self.bloom = self.data[bloom + 8 : bloom + bloom_n]
+
+    def _bytes(self, place: int, size: int) -> bytes:
+        self.file.seek(place)
+        data = self.file.read(size)
+        if len(data) != size:
+            raise ValueError("a shard is cut off")
+        return data
 
     def block(self, k: int) -> Iterator[tuple[bytes, np.ndarray]]:
-        place, size = self.places[k]
-        block = self.data[place : place + size - 4]
-        if zlib.crc32(block) != struct.unpack_from("<I", self.data, place + size - 4)[0]:
+        data = memoryview(self._bytes(*self.places[k]))
+        block = data[:-4]
+        if zlib.crc32(block) != struct.unpack("<I", data[-4:])[0]:
             raise ValueError(f"block {k} is damaged")
         key, at = b"", 0
         while at < len(block):
@@ -161,8 +180,14 @@ class Reader:
             for key, ids in self.block(k):
                 yield id_of(key), ids
 
+    @cached_property
+    def _filter(self) -> tuple[int, bytes]:
+        data = self._bytes(self.bloom, self.bloom_n)
+        return struct.unpack_from("<Q", data)[0], data[8:]
+
     def may_hold(self, doc_id: int | None) -> bool:
-        return all(self.bloom[p >> 3] >> (7 - (p & 7)) & 1 for p in _probes(key_of(doc_id), self.bits))
+        bits, bloom = self._filter
+        return all(bloom[p >> 3] >> (7 - (p & 7)) & 1 for p in _probes(key_of(doc_id), bits))
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every entry of this identifier, mostly one or none."""
@@ -229,32 +254,32 @@ def _started(shards: DataFrame) -> DataFrame:
     return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def _numbers(file) -> tuple[int, int, int]:
-    """shard, entries and ids from the end of an open shard."""
-    file.seek(max(0, file.size() - _FOOTER.size))
-    *_, entries, ids, shard, mark = _FOOTER.unpack(file.read())
-    if mark != MARK:
-        raise ValueError("not a shard")
-    return shard, entries, ids
+def _files(spark, path: str) -> DataFrame:
+    """name of every shard in path; without content in the plan the scan lists the files and reads none of them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"))
+
+
+def _opened(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator:
+    """Every file of the names in batches, open for random access one after the other."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(path)
+    for batch in batches:
+        for name in batch.column("name").to_pylist():
+            with store.open_input_file(f"{root}/{name}") as file:
+                yield file
 
 
 def footers(spark, path: str) -> DataFrame:
     """shard, n_docs and n_ids of every shard in path, from the ends of the files alone."""
 
-    def run(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(path)
-        for batch in files:
-            found = []
-            for name in batch.column("name").to_pylist():
-                with store.open_input_file(f"{root}/{name}") as file:
-                    found.append(_numbers(file))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], ["shard", "n_docs", "n_ids"])
+    def run(names: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file in _opened(path, names):
+            *_, entries, ids, shard = _footer(file)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, entries, ids)], ["shard", "n_docs", "n_ids"])
 
-    # without content in the plan the scan lists the files and reads none of them
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"))
-    return files.mapInArrow(run, "shard long, n_docs long, n_ids long").repartition(4)
+    return _files(spark, path).mapInArrow(run, "shard long, n_docs long, n_ids long").repartition(4)
 
 
 def read_shards(spark, path: str, shards: DataFrame) -> DataFrame:
@@ -265,21 +290,25 @@ def read_shards(spark, path: str, shards: DataFrame) -> DataFrame:
     and very long texts come back as they were written; shards without rows give no rows.
     """
 
-    def run(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in files:
-            for content in batch.column("content"):
-                reader = Reader(content.as_buffer().to_pybytes())
-                ids, starts, sizes, sums, at = [], [], [], [], 0
-                for doc_id, values in reader:
+    def run(names: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file in _opened(path, names):
+            reader, entries, at = Reader(file), 0, 0
+            rows = iter(reader)
+            while True:
+                ids, starts, sizes, sums = [], [], [], []
+                for doc_id, values in islice(rows, _ROWS):
                     ids.append(doc_id)
                     starts.append(at)
                     sizes.append(len(values))
                     sums.append(zlib.crc32(values.astype("<u4").tobytes()))
                     at += len(values)
-                if (len(ids), at) != (reader.entries, reader.ids):
-                    raise ValueError(f"shard {reader.shard} has {len(ids)} entries of {at} ids, its footer says {reader.entries} of {reader.ids}")
+                if not ids:
+                    break
+                entries += len(ids)
                 columns = [[reader.shard] * len(ids), ids, starts, sizes, sums]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "doc_id", "inside", "n_tokens", "ids_crc32"])
+            if (entries, at) != (reader.entries, reader.ids):
+                raise ValueError(f"shard {reader.shard} has {entries} entries of {at} ids, its footer says {reader.entries} of {reader.ids}")
 
     found = materialize(footers(spark, path), "footers")
     numbers = ["shard", "n_docs", "n_ids"]
@@ -288,8 +317,7 @@ def read_shards(spark, path: str, shards: DataFrame) -> DataFrame:
     if wrong:
         raise ValueError(f"files and table of shards differ, among others in shards {wrong}")
     bases = _started(found).select("shard", "start")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path).select("content")
-    rows = files.mapInArrow(run, "shard long, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    rows = _files(spark, path).mapInArrow(run, "shard long, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -303,15 +331,14 @@ def look_up(spark, path: str, wanted: DataFrame) -> DataFrame:
     if len(ids) > 100_000:
         raise ValueError("ask for at most 100,000 ids at once, or join read_shards()")
 
-    def run(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in files:
-            for content in batch.column("content"):
-                reader = Reader(content.as_buffer().to_pybytes())
-                found = [(i, v.tolist()) for i in ids for v in reader.get(i)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
+    def run(names: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file in _opened(path, names):
+            reader = Reader(file)
+            for i in ids:
+                for values in reader.get(i):
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([values.tolist()], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path).select("content")
-    return files.mapInArrow(run, "doc_id long, ids array<long>")
+    return _files(spark, path).mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def round_trip(docs: DataFrame, **options) -> DataFrame:
