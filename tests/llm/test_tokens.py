@@ -1,3 +1,4 @@
+import io
 import random
 import zlib
 
@@ -267,7 +268,6 @@ def test_shards_are_counted_from_their_files(spark, tmp_path):
 
 
 def test_shard_format():
-    import io
 
     out = io.BytesIO()
     writer = Writer(out, 4)
@@ -286,3 +286,27 @@ def test_shard_format():
     damaged[50] ^= 1
     with pytest.raises(ValueError):
         list(Reader(bytes(damaged)))
+
+
+def test_a_look_up_reads_little_of_a_shard():
+    out = io.BytesIO()
+    writer = Writer(out, 0)
+    for k in range(400):
+        writer.add(k, np.arange(2000, dtype=np.uint32))
+    writer.finish()
+
+    class Counted(io.BytesIO):
+        seen = 0
+
+        def read(self, *size):
+            data = super().read(*size)
+            self.seen += len(data)
+            return data
+
+    file = Counted(out.getvalue())
+    (found,) = Reader(file).get(257)
+    assert len(found) == 2000 and file.seen < len(out.getvalue()) / 10
+    with pytest.raises(ValueError):
+        Reader(io.BytesIO(out.getvalue()[:-1]))
+    with pytest.raises(ValueError):
+        Reader(b"")
