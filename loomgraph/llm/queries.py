@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.frames import stacked
+from loomgraph.llm import oracles
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,26 +80,32 @@ def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_scores(_read(spark, sf_dir, "documents"))
 
 
-OP6_SQL = r"""
-WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
-), shown AS (
-  SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS shown FROM rows
-)
-SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(12 + length(role) + 1 + length(shown) + 11)::BIGINT AS formatted_chars
-FROM shown GROUP BY conv_id
-"""
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.runs import planted, word_runs
+
+    longest = F.get(F.array_sort("runs", lambda a, b: F.when(a["length"] != b["length"], b["length"] - a["length"]).when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["period"] - b["period"]).cast("int")), 0)
+    rows = word_runs(planted(_read(spark, sf_dir, "documents"))).withColumn("longest", longest)
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "longest.start", "longest.length", "longest.period", F.floor(1000 * F.col("longest.length") / F.col("longest.period")).alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.parsing import without_repeats
+
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return without_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.importance import resampled
+
+    return resampled(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack_sequences, op2_media_columns, op3_deleted_interpolation, op4_mix_sources, op5_token_counts, op6_chat_format, op7_sorted_shards, op8_bucket_digest, op9_minhash_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pack_sequences, op2_media_columns, op3_deleted_interpolation, op4_mix_sources, op5_token_counts, op6_chat_format, op7_sorted_shards, op8_bucket_digest, op9_minhash_dedup, op10_toxicity, op11_periodic_runs, op12_prefix_free_dedup, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL}
+    return {"op6_chat_format": oracles.OP6_SQL, "op11_periodic_runs": oracles.OP11_SQL, "op12_prefix_free_dedup": oracles.OP12_SQL, "op13_importance_resampling": oracles.OP13_SQL}

@@ -20,6 +20,9 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _VALUES = np.random.Generator(np.random.PCG64(20_240_229)).integers(1, 2**64, 256, np.uint64, endpoint=False) | np.uint64(1)
 _VALUES[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
 
+_CASED = _VALUES.copy()
+_CASED[ord("A") : ord("Z") + 1] = np.random.Generator(np.random.PCG64(20_251_128)).integers(1, 2**64, 26, np.uint64, endpoint=False) | np.uint64(1)
+
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -78,6 +81,24 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(hashes), out
 
 
+def case_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of words as they are written, A-Z not lower-cased: hash, start and end of each, and the documents' n + 1 word offsets."""
+    starts, ends, words = spans(data, offsets)
+    hashes = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        # whole words of a stretch of about _BLOCK bytes
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + _BLOCK, "right")))
+        low = starts[first]
+        part = data[low : ends[last - 1]]
+        power, inverse = _power_table(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_CASED[part] * power[: len(part)], out=sums[1:])
+        hashes[first:last] = mix((sums[ends[first:last] - low] - sums[starts[first:last] - low]) * inverse[starts[first:last] - low])
+        first = last
+    return hashes, starts, ends, words.astype(np.int64)
+
+
 def hash_of(symbol: str) -> int:
     """The hash of a symbol that stands beside the words of a text; it may hold spaces, which no word does."""
     raw = np.frombuffer(symbol.encode(), np.uint8)
