@@ -1,18 +1,21 @@
 """Removal of repeated byte strings by prefix-free parsing.
 
 1. Candidates. A rolling hash over 8 bytes names a mark of every string of 100 bytes: the smallest hash in its first 64 bytes, the last
-   among equals, so equal strings have equal marks. 44 bytes from the mark on lie in every string that has it. Marks whose 44 bytes
-   stand once in the corpus have no repeated string; these bytes are counted by hash, and only the other marks are looked at again. Marks
-   that agree in all bytes of all their strings (a context) are put together: all but the first are repeats as a whole.
+   among equals, so equal strings have equal marks. 44 bytes from the mark on lie in every string that has it, so marks meet by a hash of
+   these, in one exchange. A mark whose 44 bytes stand once in the corpus has no repeated string. Marks that agree in all bytes of
+   all their strings (a context) are put together: all but the first are repeats as a whole.
 2. Parsing. What is left are first contexts that share 44 bytes with another one, as where a copied passage begins, ends or is edited.
-   In each block of texts these stretches are cut into phrases at triggers: where the rolling hash is 0 modulo 32. A phrase begins
-   with one trigger and ends with the next, so no suffix of a phrase longer than a trigger begins another such suffix.
+   They come together by these bytes once more, now with their text, in blocks of about 2 MB, and are cut into phrases at triggers: where the
+   rolling hash is 0 modulo 32. A phrase begins with one trigger and ends with the next, so no suffix of a phrase longer than a
+   trigger begins another such suffix.
 3. Order. The dictionary of distinct phrases has a suffix array, and so has the parse, the sequence of phrases by their place in the
    dictionary. A string's place is that of its phrase suffix, then that of the parse behind it: together they give the order of all
    strings of the block, where equal ones are neighbours; that they are equal is confirmed on their bytes.
-4. Merging. The first string of each class of a block goes on under a hash of 128 bits; the first one of all blocks stays.
+4. Merging. The contexts of one 44 bytes may fill several blocks, as around a passage of a third of all documents: a batch that has many
+   keeps some of them together and spreads the others over all tasks. Of these the first string of each class of a block goes on
+   under a hash of 128 bits, and the first one of all blocks stays.
 
-Nothing here is a pair, and a class of copies is aggregated where it lies before it is sent.
+Nothing here is a pair. Hashes of 128 bits (two of 64) stand for contexts and for strings of different blocks.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.frames import stacked
-from loomgraph.llm.common import SIEVE_BITS, Sieve, batches, files_for, in_small_batches, materialize, release, text_of, utf8
+from loomgraph.llm.common import Sieve, batches, files_for, in_small_batches, materialize, partitions_for, text_of, utf8
 from loomgraph.llm.suffixes import classes, doubled
 from loomgraph.llm.words import mix
 
@@ -107,10 +111,6 @@ def hashed(eight: np.ndarray, at: np.ndarray, size: np.ndarray | int, salt: int)
     return mix(h)
 
 
-def _keys(eight: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return hashed(eight, place, KEY, 1).view(np.int64)
-
-
 def block_order(data: np.ndarray, eight: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places wanted in the order of the block's suffixes, and whether each has the same STRING bytes as the one before it.
 
@@ -158,197 +158,268 @@ def block_order(data: np.ndarray, eight: np.ndarray, offsets: np.ndarray, wanted
     return there, same
 
 
-_CONTEXT = "key long, context long, doc long, th long, low int, high int"
-_WINDOW = "key long, string long, doc long, th long, low int, high int"
+#: A batch sends at most so many contexts of one 44 bytes to the task of these bytes; the others are spread over all tasks.
+MOST_HOT = 32
+#: Bytes of the contexts that are put in order together.
+BLOCK_BYTES = 2 << 20
+_MARKED = "home long, key long, context long, cold boolean, doc long, th long, low int, high int"
+_JUDGED = "home long, key long, split boolean, doc long, th long, low int, high int"
+_STRETCH = "home long, key long, split boolean, doc long, th long, low int, bytes binary"
+_STRINGS = "key long, string long, doc long, th long, low int, high int"
+_RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary"
+_NO_PAIRS = "array<struct<low:int,high:int>>"
+
 
+def _batch(schema: str, *columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [x.split()[0] for x in schema.split(", ")])
 
-def _texts(docs: DataFrame) -> DataFrame:
-    text = text_of("text")
-    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
 
+def _texts(docs: DataFrame, files: int) -> DataFrame:
+    """doc_id, doc (the id as a number), th (a hash that tells the texts of one id apart, 0 where there is one text) and the text's bytes."""
+    text = text_of("text")
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc"), text.alias("text"))
+    told = rows.groupBy("doc").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a <> b").select("doc")
+    several = Sieve(materialize(told, "several", files), "doc").passes("doc")
+    return rows.select("doc_id", "doc", F.when(several, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("th"), F.col("text").cast("binary").alias("text"))
 
-def _repeated_keys(texts: DataFrame, files: int) -> DataFrame:
-    """Hashes of 44 bytes from a mark on that stand more than once."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(rows, "text", 2 << 20):
-            data, offsets = utf8(table.column("text"))
-            eight = eights(data)
-            place, _, _ = marks(data, offsets, eight)
-            keys, counts = np.unique(_keys(eight, place), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.minimum(counts, 2))], ["key", "n"])
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
 
-    keys = texts.select("text").where(F.length("text") >= STRING).mapInArrow(run, "key long, n long")
-    return materialize(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "keys", files)
 
+def _marked(texts: DataFrame) -> DataFrame:
+    """All marks with a hash of their 44 bytes (key) and of all their strings (context), and the task that they go to (home).
 
-def _contexts(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """The marks that the sieve of repeated keys lets through, with a hash of all their strings."""
-    passes = Sieve(keys, "key").test()
+    Contexts that a batch has before are repeats (key null) and need no look any more.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(rows, "text", 2 << 20):
+        for table in batches(rows, "text", BLOCK_BYTES):
             data, offsets = utf8(table.column("text"))
             eight = eights(data)
             place, low, high = marks(data, offsets, eight)
-            key = _keys(eight, place)
-            keep = passes(places(key)).to_numpy(zero_copy_only=False)
-            place, low, high, key = place[keep], low[keep], high[keep], key[keep]
+            key = hashed(eight, place, KEY, 1).view(np.int64)
             # the mark's place in the context is part of the hash
             context = mix(hashed(eight, low, high - low + STRING, 3) + (place - low).astype(np.uint64)).view(np.int64)
             own = np.searchsorted(offsets, low, "right") - 1
             begin = offsets[own]
             doc, th = (table.column(c).to_numpy()[own] for c in ("doc", "th"))
-            columns = (key, context, doc, th, (low - begin).astype(np.int32), (high - begin).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "context", "doc", "th", "low", "high"])
-
-    return texts.select("doc", "th", "text").where(F.length("text") >= STRING).mapInArrow(run, _CONTEXT)
-
-
-def places(keys: np.ndarray) -> pa.Array:
-    """Sieve.place() of keys, as Spark's xxhash64 of a long gives it."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    h = np.uint64(42) + p5 + np.uint64(8)
-    h = h ^ (turn(keys.view(np.uint64) * p2, 31) * p1)
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    h = h ^ (h >> np.uint64(32))
-    return pa.array((h & np.uint64(SIEVE_BITS - 1)).astype(np.int64))
-
-
-_FIRST = ("doc", "th", "low")
-
-
-def _other() -> Column:
-    """Whether a row is not the one that its column first names."""
-    return (F.col("doc") != F.col("first.doc")) | (F.col("th") != F.col("first.th")) | (F.col("low") != F.col("first.low"))
-
-
-def _judged(texts: DataFrame, files: int) -> DataFrame:
-    """doc, th, low, high and open: strings repeated as a whole context (open false), and those still to be looked at."""
-    keys = _repeated_keys(texts, files)
-    found = materialize(_contexts(texts, keys), "contexts", files)
-    release(keys)
-    firsts = found.groupBy("key", "context").agg(F.min(F.struct("doc", "th", "low", "high")).alias("first"), F.min(F.struct(*_FIRST)).alias("least"), F.max(F.struct(*_FIRST)).alias("last"))
-    firsts = materialize(firsts.select("key", "context", "first", (F.col("least") != F.col("last")).alias("again")), "firsts", files)
-    several = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    still = firsts.join(several.hint("merge"), "key").select("first.*", F.lit(True).alias("open"))
-    # the rows of a hot context lie on the left, where a join splits them
-    copies = found.join(firsts.where("again").select("key", "context", "first").hint("merge"), ["key", "context"])
-    copies = copies.where(_other()).select("doc", "th", "low", "high", F.lit(False).alias("open"))
-    out = materialize(stacked(still, copies), "judged", files)
-    release(found, firsts)
-    return out
+            low, high = (low - begin).astype(np.int32), (high - begin).astype(np.int32)
+            _, number, counts = np.unique(key, return_inverse=True, return_counts=True)
+            twice = np.flatnonzero(counts[number] > 1)
+            twice = twice[np.lexsort((low[twice], th[twice], doc[twice], context[twice], key[twice]))]
+            first = _begins(key[twice], context[twice])
+            held = np.maximum.accumulate(np.where(first, np.arange(len(twice)), 0))
+            repeat = twice[~first]
+            leader = twice[held[~first]]
+            twin = (doc[repeat] == doc[leader]) & (th[repeat] == th[leader]) & (low[repeat] == low[leader])
+            again = repeat[~twin]
+            heads = twice[first]
+            starts = _begins(key[heads])
+            nth = np.arange(len(heads)) - np.maximum.accumulate(np.where(starts, np.arange(len(heads)), 0))
+            sizes = np.diff(np.append(np.flatnonzero(starts), len(heads)))
+            many = np.repeat(sizes > MOST_HOT, sizes)
+            home, cold, keep = key.copy(), np.ones(len(key), bool), np.ones(len(key), bool)
+            cold[heads[many]] = False
+            far = heads[many & (nth >= MOST_HOT)]
+            home[far] = mix(key[far].view(np.uint64) ^ context[far].view(np.uint64)).view(np.int64)
+            keep[repeat] = False
+            yield _batch(_MARKED, home[keep], key[keep], context[keep], cold[keep], doc[keep], th[keep], low[keep], high[keep])
+            yield _batch(_MARKED, mix(low[again].astype(np.uint64) ^ doc[again].view(np.uint64)).view(np.int64), pa.nulls(len(again), pa.int64()), context[again], cold[again], doc[again], th[again], low[again], high[again])
+
+    return texts.select("doc", "th", "text").where(F.length("text") >= STRING).mapInArrow(run, _MARKED)
+
+
+def _judged(marked: DataFrame) -> DataFrame:
+    """Repeats as a whole context (key null), and first contexts that share their 44 bytes with another one; others go.
+
+    Rows come in the order of key and context; of those seen before, a batch takes over the first row of the key and of the context.
+    split: contexts of this key lie in other tasks, too.
+    """
+    names = ("home", "key", "context", "cold", "doc", "th", "low", "high")
 
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in rows:
+            known = batch.column("key").is_valid()
+            done = batch.filter(pc.invert(known))
+            if done.num_rows:
+                yield _batch(_JUDGED, done.column("home"), done.column("key"), pa.array(np.zeros(done.num_rows, bool)), *(done.column(c) for c in ("doc", "th", "low", "high")))
+            batch = batch.filter(known)
+            if not batch.num_rows:
+                continue
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            own.append(np.zeros(len(own[0]), bool))
+            if held is not None:
+                own = [np.concatenate(x) for x in zip(held, own, strict=True)]
+            home, key, context, cold, doc, th, low, high, sent = own
+            group = _begins(home, key)
+            first = group | _begins(cold, context)
+            at, place = np.flatnonzero(first), np.arange(len(key))
+            head = np.maximum.accumulate(np.where(first, place, 0))
+            several = np.bincount(np.cumsum(group)[at] - 1) > 1
+            origin = np.flatnonzero(group)
+            number = np.cumsum(group) - 1
+            is_open = first & (several[number] | ~cold) & ~sent
+            twin = (doc == doc[head]) & (th == th[head]) & (low == low[head])
+            copy = ~first & ~twin
+            split = ~cold[origin][number]
+            yield _batch(_JUDGED, home[is_open], key[is_open], split[is_open], doc[is_open], th[is_open], low[is_open], high[is_open])
+            yield _batch(_JUDGED, home[copy], pa.nulls(int(copy.sum()), pa.int64()), split[copy], doc[copy], th[copy], low[copy], high[copy])
+            sent = sent | is_open
+            last = np.unique([origin[-1], at[-1]])
+            held = [x[last] for x in (home, key, context, cold, doc, th, low, high, sent)]
+
+    order = ["home", "key", "cold", "context", "doc", "th", "low"]
+    return marked.repartition(partitions_for(marked), "home").sortWithinPartitions(*order).mapInArrow(run, _JUDGED)
+
+
+def _stretches(texts: DataFrame, judged: DataFrame) -> DataFrame:
+    """The bytes of the contexts that are still open, beside their rows of judged."""
+    still = judged.where("key IS NOT NULL")
+    known = Sieve(still.select("doc").distinct(), "doc").passes("doc")
+    lists = still.groupBy("doc", "th").agg(F.collect_list(F.struct("home", "key", "split", "low", "high")).alias("open"))
 
-def _merged(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Rows of begin and end of the union of intervals that overlap."""
-    order = np.argsort(begin, kind="stable")
-    begin, end = begin[order], np.maximum.accumulate(end[order]) if len(order) else end
-    new = np.ones(len(begin), bool)
-    new[1:] = begin[1:] >= end[:-1]
-    at = np.flatnonzero(new)
-    return np.stack([begin[at], end[np.append(at[1:], len(begin)) - 1]], axis=1) if len(at) else np.zeros((0, 2), np.int64)
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches(rows, "text", BLOCK_BYTES):
+            data, offsets = utf8(table.column("text"))
+            lists = _one(table.column("open"))
+            inner = lists.flatten()
+            own = np.repeat(np.arange(table.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            low, high = (inner.field(c).to_numpy().astype(np.int64) for c in ("low", "high"))
+            doc, th = (table.column(c).to_numpy()[own] for c in ("doc", "th"))
+            sizes = high - low + STRING
+            cuts = np.concatenate(([0], np.cumsum(sizes)))
+            raw = data[np.repeat(offsets[own] + low - cuts[:-1], sizes) + np.arange(cuts[-1])]
+            for a in range(0, len(own), 4096):
+                b = min(a + 4096, len(own))
+                held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cuts[a : b + 1] - cuts[a]), pa.py_buffer(raw[cuts[a] : cuts[b]])]).cast(pa.binary())
+                yield _batch(_STRETCH, *(inner.field(c).slice(a, b - a) for c in ("home", "key", "split")), doc[a:b], th[a:b], low[a:b].astype(np.int32), held)
 
+    rows = texts.where(known).select("doc", "th", "text").join(lists, ["doc", "th"])
+    return rows.select("doc", "th", "text", "open").mapInArrow(run, _STRETCH)
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """low and high + 1 of a column of lists of (low, high), as rows, and the n + 1 offsets of the lists."""
-    lists = column.combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0) if lists.num_chunks else pa.array([], lists.type)
-    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    inner = lists.flatten()
-    rows = np.stack([inner.field("low").to_numpy(zero_copy_only=False), inner.field("high").to_numpy(zero_copy_only=False)], axis=1).astype(np.int64) if len(inner) else np.zeros((0, 2), np.int64)
-    return rows, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    held = column.combine_chunks()
+    return held if isinstance(held, pa.Array) else pa.concat_arrays(held.chunks)
 
 
-def _strings(touched: DataFrame) -> DataFrame:
-    """Of the strings still open in texts, one of each class of a block with its hash (key, string), and the others as repeats (key null)."""
+def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows in tables of about BLOCK_BYTES that hold all rows of a key, and which rows have others of their key outside.
+
+    A key with more bytes than that is cut.
+    """
+    held: list[pa.RecordBatch] = []
+    size, cut = 0, None
+
+    def table_of(held: list[pa.RecordBatch], open_end: bool) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        key = table.column("key").to_numpy()
+        split = table.column("split").to_numpy() | (key == cut if cut is not None else False) | ((key == key[-1]) & open_end)
+        return table, split
+
+    for batch in rows:
+        for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+            held.append(part)
+            size += part.column("bytes").nbytes
+            if size < BLOCK_BYTES:
+                continue
+            whole = pa.Table.from_batches(held)
+            key = whole.column("key").to_numpy()
+            at = int(np.flatnonzero(_begins(key))[-1])
+            if at:
+                yield table_of(whole.slice(0, at).to_batches(), False)
+                held, cut = whole.slice(at).to_batches(), None
+                size = sum(b.column("bytes").nbytes for b in held)
+            else:
+                yield table_of(held, True)
+                held, cut, size = [], key[-1], 0
+    if held:
+        yield table_of(held, False)
+
+
+def _strings(stretches: DataFrame) -> DataFrame:
+    """Repeats among the strings of open contexts (key null), and of keys that lie in several blocks one string of each class of a block."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(rows, "text", 2 << 20):
-            data, offsets = utf8(table.column("text"))
-            lists, at = _flat(table.column("open"))
-            own = np.repeat(np.arange(table.num_rows), np.diff(at))
-            lists = lists + offsets[own][:, None]
-            # only the stretches of open strings are parsed, each as a text of its own; those of two texts never overlap
-            stretch = _merged(lists[:, 0], lists[:, 1] + STRING)
-            lengths = stretch[:, 1] - stretch[:, 0]
-            cuts = np.concatenate(([0], np.cumsum(lengths)))
-            origin = np.repeat(stretch[:, 0] - cuts[:-1], lengths) + np.arange(cuts[-1])
-            part = data[origin]
-            eight = eights(part)
-            counts = lists[:, 1] - lists[:, 0] + 1
-            wanted = np.repeat(lists[:, 0], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            wanted = np.unique(wanted)
-            in_ = np.searchsorted(stretch[:, 0], wanted, "right") - 1
-            wanted = wanted - stretch[in_, 0] + cuts[in_]
-            there, same = block_order(part, eight, cuts, wanted)
-            # the first of each class, by document, text and place
+        for table, split in _blocks(rows):
+            data, offsets = utf8(table.column("bytes"))
+            eight = eights(data)
+            doc, th, low, key = (table.column(c).to_numpy() for c in ("doc", "th", "low", "key"))
+            counts = np.diff(offsets) - STRING + 1
+            wanted = np.repeat(offsets[:-1] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            there, same = block_order(data, eight, offsets, wanted)
+            text = np.searchsorted(offsets, there, "right") - 1
+            inside = low[text] + there - offsets[text]
+            shared = same.copy()
+            shared[:-1] |= same[1:]
             group = np.cumsum(~same)
-            spot = origin[there]
-            text = np.searchsorted(offsets, spot, "right") - 1
-            doc, th = (table.column(c).to_numpy() for c in ("doc", "th"))
-            inside = spot - offsets[text]
-            order = np.lexsort((inside, th[text], doc[text], group))
-            first = np.ones(len(order), bool)
-            first[1:] = group[order][1:] != group[order][:-1]
-            heads, others = order[first], order[~first]
-            # repeated rows of one document and text are one; their places are not repeats of each other
-            leader = np.repeat(heads, np.diff(np.append(np.flatnonzero(first), len(order))))[~first]
-            twin = (doc[text[others]] == doc[text[leader]]) & (th[text[others]] == th[text[leader]]) & (inside[others] == inside[leader])
-            others = others[~twin]
-            key = hashed(eight, there[heads], STRING, 5).view(np.int64)
-            string = hashed(eight, there[heads], STRING, 7).view(np.int64)
-            columns = (pa.array(key), pa.array(string), *(pa.array(c) for c in (doc[text[heads]], th[text[heads]], inside[heads].astype(np.int32), inside[heads].astype(np.int32))))
-            yield pa.RecordBatch.from_arrays(list(columns), ["key", "string", "doc", "th", "low", "high"])
-            # repeats of one text that follow each other go as one row
-            others = others[np.argsort(spot[others], kind="stable")]
-            begins = np.ones(len(others), bool)
-            begins[1:] = (spot[others][1:] != spot[others][:-1] + 1) | (text[others][1:] != text[others][:-1])
+            several = np.flatnonzero(shared)
+            # the first of each class, by document, text and place
+            several = several[np.lexsort((inside[several], th[text[several]], doc[text[several]], group[several]))]
+            first = _begins(group[several])
+            leader = several[np.maximum.accumulate(np.where(first, np.arange(len(several)), 0))]
+            x, y = text[several], text[leader]
+            # a place that stands twice is no repeat of itself
+            other = (doc[x] != doc[y]) | (th[x] != th[y]) | (inside[several] != inside[leader])
+            heads = np.concatenate([np.flatnonzero(~shared), several[first]])
+            heads = heads[split[text[heads]]]
+            at = (inside[heads]).astype(np.int32)
+            yield _batch(_STRINGS, key[text[heads]], hashed(eight, there[heads], STRING, 7).view(np.int64), doc[text[heads]], th[text[heads]], at, at)
+            # repeats of one context that follow each other go as one row
+            again = several[other]
+            again = again[np.argsort(there[again], kind="stable")]
+            begins = _begins(there[again] - np.arange(len(again)), text[again])
             at = np.flatnonzero(begins)
-            last = np.append(at[1:], len(others)) - 1
-            a, b = (others[at], others[last]) if len(at) else (others, others)
+            a, b = again[at], again[np.append(at[1:], len(again)) - 1] if len(at) else again
             none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, *(pa.array(c) for c in (doc[text[a]], th[text[a]], inside[a].astype(np.int32), inside[b].astype(np.int32)))], ["key", "string", "doc", "th", "low", "high"])
+            yield _batch(_STRINGS, none, none, doc[text[a]], th[text[a]], inside[a].astype(np.int32), inside[b].astype(np.int32))
+
+    dealt = stretches.repartition(partitions_for(stretches), "home").sortWithinPartitions("key", "doc", "th", "low")
+    return dealt.mapInArrow(run, _STRINGS)
+
 
-    return touched.where("size(open) > 0").select("doc", "th", "text", "open").mapInArrow(run, _WINDOW)
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """low and high + 1 of a column of lists of (low, high), as rows, and the n + 1 offsets of the lists."""
+    lists = _one(column)
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    inner = lists.flatten()
+    rows = np.stack([inner.field("low").to_numpy(zero_copy_only=False), inner.field("high").to_numpy(zero_copy_only=False)], axis=1).astype(np.int64) if len(inner) else np.zeros((0, 2), np.int64)
+    return rows, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
 
 
-def _removed(touched: DataFrame) -> DataFrame:
-    """touched with spans (start and length of removed bytes) and kept, from the repeated strings of closed and more."""
+def _removed(rows: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, spans (start and length of removed bytes) and kept of texts with their repeated strings (gone)."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(rows, "text", 2 << 20):
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches(found, "text", BLOCK_BYTES):
             data, offsets = utf8(table.column("text"))
-            (a, at), (b, bt) = _flat(table.column("closed")), _flat(table.column("more"))
-            own = np.concatenate([np.repeat(np.arange(table.num_rows), np.diff(x)) for x in (at, bt)])
-            starts = np.concatenate([a, b]) + offsets[own][:, None]
+            starts, at = _flat(table.column("gone"))
+            starts = starts + offsets[np.repeat(np.arange(table.num_rows), np.diff(at))][:, None]
             change = np.zeros(len(data) + 1, np.int64)
             np.add.at(change, starts[:, 0], 1)
             np.add.at(change, starts[:, 1] + STRING, -1)
-            gone = np.cumsum(change[:-1]) > 0
-            edge = np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))
+            lost = np.cumsum(change[:-1]) > 0
+            edge = np.diff(np.concatenate(([0], lost.astype(np.int8), [0])))
             begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
             # spans that end one text and begin the next are two
             inner = offsets[1:-1]
             cut = np.unique(inner[(inner > 0) & (inner < len(data))])
-            cut = cut[gone[cut] & gone[cut - 1]]
+            cut = cut[lost[cut] & lost[cut - 1]]
             begin, end = np.sort(np.concatenate([begin, cut])), np.sort(np.concatenate([end, cut]))
             text = np.searchsorted(offsets, begin, "right") - 1
             lists = pa.array(np.searchsorted(text, np.arange(table.num_rows + 1)), pa.int32())
             spans = pa.ListArray.from_arrays(lists, pa.StructArray.from_arrays([pa.array(begin - offsets[text]), pa.array(end - begin)], ["start", "length"]))
-            kept = np.concatenate(([0], np.cumsum(~gone)))[offsets]
-            left = pa.LargeBinaryArray.from_buffers(pa.large_binary(), table.num_rows, [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(data[~gone])]).cast(pa.binary())
+            kept = np.concatenate(([0], np.cumsum(~lost)))[offsets]
+            left = pa.LargeBinaryArray.from_buffers(pa.large_binary(), table.num_rows, [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(data[~lost])]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(np.diff(offsets)), spans, left], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return touched.select("doc_id", "text", "closed", "more").mapInArrow(run, _RESULT)
-
-
-_RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary"
-_NO_PAIRS = "array<struct<low:int,high:int>>"
+    return rows.select("doc_id", "text", "gone").mapInArrow(run, _RESULT)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -360,19 +431,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     all others; different texts of one doc_id come in the order of a hash; rows that repeat doc_id and text are one document, and each
     of them gets its result. Very long texts are read whole; other columns are not read; an empty table gives an empty one.
     """
-    files, texts = files_for(docs), _texts(docs)
-    judged = _judged(texts, files)
-    pair, none = F.struct("low", "high"), F.array().cast(_NO_PAIRS)
-    lists = judged.groupBy("doc", "th").agg(F.collect_list(F.when(F.col("open"), pair)).alias("open"), F.collect_list(F.when(~F.col("open"), pair)).alias("closed"))
-    known = Sieve(judged.select("doc").distinct(), "doc").passes("doc")
-    asked = texts.where(known).join(lists, ["doc", "th"], "left")
-    asked = materialize(asked.select("doc_id", "doc", "th", "text", F.coalesce("open", none).alias("open"), F.coalesce("closed", none).alias("closed")), "touched", files)
-    strings = materialize(_strings(asked), "strings", files)
-    place = F.struct(*_FIRST)
-    firsts = strings.where("key IS NOT NULL").groupBy("key", "string").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "string", "first")
-    later = strings.join(firsts.hint("merge"), ["key", "string"]).where(_other())
-    more = stacked(later.select("doc", "th", "low", "high"), strings.where("key IS NULL").select("doc", "th", "low", "high"))
-    more = more.groupBy("doc", "th").agg(F.collect_list(pair).alias("more"))
-    changed = asked.join(more, ["doc", "th"], "left").withColumn("more", F.coalesce("more", none))
+    files = files_for(docs)
+    texts = _texts(docs, files)
+    judged = materialize(_judged(_marked(texts)), "judged", files)
+    strings = materialize(_strings(_stretches(texts, judged)), "strings", files)
+    place = ("doc", "th", "low")
+    firsts = strings.where("key IS NOT NULL").groupBy("key", "string").agg(F.min(F.struct(*place)).alias("first"), F.max(F.struct(*place)).alias("last")).where("first <> last").select("key", "string", "first")
+    # the rows of a hot string lie on the left, where a join splits them
+    later = strings.join(firsts.hint("merge"), ["key", "string"]).where(" OR ".join(f"{c} <> first.{c}" for c in place))
+    repeats = stacked(*(x.select("doc", "th", "low", "high") for x in (judged.where("key IS NULL"), strings.where("key IS NULL"), later)))
+    known = Sieve(repeats.select("doc").distinct(), "doc").passes("doc")
+    gone = repeats.groupBy("doc", "th").agg(F.collect_list(F.struct("low", "high")).alias("gone"))
+    changed = texts.where(known).join(gone, ["doc", "th"], "left").withColumn("gone", F.coalesce("gone", F.array().cast(_NO_PAIRS)))
     same = texts.where(~known).select("doc_id", F.length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:long,length:long>>").alias("spans"), F.col("text").alias("kept"))
     return stacked(same, _removed(changed))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import importance, parsing, queries, runs, suffixes
@@ -176,6 +177,21 @@ def test_removed_repeats_do_not_depend_on_partitions(spark):
     assert rows_of(parsing.without_repeats(docs.repartition(23, "text"))) == base
 
 
+def test_blocks_hold_whole_keys_or_say_so(monkeypatch):
+    monkeypatch.setattr(parsing, "BLOCK_BYTES", 4000)
+    rnd = random.Random(13)
+    keys = sorted(k for k in range(40) for _ in range(rnd.choice([1, 2, 30, 6000 if k in (7, 8, 21) else 3])))
+    table = pa.table({"key": pa.array(keys, pa.int64()), "split": pa.array([k == 3 for k in keys]), "bytes": pa.array([b"x" * 10] * len(keys))})
+    out = list(parsing._blocks(iter(table.to_batches(max_chunksize=700))))
+    assert [k for t, _ in out for k in t.column("key").to_pylist()] == keys
+    blocks = {}
+    for n, (t, _) in enumerate(out):
+        for k in set(t.column("key").to_pylist()):
+            blocks.setdefault(k, set()).add(n)
+    for t, split in out:
+        assert split.tolist() == [k == 3 or len(blocks[k]) > 1 for k in t.column("key").to_pylist()]
+
+
 @pytest.mark.parametrize("percent, least", [(25, 20), (100, 1)])
 def test_resampled_awkward_rows(spark, percent, least):
     docs = fx.awkward(spark).unionByName(spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").select("doc_id", "text", "lang", "source", "n_chars").selectExpr("*", *[f"CAST(NULL AS {t}) AS {n}" for n, t in fx.awkward(spark).dtypes[5:]]))
