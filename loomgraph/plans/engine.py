@@ -12,10 +12,12 @@ from loomgraph.config import EngineConfig
 from loomgraph.frames import stacked
 from loomgraph.functions.vectors import hash_embedding
 from loomgraph.operators import answer, chunking, evaluate, extract, graph, ingest, resolve, retrieve
-from loomgraph.plans.store import checkpointed, open_store
+from loomgraph.plans.store import Change, Conflict, checkpointed, open_store, owner_of
+from loomgraph.schemas import TABLES
 from loomgraph.sources import loaders
 
 Progress = Callable[[str, int, int], None]
+TABLES_OF = {name: [x.strip().split(" ")[0] for x in kind.split(", ")] for name, kind in TABLES.items()}
 ERRORS = "document_id string, position int, phase string, error string"
 
 
@@ -64,23 +66,24 @@ class Engine:
         self.errors = stacked(self.errors, failed)
         return report.withColumn("documents_failed", F.col("documents_failed") + F.lit(failed.count()))
 
-    def ingest(self, docs: DataFrame, resolve_after: bool = True, raise_errors: bool = False, progress: Progress | None = None) -> DataFrame:
+    def ingest(self, docs: DataFrame, resolve_after: bool = True, raise_errors: bool = False, progress: Progress | None = None, tries: int = 3) -> DataFrame:
         """Stores new and changed documents with their chunks, entities and relations, all in one commit; returns one row of counts.
 
         A document whose meta has an error is left out, a chunk that cannot be embedded too; one that cannot be extracted is kept
         without entities. These are in `errors` (document_id, position, phase, error) until the next run; raise_errors
         makes the first of them an exception, before anything is written. progress gets (phase, done, total) as phases start and end.
+        If another writer has changed the same documents, entities or relations meanwhile, all is done again from what it wrote, up to `tries` times.
         """
         c, store = self.config.chunking, self.store
         tick = progress or (lambda *_: None)
         bad = F.col("meta").isNotNull() & F.map_contains_key(F.col("meta"), "error")
         unread = docs.where(bad).select(F.col("uri").alias("document_id"), F.lit(None).cast("int").alias("position"), F.lit("load").alias("phase"), F.col("meta")["error"].alias("error"))
         clean = checkpointed(ingest.normalized(docs.where(~F.coalesce(bad, F.lit(False))))).withColumn("ord", F.struct("uri", "id"))
-        status = checkpointed(ingest.dedupe_status(clean, store.table("documents"), "ord"))
+        old = store.tables()
+        status = checkpointed(ingest.dedupe_status(clean, old["documents"], "ord"))
         fresh = status.where("status <> 'duplicate'")
         last = fresh.groupBy("id").agg(F.max_by(F.struct(*[x for x in fresh.columns if x != "id"]), "version").alias("r")).select("id", "r.*")
         last = checkpointed(last)
-        old = store.tables()
         chunks = checkpointed(chunking.chunk_documents(last, c.characters, c.overlap))
         total = chunks.count()
         tick("embed", 0, total)
@@ -99,10 +102,11 @@ class Engine:
         if raise_errors and (first := self.errors.orderBy("document_id", "position").first()):
             raise RuntimeError(f"{first['phase']} of {first['document_id']}, chunk {first['position']}: {first['error']}")
         rows, calls, relations = extract.graph_rows(written.withColumn("ord", F.struct("document_id", "position")))
-        kept_chunks, kept_mentions = ingest.delete_chunks(old["chunks"], old["mentions"], last)
-        kept_tokens = old["chunk_tokens"].join(kept_chunks.select("id"), "id", "left_semi")
-        known = old["entities"]
-        base = known.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("m")).first()["m"]
+        # a part of each table: its rows come in the place of those of the same documents, names or relations
+        gone = last.select(F.col("id").alias("owner"))
+        names = rows.select("name").distinct()
+        known = old["entities"].join(names, "name", "left_semi")
+        base = old["entities"].agg(F.coalesce(F.max("ord"), F.lit(0)).alias("m")).first()["m"]
         named = ingest.upsert_entities(rows).withColumn("ord", F.struct("ord", "name"))
         counts = calls.groupBy(F.col("entity").alias("name")).agg(F.count("*").alias("mention_count"))
         numbered = self._numbered(named, base)
@@ -111,15 +115,21 @@ class Engine:
         mentioned = stacked(known.select("name", "mention_count"), counts).groupBy("name").agg(F.sum("mention_count").alias("mention_count"))
         links = last.select(F.col("id").alias("document_id"), F.explode("links").alias("dst_uri"))
         new = {
-            "documents": ingest.upsert(old["documents"], last.select(*old["documents"].columns), ["id"]),
-            "chunks": stacked(kept_chunks, written.select(*old["chunks"].columns)),
-            "chunk_tokens": stacked(kept_tokens, retrieve.token_table(written)),
-            "mentions": stacked(kept_mentions, calls).distinct(),
-            "relations": stacked(old["relations"], relations).distinct(),
-            "doc_links": stacked(old["doc_links"], links).distinct(),
-            "entities": merged.join(mentioned, "name", "left").withColumn("mention_count", F.coalesce("mention_count", F.lit(0))),
+            "documents": Change(last.select(*TABLES_OF["documents"])),
+            "chunks": Change(written.select(*TABLES_OF["chunks"]), gone),
+            "chunk_tokens": Change(retrieve.token_table(written), gone),
+            "mentions": Change(calls.distinct(), gone),
+            "relations": Change(relations.distinct()),
+            "doc_links": Change(links.distinct()),
+            "entities": Change(merged.join(mentioned, "name", "left").withColumn("mention_count", F.coalesce("mention_count", F.lit(0)))),
         }
-        store.commit(new)
+        if last.take(1):
+            try:
+                store.commit(new, old)
+            except Conflict:
+                if tries < 2:
+                    raise
+                return self.ingest(docs, resolve_after, raise_errors, progress, tries - 1)
         tick("write", kept, kept)
         merges = self.resolve().count() if resolve_after else 0
         failed = {r["phase"]: r["n"] for r in self.errors.groupBy("phase").agg(F.count("*").alias("n")).collect()}
@@ -168,11 +178,26 @@ class Engine:
         decisions = checkpointed(resolve.plan(t["entities"], self.seeds, embeddings, self.config, same))
         if not decisions.take(1):
             return decisions
-        roots = resolve.merge_roots(decisions)
-        entities, mentions, relations = ingest.merge_entities(t["entities"], t["mentions"], t["relations"], roots)
+        roots = checkpointed(resolve.merge_roots(decisions))
+        # only what the merged names touch is read on and written: their entities, the mentions of their documents, their relations
+        merged = roots.select(F.col("duplicate").alias("name"))
+        touched = stacked(merged, roots.select(F.col("root").alias("name"))).distinct()
+        documents = t["mentions"].join(merged.withColumnRenamed("name", "entity"), "entity", "left_semi").select(owner_of("mentions").alias("owner")).distinct()
+        mentions = t["mentions"].withColumn("owner", owner_of("mentions")).join(documents, "owner", "left_semi").drop("owner")
+        ends = [t["relations"].join(merged.withColumnRenamed("name", end), end, "left_semi").select("subject", "relation", "object") for end in ("subject", "object")]
+        relations = stacked(*ends).distinct()
+        new_entities, new_mentions, new_relations = ingest.merge_entities(t["entities"].join(touched, "name", "left_semi"), mentions, relations, roots)
         base = t["merge_history"].agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first()["m"]
         history = self._numbered(decisions.select("duplicate", "canonical", "ord"), base).select(F.col("ord").alias("seq"), "duplicate", "canonical")
-        self.store.commit({"entities": entities, "mentions": mentions, "relations": relations, "merge_history": stacked(t["merge_history"], history)})
+        self.store.commit(
+            {
+                "entities": Change(new_entities, merged.withColumnRenamed("name", "owner")),
+                "mentions": Change(new_mentions, documents),
+                "relations": Change(new_relations, relations.select(owner_of("relations").alias("owner"))),
+                "merge_history": Change(history),
+            },
+            t,
+        )
         return decisions
 
     # reading
@@ -230,7 +255,7 @@ class Engine:
     def doctor(self) -> dict[str, object]:
         """Whether the tables can be read, keys that stand twice, and embeddings of another size than the settings say."""
         dims = [r["embed_dim"] for r in self.store.table("chunks").where("embed_dim IS NOT NULL").select("embed_dim").distinct().limit(10).collect()]
-        return {"violations": self.store.violations(), "embed_dims": sorted(dims), "dim_mismatch": any(d != (self.config.models.dimensions or 256) for d in dims), "indexed": self.store.current().get("chunk_tokens") is not None}
+        return {"violations": self.store.violations(), "embed_dims": sorted(dims), "dim_mismatch": any(d != (self.config.models.dimensions or 256) for d in dims), "indexed": bool(self.store.parts("chunk_tokens"))}
 
     # evaluation
 
