@@ -16,7 +16,7 @@ from loomgraph.functions.text import col, strip
 HEADING = r"#{1,6}[^\S\n]"
 SENTENCE = r"(?U)(?<=[.!?])\s+"
 _SEGMENT = "struct<label:string,start:int,text:string>"
-_WINDOW = "struct<text:string,low:int,high:int>"
+_WINDOW = "struct<text:string,low:int,high:int,before:int,within:int>"
 
 
 def _newlines(text: Column) -> Column:
@@ -67,33 +67,40 @@ def turns(text: Column | str) -> Column:
 
 
 def windows(text: Column | str, size: int, overlap: int) -> Column:
-    """Windows over sentences as (text, low, high), with offsets into the text.
+    """Windows over sentences as (text, low, high, before, within), with offsets into the text and the line breaks before either offset.
 
     A window closes when the next sentence would make it longer than size; the next one starts with the last
-    overlap characters. A single sentence is never cut.
+    overlap characters. A single sentence is never cut. Offsets and line breaks are carried from sentence to sentence, so no part of the
+    text is looked at again for a later window.
     """
     text = col(text)
     stripped = strip(text)
     sentences = F.split(stripped, SENTENCE)
     gaps = F.concat(F.regexp_extract_all(stripped, F.lit(f"({SENTENCE})"), F.lit(1)), F.array(F.lit("")))
     pairs = F.arrays_zip(sentences.alias("s"), gaps.alias("g"))
-    lead = F.length(F.regexp_extract(text, r"(?U)^\s+", 0))
-    window = lambda acc: F.array(F.struct(acc["buf"].alias("text"), acc["low"].alias("low"), acc["high"].alias("high")))
+    margin = F.regexp_extract(text, r"(?U)^\s+", 0)
+    lead = F.length(margin)
+    window = lambda acc: F.array(F.struct(acc["buf"].alias("text"), acc["low"].alias("low"), acc["high"].alias("high"), acc["before"].alias("before"), acc["within"].alias("within")))
     none = F.array().cast(f"array<{_WINDOW}>")
 
     def step(acc: Column, x: Column) -> tuple[Column, dict[str, Column]]:
-        sentence = x["s"]
+        sentence, gap = x["s"], F.coalesce(x["g"], F.lit(""))
         end = (acc["at"] + F.length(sentence)).cast("int")
-        after = (end + F.length(F.coalesce(x["g"], F.lit("")))).cast("int")
+        after = (end + F.length(gap)).cast("int")
+        breaks = (acc["breaks"] + _newlines(sentence)).cast("int")
         tail = F.right(acc["buf"], F.lit(overlap)) if overlap else F.lit("")
         flush = (acc["buf"] != "") & (F.length(acc["buf"]) + F.length(sentence) + 1 > size)
         buf = F.when(flush, strip(F.concat(tail, F.lit(" "), sentence))).when(acc["buf"] == "", sentence).otherwise(strip(F.concat(acc["buf"], F.lit(" "), sentence)))
         low = F.when(flush, F.greatest(F.lit(0), acc["at"] - F.length(tail))).otherwise(acc["low"]).cast("int")
-        return F.when(flush, window(acc)).otherwise(none), {"buf": buf, "low": low, "high": end, "at": after}
+        # the text just before the sentence, as long as an overlap can be
+        seen = F.right(F.concat(acc["seen"], sentence, gap), F.lit(overlap)) if overlap else F.lit("")
+        before = F.when(flush, acc["breaks"] - _newlines(F.right(acc["seen"], F.length(tail)))).otherwise(acc["before"]).cast("int")
+        return F.when(flush, window(acc)).otherwise(none), {"buf": buf, "low": low, "high": end, "before": before, "within": breaks, "at": after, "breaks": (breaks + _newlines(gap)).cast("int"), "seen": seen}
 
-    start = {"buf": F.lit(""), "low": lead, "high": lead, "at": lead}
+    first = _newlines(margin).cast("int")
+    start = {"buf": F.lit(""), "low": lead, "high": lead, "before": first, "within": first, "at": lead, "breaks": first, "seen": F.right(margin, F.lit(overlap)) if overlap else F.lit("")}
     finished = F.transform(F.array(folded(pairs, _WINDOW, start, step)), lambda acc: F.when(acc["buf"] != "", F.concat(acc["out"], window(acc))).otherwise(acc["out"]))
-    whole = F.array(F.struct(stripped.alias("text"), F.lit(0).alias("low"), F.length(text).alias("high")))
+    whole = F.array(F.struct(stripped.alias("text"), F.lit(0).alias("low"), F.length(text).alias("high"), F.lit(0).alias("before"), _newlines(text).cast("int").alias("within")))
     return F.when(F.length(stripped) <= size, whole).otherwise(F.get(finished, 0))
 
 
@@ -106,9 +113,8 @@ def chunk_array(source_type: Column, text: Column, size: int, overlap: int) -> C
 
     def of_segment(seg: Column) -> Column:
         def of_window(w: Column) -> Column:
-            line = lambda at: line_of(seg["text"], at, seg["start"])
-            low = F.when(paged | turned, seg["start"]).otherwise(line(w["low"]))
-            high = F.when(paged | turned, seg["start"]).otherwise(line(w["high"]))
+            line = lambda breaks: F.when(paged | turned, seg["start"]).otherwise(seg["start"] + breaks).cast("int")
+            low, high = line(w["before"]), line(w["within"])
             span = F.struct(kind.alias("kind"), low.alias("start"), high.alias("end"), seg["label"].alias("label"))
             return F.struct(strip(w["text"]).alias("text"), span.alias("span"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomgraph.config import EngineConfig
 from loomgraph.frames import stacked
@@ -52,9 +55,11 @@ def _pieces(form: Column, threshold: float, distance: int) -> tuple[Column, Colu
     return F.flatten(shorter), F.flatten(longer)
 
 
-def candidates(entities: DataFrame, threshold: float = 0.86, distance: int = 2, by: Sequence[str] = ()) -> DataFrame:
+def candidates(entities: DataFrame, threshold: float = 0.86, distance: int = 2, by: Sequence[str] = (), equal: bool = True) -> DataFrame:
     """Pairs of one label that pass the string gate: a_name, b_name (a before b by ord), similarity, distance.
 
+    equal: with all pairs of names of one normalised form, whose number is the square of such names; see equal_pairs.
+
     entities: name, label, ord, mention_count. Names are compared once for each pair of normalised forms, and only where the
     forms share a part that any pair within the gate must share (see _pieces), so no label is compared with itself as a whole.
     by: columns that keep sets of entities apart; only rows that agree in them meet.
@@ -64,7 +69,7 @@ def candidates(entities: DataFrame, threshold: float = 0.86, distance: int = 2,
     x = forms.select(*by, "label", F.col("form").alias("fx"), F.explode(shorter).alias("key")).distinct()
     y = forms.select(*by, "label", F.col("form").alias("fy"), F.explode(longer).alias("key")).distinct()
     met = x.join(y, [*by, "label", "key"]).where((F.length("fx") < F.length("fy")) | (F.col("fx") < F.col("fy"))).select(*by, "label", "fx", "fy").distinct()
-    pairs = stacked(met, forms.select(*by, "label", F.col("form").alias("fx"), F.col("form").alias("fy")))
+    pairs = stacked(met, forms.select(*by, "label", F.col("form").alias("fx"), F.col("form").alias("fy"))) if equal else met
     apart = F.levenshtein("fx", "fy")
     similarity = F.when(F.col("fx") == F.col("fy"), F.lit(1.0)).otherwise(1.0 - apart / F.greatest(F.length("fx"), F.length("fy"), F.lit(1)))
     gated = pairs.withColumn("similarity", similarity).withColumn("distance", apart).where((F.col("similarity") >= threshold) | (F.col("distance") <= distance))
@@ -77,6 +82,104 @@ def candidates(entities: DataFrame, threshold: float = 0.86, distance: int = 2,
     return both.select(*by, "label", *[pick(c, yes).alias(f"{s}_{c}") for s, yes in (("a", True), ("b", False)) for c in ("name", "ord", "count")], "similarity", "distance")
 
 
+def _in_classes(entities: DataFrame, by: Sequence[str]) -> DataFrame:
+    """entities with `form`, those whose normalised form is another name's, too."""
+    rows = entities.select(*by, "label", normalize_name("name").alias("form"), "name", "ord", "mention_count")
+    several = rows.groupBy(*by, "label", "form").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return rows.join(several, [*by, "label", "form"], "left_semi")
+
+
+def equal_pairs(entities: DataFrame, seeds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Of the pairs of names with one normalised form, for each name the first one that it loses, as rows of candidates().
+
+    A name loses to an earlier one of no lower rank (seeded, then mentioned more, then shorter), else to a later one of a higher rank. The first
+    earlier one stands among the names that outrank all before them: it is the lowest of these that is not below the name itself.
+    So each name finds it by two sorts of its class, and no pair is made beyond.
+    """
+    canonicals = seeds.select(F.col("canonical").alias("name"), F.lit(True).alias("_seeded")).distinct()
+    own = _in_classes(entities, by).join(canonicals, "name", "left")
+    plain = lambda c: F.when(F.col("_seeded"), F.lit(0).cast("long")).otherwise(c.cast("long"))
+    own = own.withColumn("_rank", F.struct(F.col("_seeded").isNull().cast("int").alias("s"), plain(-F.col("mention_count")).alias("n"), plain(F.length("name")).alias("l")))
+    keys = [*by, "label", "form"]
+    place = Window.partitionBy(*keys)
+    before = F.min("_rank").over(place.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("_top", before.isNull() | (F.col("_rank") < before))
+    own = own.withColumn("_one", F.when(F.col("_top"), F.struct("ord", "name", "mention_count")))
+    later = F.last("_one", True).over(place.orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1))
+    above = F.last("_one", True).over(place.orderBy("_rank", "ord").rowsBetween(Window.unboundedPreceding, 0))
+    own = own.withColumn("_later", later).withColumn("_above", above).withColumn("_to", F.when(F.col("_top"), F.col("_later")).otherwise(F.col("_above")))
+    return _as_pairs(own.where("_to IS NOT NULL"), by, F.struct("ord", "name", "mention_count"), F.col("_to"))
+
+
+def _as_pairs(rows: DataFrame, by: Sequence[str], x: Column, y: Column) -> DataFrame:
+    rows = rows.select(*by, "label", F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    side = lambda s: [F.col(f"{s}.name").alias(f"{s}_name"), F.col(f"{s}.ord").alias(f"{s}_ord"), F.col(f"{s}.mention_count").alias(f"{s}_count")]
+    return rows.select(*by, "label", *side("a"), *side("b"), F.lit(1.0).alias("similarity"), F.lit(0).alias("distance"))
+
+
+#: Names that are compared with the names of a class at a time.
+_STEP = 256
+
+
+def equal_pairs_near(entities: DataFrame, seeds: DataFrame, embeddings: DataFrame, cosine_from: float, sure_from: float, by: Sequence[str] = ()) -> DataFrame:
+    """equal_pairs() where a pair of names with embeddings (name, embedding) counts only from the cosine cosine_from on.
+
+    Pairs below sure_from may still be refused, so those before the first sure one are given, too. A class of names is one unit
+    of work with space in proportion to its names: blocks of names in their order meet those that have lost to none yet.
+    """
+    canonicals = seeds.select(F.col("canonical").alias("name"), F.lit(True).alias("_seeded")).distinct()
+    own = _in_classes(entities, by).join(canonicals, "name", "left").join(embeddings.select("name", "embedding"), "name", "left")
+    keys = [*by, "label", "form"]
+    # a place instead of ord, which may be of any type
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))).withColumn("seeded", F.col("_seeded").isNotNull()).withColumn("length", F.length("name"))
+
+    def losses(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        n = table.num_rows
+        seeded, counts, lengths = (table.column(c).to_numpy() for c in ("seeded", "mention_count", "length"))
+        order = np.lexsort((np.where(seeded, 0, lengths), np.where(seeded, 0, -counts), ~seeded))
+        keyed = np.stack([~seeded, np.where(seeded, 0, -counts), np.where(seeded, 0, lengths)], axis=1)[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate(([False], (keyed[1:] != keyed[:-1]).any(axis=1))))
+        vectors = table.column("embedding").to_pylist()
+        size = max((len(v) for v in vectors if v), default=0)
+        held = np.zeros((n, size))
+        known = np.array([bool(v) for v in vectors])
+        for i in np.flatnonzero(known):
+            held[i, : len(vectors[i])] = vectors[i]
+        norms = np.sqrt((held * held).sum(axis=1))
+        held /= np.where(norms == 0, 1.0, norms)[:, None]
+        found, waiting = [], np.arange(n)
+        for earlier in (True, False):
+            for first in range(0, n, _STEP):
+                if not len(waiting):
+                    break
+                block = np.arange(first, min(first + _STEP, n))
+                beats = (block[:, None] < waiting) & (rank[block][:, None] <= rank[waiting]) if earlier else (block[:, None] > waiting) & (rank[block][:, None] < rank[waiting])
+                score = np.where(known[block][:, None] & known[waiting], held[block] @ held[waiting].T, 2.0)
+                # what rounding may decide either way is left to the exact comparison
+                passes, sure = beats & (score >= cosine_from - 1e-9), beats & (score >= sure_from + 1e-9)
+                stop = np.where(sure.any(axis=0), sure.argmax(axis=0), len(block))
+                i, j = np.nonzero(passes & (np.arange(len(block))[:, None] <= stop))
+                found.append(np.stack([block[i], waiting[j]], axis=1))
+                waiting = waiting[stop == len(block)]
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        x, y = table.take(pa.array(pairs.min(axis=1))), table.take(pa.array(pairs.max(axis=1)))
+        sides = {f"{s}_{c}": t.column(c) for s, t in (("a", x), ("b", y)) for c in ("name", "place")}
+        return pa.table({k: x.column(k) for k in keys} | sides)
+
+    fields = {f.name: f.dataType for f in own.schema.fields}
+    schema = StructType()
+    for k in keys:
+        schema = schema.add(k, fields[k])
+    for s in "ab":
+        schema = schema.add(f"{s}_name", "string").add(f"{s}_place", "integer")
+    met = own.select(*keys, "name", "place", "mention_count", "seeded", "length", "embedding").groupBy(*keys).applyInArrow(losses, schema).drop("a_place", "b_place")
+    side = lambda s: own.select(*keys, F.col("name").alias(f"{s}_name"), F.struct("ord", "name", "mention_count").alias(s))
+    rows = met.join(side("a"), [*keys, "a_name"]).join(side("b"), [*keys, "b_name"])
+    return _as_pairs(rows, by, F.col("a"), F.col("b"))
+
+
 def canonical(a_name: Column, b_name: Column, a_count: Column, b_count: Column, a_seeded: Column | None = None, b_seeded: Column | None = None) -> Column:
     """The name that stays: a seed's canonical (by the flags, a first), else the one mentioned more, else the shorter, a first."""
     picked = F.when(a_count > b_count, a_name).when(b_count > a_count, b_name).when(F.length(a_name) <= F.length(b_name), a_name).otherwise(b_name)
@@ -93,17 +196,28 @@ def context_embeddings(mentions: DataFrame, chunks: DataFrame, names: DataFrame
     return mean_vectors(rows.join(chunks.where("embedding IS NOT NULL").select("id", "embedding"), "id"), "name", "embedding")
 
 
-def plan(entities: DataFrame, seeds: DataFrame, embeddings: DataFrame | None = None, config: EngineConfig | None = None, same: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+def names_to_embed(entities: DataFrame, threshold: float = 0.86, distance: int = 2) -> DataFrame:
+    """name of the entities that stand in any pair of candidates()."""
+    pairs = candidates(entities, threshold, distance, equal=False)
+    return stacked(pairs.select(F.col("a_name").alias("name")), pairs.select(F.col("b_name").alias("name")), _in_classes(entities, ()).select("name")).distinct()
+
+
+def plan(entities: DataFrame, seeds: DataFrame, embeddings: DataFrame | None = None, config: EngineConfig | None = None, same: Column | Callable[[DataFrame], DataFrame] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Merge decisions: duplicate, canonical, string_score, embed_score, reason, ord; each duplicate once.
 
     Alias seeds come first, then pairs by place (prefix blocks before label blocks). embeddings: name, embedding; pairs
-    without both pass on strings alone. same: a condition over a_name and b_name that settles pairs in the
-    ambiguous band of the embedding score; without it they pass. by: columns that keep sets of entities apart; each set
+    without both pass on strings alone. same: what settles pairs in the ambiguous band of the embedding score: a condition over a_name and
+    b_name, or a function that gets these pairs, each once, and adds `same`; without it they pass. by: columns that keep sets of entities apart; each set
     is planned as if alone, and its decisions carry them.
     """
     c = (config or EngineConfig()).matching
     alias = alias_decisions(entities, seeds, by).select(*by, "duplicate", "canonical", F.lit(1.0).alias("string_score"), F.lit(None).cast("double").alias("embed_score"), F.lit("alias_seed").alias("reason"), F.struct(F.lit(0).alias("k"), F.col("ord").cast("long").alias("o"), F.lit(0).cast("long").alias("p")).alias("ord"))
-    pairs = candidates(entities, c.similarity, c.edits, by)
+    # of the pairs of one form only those that may decide; see equal_pairs
+    if embeddings is None:
+        alike = equal_pairs(entities, seeds, by)
+    else:
+        alike = equal_pairs_near(entities, seeds, embeddings, c.cosine - c.band, c.cosine + c.band if same is not None else c.cosine - c.band, by)
+    pairs = stacked(candidates(entities, c.similarity, c.edits, by, equal=False), alike)
     if embeddings is None:
         pairs = pairs.withColumn("embed_score", F.lit(None).cast("double"))
     else:
@@ -114,7 +228,11 @@ def plan(entities: DataFrame, seeds: DataFrame, embeddings: DataFrame | None = N
     reason = F.when(es.isNull(), "string").otherwise("string+embed")
     if same is not None:
         band = es.isNotNull() & (F.abs(es - c.cosine) <= c.band)
-        pairs = pairs.where(~band | same)
+        if isinstance(same, Column):
+            pairs = pairs.where(~band | same)
+        else:
+            settled = same(_cut(pairs.where(band)))
+            pairs = stacked(pairs.where(~band), settled.where("same").drop("same"))
         reason = F.when(band, "llm").otherwise(reason)
     canonicals = seeds.select("canonical").distinct()
     for p in "ab":

@@ -167,14 +167,24 @@ class Engine:
         table = self.spark.createDataFrame(starts or [(0, 0)], "_p int, _s long")
         return ranged.join(F.broadcast(table), "_p").withColumn("ord", F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")
 
-    def resolve(self, same: Column | None = None, use_embeddings: bool = True) -> DataFrame:
-        """Merges entities that are the same; returns the decisions."""
+    def _settled(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a_name, b_name) with `same`, as the settings' model says; a call that fails settles nothing, and the pair stays apart."""
+        prompt = F.concat(F.lit("Do these two names stand for one and the same thing? Reply with yes or no.\n\n1. "), F.col("a_name"), F.lit("\n2. "), F.col("b_name"))
+        told = extract.with_answers(pairs.withColumn("_prompt", prompt), "_prompt", self.model.complete, "_answer", self.config.models.calls, "_error")
+        return checkpointed(told.withColumn("same", F.coalesce(F.lower(F.trim("_answer")).startswith("y"), F.lit(False))).drop("_prompt", "_answer", "_error"))
+
+    def resolve(self, same: Column | Callable[[DataFrame], DataFrame] | None = None, use_embeddings: bool = True) -> DataFrame:
+        """Merges entities that are the same; returns the decisions.
+
+        same: what settles ambiguous pairs (see resolve.plan); by default the settings' model, where there is one.
+        """
         t = self.store.tables()
         embeddings = None
         if use_embeddings:
-            pairs = resolve.candidates(t["entities"], self.config.matching.similarity, self.config.matching.edits)
-            names = stacked(pairs.select(F.col("a_name").alias("name")), pairs.select(F.col("b_name").alias("name")))
+            names = resolve.names_to_embed(t["entities"], self.config.matching.similarity, self.config.matching.edits)
             embeddings = resolve.context_embeddings(t["mentions"], t["chunks"], names)
+        if same is None and self.model is not None:
+            same = self._settled
         decisions = checkpointed(resolve.plan(t["entities"], self.seeds, embeddings, self.config, same))
         if not decisions.take(1):
             return decisions
