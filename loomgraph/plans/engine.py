@@ -11,7 +11,7 @@ from loomgraph import providers
 from loomgraph.config import EngineConfig
 from loomgraph.frames import stacked
 from loomgraph.functions.vectors import hash_embedding
-from loomgraph.operators import answer, chunking, evaluate, extract, graph, ingest, resolve, retrieve
+from loomgraph.operators import answer, cells, chunking, evaluate, extract, graph, ingest, resolve, retrieve
 from loomgraph.plans.store import Change, Conflict, checkpointed, open_store, owner_of
 from loomgraph.schemas import TABLES
 from loomgraph.sources import loaders
@@ -123,6 +123,9 @@ class Engine:
             "doc_links": Change(links.distinct()),
             "entities": Change(merged.join(mentioned, "name", "left").withColumn("mention_count", F.coalesce("mention_count", F.lit(0)))),
         }
+        centres = cells.stored(old["centroids"])
+        if centres is not None:
+            new["vector_cells"] = Change(cells.assigned(written, centres), gone)
         if last.take(1):
             try:
                 store.commit(new, old)
@@ -138,12 +141,16 @@ class Engine:
         return ingest.ingest_report(status).withColumns({k: F.lit(v).cast("long") for k, v in own.items()})
 
     def reindex(self, recreate: bool = False) -> dict[str, int]:
-        """Rebuilds the token index from the chunks; recreate also embeds every chunk anew with the present settings. Counts of both."""
+        """Rebuilds the token index from the chunks; recreate also embeds every chunk anew with the present settings; where the settings name
+        a share, the vector index is learned anew. Counts of all tables rebuilt."""
         chunks = self.store.table("chunks")
         new = {"chunk_tokens": retrieve.token_table(chunks)}
         if recreate:
             fresh = checkpointed(self.embedded(chunks.drop("embedding", "embed_model", "embed_dim"), "text", "embedding"))
-            new["chunks"] = fresh.withColumn("embed_model", F.lit(getattr(self.embedder, "model", "engine"))).withColumn("embed_dim", F.size("embedding"))
+            new["chunks"] = chunks = fresh.withColumn("embed_model", F.lit(getattr(self.embedder, "model", "engine"))).withColumn("embed_dim", F.size("embedding"))
+        if self.config.retrieval.share > 0:
+            centres = cells.learned(chunks.select("id", "embedding"))
+            new |= {"centroids": centres.table(self.spark), "vector_cells": cells.assigned(chunks, centres)}
         self.store.commit(new)
         return {name: self.store.table(name).count() for name in new}
 
@@ -227,7 +234,7 @@ class Engine:
         else:
             asked = asked.withColumn("search_text", F.col("text"))
         vectors = self.embedded(asked.select("query_id", "search_text"), "search_text", "vector").select("query_id", "vector")
-        by_vector = retrieve.vector_topk(vectors, t["chunks"].select("id", "embedding"), k)
+        by_vector = self._nearest(vectors, t, k)
         by_text = retrieve.fulltext_topk(asked.select("query_id", F.col("search_text").alias("text")), t["chunk_tokens"], k)
         fused = checkpointed(retrieve.rrf_fuse({"vector": by_vector, "fulltext": by_text}, k, c.fusion))  # at most k rows for each query
         rows = retrieve.with_documents(fused, t["chunks"], t["documents"]).join(queries.select("query_id", "text"), "query_id").withColumn("label", F.col("span.label"))
@@ -241,6 +248,14 @@ class Engine:
             out = retrieve.rerank(out.withColumn("query", F.col("text")).withColumn("text", F.col("chunk_text")), complete, c.passages, c.snippet)
         return out.select("query_id", "rank", "id", "score", "via", "document_id", "title", "uri", "span", "citation", "chunk_text")
 
+    def _nearest(self, vectors: DataFrame, t, k: int) -> DataFrame:
+        """The nearest chunks of vectors: by the stored index where the settings name a share and it was built, else by an exact search."""
+        share = self.config.retrieval.share
+        centres = cells.stored(t["centroids"]) if share > 0 else None
+        if centres is None:
+            return retrieve.vector_topk(vectors, t["chunks"].select("id", "embedding"), k)
+        return cells.cells_topk(vectors, t["vector_cells"], centres, k, share)
+
     def retrieve(self, queries: DataFrame, top_k: int | None = None, hops: int | None = None, complete: Callable[[str], str] | None = None) -> DataFrame:
         """Context bundles: chunks, edges and entities for each query."""
         hops = self.config.retrieval.hops if hops is None else hops

@@ -11,9 +11,11 @@ TABLES = {
     "doc_links": "document_id string, dst_uri string",
     "merge_history": "seq bigint, duplicate string, canonical string",
     "chunk_tokens": "id string, token string",
+    "vector_cells": "id string, document_id string, cell int, embedding array<double>",
+    "centroids": "cell int, centroid array<double>",
 }
 #: Tables that are sorted by a column, so that a look-up reads few files of them.
-SORTED = {"chunk_tokens": "token"}
+SORTED = {"chunk_tokens": "token", "vector_cells": "cell"}
 KEYS = {
     "documents": ["id"],
     "chunks": ["id"],
@@ -23,6 +25,8 @@ KEYS = {
     "doc_links": ["document_id", "dst_uri"],
     "merge_history": ["seq"],
     "chunk_tokens": ["id", "token"],
+    "vector_cells": ["id"],
+    "centroids": ["cell"],
 }
 GOLD = "corpus string, retrieval array<struct<query:string,relevant:array<string>>>, extraction array<struct<text:string,entities:array<array<string>>,triples:array<array<string>>>>, resolution array<struct<entities:array<array<string>>,should_merge:array<array<string>>,should_not_merge:array<array<string>>>>"
 QUESTION = "struct<query:string,expected:string,key_facts:array<string>,top_k:int>"
