@@ -91,7 +91,7 @@ def extraction_prompt(text: Column | str) -> Column:
     return F.concat(F.lit(intro), col(text))
 
 
-def with_answers(rows: DataFrame, prompt: str, complete: Callable[[str], str], out: str = "answer", calls: int = 4, error: str = "error") -> DataFrame:
+def with_answers(rows: DataFrame, prompt: str, complete: Callable[[str], str], out: str = "answer", calls: int = 4, error: str = "error", done=None) -> DataFrame:
     """Adds a model's answer and `error` (data, not an exception) to every row; the order of rows stays.
 
     complete runs on the executors; up to `calls` of a task overlap.
@@ -100,7 +100,7 @@ def with_answers(rows: DataFrame, prompt: str, complete: Callable[[str], str], o
 
     from loomgraph.providers import with_calls
 
-    return with_calls(rows, prompt, complete, out, StringType(), calls, error)
+    return with_calls(rows, prompt, complete, out, StringType(), calls, error, done)
 
 
 def graph_rows(chunks: DataFrame, extraction: str = "extraction", order: str = "ord") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,16 +39,16 @@ class Engine:
         self.seeds = loaders.alias_seeds(spark, seeds or self.config.matching.seeds or None)
         self.errors = spark.createDataFrame([], ERRORS)
 
-    def embedded(self, rows: DataFrame, text: str, out: str) -> DataFrame:
-        """rows with the vector of a text column and `embed_error`."""
+    def embedded(self, rows: DataFrame, text: str, out: str, done=None) -> DataFrame:
+        """rows with the vector of a text column and `embed_error`; done: an accumulator of finished calls."""
         if hasattr(self.embedder, "embed_one"):
-            return providers.with_vectors(rows, text, self.embedder, self.config.models.calls, out, "embed_error")
+            return providers.with_vectors(rows, text, self.embedder, self.config.models.calls, out, "embed_error", done)
         return rows.withColumn(out, self.embedder(F.col(text))).withColumn("embed_error", F.lit(None).cast("string"))
 
-    def extracted(self, rows: DataFrame, text: str = "text") -> DataFrame:
-        """rows with the EXTRACTION of a text column and `extract_error`."""
+    def extracted(self, rows: DataFrame, text: str = "text", done=None) -> DataFrame:
+        """rows with the EXTRACTION of a text column and `extract_error`; done: an accumulator of finished calls."""
         if hasattr(self.extractor, "complete_json"):
-            told = extract.with_answers(rows.withColumn("_prompt", extract.extraction_prompt(text)), "_prompt", self.extractor.complete_json, "_answer", self.config.models.calls, "extract_error")
+            told = extract.with_answers(rows.withColumn("_prompt", extract.extraction_prompt(text)), "_prompt", self.extractor.complete_json, "_answer", self.config.models.calls, "extract_error", done)
             return told.withColumn("extraction", extract.validated("_answer")).drop("_prompt", "_answer")
         return rows.withColumn("extraction", self.extractor(F.col(text))).withColumn("extract_error", F.lit(None).cast("string"))
 
@@ -71,7 +73,8 @@ class Engine:
 
         A document whose meta has an error is left out, a chunk that cannot be embedded too; one that cannot be extracted is kept
         without entities. These are in `errors` (document_id, position, phase, error) until the next run; raise_errors
-        makes the first of them an exception, before anything is written. progress gets (phase, done, total) as phases start and end.
+        makes the first of them an exception, before anything is written. progress gets (phase, done, total) as phases start and end, and between as tasks
+        of model calls finish.
         If another writer has changed the same documents, entities or relations meanwhile, all is done again from what it wrote, up to `tries` times.
         """
         c, store = self.config.chunking, self.store
@@ -86,16 +89,14 @@ class Engine:
         last = checkpointed(last)
         chunks = checkpointed(chunking.chunk_documents(last, c.characters, c.overlap))
         total = chunks.count()
-        tick("embed", 0, total)
         model = getattr(self.embedder, "model", "engine")
-        chunks = self.embedded(chunks, "text", "embedding").withColumn("embed_model", F.lit(model)).withColumn("embed_dim", F.size("embedding"))
-        chunks = checkpointed(chunks)
-        tick("embed", total, total)
+        with self._watched("embed", total, progress) as (spread, done):
+            rows = self.embedded(spread(chunks), "text", "embedding", done)
+            chunks = checkpointed(rows.withColumn("embed_model", F.lit(model)).withColumn("embed_dim", F.size("embedding")))
         written = chunks.where("embed_error IS NULL")
         kept = written.count()
-        tick("extract", 0, kept)
-        written = checkpointed(self.extracted(written))
-        tick("extract", kept, kept)
+        with self._watched("extract", kept, progress) as (spread, done):
+            written = checkpointed(self.extracted(spread(written), done=done))
         place = lambda phase, e: (F.col("document_id"), F.col("position"), F.lit(phase).alias("phase"), F.col(e).alias("error"))
         errors = stacked(unread, chunks.where("embed_error IS NOT NULL").select(*place("embed", "embed_error")), written.where("extract_error IS NOT NULL").select(*place("extract", "extract_error")))
         self.errors = checkpointed(errors)
@@ -140,6 +141,33 @@ class Engine:
         own = {"documents_failed": failed.get("load", 0), "chunks_written": kept, "chunks_failed": failed.get("embed", 0), "extractions_failed": failed.get("extract", 0), "entities_extracted": sizes["e"], "relations_extracted": sizes["r"], "merges": merges}
         return ingest.ingest_report(status).withColumns({k: F.lit(v).cast("long") for k, v in own.items()})
 
+    @contextlib.contextmanager
+    def _watched(self, phase: str, total: int, progress: Progress | None):
+        """Tells progress of a phase from a thread while its job runs; gives what spreads rows over tasks, and the accumulator they count in."""
+        if progress is None:
+            yield (lambda rows: rows), None
+            return
+        done, over, told = self.spark.sparkContext.accumulator(0), threading.Event(), [0]
+        progress(phase, 0, total)
+
+        def watch() -> None:
+            while not over.wait(0.1):
+                # a task that is run again counts again
+                now = min(done.value, total - 1)
+                if now > told[0]:
+                    told[0] = now
+                    progress(phase, now, total)
+
+        watcher = threading.Thread(target=watch, daemon=True)
+        watcher.start()
+        try:
+            # tasks of few calls each, as a task tells its count when it ends
+            yield (lambda rows: rows.repartition(max(1, min(total, 4 * self.spark.sparkContext.defaultParallelism)))), done
+        finally:
+            over.set()
+            watcher.join()
+        progress(phase, total, total)
+
     def reindex(self, recreate: bool = False) -> dict[str, int]:
         """Rebuilds the token index from the chunks; recreate also embeds every chunk anew with the present settings; where the settings name
         a share, the vector index is learned anew. Counts of all tables rebuilt."""

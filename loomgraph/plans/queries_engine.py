@@ -380,3 +380,42 @@ def span_backfill(spark, sf_dir):
     fixed, counts = ingest.backfill_spans(documents, chunks, reloaded, 1 << 30, 0)
     corrected = fixed.where("span IS NOT NULL").agg(F.count("*").alias("c"))
     return counts.join(corrected).select("outcome", "n", F.when(F.col("outcome") == "same", F.col("c")).otherwise(0).cast("long").alias("corrected"))
+
+
+NEAR = "(levenshtein({0}, {1}) <= 2 OR 1 - levenshtein({0}, {1}) / greatest(length({0}), length({1}), 1) >= 0.86)"
+
+
+@query(f"""WITH n AS (SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS a, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || (p_partkey % 10) AS c, lower(p_type) AS d FROM part),
+m AS (SELECT {NEAR.format("a", "d")} OR {NEAR.format("c", "d")} AS ad FROM n), t AS (SELECT count(*) + count(*) FILTER (ad) AS tp, count(*) AS fp, count(*) FILTER (NOT ad) AS fn FROM m)
+SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM t""")
+def engine_resolution(spark, sf_dir):
+    """Every part is a case of four names: its own, that in capitals, that with a digit behind, and its type."""
+    part = table(spark, sf_dir, "part").where("p_name IS NOT NULL")
+    other = F.concat("p_name", (F.col("p_partkey") % 10).cast("string"))
+    both = lambda *names: F.array(*[F.array(x, F.lit("Concept")) for x in names])
+    cases = part.select(
+        F.col("p_partkey").alias("case_id"), both(F.col("p_name"), F.upper("p_name"), other, F.col("p_type")).alias("entities"),
+        F.array(F.array("p_name", F.upper("p_name")), F.array("p_name", "p_type")).alias("should_merge"), F.array(F.array(F.col("p_name"), other)).alias("should_not_merge"),
+    )
+    found = notebook(spark, sf_dir).eval_resolution(cases)
+    return found.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("""WITH s AS (SELECT item_id, text AS query_text FROM benchmark WHERE text IS NOT NULL AND length(text) > 0), p AS (SELECT item_id, query_text, CASE WHEN item_id % 2 = 0 THEN 'Yes, ' ELSE 'no ' END || item_id AS said FROM s)
+SELECT item_id, said LIKE 'Yes%' AS same FROM p""")
+def model_verdicts(spark, sf_dir):
+    """What a model's words for a pair of names count as."""
+
+    class Told:
+        model = "told"
+
+        def complete(self, prompt, system=None):
+            n = int(prompt.rpartition(" ")[2])
+            return ("Yes, " if n % 2 == 0 else "no ") + str(n)
+
+    from loomgraph.plans.engine import Engine
+
+    engine = Engine(spark, "temporary", EngineConfig().with_(models={"dimensions": 64}))
+    engine.model = Told()
+    pairs = table(spark, sf_dir, "benchmark").where("text IS NOT NULL AND text <> ''").select("item_id", F.col("text").alias("a_name"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("b_name"))
+    return engine._settled(pairs).select("item_id", "same")

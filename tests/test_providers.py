@@ -7,6 +7,9 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 
 from loomgraph import providers
+from loomgraph.plans.engine import Engine
+from tests.test_engine import scripted
+from tests.test_store import notes
 from loomgraph.config import EngineConfig
 from loomgraph.operators import answer, extract
 
@@ -67,11 +70,11 @@ def test_a_server():
 
     server = HTTPServer(("localhost", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    config = EngineConfig().with_(models={"provider": "http", "url": f"http://localhost:{server.server_port}/", "dimensions": 2, "answering": "talker"})
+    config = EngineConfig().with_(models={"provider": "http", "url": f"http://localhost:{server.server_port}/", "dimensions": 2, "embedding": "e", "answering": "talker"})
     assert providers.embedder(config).embed_one("abc") == [3.0, 0.0]
     assert providers.language_model(config, "ranking").complete("hi", system="be kind") == "talker|hi|None|be kind"
     assert providers.language_model(config, "ranking").complete_json("hi") == "talker|hi|json|None"
-    with pytest.raises(ValueError, match="settings say 3"):
+    with pytest.raises(ValueError, match="where 3 were set"):
         providers.embedder(config.with_(models={"dimensions": 3})).embed_one("abc")
     server.shutdown()
     with pytest.raises(ValueError, match="provider"):
@@ -108,3 +111,28 @@ def test_settings_of_the_environment(tmp_path):
     got = EngineConfig.from_env({"LOOMGRAPH_RETRIEVAL_HITS": "4", "LOOMGRAPH_FACT_SHARE": "0.5", "LOOMGRAPH_CHUNKING_OVERLAP": "7", "OTHER": "x"}, str(tmp_path / "env"))
     assert (got.retrieval.hits, got.models.url, got.retrieval.rank, got.fact_share, got.chunking.overlap) == (4, "http://a", True, 0.5, 7)
     assert EngineConfig.from_env({}, str(tmp_path / "none")) == EngineConfig()
+
+
+def test_the_server_has_no_defaults():
+    http = EngineConfig().with_(models={"provider": "http"})
+    for config, name in ((http, "URL"), (http.with_(models={"url": "http://x"}), "EMBEDDING"), (http.with_(models={"url": "http://x", "embedding": "e"}), "ANSWERING")):
+        with pytest.raises(ValueError, match=f"LOOMGRAPH_MODELS_{name}"):
+            providers.embedder(config)
+            providers.language_model(config, "ranking")
+
+
+class Slow:
+    model, dim = "slow", 2
+
+    def embed_one(self, text):
+        time.sleep(0.4)
+        return [1.0, 0.0]
+
+
+def test_progress_is_told_while_a_phase_runs(spark, tmp_path):
+    ticks = []
+    own = Engine(spark, str(tmp_path), EngineConfig().with_(models={"calls": 1}), embed=Slow(), extractor=scripted)
+    own.ingest(notes(spark, 0, 40), resolve_after=False, progress=lambda *t: ticks.append(t))
+    embed = [t for t in ticks if t[0] == "embed"]
+    assert len(embed) > 2 and embed[0] == ("embed", 0, 40) and embed[-1] == ("embed", 40, 40) and embed == sorted(embed)
+    assert [t[0] for t in ticks if t[1] == t[2]] == ["embed", "extract", "write"]
