@@ -433,8 +433,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     files = files_for(docs)
     texts = _texts(docs, files)
-    judged = materialize(_judged(_marked(texts)), "judged", files)
-    strings = materialize(_strings(_stretches(texts, judged)), "strings", files)
+    judged = materialize(_judged(_marked(texts)), "judged")
+    strings = materialize(_strings(_stretches(texts, judged)), "strings")
     place = ("doc", "th", "low")
     firsts = strings.where("key IS NOT NULL").groupBy("key", "string").agg(F.min(F.struct(*place)).alias("first"), F.max(F.struct(*place)).alias("last")).where("first <> last").select("key", "string", "first")
     # the rows of a hot string lie on the left, where a join splits them
