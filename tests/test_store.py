@@ -1,6 +1,9 @@
 """The store's layers: what is written, merged on read, refused, put together and removed."""
 
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from loomgraph.config import EngineConfig
 from loomgraph.plans.engine import Engine
 from loomgraph.plans.store import Change, Conflict, DuplicateKey, Store, _meet
 from loomgraph.schemas import TABLES
+from tests.conftest import ROOT, SF
 from tests.test_engine import CONFIG, scripted
 
 
@@ -170,3 +174,18 @@ def test_two_engines_at_once(spark, tmp_path):
     assert b.ingest(notes(spark, 2, 3), resolve_after=False).first()["documents_new"] == 2
     assert b.store.table("documents").count() == 5 and not any(b.store.violations().values()) and first()["chunks"].count() == 5
     assert {r["mention_count"] for r in b.store.table("entities").collect()} == {5}
+
+
+def test_nothing_is_left_in_the_shared_folder(tmp_path):
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", 4).config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+for name in ("er_plan", "engine_search", "engine_ingest", "stream_ingest"):
+    assert entry.queries()[name](spark, {SF!r}).count() > 0
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, env={**os.environ, "PYTHONPATH": ROOT}, timeout=400)
+    assert [(d, f) for d, _, f in os.walk(f"{tmp_path}/shared") if f] == []
