@@ -14,8 +14,9 @@ Documents are sets of distinct five-word shingles; two are linked where 100 * in
    once and not with each band, and are looked at in blocks of bounded size. Inside a block the documents outside
    that component meet all others: again signature batches first, then full sets. A block gives only the
    links that join components, never its pairs, and no link between different components is lost to the star of step 3.
-   What a block compares are pairs, so this step takes time (not space) by the square of the documents of open buckets that
-   lie outside the frequent component: of groups that share a bucket and are yet not linked, as texts around a common passage.
+   What a block compares are pairs, and a document goes to each block it meets, so this step takes time and rows by the square of the
+   documents of open buckets that lie outside the frequent component, once these fill several blocks: of groups that share a
+   bucket and are yet not linked, as texts around a common passage.
 """
 
 from __future__ import annotations
@@ -382,7 +383,8 @@ def deduplicated(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     """One row of docs of each group of equal or linked texts, under the group's smallest doc_id; all columns stay.
 
     Rows of one doc_id whose texts are neither equal nor linked all stay, and so do rows with a null doc_id. A doc_id's
-    rows without shingles count as equal.
+    rows without shingles count as equal; of rows with equal shingles the one with the smallest hash of all its columns stays, whatever
+    their order. Very long texts are read whole; extra columns stay, whatever their names; an empty table gives an empty one.
     """
     files = files_for(docs)
     labels = materialize(_labels(docs, miss), "labels", files).where("doc_id IS NOT NULL")
@@ -396,5 +398,5 @@ def deduplicated(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     # of a doc_id on several rows each text is judged by itself
     kept = labels.where("owner IS NULL OR owner = doc_id").join(odd.where("again"), "doc_id", "left_semi").groupBy("doc_id", "root").agg(F.min(F.struct("high", "low")).alias("d")).select("doc_id", "d.*")
     repeated = doubtful.where("again").withColumn("d", _digest(text_of(F.col("row")["text"]))).select("doc_id", "d.high", "d.low", "row")
-    repeated = repeated.join(kept, ["doc_id", "high", "low"]).groupBy("doc_id", "high", "low").agg(F.first("row").alias("row")).select("row.*")
+    repeated = repeated.join(kept, ["doc_id", "high", "low"]).groupBy("doc_id", "high", "low").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
     return stacked(docs.where(~known), alone, repeated)

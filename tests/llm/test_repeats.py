@@ -10,8 +10,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from loomgraph.llm import importance, parsing, queries, runs, suffixes
+from loomgraph.llm import importance, minhash, parsing, queries, runs, suffixes
 from tests.conftest import SF
 from tests.llm import fixtures as fx
 from tests.oracle import rows_of
@@ -224,3 +225,14 @@ def test_digests_of_the_runs_query(spark):
         best = min(own["runs"], key=lambda x: (-x["length"], x["start"], x["period"]), default=None)
         told = (best["start"], best["length"], best["period"], 1000 * best["length"] // best["period"]) if best else (None,) * 4
         assert tuple(r) == (r["doc_id"], len(own["runs"]), *told, sha("".join(f"{a},{b},{c}\n" for a, b, c in own["runs"])), sha(own["collapsed"]))
+
+
+def test_of_equal_sets_under_one_id_the_same_row_stays_in_any_order(spark):
+    texts = ["one two three four five six", "one  two three four five six", "ONE two three four five  six", "", "  ", None]
+    ids = [4, 4, 4, 9, 9, 9]
+    kept = set()
+    for order in (range(6), reversed(range(6)), (2, 5, 0, 3, 1, 4)):
+        at = list(order)
+        docs = fx.docs(spark, [texts[i] for i in at], [ids[i] for i in at]).select("doc_id", "text", F.map_from_arrays(F.array(F.lit("k")), F.array("bucket")).alias("m")).coalesce(1)
+        kept.add(tuple(sorted((r["doc_id"], repr(r["text"])) for r in minhash.deduplicated(docs).collect())))
+    assert len(kept) == 1 and [i for i, _ in kept.pop()] == [4, 9]
