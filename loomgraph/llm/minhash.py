@@ -9,14 +9,17 @@ Documents are sets of distinct five-word shingles; two are linked where 100 * in
 3. Each bucket first proposes its members against its smallest one, never all pairs. A proposal is compared
    signature batch by signature batch; it is pruned as soon as the posterior probability of a similarity of 0.75 or
    more, with the uniform prior, falls below `miss`. What survives is verified on the full sets.
-4. Verified links are joined to components. A pair inside a component needs no look any more. The buckets that
-   still hold several components are put together by their most frequent component, so that a document comes
-   once and not with each band, and are looked at in blocks of bounded size. Inside a block the documents outside
-   that component meet all others: again signature batches first, then full sets. A block gives only the
+4. Verified links are joined to components. A pair inside a component needs no look any more. Of the documents in buckets
+   that still hold several components, only those can have a link to another one that share a rare shingle with it:
+   shingles of one component only come first, then the others by rising frequency, and of two linked sets the smaller
+   has a shared shingle among its first 1/7, the other the same one among its first 1/4. Documents are put together
+   by such shingles; texts that have only a common passage are out here, so this step grows with the input.
+   A group is looked at in blocks of bounded size: inside a block the documents outside the group's most frequent component
+   meet all others: again signature batches first, then full sets. A block gives only the
    links that join components, never its pairs, and no link between different components is lost to the star of step 3.
-   What a block compares are pairs, and a document goes to each block it meets, so this step takes time and rows by the square of the
-   documents of open buckets that lie outside the frequent component, once these fill several blocks: of groups that share a
-   bucket and are yet not linked, as texts around a common passage.
+   What a block compares are pairs, and a document goes to each block it meets, so time and rows grow by the square of the
+   documents of one group that lie outside its frequent component, once these fill several blocks: of sets that agree in about
+   6/7 of their shingles or hang together by such sets, and are yet in different components after step 3.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.frames import stacked
-from loomgraph.llm.common import Sieve, batches, files_for, grouped, in_small_batches, looked_up, materialize, release, text_of, trim, utf8
+from loomgraph.llm.common import Sieve, batches, files_for, grouped, in_small_batches, looked_up, materialize, release, slices, text_of, trim, utf8
 from loomgraph.llm.words import mix, shingles, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.75
@@ -266,36 +269,72 @@ def _joins(group: pa.Table, least: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _open_links(members: DataFrame, roots: DataFrame, signed: DataFrame, sets: DataFrame, miss: float, files: int) -> DataFrame:
-    """Links a, b between components that share a bucket.
+def _rare(rows: DataFrame, files: int) -> DataFrame:
+    """group and doc of the documents that may have a link to another component: prefix filtering on all shingles.
 
-    key is the most frequent component of a bucket (the smallest of those); documents of key itself, which are linked
+    rows: doc, root, n_shingles, shingles. Linked sets of n and m >= n shingles share at least 6/7 of n and 3/4 of m. So
+    in any one order of the shingles the first one they share is among the first n/7 + 1 and m/4 + 1 of the two.
+    """
+
+    def spell(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(found, 100):
+            values, at = utf8(batch.column("shingles"))
+            times = np.diff(at) // 8
+            columns = [np.repeat(batch.column(c).to_numpy(), times) for c in ("doc", "root", "n_shingles")]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (values.view(np.int64), *columns)], ["shingle", "doc", "root", "n"])
+
+    grams = rows.select("doc", "root", "n_shingles", "shingles").mapInArrow(spell, "shingle long, doc long, root long, n long")
+    several = F.min("root") != F.max("root")
+    crossing = grams.groupBy("shingle").agg(F.count("*").alias("docs"), several.alias("several")).where("several").select("shingle", "docs")
+    crossing = materialize(crossing, "crossing", files)
+    own = Window.partitionBy("doc")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("docs", "shingle")) - 1
+    ranked = looked_up(grams, crossing, "shingle").withColumn("place", place).where(F.col("place") <= F.floor(F.col("n") / 4))
+    ranked = materialize(ranked.select("shingle", "doc", "root", (F.col("place") <= F.floor(F.col("n") / 7)).alias("early")), "ranked", files)
+    stars = ranked.groupBy("shingle").agg(F.min("doc").alias("centre"), several.alias("several"), F.bool_or("early").alias("early"))
+    stars = materialize(stars.where("several AND early").select("shingle", "centre"), "centres", files)
+    groups = components(looked_up(ranked, stars, "shingle").where("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")), files)
+    release(crossing, ranked, stars)
+    return stacked(groups.select(F.col("root").alias("group"), F.col("node").alias("doc")), groups.select(F.col("root").alias("group"), F.col("root").alias("doc")).distinct())
+
+
+def _dealt(members: DataFrame, roots: DataFrame, signed: DataFrame, sets: DataFrame, files: int) -> DataFrame:
+    """The documents to be compared, once for each block (group, x, y) they go to.
+
+    top is the most frequent component of a group (the smallest of those); documents of top itself, which are linked
     already, have blocks of their own, and two of these never meet.
     """
-    least = least_matches(miss)
     known = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
-    held = known.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = held.groupBy("bucket").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("key"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = materialize(mixed.select("bucket", "key"), "mixed", files)
-    rows = looked_up(known, mixed, "bucket").select("key", "doc", "root").distinct()
-    rows = materialize(rows.join(signed.select("doc", "n_shingles"), "doc"), "open", files)
-    is_key = F.col("root") == F.col("key")
+    mixed = known.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("bucket")
+    mixed = materialize(mixed, "mixed", files)
+    rows = looked_up(known, mixed, "bucket").select("doc", "root").distinct()
+    rows = materialize(rows.join(signed.select("doc", "n_shingles"), "doc").join(sets, "doc"), "open", files)
+    kept = materialize(rows.drop("shingles").join(_rare(rows, files), "doc"), "kept", files)
+    held = kept.groupBy("group", "root").agg(F.count("*").alias("n"))
+    tops = held.groupBy("group").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    kept = looked_up(kept, materialize(tops.select("group", "top"), "tops", files), "group")
+    is_top = F.col("root") == F.col("top")
 
     def blocks(which: Column) -> Column:
         count, size = F.count_if(which), F.coalesce(F.sum(F.when(which, F.col("n_shingles"))), F.lit(0))
         return F.greatest(F.lit(1), F.ceil(count / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
 
-    sizes = materialize(rows.groupBy("key").agg(blocks(is_key).alias("n_key"), blocks(~is_key).alias("n_rest")), "sizes", files)
+    sizes = materialize(kept.groupBy("group").agg(blocks(is_top).alias("n_top"), blocks(~is_top).alias("n_rest")), "sizes", files)
     lot = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
-    rows = looked_up(rows, sizes, "key").withColumn("own", F.when(is_key, F.col("n_rest") + lot("n_key")).otherwise(lot("n_rest")))
-    last = F.when(is_key, F.col("n_rest") - 1).otherwise(F.col("n_rest") + F.col("n_key") - 1)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc", "root")
-    rows = rows.join(signed, "doc").join(sets, "doc")
-    dealt = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "doc")
+    kept = looked_up(kept, sizes, "group").withColumn("own", F.when(is_top, F.col("n_rest") + lot("n_top")).otherwise(lot("n_rest")))
+    last = F.when(is_top, F.col("n_rest") - 1).otherwise(F.col("n_rest") + F.col("n_top") - 1)
+    kept = kept.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    kept = kept.select("group", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc", "root")
+    kept = kept.join(signed, "doc").join(sets, "doc")
+    return kept.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "doc")
+
+
+def _open_links(dealt: DataFrame, miss: float) -> DataFrame:
+    """Links a, b between components that _dealt puts into one block."""
+    least = least_matches(miss)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(found, ("key", "x", "y")):
+        for group in grouped(found, ("group", "x", "y")):
             out = _joins(group, least)
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
         trim()
@@ -356,7 +395,7 @@ def _labels(docs: DataFrame, miss: float) -> DataFrame:
     stars = members.where("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
     links = materialize(_verified(stars, signed, sets, miss), "links", files)
     roots = components(links, files)
-    more = materialize(_open_links(members, roots, signed, sets, miss, files), "links", files)
+    more = materialize(_open_links(_dealt(members, roots, signed, sets, files), miss), "links", files)
     if more.take(1):
         roots = components(stacked(links, more), files)
     release(members, candidates, signed, sets, links, more)

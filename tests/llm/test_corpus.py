@@ -98,6 +98,25 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
     check_components(fx.docs(spark, texts))
 
 
+def test_texts_around_a_passage_are_dealt_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    dealt, sent = minhash._dealt, []
+
+    def counted(*args):
+        out = dealt(*args)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_dealt", counted)
+    passage = drifting(1, 60, seed=3)[0]
+    for n in (100, 200, 400):
+        texts = [f"{passage} {drifting(1, 70, seed=100 + k)[0]}" for k in range(n)]
+        texts += [f"{t} {'and so on ' * 2}" for t in texts[: n // 10]]
+        labels = minhash.near_duplicates(fx.docs(spark, texts)).select("doc_id", "component_id").collect()
+        assert all(r["component_id"] == (r["doc_id"] if r["doc_id"] < n else r["doc_id"] - n) for r in labels)
+    assert sent[1] <= 2 * sent[0] + 16 and sent[2] <= 2 * sent[1] + 16
+
+
 def test_components_of_long_chains(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (200, 150), (200, 180), (7, 7)]
     got = {r["node"]: r["root"] for r in minhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
