@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.frames import stacked
+from loomgraph.frames import near, stacked
 from loomgraph.functions.text import content_hash, normalize_text
 
 
@@ -46,6 +46,17 @@ def dedupe_status(incoming: DataFrame, existing: DataFrame, order: str) -> DataF
     )
 
 
+def by_uri(documents: DataFrame, uris: DataFrame) -> DataFrame:
+    """The stored document of each of uris (uri), all its columns; the smallest id where a uri stands twice, no row where it is not stored.
+
+    Null uris find nothing and repeated ones count once.
+    """
+    wanted = uris.select("uri").where("uri IS NOT NULL").distinct()
+    rest = [c for c in documents.columns if c != "uri"]
+    found = documents.join(near(wanted), "uri", "left_semi").groupBy("uri").agg(F.min_by(F.struct(*rest), "id").alias("r"))
+    return found.select(*[F.col("uri") if c == "uri" else F.col(f"r.{c}").alias(c) for c in documents.columns])
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """new rows, and those old rows whose key is not among them."""
     return stacked(new, old.join(new.select(*keys).distinct(), list(keys), "left_anti"), allow_missing=True)

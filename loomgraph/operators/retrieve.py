@@ -120,12 +120,15 @@ def bm25_topk(queries: DataFrame, rows: DataFrame, k: int, k1: float = 1.2, b: f
 
 
 def rrf_fuse(lists: dict[str, DataFrame], k: int, c: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of ranked lists by name: query_id, id, score, via, raw (the best raw score), rank."""
+    """Reciprocal-rank fusion of ranked lists by name: query_id, id, score, via, raw, best, rank.
+
+    best is the list whose row of the id has the largest raw score, the first list among equals; raw is that score.
+    """
     union = None
-    for name, ranked in lists.items():
-        part = ranked.select("query_id", "id", "rank", F.col("score").alias("raw"), F.lit(name).alias("via"))
+    for place, (name, ranked) in enumerate(lists.items()):
+        part = ranked.select("query_id", "id", "rank", F.col("score").alias("raw"), F.lit(name).alias("via"), F.lit(place).alias("place"))
         union = part if union is None else stacked(union, part)
-    fused = union.groupBy("query_id", "id").agg(F.sum(1.0 / (c + F.col("rank"))).alias("score"), F.array_join(F.array_sort(F.collect_set("via")), "+").alias("via"), F.max("raw").alias("raw"))
+    fused = union.groupBy("query_id", "id").agg(F.sum(1.0 / (c + F.col("rank"))).alias("score"), F.array_join(F.array_sort(F.collect_set("via")), "+").alias("via"), F.max("raw").alias("raw"), F.min_by("via", F.struct(-F.col("raw"), "place")).alias("best"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id"))
     return fused.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -302,6 +302,10 @@ class Engine:
             return answer.synthesize(told, F.coalesce("told", "error"), limit).drop("told", "error")
         return answer.synthesize(found, answerer, limit)
 
+    def documents_by_uri(self, uris: DataFrame) -> DataFrame:
+        """The stored documents of uris (uri)."""
+        return ingest.by_uri(self.store.table("documents"), uris)
+
     def stats(self) -> DataFrame:
         return self.store.stats()
 

@@ -323,6 +323,14 @@ def engine_dims(spark, sf_dir):
     return engine.store.table("chunks").where(F.col("embed_dim").isin(found["embed_dims"])).groupBy("embed_dim").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"))
 
 
+@query("SELECT 'doc' || doc_id AS uri, lpad(doc_id::VARCHAR, 12, '0') AS id, source AS title, length(coalesce(text, '')) AS n, 1 AS version FROM documents SEMI JOIN (SELECT doc_id * 2 AS doc_id FROM documents) USING (doc_id)")
+def uri_lookup(spark, sf_dir):
+    """Every second uri is asked for twice, and as many that are not stored."""
+    asked = _docs(spark, sf_dir).select(F.concat(F.lit("doc"), (F.col("doc_id") * 2).cast("string")).alias("uri"))
+    found = notebook(spark, sf_dir).documents_by_uri(stacked(asked, asked))
+    return found.select("uri", "id", "title", F.length("raw_text").cast("long").alias("n"), "version")
+
+
 INGEST_SQL = f"""
 nd AS (SELECT min(doc_id) AS doc_id FROM main.documents GROUP BY sha256({NORM})),
 documents AS (SELECT doc_id, {NORM} AS text FROM main.documents SEMI JOIN nd USING (doc_id)), {NAMES_SQL}

@@ -150,6 +150,16 @@ def rrf_fuse(spark, sf_dir):
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), "via", "rank")
 
 
+@query(f"""WITH {INDEX_SQL}, {BM25_SQL},
+u AS (SELECT item_id, doc_id, score, 0 AS place, 'fulltext' AS via FROM fr WHERE rank <= 10 UNION ALL SELECT item_id, doc_id, score, 1, 'bm25' FROM br WHERE rank <= 10)
+SELECT item_id AS query_id, doc_id AS id, first(via ORDER BY score DESC, place) AS best, round(max(score), 6) AS raw FROM u GROUP BY 1, 2""")
+def fused_representative(spark, sf_dir):
+    """The row that stands for each hit of the fused lists."""
+    ft = retrieve.fulltext_topk(_questions(spark, sf_dir), retrieve.token_table(_rows(spark, sf_dir)), 10)
+    hits = retrieve.rrf_fuse({"fulltext": ft, "bm25": _bm25(spark, sf_dir, 10)}, 20)
+    return hits.select("query_id", "id", "best", F.round("raw", 6).alias("raw"))
+
+
 EMBED_SQL = """
 SELECT {key}, i::INTEGER AS i, coalesce(v, 0) / (CASE WHEN l IS NULL OR l = 0 THEN 1 ELSE l END) AS x
 FROM (SELECT k.{key}, r.i, s.v, sqrt(sum(s.v * s.v) OVER (PARTITION BY k.{key})) AS l
