@@ -49,7 +49,9 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--hops", type=int)
     for name in ("stats", "resolve", "healthcheck", "doctor"):
         add(name)
-    add("reindex").add_argument("--recreate", action="store_true", help="embed every chunk anew")
+    again = add("reindex")
+    again.add_argument("--recreate", action="store_true", help="embed every chunk anew")
+    again.add_argument("--entities", action="store_true", help="rebuild the index of entity names and aliases, too")
     add("reset").add_argument("--yes", action="store_true")
     c = add("eval")
     c.add_argument("--gold", required=True)
@@ -154,7 +156,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     elif a.command == "resolve":
         _show(engine.resolve().select("duplicate", "canonical", "string_score", "embed_score", "reason"))
     elif a.command == "reindex":
-        for name, n in engine.reindex(a.recreate).items():
+        for name, n in engine.reindex(a.recreate, a.entities).items():
             print(f"{name} rebuilt: {n} rows")
     elif a.command == "reset":
         if not engine.stats().where("value > 0").take(1):

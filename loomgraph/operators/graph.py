@@ -20,16 +20,22 @@ def chunk_entity_map(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id").distinct().join(grouped, "chunk_id", "left").select("chunk_id", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"))
 
 
-def match_entities(queries: DataFrame, entities: DataFrame, limit: int = 10, least: int = 3) -> DataFrame:
+def entity_tokens(entities: DataFrame) -> DataFrame:
+    """The index of entities by the tokens of their names and aliases: name, token (distinct), ord."""
+    words = F.flatten(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), tokens))
+    return entities.select("name", F.explode(F.array_distinct(words)).alias("token"), "ord")
+
+
+def match_entities(queries: DataFrame, entities: DataFrame, limit: int = 10, least: int = 3, index: DataFrame | None = None) -> DataFrame:
     """query_id, name, score and rank of the entities that share tokens with a query, by substring either way.
 
-    queries: query_id, text; entities: name, aliases, ord. The score counts query tokens, repeats included. The fuzzy
+    queries: query_id, text; entities: name, aliases, ord; index: their entity_tokens where these are stored. The score counts query tokens, repeats included. The fuzzy
     comparison runs once over the two dictionaries of distinct tokens: the pieces of a token that have the length of some
     token of the other side meet that one by equality.
     """
     asked = queries.select("query_id", F.explode(tokens("text")).alias("q")).where(F.length("q") >= least)
     asked = asked.groupBy("query_id", "q").agg(F.count("*").alias("n"))
-    held = entities.select("name", "ord", F.explode(F.array_distinct(F.flatten(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), tokens)))).alias("t"))
+    held = (entity_tokens(entities) if index is None else index).select("name", "ord", F.col("token").alias("t"))
     words, names = asked.select("q").distinct(), held.select("t").distinct()
     similar = stacked(_containing(words, names, "q", "t"), _containing(names, words, "t", "q").select("q", "t")).distinct()
     hits = asked.join(similar, "q").join(held, "t").select("query_id", "name", "ord", "q", "n").distinct()

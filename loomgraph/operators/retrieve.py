@@ -119,6 +119,83 @@ def bm25_topk(queries: DataFrame, rows: DataFrame, k: int, k1: float = 1.2, b: f
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def postings(rows: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """The stored index: key, token, tf (how often the row holds it), len (the row's tokens) and head (true on one posting of each row).
+
+    Counted inside the row, by its sorted tokens and the places where a new one begins: no shuffle, and time in proportion to a sort.
+    Rows without tokens, and null texts, have no posting.
+    """
+    cut = rows.select(key, F.array_sort(tokens(text)).alias("_t")).where(F.size("_t") > 0)
+    at = F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: (i == 1) | (F.get("_t", i - 1) != F.get("_t", i - 2)))
+    cut = cut.withColumn("_s", at)
+    own = F.transform("_s", lambda s, i: F.struct(F.get("_t", s - 1).alias("token"), (F.coalesce(F.get("_s", i + 1), F.size("_t") + 1) - s).alias("tf"), (i == 0).alias("head")))
+    return cut.select(key, F.size("_t").alias("len"), F.explode(own).alias("p")).select(key, "p.token", "p.tf", "len", "p.head")
+
+
+def pruned_topk(queries: DataFrame, index: DataFrame, k: int, factor: int = 8) -> DataFrame:
+    """The rows of fulltext_topk, without joining each query with the long lists of its frequent tokens.
+
+    A query's tokens that stand in more than `factor` times as many rows as its rarest one (or as k) wait. The k best rows by the others
+    are looked up for the waiting ones and give a bound: m tokens are held by k rows. The m - 1 most frequent waiting tokens then bring no
+    row in by themselves, as a row with only these holds fewer than m; they are looked up in the rows that can still
+    reach m. Nothing is approximate. Where fewer than k rows hold another token, all lists are read as before.
+    """
+    from loomgraph.plans.store import checkpointed
+
+    asked = checkpointed(queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("token")))
+    candidates, waiting = _candidates(asked, index.select("id", "token"), k, factor)
+    total = stacked(candidates, _held(candidates, waiting, index)).groupBy("query_id", "id").agg(F.sum("c").alias("c"))
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("_n"))
+    scored = total.join(near(sizes), "query_id").select("query_id", "id", (F.col("c") / F.col("_n")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _held(found: DataFrame, waiting: DataFrame, index: DataFrame) -> DataFrame:
+    """query_id, id and c: 1 for each token of waiting (query_id, token) that a found row holds."""
+    lists = index.select("id", "token").join(near(waiting.select("token").distinct()), "token", "left_semi")
+    return near(found.select("query_id", "id").join(near(waiting), "query_id")).join(lists, ["id", "token"]).select("query_id", "id", F.lit(1).cast("long").alias("c"))
+
+
+def _candidates(asked: DataFrame, index: DataFrame, k: int, factor: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (query_id, id, c tokens held) that can be among a query's k best, and the tokens (query_id, token) not counted in c."""
+    from loomgraph.plans.store import checkpointed
+
+    rows = index.join(near(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    own = Window.partitionBy("query_id")
+    places = asked.join(rows, "token").withColumn("place", F.row_number().over(own.orderBy(F.desc("df"), "token")))
+    places = checkpointed(places.withColumn("waits", F.col("df") > factor * F.greatest(F.min("df").over(own), F.lit(k))))
+    held = lambda lists: index.join(near(lists.select("query_id", "token")), "token").groupBy("query_id", "id").agg(F.count("*").alias("c"))
+    first = checkpointed(held(places.where("NOT waits")))
+    rank = F.row_number().over(own.orderBy(F.desc("c"), "id"))
+    best = checkpointed(first.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank"))
+    whole = stacked(best, _held(best, places.where("waits").select("query_id", "token"), index)).groupBy("query_id", "id").agg(F.sum("c").alias("c"))
+    bound = whole.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("c")).otherwise(0).alias("m"))
+    late = places.groupBy("query_id").agg(F.count_if("waits").alias("_late")).join(bound, "query_id", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    bounds = checkpointed(late.select("query_id", "m", F.least("_late", F.greatest(F.col("m") - 1, F.lit(0))).alias("keep")))
+    split = places.where("waits").join(near(bounds), "query_id")
+    counts = stacked(first, held(split.where("place > keep"))).groupBy("query_id", "id").agg(F.sum("c").alias("c"))
+    # a row reaches m only if it holds all but `keep` of so many
+    able = checkpointed(counts.join(near(bounds), "query_id").where("c + keep >= m").select("query_id", "id", "c"))
+    return able, checkpointed(split.where("place <= keep").select("query_id", "token"))
+
+
+def bm25_stored(queries: DataFrame, index: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """bm25_topk from postings: no text is read; the number of rows and their mean length come from two columns of the index."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("token"))
+    overall = index.agg(F.count_if("head").alias("n"), F.sum("tf").alias("all")).first()
+    n = overall["n"] or 0
+    mean = (overall["all"] or 1) / max(n, 1)
+    held = index.join(near(asked.select("token").distinct()), "token", "left_semi")
+    df = held.groupBy("token").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
+    hits = index.join(near(asked.join(df, "token")), "token").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    # rounded, so that equal rows tie whatever order their parts are summed in
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def rrf_fuse(lists: dict[str, DataFrame], k: int, c: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists by name: query_id, id, score, via, raw, best, rank.
 

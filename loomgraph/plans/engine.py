@@ -118,11 +118,12 @@ class Engine:
         new = {
             "documents": Change(last.select(*TABLES_OF["documents"])),
             "chunks": Change(written.select(*TABLES_OF["chunks"]), gone),
-            "chunk_tokens": Change(retrieve.token_table(written), gone),
+            "chunk_tokens": Change(retrieve.postings(written), gone),
             "mentions": Change(calls.distinct(), gone),
             "relations": Change(relations.distinct()),
             "doc_links": Change(links.distinct()),
             "entities": Change(merged.join(mentioned, "name", "left").withColumn("mention_count", F.coalesce("mention_count", F.lit(0)))),
+            "entity_tokens": Change(graph.entity_tokens(merged), names.withColumnRenamed("name", "owner")),
         }
         centres = cells.stored(old["centroids"])
         if centres is not None:
@@ -168,11 +169,13 @@ class Engine:
             watcher.join()
         progress(phase, total, total)
 
-    def reindex(self, recreate: bool = False) -> dict[str, int]:
-        """Rebuilds the token index from the chunks; recreate also embeds every chunk anew with the present settings; where the settings name
+    def reindex(self, recreate: bool = False, entities: bool = False) -> dict[str, int]:
+        """Rebuilds the token index from the chunks; entities (or recreate) that of entity names and aliases, too; recreate also embeds every chunk anew with the present settings; where the settings name
         a share, the vector index is learned anew. Counts of all tables rebuilt."""
         chunks = self.store.table("chunks")
-        new = {"chunk_tokens": retrieve.token_table(chunks)}
+        new = {"chunk_tokens": retrieve.postings(chunks)}
+        if entities or recreate:
+            new["entity_tokens"] = graph.entity_tokens(self.store.table("entities"))
         if recreate:
             fresh = checkpointed(self.embedded(chunks.drop("embedding", "embed_model", "embed_dim"), "text", "embedding"))
             new["chunks"] = chunks = fresh.withColumn("embed_model", F.lit(getattr(self.embedder, "model", "engine"))).withColumn("embed_dim", F.size("embedding"))
@@ -237,6 +240,7 @@ class Engine:
         self.store.commit(
             {
                 "entities": Change(new_entities, merged.withColumnRenamed("name", "owner")),
+                "entity_tokens": Change(graph.entity_tokens(new_entities), touched.withColumnRenamed("name", "owner")),
                 "mentions": Change(new_mentions, documents),
                 "relations": Change(new_relations, relations.select(owner_of("relations").alias("owner"))),
                 "merge_history": Change(history),
@@ -263,12 +267,12 @@ class Engine:
             asked = asked.withColumn("search_text", F.col("text"))
         vectors = self.embedded(asked.select("query_id", "search_text"), "search_text", "vector").select("query_id", "vector")
         by_vector = self._nearest(vectors, t, k)
-        by_text = retrieve.fulltext_topk(asked.select("query_id", F.col("search_text").alias("text")), t["chunk_tokens"], k)
+        by_text = retrieve.pruned_topk(asked.select("query_id", F.col("search_text").alias("text")), t["chunk_tokens"], k)
         fused = checkpointed(retrieve.rrf_fuse({"vector": by_vector, "fulltext": by_text}, k, c.fusion))  # at most k rows for each query
         rows = retrieve.with_documents(fused, t["chunks"], t["documents"]).join(queries.select("query_id", "text"), "query_id").withColumn("label", F.col("span.label"))
         boosts = None
         if c.graph_weight > 0:
-            seeds = graph.match_entities(queries, t["entities"], c.hits).select("query_id", F.col("name").alias("node"))
+            seeds = self._seeds(queries, t).select("query_id", F.col("name").alias("node"))
             _, nodes = graph.expand(t["relations"], seeds, hops)
             boosts = retrieve.graph_factor(fused, t["mentions"], nodes, c.graph_weight, c.neighbour_share)
         out = retrieve.rescore(rows, boosts, c.graph_weight, c.title_weight)
@@ -276,6 +280,15 @@ class Engine:
             out = retrieve.rerank(out.withColumn("query", F.col("text")).withColumn("text", F.col("chunk_text")), complete, c.passages, c.snippet)
         return out.select("query_id", "rank", "id", "score", "via", "document_id", "title", "uri", "span", "citation", "chunk_text")
 
+    def _seeds(self, queries: DataFrame, t) -> DataFrame:
+        """Entities that queries name, by the stored index; a store of before that index is read from its entities until a reindex."""
+        index = t["entity_tokens"] if t.parts.get("entity_tokens") else None
+        return graph.match_entities(queries, t["entities"], self.config.retrieval.hits, index=index)
+
+    def keyword_search(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
+        """query_id, id, score and rank by BM25 over the stored postings; they need a reindex where they were written without counts."""
+        return retrieve.bm25_stored(queries, self.store.table("chunk_tokens"), top_k or self.config.retrieval.hits)
+
     def _nearest(self, vectors: DataFrame, t, k: int) -> DataFrame:
         """The nearest chunks of vectors: by the stored index where the settings name a share and it was built, else by an exact search."""
         share = self.config.retrieval.share
@@ -366,7 +379,7 @@ class Engine:
             by_text = retrieve.fulltext_topk(asked, t["chunk_tokens"], top)
             fused.append(retrieve.rrf_fuse({"vector": by_vector, "fulltext": by_text}, top, self.config.retrieval.fusion).withColumn("top", F.lit(top)))
         grid = self.spark.createDataFrame([(float(g), float(b), int(n)) for g in graph_boosts for b in title_boosts for n in top_ks], "graph_boost double, title_boost double, top_k int")
-        seeds = graph.match_entities(asked, t["entities"], self.config.retrieval.hits).select("query_id", F.col("name").alias("node"))
+        seeds = self._seeds(asked, t).select("query_id", F.col("name").alias("node"))
         _, nodes = graph.expand(t["relations"], seeds, self.config.retrieval.hops)
         out = None
         for top, hits in zip(sorted(set(top_ks)), fused, strict=True):

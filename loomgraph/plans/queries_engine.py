@@ -13,9 +13,9 @@ from loomgraph.config import EngineConfig
 from loomgraph.frames import stacked
 from loomgraph.functions import text as tx
 from loomgraph.functions import vectors as vx
-from loomgraph.operators import chunking, evaluate, extract, ingest, resolve, retrieve
-from loomgraph.plans.queries_graph import COSINE, GRAPH_SQL, PARTS_SQL, RESCORE_SQL, SWEEP_SQL, _neighbours, _parts, _ranked, _seeds, _vectors, kg
-from loomgraph.plans.queries_text import EMBED_SQL, INDEX_SQL, NAMES_SQL, NORM, SQL as TEXT_SQL, _docs, _questions, _rows, answer_eval, table
+from loomgraph.operators import chunking, evaluate, extract, graph, ingest, resolve, retrieve
+from loomgraph.plans.queries_graph import COSINE, GRAPH_SQL, MATCH_SQL, PARTS_SQL, RESCORE_SQL, SWEEP_SQL, _neighbours, _parts, _ranked, _seeds, _vectors, kg
+from loomgraph.plans.queries_text import BM25_SQL, EMBED_SQL, INDEX_SQL, NAMES_SQL, NORM, SQL as TEXT_SQL, _docs, _questions, _rows, answer_eval, table
 from loomgraph.plans.store import checkpointed
 from loomgraph.providers import OfflineEmbedder, OfflineModel, embedder, language_model, with_vectors
 from loomgraph.scratch import scratch_path
@@ -252,7 +252,7 @@ def notebook(spark: SparkSession, sf_dir: str):
         chunks = checkpointed(docs.select(name.alias("id"), name.alias("document_id"), F.lit(0).alias("position"), "text", span.alias("span"), vx.hash_embedding("text", 64).alias("embedding"), F.lit("engine").alias("embed_model"), F.lit(64).alias("embed_dim")))
         entities, mentions, relations = kg(spark, sf_dir)
         mentions = mentions.select(F.lpad(F.col("chunk_id").cast("string"), 12, "0").alias("chunk_id"), "entity")
-        engine.store.commit({"documents": documents, "chunks": chunks, "entities": entities, "mentions": mentions, "relations": relations, "chunk_tokens": retrieve.token_table(chunks)})
+        engine.store.commit({"documents": documents, "chunks": chunks, "entities": entities, "mentions": mentions, "relations": relations, "chunk_tokens": retrieve.postings(chunks), "entity_tokens": graph.entity_tokens(entities)})
         _BUILT[key] = engine
     return _BUILT[key]
 
@@ -315,6 +315,28 @@ def cli_reindex(spark, sf_dir):
     return _lines(spark, ["--store", notebook(spark, sf_dir).store.path, "--dim", "64", "reindex"])
 
 
+def _of_store(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", F.col("id").cast("long").alias("id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {INDEX_SQL} SELECT item_id AS query_id, doc_id AS id, round(score, 6) AS score, rank::INTEGER AS rank FROM fr WHERE rank <= 6")
+def pruned_search(spark, sf_dir):
+    """Every question against the stored postings, frequent tokens looked up last."""
+    return _of_store(retrieve.pruned_topk(_questions(spark, sf_dir), notebook(spark, sf_dir).store.table("chunk_tokens"), 6))
+
+
+@query(f"WITH {INDEX_SQL}, {BM25_SQL} SELECT item_id AS query_id, doc_id AS id, round(score, 6) AS score, rank::INTEGER AS rank FROM br WHERE rank <= 6")
+def keyword_search(spark, sf_dir):
+    return _of_store(notebook(spark, sf_dir).keyword_search(_questions(spark, sf_dir), 6))
+
+
+@query(f"WITH {MATCH_SQL} SELECT item_id AS query_id, name, score::BIGINT AS score, rank::INTEGER AS rank FROM ms WHERE rank <= 6")
+def entity_search(spark, sf_dir):
+    """Entities named in every question, by the stored index of their names and aliases."""
+    store = notebook(spark, sf_dir).store
+    return graph.match_entities(_questions(spark, sf_dir), store.table("entities"), 6, index=store.table("entity_tokens"))
+
+
 @query("SELECT 64 AS embed_dim, count(*) AS n, max(length(coalesce(text, ''))) AS longest FROM documents")
 def engine_dims(spark, sf_dir):
     engine = notebook(spark, sf_dir)

@@ -10,12 +10,13 @@ TABLES = {
     "relations": "subject string, relation string, object string",
     "doc_links": "document_id string, dst_uri string",
     "merge_history": "seq bigint, duplicate string, canonical string",
-    "chunk_tokens": "id string, token string",
+    "chunk_tokens": "id string, token string, tf int, len int, head boolean",
+    "entity_tokens": "name string, token string, ord bigint",
     "vector_cells": "id string, document_id string, cell int, embedding array<double>",
     "centroids": "cell int, centroid array<double>",
 }
 #: Tables that are sorted by a column, so that a look-up reads few files of them.
-SORTED = {"chunk_tokens": "token", "vector_cells": "cell"}
+SORTED = {"chunk_tokens": "token", "entity_tokens": "token", "vector_cells": "cell"}
 KEYS = {
     "documents": ["id"],
     "chunks": ["id"],
@@ -25,6 +26,7 @@ KEYS = {
     "doc_links": ["document_id", "dst_uri"],
     "merge_history": ["seq"],
     "chunk_tokens": ["id", "token"],
+    "entity_tokens": ["name", "token"],
     "vector_cells": ["id"],
     "centroids": ["cell"],
 }
