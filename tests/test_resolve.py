@@ -98,3 +98,21 @@ def test_the_model_is_asked_for_ambiguous_pairs(spark, tmp_path):
     assert len(calls) == 2 and sum("Harbor" in c for c in calls) == 1 and sum("Night" in c for c in calls) == 1
     names = {r["name"]: r["aliases"] for r in own.store.table("entities").collect()}
     assert len(names) == 6 and names["Harbor Light"] == ["Harbour Light"] and {r["entity"] for r in own.store.table("mentions").collect()} == set(names)
+
+
+def test_candidates_are_not_broadcast_by_an_estimate(spark, tmp_path):
+    # a small file of names, whose exploded keys Spark takes for as small
+    spark.range(2000).select(F.concat(F.lit("name of part "), F.col("id").cast("string")).alias("name"), F.lit("Tool").alias("label"), (F.col("id") % 500).alias("case_id"), F.col("id").alias("ord"), F.lit(1).cast("long").alias("mention_count")).write.parquet(f"{tmp_path}/names")
+    rows = spark.read.parquet(f"{tmp_path}/names")
+    for by in ([], ["case_id"]):
+        assert "Broadcast" not in resolve.candidates(rows, by=by)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_and_large_sets_meet_alike(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = [(i % 4, "".join(rnd.choice("ab") for _ in range(rnd.randint(3, 12))), "xy"[i % 2], i, 1) for i in range(120)]
+    df = spark.createDataFrame(list({r[:2]: r for r in rows}.values()), "case_id long, name string, label string, ord long, mention_count long")
+    found = lambda: sorted(tuple(r) for r in resolve.candidates(df, by=["case_id"]).collect())
+    small = found()
+    monkeypatch.setattr(resolve, "_FEW", 0)
+    assert small and small == found()
