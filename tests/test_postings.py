@@ -95,3 +95,11 @@ def test_entity_index_follows_the_entities(spark, tmp_path):
     assert rows_of(own._seeds(asked, own.store.tables())) == rows_of(by_index)
     hits = own.keyword_search(asked, 2).collect()
     assert hits and hits[0]["rank"] == 1
+
+
+def test_tokens_are_cut_once(spark, tmp_path):
+    spark.createDataFrame([(1, "one two two"), (2, ""), (3, None), (4, "- ?")], "id long, text string").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    for found, want in ((retrieve.postings(rows), [(1, "one", 1, 3, True), (1, "two", 2, 3, False)]), (retrieve.token_table(rows), [(1, "one"), (1, "two")])):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+        assert sorted(tuple(r) for r in found.collect()) == want
