@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -12,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.frames import in_small_batches, trim  # noqa: F401
 from loomgraph.scratch import drop_path, scratch_path, written_paths
 
 #: White space of every word definition here: a word is [^\x20\x09-\x0D]+.
@@ -124,19 +123,6 @@ def batches(rows: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Ite
     trim()
 
 
-#: Bytes of an Arrow batch of whole texts; a worker and its executor each hold a few of them.
-BATCH_BYTES = 8 << 20
-
-
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """df, after making sure that the session sends Python at most BATCH_BYTES at once (a longer single row goes alone)."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = re.fullmatch(r"(\d+)b?", str(conf.get(key, None) or ""))
-    if held is None or not 0 < int(held[1]) <= BATCH_BYTES:
-        conf.set(key, str(BATCH_BYTES))
-    return df
-
-
 def slices(rows: Iterable[pa.RecordBatch], most: int = 500) -> Iterator[pa.RecordBatch]:
     """The rows again in batches of at most so many, so that few of them stand as Python objects at once."""
     for batch in rows:
@@ -145,15 +131,6 @@ def slices(rows: Iterable[pa.RecordBatch], most: int = 500) -> Iterator[pa.Recor
     trim()
 
 
-def trim() -> None:
-    """Gives memory that a worker no longer uses back to the system, as idle workers stay for later stages."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
-
-
 _LOWEST = -(1 << 63)
 
 

@@ -1,8 +1,10 @@
 """What is computed for each row is computed once, and what grows with the input is not broadcast by an estimate."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomgraph.operators import extract, graph, retrieve
+from loomgraph.sources import loaders
 
 
 def optimized(df) -> str:
@@ -38,3 +40,31 @@ def test_stats_broadcast_no_mentions(spark):
     told = graph.stats(tables)
     assert "BroadcastHashJoin" not in told._jdf.queryExecution().executedPlan().toString()
     assert {r["metric"]: r["value"] for r in told.collect()}["orphan_chunks"] == 2
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
+    """A worker gets a bounded batch of pages and holds the results of few of them as Python objects."""
+    alive, most = [0], [0]
+
+    class Told(dict):
+        def __del__(self):
+            alive[0] -= 1
+
+    def readable(html):
+        alive[0] += 1
+        most[0] = max(most[0], alive[0])
+        return Told(title=html or "", text="", links=[])
+
+    monkeypatch.setattr(loaders, "readable", readable)
+    pages = pa.array([None if i % 7 == 0 else str(i) for i in range(1000)])
+    titles = loaders.readability.func(pages).field("title").to_pylist()
+    assert titles == [h or "" for h in pages.to_pylist()] and most[0] <= 200
+    assert len(loaders.readability.func(pages.slice(0, 0))) == 0
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(1 << 28))
+        loaders.load_web(spark.createDataFrame([], "url string, html string"))
+        assert int(spark.conf.get(key)) <= 8 << 20
+    finally:
+        spark.conf.set(key, before)
