@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.frames import stacked
-from loomgraph.llm.common import Sieve, batches, files_for, in_small_batches, materialize, partitions_for, text_of, utf8
+from loomgraph.llm.common import Sieve, batches, files_for, in_small_batches, materialize, partitions_for, text_of, trim, utf8
 from loomgraph.llm.suffixes import classes, doubled
 from loomgraph.llm.words import mix
 
@@ -179,7 +179,9 @@ def _texts(docs: DataFrame, files: int) -> DataFrame:
     text = text_of("text")
     rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc"), text.alias("text"))
     told = rows.groupBy("doc").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a <> b").select("doc")
-    several = Sieve(materialize(told, "several", files), "doc").passes("doc")
+    told = materialize(told, "several", files)
+    # a sieve takes a second Python worker beside each one that reads the texts; mostly there is nothing to look up
+    several = Sieve(told, "doc").passes("doc") if told.take(1) else F.lit(False)
     return rows.select("doc_id", "doc", F.when(several, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("th"), F.col("text").cast("binary").alias("text"))
 
 
@@ -343,8 +345,11 @@ def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarr
         yield table_of(held, False)
 
 
-def _strings(stretches: DataFrame) -> DataFrame:
-    """Repeats among the strings of open contexts (key null), and of keys that lie in several blocks one string of each class of a block."""
+def _strings(stretches: DataFrame, tasks: int) -> DataFrame:
+    """Repeats among the strings of open contexts (key null), and of keys that lie in several blocks one string of each class of a block.
+
+    tasks: how many share the work; Spark's estimate for stretches, which are joined rows, is the product of two sizes and says nothing.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, split in _blocks(rows):
@@ -379,8 +384,9 @@ def _strings(stretches: DataFrame) -> DataFrame:
             a, b = again[at], again[np.append(at[1:], len(again)) - 1] if len(at) else again
             none = pa.nulls(len(a), pa.int64())
             yield _batch(_STRINGS, none, none, doc[text[a]], th[text[a]], inside[a].astype(np.int32), inside[b].astype(np.int32))
+        trim()
 
-    dealt = stretches.repartition(partitions_for(stretches), "home").sortWithinPartitions("key", "doc", "th", "low")
+    dealt = stretches.repartition(tasks, "home").sortWithinPartitions("key", "doc", "th", "low")
     return dealt.mapInArrow(run, _STRINGS)
 
 
@@ -434,7 +440,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     files = files_for(docs)
     texts = _texts(docs, files)
     judged = materialize(_judged(_marked(texts)), "judged")
-    strings = materialize(_strings(_stretches(texts, judged)), "strings")
+    strings = materialize(_strings(_stretches(texts, judged), partitions_for(docs)), "strings")
     place = ("doc", "th", "low")
     firsts = strings.where("key IS NOT NULL").groupBy("key", "string").agg(F.min(F.struct(*place)).alias("first"), F.max(F.struct(*place)).alias("last")).where("first <> last").select("key", "string", "first")
     # the rows of a hot string lie on the left, where a join splits them

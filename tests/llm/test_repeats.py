@@ -236,3 +236,22 @@ def test_of_equal_sets_under_one_id_the_same_row_stays_in_any_order(spark):
         docs = fx.docs(spark, [texts[i] for i in at], [ids[i] for i in at]).select("doc_id", "text", F.map_from_arrays(F.array(F.lit("k")), F.array("bucket")).alias("m")).coalesce(1)
         kept.add(tuple(sorted((r["doc_id"], repr(r["text"])) for r in minhash.deduplicated(docs).collect())))
     assert len(kept) == 1 and [i for i, _ in kept.pop()] == [4, 9]
+
+
+def test_texts_of_distinct_ids_need_one_python_worker(spark):
+    """A sieve over ids with several texts would take a second worker in each task that reads texts; it is there only where such ids are."""
+    python = lambda rows: parsing._marked(parsing._texts(spark.createDataFrame(rows, "doc_id long, text string"), 2))._jdf.queryExecution().executedPlan().toString()
+    once = [(1, "a" * 200), (2, "b" * 200), (None, None)]
+    assert "MapInArrow" in python(once) and "ArrowEvalPython" not in python(once)
+    assert "ArrowEvalPython" in python([*once, (1, "c" * 200)])
+
+
+def test_tasks_of_repeats_follow_the_input(spark):
+    """The estimate of a join multiplies its sides: tables of a few MB had tens of thousands of tasks where that product was small enough to be believed."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = parsing._texts(docs, 2)
+    judged = parsing.materialize(parsing._judged(parsing._marked(texts)), "judged")
+    tasks = parsing.partitions_for(docs)
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = parsing._strings(parsing._stretches(texts, judged), tasks)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(home#" in dealt and set(re.findall(r"hashpartitioning\(home#\d+L?, (\d+)\)", dealt)) == {str(tasks)}
