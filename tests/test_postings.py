@@ -1,5 +1,6 @@
 """The stored token indexes: postings, the pruned search over them, BM25 from them, and the index of entities."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -103,3 +104,30 @@ def test_tokens_are_cut_once(spark, tmp_path):
     for found, want in ((retrieve.postings(rows), [(1, "one", 1, 3, True), (1, "two", 2, 3, False)]), (retrieve.token_table(rows), [(1, "one"), (1, "two")])):
         assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
         assert sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_lists_of_frequent_words_send_postings_and_no_pairs(spark):
+    rnd = random.Random(8)
+    texts = [(i, " ".join(["the"] * (i % 7 > 0) + [f"w{int(rnd.paretovariate(0.6))}" for _ in range(rnd.randint(0, 15))])) for i in range(300)] + [(300, None), (301, "")]
+    rows = spark.createDataFrame(texts, ROWS)
+    asked = [(q, " ".join(["the", "w1 w1", f"w{q % 9}", f"w{q % 40}"])) for q in range(70)] + [(70, None), (71, "zz9"), (72, "")]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    lists = retrieve.lexical_topk(queries, rows, 5)
+    assert rows_of(lists["fulltext"].select("query_id", "id", "score", "rank")) == rows_of(retrieve.fulltext_topk(queries, retrieve.token_table(rows), 5).select("query_id", "id", "score", "rank"))
+    held = {i: Counter(TOKEN.findall(t)) for i, t in texts if t}
+    n, mean = len(held), sum(sum(c.values()) for c in held.values()) / len(held)
+    df = Counter(t for c in held.values() for t in c)
+    want = []
+    for q, text in asked:
+        scores = {}
+        for t in set(TOKEN.findall(text or "")):
+            for i, c in held.items():
+                if t in c:
+                    scores[i] = scores.get(i, 0) + math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean))
+        want += [(q, i, round(x, 6), r) for r, (i, x) in enumerate(sorted(scores.items(), key=lambda s: (-round(s[1], 9), s[0]))[:5], 1)]
+    assert rows_of(lists["bm25"].select("query_id", "id", F.round("score", 6), "rank")) == sorted(want)
+    # sums of a query and a row are made where the row's postings meet: no exchange by both
+    for found in (retrieve.bm25_topk(queries, rows, 5), retrieve.bm25_stored(queries, checkpointed(retrieve.postings(rows)), 5)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(id#" in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, id#", plan)
+    assert retrieve.lexical_topk(queries.limit(0), rows, 3)["bm25"].count() == retrieve.lexical_topk(queries, rows.limit(0), 3)["fulltext"].count() == 0
