@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import graph, retrieve
 from loomgraph.operators.retrieve import _candidates
+from loomgraph.plans import queries_engine
 from loomgraph.plans.engine import Engine
 from loomgraph.plans.store import checkpointed
 from loomgraph.schemas import TABLES
+from tests.conftest import SF
 from tests.test_engine import CONFIG, ask
 
 TOKEN = re.compile(r"[a-z0-9][a-z0-9\-]+")
@@ -131,3 +133,27 @@ def test_lists_of_frequent_words_send_postings_and_no_pairs(spark):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(id#" in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, id#", plan)
     assert retrieve.lexical_topk(queries.limit(0), rows, 3)["bm25"].count() == retrieve.lexical_topk(queries, rows.limit(0), 3)["fulltext"].count() == 0
+
+
+def test_postings_are_stored_where_they_are_made(spark, tmp_path):
+    """Sorted in each file, and not sent: all postings of a row lie in one file."""
+    own = Engine(spark, str(tmp_path / "store"), CONFIG)
+    rows = spark.range(0, 400, 1, 4).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("the of zz w"), (F.col("id") % 30).cast("string"), F.lit(" aa x"), "id").alias("text"))
+    own.store.write("chunk_tokens", retrieve.postings(rows))
+    part = own.store.parts("chunk_tokens")[0]
+    files = [[(r["token"], r["id"]) for r in spark.read.parquet(str(f)).collect()] for f in (tmp_path / "store" / "chunk_tokens" / part["id"] / "rows").glob("*.parquet")]
+    assert len(files) == 4 and sum(map(len, files)) == part["rows"] == 2400
+    assert all([t for t, _ in f] == sorted(t for t, _ in f) for f in files)
+    ids = [{i for _, i in f} for f in files]
+    assert sum(map(len, ids)) == len(set().union(*ids)) == 400
+
+
+def test_keyword_search_builds_postings_only(spark, monkeypatch):
+    monkeypatch.setattr(queries_engine, "_BUILT", {})
+    store = queries_engine.indexed(spark, SF).store
+    hits = rows_of(queries_engine.QUERIES["keyword_search"](spark, SF))
+    assert hits and [name for name in TABLES if store.parts(name)] == ["chunk_tokens"]
+    whole = queries_engine.notebook(spark, SF).store
+    assert whole.path == store.path and {"documents", "chunks", "entities", "mentions", "relations", "entity_tokens", "chunk_tokens"} == {name for name in TABLES if whole.parts(name)}
+    assert rows_of(whole.table("chunk_tokens")) == rows_of(retrieve.postings(whole.table("chunks")))
+    assert rows_of(queries_engine.QUERIES["keyword_search"](spark, SF)) == hits
