@@ -1,9 +1,13 @@
 """The exact and the bucketed vector search in bounded space, and metrics from counts of relevant items."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from loomgraph.operators import evaluate, retrieve
+from loomgraph.plans import queries_graph
+from tests.oracle import connection, rows_of, sql_rows
 
 
 def vectors(spark, n, copies=3):
@@ -56,3 +60,18 @@ def test_metrics_from_counts(spark):
     whole = evaluate.retrieval_metrics(ranked, relevant, 3)
     counted = evaluate.retrieval_metrics(ranked, among, 3, evaluate.relevant_sizes(relevant))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, counted.collect()))
+
+
+def test_rows_without_a_vector_are_searched_too(spark, tmp_path):
+    """Every row of the table is compared, and every fiftieth asks, whether it has a vector or not; as the SQL says."""
+    rnd = random.Random(6)
+    # the first query points away from all others, so that the rows without a vector are its nearest
+    vector = lambda i: None if i in (50, 51, 130) else [-1.0] * 8 if i == 0 else [rnd.random() for _ in range(8)]
+    rows = [(i, vector(i), i % 4) for i in range(160)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = connection(str(tmp_path))
+    for name in ("retrieval_metrics", "vector_topk"):
+        got = rows_of(queries_graph.QUERIES[name](spark, str(tmp_path)))
+        assert got == sql_rows(duck, queries_graph.SQL[name]), name
+    nearest = queries_graph.QUERIES["vector_topk"](spark, str(tmp_path)).where("query_id = 0 AND rank <= 3")
+    assert sorted(r["id"] for r in nearest.collect()) == [50, 51, 130]
