@@ -273,8 +273,9 @@ class Engine:
         boosts = None
         if c.graph_weight > 0:
             seeds = self._seeds(queries, t).select("query_id", F.col("name").alias("node"))
-            _, nodes = graph.expand(t["relations"], seeds, hops)
-            boosts = retrieve.graph_factor(fused, t["mentions"], nodes, c.graph_weight, c.neighbour_share)
+            mentions = checkpointed(retrieve.mentions_of(fused, t["mentions"]))
+            _, nodes = graph.expand(t["relations"], seeds, hops, retrieve.nodes_of(fused, mentions))
+            boosts = retrieve.graph_factor(fused, mentions, nodes, c.graph_weight, c.neighbour_share)
         out = retrieve.rescore(rows, boosts, c.graph_weight, c.title_weight)
         if c.rank and complete:
             out = retrieve.rerank(out.withColumn("query", F.col("text")).withColumn("text", F.col("chunk_text")), complete, c.passages, c.snippet)

@@ -17,7 +17,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.frames import stacked
@@ -230,11 +230,12 @@ class Store:
                 rows.write.parquet(kept)
                 rows = self.spark.read.schema(rows.schema).parquet(kept)
                 rows = rows.repartitionByRange(SORTED[name]).sortWithinPartitions(SORTED[name])
-            rows.write.parquet(f"{base}/{kind}")
+            # counted while they are written, so that the part is not read again
+            seen, owner = Observation(), owner_of(name) if kind == "rows" else F.col("owner")
+            rows.observe(seen, F.count(F.lit(1)).alias("n"), F.min(owner).alias("low"), F.max(owner).alias("high")).write.parquet(f"{base}/{kind}")
             if kept:
                 drop_path(self.spark.sparkContext, kept)
-            owner = owner_of(name) if kind == "rows" else F.col("owner")
-            told = self.spark.read.schema(rows.schema).parquet(f"{base}/{kind}").agg(F.count(F.lit(1)).alias("n"), F.min(owner).alias("low"), F.max(owner).alias("high")).first()
+            told = seen.get
             part[kind] = told["n"]
             part["owners"] += told["n"]
             if told["n"]:

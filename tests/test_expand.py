@@ -43,3 +43,24 @@ def test_a_hub_is_dealt_over_tasks(spark):
     edges, _ = graph.expand(sides, seeds, 1)
     sizes = [r["count"] for r in edges.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 600_000 and max(sizes) < 400_000
+
+
+def test_the_last_hop_keeps_the_nodes_looked_at(spark):
+    """Those of hops before it all stay, as later ones start from them; null ends, queries and nodes are passed over."""
+    rnd = random.Random(3)
+    names = [f"n{i}" for i in range(24)]
+    relations = [(rnd.choice(names), "r", rnd.choice(names)) for _ in range(34)]
+    seeds = [(q, rnd.choice(names)) for q in range(12) for _ in range(1 + (q % 3 == 0))]
+    looked = [(q, rnd.choice(names)) for q in range(14) for _ in range(6)]
+    rows = spark.createDataFrame([*relations, *relations[:3], ("n0", "r", None), (None, "r", "n1")], "subject string, relation string, object string")
+    asked = spark.createDataFrame([*seeds, *seeds[:2]], "query_id long, node string")
+    among = spark.createDataFrame([*looked, *looked[:2], (1, None), (None, "n1")], "query_id long, node string")
+    for hops in (1, 2, 3):
+        edges, nodes = graph.expand(rows, asked, hops, among)
+        want = {(q, n, h) for q, n, h in walked(set(relations), set(seeds), hops)[1] if h < hops or (q, n) in looked}
+        got = [tuple(r) for r in nodes.where("node IS NOT NULL").collect()]
+        assert sorted(got) == sorted(want)
+        assert sorted(map(str, edges.collect())) == sorted(map(str, graph.expand(rows, asked, hops)[0].collect()))
+    # what the last hop finds is not sent before it is looked up
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") > graph.expand(rows, asked, 3)[1]._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi")

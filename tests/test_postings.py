@@ -157,3 +157,21 @@ def test_keyword_search_builds_postings_only(spark, monkeypatch):
     assert whole.path == store.path and {"documents", "chunks", "entities", "mentions", "relations", "entity_tokens", "chunk_tokens"} == {name for name in TABLES if whole.parts(name)}
     assert rows_of(whole.table("chunk_tokens")) == rows_of(retrieve.postings(whole.table("chunks")))
     assert rows_of(queries_engine.QUERIES["keyword_search"](spark, SF)) == hits
+
+
+def test_the_index_is_read_once(spark):
+    """Also with null and empty texts, repeated queries and postings that stand twice."""
+    rows = spark.createDataFrame([(i, f"the of w{i % 7} v{i % 50}") for i in range(300)] + [(300, None), (301, "")], ROWS)
+    asked = [(i, f"the w{i} of v{i}") for i in range(5)] + [(9, None), (10, ""), (0, "the w0 of v0")]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(token):
+        read.add(1)
+        return token
+
+    index = checkpointed(retrieve.token_table(rows))
+    found = retrieve.pruned_topk(queries, index.withColumn("token", counted.asNondeterministic()("token")), 4, 1)
+    assert rows_of(found.where("query_id > 0")) == rows_of(retrieve.fulltext_topk(queries.where("query_id > 0"), index, 4))
+    assert index.count() <= read.value < 2 * index.count()

@@ -189,3 +189,18 @@ spark.stop()
 """
     subprocess.run([sys.executable, "-c", code], check=True, env={**os.environ, "PYTHONPATH": ROOT}, timeout=400)
     assert [(d, f) for d, _, f in os.walk(f"{tmp_path}/shared") if f] == []
+
+
+def test_a_part_is_counted_while_it_is_written(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("b:1", "X"), ("a:0", "Y"), ("a:0", "Z"), ("c", None)], "chunk_id string, entity string").repartition(3)
+    reader, read = type(spark.read), []
+    plain = reader.parquet
+    monkeypatch.setattr(reader, "parquet", lambda self, *paths, **options: (read.extend(paths), plain(self, *paths, **options))[1])
+    store.write("mentions", rows)
+    store.upsert("mentions", rows.where("entity IS NULL"))
+    assert not [p for p in read if "/mentions/" in p]
+    first, last = store.parts("mentions")
+    assert (first["rows"], first["owners"], first["low"], first["high"], last["rows"], last["low"]) == (4, 4, "a", "c", 1, "c")
+    store.write("mentions", rows.limit(0))
+    assert store.parts("mentions") == [] and store.table("mentions").count() == 0
