@@ -204,3 +204,15 @@ def test_a_part_is_counted_while_it_is_written(spark, tmp_path, monkeypatch):
     assert (first["rows"], first["owners"], first["low"], first["high"], last["rows"], last["low"]) == (4, 4, "a", "c", 1, "c")
     store.write("mentions", rows.limit(0))
     assert store.parts("mentions") == [] and store.table("mentions").count() == 0
+
+
+def test_reindex_tells_its_counts_from_the_commit(spark, tmp_path, monkeypatch):
+    own = Engine(spark, str(tmp_path / "store"), CONFIG)
+    row = lambda name, text: (name, name[0], 0, text, None, None, "engine", 0)
+    own.store.write("chunks", spark.createDataFrame([row("a:0", "one two two"), row("b:0", None), row("c:0", "")], TABLES["chunks"]))
+    reader, read = type(spark.read), []
+    plain = reader.parquet
+    monkeypatch.setattr(reader, "parquet", lambda self, *paths, **options: (read.extend(paths), plain(self, *paths, **options))[1])
+    assert own.reindex() == {"chunk_tokens": 2} and not [p for p in read if "/chunk_tokens/" in p]
+    assert own.reindex(entities=True) == {"chunk_tokens": 2, "entity_tokens": 0}
+    assert own.store.table("chunk_tokens").count() == 2
