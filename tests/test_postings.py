@@ -175,3 +175,24 @@ def test_the_index_is_read_once(spark):
     found = retrieve.pruned_topk(queries, index.withColumn("token", counted.asNondeterministic()("token")), 4, 1)
     assert rows_of(found.where("query_id > 0")) == rows_of(retrieve.fulltext_topk(queries.where("query_id > 0"), index, 4))
     assert index.count() <= read.value < 2 * index.count()
+
+
+def test_keyword_lists_send_no_pairs(spark):
+    """Counts of a query and a row are made where the row's postings meet; postings and ids that stand twice count twice, as before."""
+    texts = [(i, f"the of w{i % 7} v{i % 50}") for i in range(200)] + [(3, "the w3 again"), (300, None), (301, ""), (None, "the w1")]
+    asked = [(q, f"the w{q} w{q} v{q}") for q in range(12)] + [(20, None), (21, ""), (22, "zz9 zz8")]
+    rows, queries = spark.createDataFrame(texts, ROWS), spark.createDataFrame(asked, "query_id long, text string")
+    found = retrieve.fulltext_topk(queries, retrieve.token_table(rows), 5)
+    want = []
+    for q, text in asked:
+        words, scores = set(TOKEN.findall(text or "")), Counter()
+        for i, t in texts:
+            scores[i] += len(words & set(TOKEN.findall(t or "")))
+        best = sorted((-c / len(words), -1 if i is None else i) for i, c in scores.items() if c)[:5]
+        want += [(q, None if i < 0 else i, -c, r) for r, (c, i) in enumerate(best, 1)]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, id#", plan)
+    # more postings go over more tasks
+    parts = [int(re.search(r"hashpartitioning\(id#\d+L?, (\d+)\)", retrieve._dealt(rows, n)._jdf.queryExecution().executedPlan().toString())[1]) for n in (0, 1000 * retrieve._POSTINGS)]
+    assert parts[0] < parts[1] == 1000
